@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, quality, sharding
+from . import decontaminate, jaccard, language, mixing, quality, sharding
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language_model(spark, sf_dir):
+    return language.score(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark, sf_dir):
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op10_ngram_jaccard(spark, sf_dir):
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
+    "op3_language_model": op3_language_model,
     "op4_mixing": op4_mixing,
     "op7_quality": op7_quality,
     "op10_ngram_jaccard": op10_ngram_jaccard,
