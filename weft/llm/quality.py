@@ -102,14 +102,15 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def sparse(features: np.ndarray, of: np.ndarray, texts: int, size: int, gain: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct features and values of each text, with the bias last."""
+def sparse(features: np.ndarray, of: np.ndarray, texts: int, size: int, gain: float | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct features and values of each text, with the bias last. Without a gain, a feature that is there has the value 1."""
     both, count = np.unique(of * size + features, return_counts=True)
     cut = np.searchsorted(both, np.arange(texts + 1) * size)
     out = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         c = count[a:b]
-        out.append((np.append(both[a:b] % size, size - 1), np.append(c / max(c.sum(), 1) * gain, 1.0)))
+        x = np.ones(b - a) if gain is None else c / max(c.sum(), 1) * gain
+        out.append((np.append(both[a:b] % size, size - 1), np.append(x, 1.0)))
     return out
 
 
@@ -123,7 +124,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, text:
     return rows.join(known, "__key").select("text", "y")
 
 
-def fit(sample: DataFrame, features=ngrams, size: int = FAMILIES * BUCKETS + 1, gain: float = GAIN, shards: int = SHARDS, epochs: int = EPOCHS, make=None, **how) -> np.ndarray:
+def fit(sample: DataFrame, features=ngrams, size: int = FAMILIES * BUCKETS + 1, gain: float | None = GAIN, shards: int = SHARDS, epochs: int = EPOCHS, make=None, **how) -> np.ndarray:
     """Average weights of FTRL over each shard of the sample. Only weights (``size`` numbers a shard) reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
