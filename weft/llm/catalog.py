@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, mixing, neighbours, quality, sharding
+from . import decontaminate, jaccard, language, mixing, neighbours, quality, sharding, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_language_model": op3_language_model,
     "op4_mixing": op4_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_ngram_jaccard": op10_ngram_jaccard,
