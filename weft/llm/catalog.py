@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, mixing, neighbours, quality, sharding, toxicity
+from pyspark.sql import functions as F
+
+from . import decontaminate, jaccard, language, mixing, neighbours, quality, secrets, sharding, toxicity
 from .common import table
 
 
@@ -22,6 +24,11 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word", "part", F.length("candidate").alias("size"), F.sha2("candidate", 256).alias("sha256"), "score", "predicted")
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +50,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_language_model": op3_language_model,
     "op4_mixing": op4_mixing,
+    "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op9_nearest_neighbours": op9_nearest_neighbours,
