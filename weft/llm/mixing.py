@@ -66,10 +66,15 @@ def draw(key: str, seed: int):
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The documents under names that can't clash with those of the plan."""
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed(names), names
+
+
 def _planned(docs: DataFrame, key: str, source: str, text: str, seed: int, **how) -> DataFrame:
     plan = source_targets(docs, source, text, **how)
-    names = {c: f"__plan_{c}" for c in plan.columns}
-    plan = plan.withColumnsRenamed(names)
+    plan = plan.withColumnsRenamed({c: f"__plan_{c}" for c in plan.columns})
     on = F.col(f"`{source}`").eqNullSafe(F.col("__plan_source"))
     if "__plan___salt" in plan.columns:
         on = on & (F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(_SALTS)) == F.col("__plan___salt"))
@@ -80,20 +85,22 @@ def _planned(docs: DataFrame, key: str, source: str, text: str, seed: int, **how
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 1, **how) -> DataFrame:
     """The documents of the mix, each as often as its source's rate asks for; the columns of ``docs``."""
-    planned = _planned(docs, key, source, text, seed, **how).filter("__copies > 0")
+    docs, names = _renamed(docs)
+    planned = _planned(docs, names[key], names[source], names[text], seed, **how).filter("__copies > 0")
     planned = planned.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return planned.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return planned.select(*[F.col(v).alias(c) for c, v in names.items()])
 
 
 def mix_plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 1, **how) -> DataFrame:
     """Of every document: its size, its source's size and target, and the tokens that the mix takes of it."""
-    planned = _planned(docs, key, source, text, seed, **how)
+    docs, names = _renamed(docs)
+    planned = _planned(docs, names[key], names[source], names[text], seed, **how)
     return planned.select(
-        F.col(f"`{key}`").alias("doc_id"),
-        words(text).alias("size"),
+        F.col(names[key]).alias("doc_id"),
+        words(names[text]).alias("size"),
         F.col("__plan_source_size").alias("source_size"),
         F.col("__plan_target").alias("target"),
-        (words(text) * F.col("__copies")).alias("taken"),
+        (words(names[text]) * F.col("__copies")).alias("taken"),
     )
 
 

@@ -215,10 +215,12 @@ def _slots(placed: DataFrame) -> DataFrame:
 
 
 def sharded(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents themselves with a column ``shard`` in front."""
-    body = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    """The documents themselves with a column ``shard`` in front, which replaces one of that name."""
     found = [d for d in ("n_chars", "source", "lang", key) if d in docs.columns]
-    rows = docs.select((F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long") + 8).alias("size"), body.alias("__text"), *[_number(docs, d).alias(f"__m{i}") for i, d in enumerate(found)])
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    docs = docs.withColumnsRenamed(names)
+    body = F.coalesce(F.col(names[text]).cast("string"), F.lit(""))
+    rows = docs.select((F.octet_length(body).cast("long") + 8).alias("size"), F.xxhash64(body).alias("__text"), *[_number(docs, names[d]).alias(f"__m{i}") for i, d in enumerate(found)])
     placed = kd_shards(rows, "size", "__text", [f"__m{i}" for i in range(len(found))], shards, target_bytes)
-    out = docs.withColumn("__text", body).join(placed.withColumnRenamed("shard", "__shard"), "__text")
-    return out.select(F.col("__shard").alias("shard"), *[F.col(f"`{c}`") for c in docs.columns if c != "shard"])
+    out = docs.withColumn("__text", F.xxhash64(body)).join(placed.withColumnRenamed("shard", "__shard"), "__text")
+    return out.select(F.col("__shard").alias("shard"), *[F.col(v).alias(c) for c, v in names.items() if c != "shard"])
