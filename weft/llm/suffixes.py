@@ -48,6 +48,7 @@ BLOCKS = 8
 BAND = 16
 #: Up to so many rows, a table of spans is sent to every task instead of joined to.
 BROADCAST_ROWS = 500_000
+BROADCAST_IDS = 2_000_000
 
 
 def sliding(values: np.ndarray, width: int, f) -> np.ndarray:
@@ -104,16 +105,14 @@ def _kind(text: str) -> T.StructType:
 
 
 def _texts(docs: DataFrame, text: str, places: DataFrame) -> DataFrame:
-    """(id, places, text): each text once for which there are places, which are few for each text."""
-    grouped = _sized(places.groupBy("id").agg(F.collect_set("place").alias("places")))
+    """(id, places, text): the texts for which there are places. Other texts aren't shuffled while the ids are few enough
+    to be sent to every task (counted)."""
+    grouped = durable(places.groupBy("id").agg(F.collect_set("place").alias("places")), "places")  # a text's own places
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(body).alias("id"), body.alias("text")).join(grouped, "id")
-
-
-def _sized(rows: DataFrame) -> DataFrame:
-    """``rows``, to be broadcast if they are few (counted)."""
-    rows = durable(rows, "few")
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS // 100 else rows
+    rows = docs.select(F.xxhash64(body).alias("id"), body.alias("text"))
+    if grouped.count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(grouped.select("id")), "id", "left_semi")
+    return rows.join(grouped, "id")
 
 
 def bands(docs: DataFrame, text: str, reps: DataFrame, length: int, window: int, band: int) -> DataFrame:
@@ -148,12 +147,15 @@ def bands(docs: DataFrame, text: str, reps: DataFrame, length: int, window: int,
 
 def kinds(rows: DataFrame, group: str, whole: str, rest: list[str]) -> tuple[DataFrame, DataFrame]:
     """Of rows whose ``group`` occurs twice or more: those whose ``whole`` does, and one of each kind of ``whole``
-    in groups of several kinds, with the number ``n`` of its rows."""
-    often = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(group)
+    in groups of several kinds, with the number ``n`` of its rows.
+
+    Both sides of the joins are tables, so that adaptive execution can split a group that holds many rows.
+    """
+    often = durable(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(group), "groups")
     rows = durable(rows.join(often, group, "left_semi"), "often")
     each = durable(rows.groupBy(whole).agg(F.count(F.lit(1)).alias("n"), F.min(group).alias(group), F.min(F.struct(*rest)).alias("rep")), "kinds")
     equal = rows.join(each.filter("n > 1").select(whole), whole, "left_semi").select(*rest)
-    several = each.groupBy(group).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(group)
+    several = durable(each.groupBy(group).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(group), "several")
     return equal, each.join(several, group, "left_semi").select("rep.*", "n")
 
 
@@ -270,6 +272,31 @@ def repeated(docs: DataFrame, text: str = "text", length: int = LENGTH, window:
     return whole.union(some).union(ones)
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """(id, spans) with ranges that overlap or touch joined."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            pairs, many = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(batch)), many)
+            first, last = (pairs.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            order = np.lexsort((first, row))
+            row, first, last = row[order], first[order], last[order]
+            # rows apart from each other, so that a running maximum of ends holds within each
+            lift = row * (1 << 33)
+            reach = np.maximum.accumulate(last + lift)
+            new = np.ones(len(row), bool)
+            new[1:] = (first[1:] + lift[1:] > reach[:-1] + 1) | (row[1:] != row[:-1])
+            at = np.flatnonzero(new)
+            stop = np.append(at[1:], len(row)) - 1
+            made = pa.StructArray.from_arrays([pa.array(first[at].astype(np.int32)), pa.array((reach[stop] - lift[stop]).astype(np.int32))], names=["first", "last"])
+            cuts = np.searchsorted(row[at], np.arange(len(batch) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), made)], names=["id", "spans"])
+
+    return spans.mapInArrow(run, _kind("id long, spans array<struct<first: int, last: int>>"))
+
+
 def cut(raw: np.ndarray, ranges: np.ndarray, length: int) -> tuple[int, np.ndarray]:
     """Number of removed runs and the bytes that stay, for ranges of repeated starts clipped to the text."""
     first, last = np.maximum(ranges[:, 0], 0), np.minimum(ranges[:, 1], len(raw) - length)
@@ -287,8 +314,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     if length % BLOCKS:
         raise ValueError(f"length must be divisible by {BLOCKS}")
     spans = repeated(docs, text, length)
-    spans = spans.groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    spans = durable(spans, "spans")
+    spans = durable(_merged(spans.groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))), "spans")
     if (spans.agg(F.sum(F.size("spans") + 4)).first()[0] or 0) <= BROADCAST_ROWS:
         spans = F.broadcast(spans)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
