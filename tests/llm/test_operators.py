@@ -1,0 +1,383 @@
+"""The training-data operators on small tables, against brute force."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from weft.llm import decontaminate, jaccard, language, mixing, neighbours, quality, secrets, sharding, suffixes, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, id string, `shard` string, class_id int"
+
+
+def rows_of(texts, sources=None):
+    return [(i, t, "en", (sources or [f"s{i % 3}" for i in range(len(texts))])[i], len(t or ""), "x", "y", "z", 1) for i, t in enumerate(texts)]
+
+
+def words(n, seed=0, size=500):
+    rng = np.random.default_rng(seed)
+    return " ".join(f"w{v}" for v in rng.integers(0, size, n))
+
+
+LONG = words(6000, 99)
+HARD = [None, "", " \t\n", "one", "one two three four", LONG, LONG, words(40, 1), words(40, 1), "ünïcödé " * 7, words(40, 2) + " tail", words(40, 2)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Nulls in every column, empty and long texts, repeated rows and ids, clashing column names."""
+    rows = rows_of(HARD)
+    rows += [(None, words(20, 5), None, None, None, None, None, None, None), (3, "one", "en", "s0", 3, "x", "y", "z", 1), rows[7]]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, (i + 1) % 2, "x") for i in range(12)] + [(None, 1, 0, "x"), (2, None, None, "x"), (1, 0, 1, "x")], "doc_id long, quality int, toxic int, text string")
+
+
+# Decontamination
+
+
+def shingles(text):
+    w = re.findall(r"\w+", (text or "").lower())
+    n = min(5, len(w))
+    return collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if n else collections.Counter(), w
+
+
+def brute_leaks(texts, items):
+    found = set()
+    for d, t in enumerate(texts):
+        w = shingles(t)[1]
+        for k, item in enumerate(items):
+            own, iw = shingles(item)
+            n = len(iw)
+            if not n:
+                continue
+            for at in range(max(1, len(w) - n + 1)):
+                part = shingles(" ".join(w[at : at + n]))[0]
+                inter = sum((part & own).values())
+                if inter and inter * 5 >= 4 * sum((part | own).values()):
+                    found.add((d, k))
+                    break
+    return found
+
+
+def test_decontamination_against_brute_force(spark):
+    items = [words(n, 50 + n) for n in (14, 30, 60)] + ["only three words", "", None, "w1 w1 w1 w1 w1 w1 w1"]
+    changed = items[2].split()
+    changed[30] = "other"
+    texts = [words(50, 1) + " " + items[0].upper() + ". " + words(9, 2), "x " + " ".join(changed) + " y", items[1], " ".join(items[1].split()[:-2]), " ".join(items[1].split()[:-9]), "has only, three WORDS here", None, "", words(200, 3), "w1 " * 30, " ".join(items[1].split()[::-1])]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == brute_leaks(texts, items)
+    clean = decontaminate.clean(docs, bench)
+    assert clean.columns == docs.columns
+    assert {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in got}
+
+
+def test_blocks_find_all_within_the_radius():
+    rng = np.random.default_rng(0)
+    items = rng.integers(0, 2**63, 50, dtype=np.uint64)
+    queries = items[rng.integers(0, 50, 200)]
+    for i in range(200):
+        for b in rng.choice(64, rng.integers(0, 26), replace=False):
+            queries[i] ^= np.uint64(1) << np.uint64(b)
+    q, k = decontaminate.Blocks(items).near(queries)
+    distance = np.bitwise_count(queries[:, None] ^ items[None])
+    assert set(zip(q.tolist(), k.tolist(), strict=True)) == set(map(tuple, np.argwhere(distance <= decontaminate.RADIUS).tolist()))
+
+
+def test_decontamination_of_hard_rows(spark, docs, empty):
+    bench = spark.createDataFrame([(1, "nothing like it in the documents"), (None, None)], "item_id long, text string")
+    assert decontaminate.leaks(docs, bench).count() == 0
+    assert decontaminate.clean(docs, bench).count() == docs.count()
+    assert decontaminate.clean(empty, bench).count() == 0
+    assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
+
+
+# Language model
+
+
+def test_language_model(spark, docs, empty):
+    texts = [words(60, s, 40) for s in range(60)]
+    table = spark.createDataFrame(rows_of(texts), SCHEMA).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100))
+    a = {(r["doc_id"], r["n_tokens"], round(r["score"], 6)): r for r in language.score(table).collect()}
+    b = language.score(table, limit=1).collect()
+    assert len(b) == table.count()
+    for r in b:
+        other = a[r["doc_id"], r["n_tokens"], round(r["score"], 6)]
+        assert abs(other["base_score"] - r["base_score"]) < 1e-6
+        assert other["n_known"] == r["n_known"]
+    token = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w] + [None]
+    plain = [(r["doc_id"], r["text"]) for r in table.collect()]
+    train = [t for i, t in plain if zlib.crc32(str("" if i is None else i).encode()) % 10]
+    count = collections.Counter(w for t in train for w in token(t))
+    total = sum(count.values())
+    want = sorted(round(sum(np.log10((count[w] + 0.1) / (total + 0.1 * (len(count) + 1))) for w in token(t)), 6) for _, t in plain)
+    assert np.allclose(want, sorted(r["base_score"] for r in b), atol=1e-5)
+    assert all(r["train_tokens"] == total for r in b)
+    held = [r for r in b if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 60]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert language.score(empty).count() == 0
+
+
+def test_language_model_probabilities_sum_to_one():
+    weights = np.full((language.BUCKETS, 3), 1 / 3)
+    after, both = np.array([5, 3, 2]), np.array([2, 0, 1])  # three words; the context was seen three times
+    p = language.mixture(weights, both, np.full(3, 3), after, 10, 3)
+    assert np.isclose(p.sum() + (1 / 3) / 4, 1.0)
+
+
+# Mixing and sharding
+
+
+def test_mixing(spark, docs, empty):
+    plan = mixing.mix_plan(docs).collect()
+    assert len(plan) == docs.count()
+    assert mixing.mix(docs).columns == docs.columns
+    assert all(r["taken"] <= 3 * r["size"] for r in plan)
+    assert mixing.mix_plan(empty).count() == 0
+    assert sorted(map(str, plan)) == sorted(map(str, mixing.mix_plan(docs.repartition(2)).collect()))
+
+
+def test_mixing_meets_targets(spark):
+    texts = [words(50, s) for s in range(900)]
+    table = spark.createDataFrame(rows_of(texts, ["a"] * 600 + ["b"] * 250 + ["c"] * 50), SCHEMA)
+    sums = mixing.mix_plan(table).join(table.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    for r in sums:
+        assert abs(r["taken"] - r["target"]) < 0.15 * r["target"]
+    mixed = {r["source"]: r["n"] for r in mixing.mix(table).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert mixed["c"] * 50 == next(r["taken"] for r in sums if r["source"] == "c")
+
+
+def check_shards(rows, shards):
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r)
+    for own in by.values():
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+    same = collections.defaultdict(set)
+    for r in rows:
+        same[r["text_crc32"]].add(r["shard"])
+    assert all(len(s) == 1 for s in same.values())
+    assert set(by) <= set(range(shards))
+    return [sum(r["size"] for r in by[k]) for k in range(shards)]
+
+
+def test_sharding(spark, docs, empty):
+    rows = sharding.shard_documents(docs, shards=5).collect()
+    assert len(rows) == docs.count()
+    check_shards(rows, 5)
+    assert sharding.shard_documents(empty, shards=5).count() == 0
+    out = sharding.sharded(docs, target_bytes=20_000)
+    assert out.count() == docs.count()
+    assert out.columns == ["shard", *[c for c in docs.columns if c != "shard"]]
+    table = spark.createDataFrame(rows_of([words(20 + s % 30, s) for s in range(800)]), SCHEMA)
+    sizes = check_shards(sharding.shard_documents(table, shards=6).collect(), 6)
+    assert max(sizes) < 1.1 * min(sizes)
+
+
+# Classifiers
+
+
+def test_classifiers_on_hard_rows(docs, empty, labels):
+    for f in (quality.classify, toxicity.classify):
+        rows = f(docs, labels).collect()
+        assert len(rows) == docs.count()
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+        assert f(empty, labels).count() == 0
+        assert {r["score"] for r in f(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def test_quality_learns(spark):
+    texts = [words(60, s) if s % 2 else "%%% ### " * 20 + words(5, s) for s in range(400)]
+    table = spark.createDataFrame(rows_of(texts), SCHEMA)
+    known = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    rows = [r for r in quality.classify(table, known).collect() if r["held_out"]]
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in rows]) > 0.95
+
+
+def test_toxicity_reads_disguised_words(spark):
+    bad = ["idiot", "1d10t", "i d i o t", "idiooot", "id1ot"]
+    texts = [words(30, s) + (f" idiot {words(5, s + 1000)}" if s % 4 == 0 else "") + " idiot's"[: 0 if s % 4 else 6] for s in range(400)]
+    texts += [words(20, 5000 + k) + f" {b} " + words(3, k) for k, b in enumerate(bad)] + [words(25, 6000)]
+    table = spark.createDataFrame(rows_of(texts), SCHEMA)
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.classify(table, known).collect()}
+    assert [got[400 + k] for k in range(len(bad))] == [1] * len(bad)
+    assert got[400 + len(bad)] == 0
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([got[i] == int(i % 4 == 0) for i in held]) > 0.95
+
+
+def test_viterbi_is_the_best_path():
+    counts = np.random.default_rng(0).integers(0, 20, (toxicity.SYMBOLS,) * 3).astype(float)
+    decoder = toxicity.Decoder(counts)
+    for token in (b"1d10t", b"$c|m", b"aaab0"):
+        paths = [(0.0, b"")]
+        for arcs in decoder.arcs(token):
+            paths = [(c + extra, p + w) for c, p in paths for w, extra in arcs]
+
+        def whole(cost, path):
+            a = b = 0
+            for x in [*path, 32]:
+                s = int(toxicity._SYMBOL[x])
+                cost += decoder.cost[a, b, s]
+                a, b = b, s
+            return cost
+
+        costs = {}
+        for cost, path in paths:
+            costs[path] = min(costs.get(path, np.inf), whole(cost, path))
+        assert np.isclose(costs[decoder.decode(token)], min(costs.values()))
+
+
+# Secrets
+
+
+def test_secrets(spark, docs, empty):
+    model_rows = secrets.labelled_findings(spark, 1500, seed=5)
+    model = secrets.train(secrets.labelled_findings(spark, 6000))
+    got = model.transform(secrets.with_features(model_rows)).select("label", "prediction").collect()
+    assert np.mean([r["label"] == r["prediction"] for r in got]) > 0.97
+    key = "AKIA" + "Q7HD62MU6VBLCCC1"
+    texts = [f"some words then {key} and more", "password=5a9f0b52bb02aa3b580b here", 'token = "d79b4bd5ac35c6fd4765f3c195ae8bf92c95a355" x', "see /usr/lib/request-handler-12.js in the tree", None, "", "no candidates at all", f"{key} {key}"]
+    found = secrets.scan(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()
+    by = collections.Counter(r["doc_id"] for r in found if r["predicted"])
+    assert by == {0: 1, 1: 1, 2: 1, 7: 2}
+    assert secrets.scan(empty).count() == 0
+    assert secrets.scan(docs).count() == 0
+
+
+# Suffix sort
+
+
+def brute_removed(texts, length):
+    where = collections.Counter()
+    raw = [(t or "").encode() for t in texts]
+    for x in raw:
+        for p in range(len(x) - length + 1):
+            where[x[p : p + length]] += 1
+    out = []
+    for x in raw:
+        gone = np.zeros(len(x), bool)
+        for p in range(len(x) - length + 1):
+            if where[x[p : p + length]] > 1:
+                gone[p : p + length] = True
+        kept = bytes(b for b, g in zip(x, gone, strict=True) if not g)
+        runs = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (gone[:1].sum() if len(gone) else 0))
+        out.append((len(x), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffixes_against_brute_force(spark):
+    a, b = words(150, 1), words(150, 2)
+    texts = [a, a, b[:500], "x" + b[3:470] + words(30, 3), words(9, 4) + b[:399], words(9, 4) + b[:400], "z" * 900, "ab" * 400, None, "", b[20:460] + a[:405] + b[20:460], "é" * 450, words(300, 7)]
+    texts += [a[:200] + f" edit{k} " + a[200 + k :] for k in range(12)]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removed(texts, 400)
+
+
+def test_suffixes_on_hard_rows(docs, empty):
+    rows = suffixes.remove_repeats(docs, keep_text=True).collect()
+    assert len(rows) == docs.count()
+    assert all(r["n_removed"] == r["n_bytes"] - len(r["kept"]) for r in rows)
+    assert suffixes.remove_repeats(empty).count() == 0
+
+
+def test_ranks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(a), int(b), i) for i, (a, b) in enumerate(rng.integers(-3, 3, (400, 2)))]
+    got = suffixes.ranked(spark.createDataFrame(rows, "a long, b long, i int"), ["a", "b"], ["i"]).collect()
+    order = {k: n for n, k in enumerate(sorted({(a, b) for a, b, _ in rows}))}
+    assert len(got) == 400
+    assert all(r["name"] == order[r["a"], r["b"]] for r in got)
+
+
+# Neighbours
+
+
+def brute_nearest(ids, x, every, k):
+    out = {}
+    for i in np.flatnonzero(ids % every == 0):
+        s = x @ x[i]
+        s[ids == ids[i]] = -np.inf
+        order = np.lexsort((ids, -s))[:k]
+        out[int(ids[i])] = [int(ids[j]) for j in order if s[j] > -np.inf]
+    return out
+
+
+def test_neighbours_recall_and_ties(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x[100:400] = x[100]  # copies
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    rows += [(5000, None, 1), (5020, [0.0] * 16, 1), (5040, [float("nan")] * 16, 1), (5060, [1.0, None] * 8, 1), (5080, [float("inf")] * 16, 1), (5100, [1.0] * 3, 1), (None, [1.0] * 16, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(3)
+    got = collections.defaultdict(list)
+    for r in neighbours.search(df).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    want = brute_nearest(np.arange(1500), x.astype(float), 20, 20)
+    assert set(got) == set(want)
+    assert all(len(v) == 20 for v in got.values())
+    assert got[120] == want[120]  # a query among copies: ties to the smaller id
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
+
+
+def test_neighbours_of_few(spark):
+    few = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, embedding array<double>")
+    rows = neighbours.search(few).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows] == [(0, k, k, 1.0) for k in range(1, 6)]
+    assert neighbours.search(few.limit(0)).count() == 0
+    assert neighbours.search(few.filter("vec_id = 3")).count() == 0
+
+
+# Jaccard join
+
+
+def test_jaccard_against_brute_force(spark):
+    base = [words(60, s) for s in range(8)]
+    texts = []
+    for s, t in enumerate(base):
+        w = t.split()
+        texts += [t, t, " ".join(w[:-1]), " ".join([*w[:-2], f"q{s}"]), " ".join(w[:30])]
+    texts += [None, "", "one two", "One, two!", "three"]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3)
+    rows = {r["doc_id"]: r for r in jaccard.near_duplicates(docs).collect()}
+    sets = [set(shingles(t)[0]) for t in texts]
+    link = lambda i, j: bool(sets[i]) and len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]) or not sets[i] and texts[i] == texts[j]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if link(i, j) and label[i] != label[j]:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    # a null text and an empty one are alike: neither has words
+    label[texts.index("")] = label[texts.index(None)]
+    assert [rows[i]["class_id"] for i in range(len(texts))] == label
+    links = [sum(link(i, j) for j in range(len(texts)) if j != i) for i in range(40)]
+    assert [rows[i]["links"] for i in range(40)] == links
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
+
+
+def test_jaccard_on_hard_rows(docs, empty):
+    assert jaccard.near_duplicates(docs).count() == docs.count()
+    assert jaccard.near_duplicates(empty).count() == 0
+    assert jaccard.one_of_each(empty).count() == 0
+    texts = [r["text"] for r in jaccard.one_of_each(docs).collect()]
+    assert sum(t == LONG for t in texts) == 1
