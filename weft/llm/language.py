@@ -17,7 +17,6 @@ over one word, log10 probability 0; columns other than the id and the text are i
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +35,9 @@ BROADCAST_WORDS = 1 << 23
 BUCKETS = 40
 ROUNDS = 12
 END = np.uint64(0x1F83D9ABFB41BD6B)
-#: Pairs that a partition should hold.
-PAIRS = 2_000_000
+#: Pairs that a partition should hold, and that a task packs at a time.
+PAIRS = 1_000_000
+HELD = 1_000_000
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,10 +50,6 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.insert(names, at, END), np.insert(doc, at, np.arange(texts))
 
 
-def counts(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(names, return_counts=True)
-
-
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The id, the role (0 scored only, 1 trained on, 2 trained on but left out at first), the row's name, the text."""
     k, body = F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -80,9 +76,9 @@ def word_counts(rows: DataFrame) -> DataFrame:
             role = part.column(0).to_numpy()[doc]
             word, where = np.unique(names[role > 0], return_inverse=True)
             held.append([word, np.bincount(where, minlength=len(word)), np.bincount(where, role[role > 0] == 2, len(word)).astype(np.int64)])
-            if sum(len(h[0]) for h in held) > 2_000_000:
+            if sum(len(h[0]) for h in held) > HELD:
                 held[:] = [merged()]
-                if len(held[0][0]) > 1_000_000:
+                if len(held[0][0]) > HELD // 2:
                     return batch(held.pop())
 
         fn.flush = lambda: [batch(merged())] if held else []
@@ -100,6 +96,7 @@ class Vocabulary:
         order = np.argsort(word.view(np.uint64))
         self.word, self.n, self.main = word.view(np.uint64)[order], n[order].astype(np.uint32 if n.sum() < 2**32 else np.int64), None
         self.main = (n - left_out)[order].astype(self.n.dtype)
+        self.n, self.main = np.append(self.n, 0).astype(self.n.dtype), np.append(self.main, 0).astype(self.n.dtype)  # the last is for unknown words
         self.total, self.total_main = int(n.sum()), int((n - left_out).sum())
 
     def numbers(self, names: np.ndarray) -> np.ndarray:
@@ -110,7 +107,17 @@ class Vocabulary:
         return np.where(self.word[at] == names, at, len(self.word))
 
     def of(self, numbers: np.ndarray, main: bool = False) -> np.ndarray:
-        return np.append(self.main if main else self.n, 0)[numbers].astype(np.int64)
+        return (self.main if main else self.n)[numbers].astype(np.int64)
+
+
+def vocabulary_of(words: DataFrame, total: int, pieces: int = 8) -> Vocabulary:
+    """The table of a bounded number of words on the driver, fetched in pieces."""
+    kind = "int" if total < 2**31 else "long"
+    got = []
+    for k in range(pieces):
+        piece = words.filter(F.pmod("word", F.lit(pieces)) == k).select("word", F.col("n").cast(kind), F.col("left_out").cast(kind)).toArrow()
+        got.append([piece.column(i).to_numpy() for i in range(3)])
+    return Vocabulary(*[np.concatenate(c) for c in zip(*got, strict=True)])
 
 
 def bucket(n: np.ndarray) -> np.ndarray:
@@ -163,7 +170,7 @@ def packed_pairs(rows: DataFrame, vocabulary, parts: int) -> DataFrame:
             cut = np.searchsorted(doc, np.arange(len(piece) + 1))
             rows = _batch(len(piece), doc_id=piece.column(0), row=piece.column(2), n_tokens=np.diff(cut), n_known=per_text((n > 0).astype(np.int64), cut), base=per_text(base, cut))
             rows_only.append(rows)
-            if sum(map(len, held)) >= 4_000_000 or len(rows_only) >= 64:
+            if sum(map(len, held)) >= HELD:
                 out = [*rows_only, packed()]
                 rows_only.clear()
                 return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
@@ -319,9 +326,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     total, main = total or 0, main or 0
     if known > limit:
         return score_by_joins(rows, words, known, total, main)
-    table = words.toArrow()  # at most ``limit`` words
-    columns = [table.column(c).to_numpy() for c in ("word", "n", "left_out")]
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(*columns))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_of(words, total))
     parts = max(8, -(-int(total) // PAIRS))
     moved = F.coalesce(F.col("part").cast("long"), F.col("row"))
     trained = packed_pairs(rows.filter("role > 0"), vocabulary, parts).filter("part is not null").repartition(parts, moved)
@@ -375,7 +380,3 @@ def score_by_joins(rows: DataFrame, words: DataFrame, known: int, total: int, ma
     times = rows.groupBy("row").agg(F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("doc_id"))
     scored = scored.join(times, "row").select("row", "logs", "rows", "doc_id", *[(F.col(c) / F.col("rows")).cast(k).alias(c) for c, k in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"))])
     return _result(scored, total)
-
-
-def perplexity(log10: float, n_tokens: int) -> float:
-    return 10 ** (-log10 / max(n_tokens, 1)) if n_tokens else math.nan
