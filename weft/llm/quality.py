@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fold_of, map_text, slices, text_bytes
-from .words import ascii_lower, chain, mix, per_text, prefix_sums, span_names, spans
+from .words import ascii_lower, chain, mix, prefix_sums, span_names, spans
 
 BUCKETS = 1 << 17
 FAMILIES = 3
@@ -102,15 +102,15 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def sparse(features: np.ndarray, of: np.ndarray, texts: int, size: int, gain: float | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct features and values of each text, with the bias last. Without a gain, a feature that is there has the value 1."""
+def sparse(features: np.ndarray, of: np.ndarray, texts: int, size: int, gain: float | None) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """Distinct features and values of each text, with the bias last. Without a gain, values are None: all are 1."""
     both, count = np.unique(of * size + features, return_counts=True)
     cut = np.searchsorted(both, np.arange(texts + 1) * size)
     out = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         c = count[a:b]
-        x = np.ones(b - a) if gain is None else c / max(c.sum(), 1) * gain
-        out.append((np.append(both[a:b] % size, size - 1), np.append(x, 1.0)))
+        x = None if gain is None else np.append(c / max(c.sum(), 1) * gain, 1.0).astype(np.float32)
+        out.append((np.append(both[a:b] % size, size - 1).astype(np.int32), x))
     return out
 
 
@@ -134,14 +134,15 @@ def fit(sample: DataFrame, features=ngrams, size: int = FAMILIES * BUCKETS + 1,
             for part in slices(batch, 0):
                 raw, offsets = text_bytes(part.column(0))
                 f, of = extract(raw, offsets)
-                rows += [(a.astype(np.int32), x.astype(np.float32)) for a, x in sparse(f, of, len(part), size, gain)]
+                rows += sparse(f, of, len(part), size, gain)
                 ys += part.column(1).to_pylist()
         if not rows:
             return
         model, order = Ftrl(size, **how), np.random.default_rng(1)
         for _ in range(epochs):
             for i in order.permutation(len(rows)):
-                model.learn(rows[i][0], rows[i][1].astype(float), ys[i])
+                at, x = rows[i]
+                model.learn(at, np.ones(len(at)) if x is None else x.astype(float), ys[i])
         yield pa.RecordBatch.from_arrays([pa.array([len(rows)]), pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], names=["rows", "weights"])
 
     parts = sample.repartition(shards).mapInArrow(run, "rows long, weights binary").collect()

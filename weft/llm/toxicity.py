@@ -5,7 +5,7 @@ spaced out) become a lattice: each character may stand for itself or for letters
 of a letter may stand for one or two, signs and blanks between single letters may fall away. Viterbi
 decoding finds the likeliest word under a character trigram model, which is counted over all documents.
 A logistic model of hashed words and word beginnings, trained with follow-the-regularised-leader on a
-bounded sample of labelled rows (``quality.MAX_ROWS``), scores the text with the decoded words added.
+bounded sample of labelled rows (``MAX_ROWS``), scores the text with the decoded words added.
 
 Defined results: null and empty texts score as the bias; texts and tokens of any length are read whole;
 a document with several labels trains with each; without training rows all scores are 0.5; an empty table
@@ -28,6 +28,8 @@ BUCKETS = 1 << 17
 FAMILIES = 3
 SIZE = FAMILIES * BUCKETS + 1
 CUTOFF = 0.3
+#: Labelled rows that are trained on, about; all in one task.
+MAX_ROWS = 10_000
 SYMBOLS = 32
 #: Characters and the letters that they may stand for (fixed values).
 RESEMBLES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "", ".": "", "-": "", "_": "", "'": "", " ": ""}
@@ -132,7 +134,7 @@ def disguised(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.nda
     starts, ends, doc = spans(raw, offsets)
     if not len(starts):
         return [], np.zeros(0, int)
-    total = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    total = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int32)], dtype=np.int32)
     letters, looks = total(_LETTER[raw]), total(_LOOKS[raw])
     thrice = np.zeros(len(raw), bool)
     low = ascii_lower(raw)
@@ -196,9 +198,6 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, label: str, te
     return fit(sample, size=SIZE, gain=None, make=lambda: word_features(Decoder(held.value)), shards=1, epochs=8, alpha=0.5, l1=4.0, l2=0.1)
 
 
-MAX_ROWS = 20_000
-
-
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held_out: int = 2) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     counts = trigram_counts(docs, text)
