@@ -100,7 +100,7 @@ def kd_shards(items: DataFrame, weight: str, group: str, dims: list[str], shards
             dim = max(range(n), key=lambda i: (x.high[i] - x.low[i]) / scale[i])
             cuts[x.node] = Cut(x, dim, x.bytes * (x.shards // 2) / x.shards, x.low[dim], x.high[dim], by_key=x.low[dim] == x.high[dim], value=x.low[dim])
         _search(points, cuts)
-        points = _split(points, cuts)
+        points = durable(_split(points, cuts), "points")  # else each round would split anew from the root
         # both halves as they are now
         rows = points.filter(F.col("__node").isin([m for x in cuts for m in (2 * x, 2 * x + 1)])).groupBy("__node")
         rows = rows.agg(F.sum("__w").alias("w"), *[f(f"__d{i}").alias(f"{k}{i}") for i in range(n) for k, f in (("a", F.min), ("b", F.max))]).collect()
