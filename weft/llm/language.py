@@ -38,6 +38,9 @@ END = np.uint64(0x1F83D9ABFB41BD6B)
 #: Pairs that a partition should hold, and that a task packs at a time.
 PAIRS = 1_000_000
 HELD = 1_000_000
+#: Partitions that one task scores one after the other, adding up the sums of a document; documents in a bucket of sums.
+GROUP = 8
+BUCKET_ROWS = 50_000
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +182,10 @@ def packed_pairs(rows: DataFrame, vocabulary, parts: int) -> DataFrame:
         fn.flush = lambda: [*rows_only, packed()] if held else []
         return fn
 
-    kinds = "part int, pairs binary, doc_id long, row long, n_tokens long, n_known long, base double"
-    return expand_text(rows, "text", ["doc_id", "role", "row"], make, T._parse_datatype_string(kinds))
+    return expand_text(rows, "text", ["doc_id", "role", "row"], make, T._parse_datatype_string(PACKED))
+
+
+PACKED = "part int, pairs binary, doc_id long, row long, n_tokens long, n_known long, base double"
 
 
 RECORD = np.dtype([("pair", np.uint64), ("row", np.int64), ("n", np.uint32), ("role", np.uint8)])
@@ -219,17 +224,20 @@ def _unsqueeze(blob: bytes) -> np.ndarray:
 
 
 def _partitions(batches: Iterator[pa.RecordBatch]):
-    """The document rows that come by, as batches, and last each partition's records sorted by pair."""
-    blobs: dict[int, list[np.ndarray]] = {}
+    """The document rows that come by, as batches, and last each partition's records sorted by pair.
+
+    Blobs stay compressed until their partition's turn.
+    """
+    blobs: dict[int, list[bytes]] = {}
     for batch in batches:
         part, pairs = batch.column(0), batch.column(1)
         for i in range(len(batch)):
             if part[i].is_valid:
-                blobs.setdefault(part[i].as_py(), []).append(_unsqueeze(pairs[i].as_py()))
+                blobs.setdefault(part[i].as_py(), []).append(pairs[i].as_py())
         if part.null_count:
             yield batch.filter(part.is_null())
     for key in list(blobs):
-        records = np.concatenate(blobs.pop(key))
+        records = np.concatenate([_unsqueeze(x) for x in blobs.pop(key)])
         yield records[np.argsort(records["pair"], kind="stable")]
 
 
@@ -287,15 +295,31 @@ def learn_weights(events: DataFrame, total: int, words: int, rounds: int = ROUND
     return weights
 
 
-def _scored(packed: DataFrame, vocabulary, weights: np.ndarray) -> DataFrame:
-    """Per document row name: the sum of its log10 probabilities, and the figures of its rows."""
+def _scored(packed: DataFrame, vocabulary, weights: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, sums, doc_id, row, n_tokens, n_known, base): sums of log10 probabilities by row name, added up over all
+    pairs of a task and packed into a blob for each bucket of rows; and the rows of the documents."""
 
     def run(batches):
-        v = vocabulary.value
+        v, held = vocabulary.value, []
+
+        def merged():
+            rows, where = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return rows, np.bincount(where, np.concatenate([h[1] for h in held]), len(rows))
+
+        def blobs():
+            rows, sums = merged()
+            held.clear()
+            bucket_ = (mix(rows.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket_, kind="stable")
+            rows, sums = rows[order], sums[order]
+            cut = np.searchsorted(bucket_[order], np.arange(buckets + 1))
+            full = np.flatnonzero(np.diff(cut))
+            return _batch(len(full), part=full, pairs=[rows[cut[k] : cut[k + 1]].tobytes() + sums[cut[k] : cut[k + 1]].tobytes() for k in full])
+
         for got in _partitions(batches):
             if isinstance(got, pa.RecordBatch):
-                zeros = pa.array(np.zeros(len(got)))
-                yield pa.RecordBatch.from_arrays([got.column(3), zeros, pa.array(np.ones(len(got), np.int64)), got.column(2), *got.columns[4:7]], names=NAMES)
+                own = (mix(got.column(3).to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(own), *got.columns[1:]], names=list(_FIELDS))
                 continue
             at, both = _pair_counts(got, [1, 2])
             pair = got["pair"][at]
@@ -303,14 +327,40 @@ def _scored(packed: DataFrame, vocabulary, weights: np.ndarray) -> DataFrame:
             logs = np.log10(mixture(weights, both, before, after, v.total, len(v.word)))
             each = np.repeat(logs, np.diff(np.append(at, len(got)))) * got["n"]
             rows, where = np.unique(got["row"], return_inverse=True)
-            size = len(rows)
-            none = [pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(where, each, size)), pa.array(np.zeros(size, np.int64)), *none], names=NAMES)
+            held.append((rows, np.bincount(where, each, len(rows))))
+            if sum(len(h[0]) for h in held) > HELD:
+                held[:] = [merged()]
+                if len(held[0][0]) > HELD // 2:
+                    yield blobs()
+        if held:
+            yield blobs()
 
-    return packed.mapInArrow(run, "row long, logs double, rows long, doc_id long, n_tokens long, n_known long, base double")
+    return packed.mapInArrow(run, PACKED)
 
 
-NAMES = ["row", "logs", "rows", "doc_id", "n_tokens", "n_known", "base"]
+def _finished(found: DataFrame, buckets: int) -> DataFrame:
+    """The figures of each document row: a bucket's sums meet its rows. Equal rows share their sum."""
+
+    def run(batches):
+        docs, rows, sums = [], [], []
+        for batch in batches:
+            blob = batch.column(1)
+            for x in blob.drop_null():
+                both = np.frombuffer(x.as_buffer(), np.int64)
+                rows.append(both[: len(both) // 2])
+                sums.append(both[len(both) // 2 :].view(np.float64))
+            if blob.null_count:
+                docs.append(batch.filter(blob.is_null()))
+        if not docs:
+            return
+        table = pa.Table.from_batches(docs).combine_chunks().to_batches()[0]
+        names, where = np.unique(np.concatenate(rows), return_inverse=True)
+        total = np.bincount(where, np.concatenate(sums), len(names))
+        at = np.searchsorted(names, table.column(3).to_numpy())
+        score = total[at] / np.bincount(at, minlength=len(names))[at]
+        yield pa.RecordBatch.from_arrays([table.column(2), *table.columns[4:7], pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base", "score"])
+
+    return found.repartition(buckets, "part").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double")
 
 
 def mixture(weights: np.ndarray, both, before, after, total: int, words: int) -> np.ndarray:
@@ -327,18 +377,17 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     if known > limit:
         return score_by_joins(rows, words, known, total, main)
     vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_of(words, total))
-    parts = max(8, -(-int(total) // PAIRS))
-    moved = F.coalesce(F.col("part").cast("long"), F.col("row"))
-    trained = packed_pairs(rows.filter("role > 0"), vocabulary, parts).filter("part is not null").repartition(parts, moved)
+    parts, size = max(8, -(-int(total) // PAIRS)), docs.count()
+    tasks, buckets = max(8, -(-parts // GROUP)), max(8, size // BUCKET_ROWS)
+    moved = F.coalesce(F.pmod("part", F.lit(tasks)).cast("long"), F.col("row"))
+    trained = packed_pairs(rows.filter("role > 0"), vocabulary, parts).filter("part is not null").repartition(tasks, moved)
     weights = learn_weights(left_out_events(trained, vocabulary), main, known)
-    found = _scored(packed_pairs(rows, vocabulary, parts).repartition(parts, moved), vocabulary, weights)
-    return _result(found, total)
+    found = _scored(packed_pairs(rows, vocabulary, parts).repartition(tasks, moved), vocabulary, weights, buckets)
+    return _result(_finished(found, buckets), total)
 
 
 def _result(found: DataFrame, total: int) -> DataFrame:
-    sums = found.groupBy("row").agg(F.sum("logs").alias("logs"), F.sum("rows").alias("rows"), *[F.max(c).alias(c) for c in NAMES[3:]])
-    sums = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return sums.select("doc_id", (fold_of("doc_id", FOLDS) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("logs") / F.col("rows")).alias("score"))
+    return found.select("doc_id", (fold_of("doc_id", FOLDS) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def score_by_joins(rows: DataFrame, words: DataFrame, known: int, total: int, main: int) -> DataFrame:
@@ -378,5 +427,6 @@ def score_by_joins(rows: DataFrame, words: DataFrame, known: int, total: int, ma
     table = table.select("before", "after", F.log10(chance).alias("logs"), base.alias("base"), (F.col("n_after") > 0).alias("known"))
     scored = pairs.join(table, ["before", "after"]).groupBy("row").agg(F.sum(F.col("logs") * F.col("n")).alias("logs"), F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("base") * F.col("n")).alias("base"))
     times = rows.groupBy("row").agg(F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("doc_id"))
-    scored = scored.join(times, "row").select("row", "logs", "rows", "doc_id", *[(F.col(c) / F.col("rows")).cast(k).alias(c) for c, k in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"))])
-    return _result(scored, total)
+    scored = scored.join(times, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    each = [(F.col(c) / F.col("rows")).cast(k).alias(n) for c, k, n in (("n_tokens", "long", "n_tokens"), ("n_known", "long", "n_known"), ("base", "double", "base"), ("logs", "double", "score"))]
+    return _result(scored.select("doc_id", *each), total)
