@@ -2,14 +2,13 @@
 
 Every byte is removed that a ``length``-byte string covers which also starts anywhere else.
 
-1. Anchors. Of every window of ``WINDOW`` positions the ones with the smallest hash of ``GRAM`` bytes are
-   anchors, so that equal strings have equal anchors. A string of ``length`` bytes has one within its
-   first WINDOW positions, followed by ``length - WINDOW + 1`` of its bytes (the tail). An anchor whose tail occurs
+1. Anchors. The place with the smallest hash of ``GRAM`` bytes among the first ``WINDOW`` of a string of ``length`` bytes
+   is its anchor, so that equal strings have equal anchors. It is followed by ``length - WINDOW + 1`` of the string's bytes (the tail). An anchor whose tail occurs
    once can't lie at the start of a repeated string and is let go: this loses nothing.
-2. Contexts. Anchors with equal bytes all around (WINDOW - 1 before, ``length`` after) start equal strings
+2. Contexts. Anchors with equal bytes in all the strings that they answer for start equal strings
    throughout: these strings are repeated, and one context of each kind stands for all. Where a tail
-   has one kind of context only, nothing is left to find. Bands of ``BAND`` positions within the
-   other contexts are treated likewise: by the bytes that all their strings share, and by all their bytes.
+   has one kind of context only, nothing is left to find. Bands of positions within
+   the other contexts (``BANDS``) are treated likewise: by the bytes that all their strings share, and by all their bytes.
 3. The suffix sort runs on the positions that are left. It follows the
    difference-cover algorithm on blocks of ``length / 8`` bytes: positions whose block number isn't divisible by
    three are the sample; their triples of blocks are sorted and named by rank; the names make the string
@@ -44,8 +43,8 @@ LENGTH = 400
 WINDOW = 128
 GRAM = 16
 BLOCKS = 8
-#: Positions that are looked at together before single ones are.
-BAND = 16
+#: Start positions that are looked at together before single ones are, from coarse to fine; each divides the one before.
+BANDS = (16, 4)
 #: Up to so many rows, a table of spans is sent to every task instead of joined to.
 BROADCAST_ROWS = 500_000
 BROADCAST_IDS = 2_000_000
@@ -61,43 +60,63 @@ def sliding(values: np.ndarray, width: int, f) -> np.ndarray:
     return out
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, sums: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """Places whose hash is the least of some window within their text."""
+def anchors(raw: np.ndarray, offsets: np.ndarray, sums: np.ndarray, length: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first, last): for each anchor the range of start positions that it answers for.
+
+    A start position of ``length`` bytes answers to the first place with the least hash among the WINDOW places from it on.
+    """
     n = len(raw) - gram + 1
     if n <= 0:
-        return np.zeros(0, int)
+        return (np.zeros(0, int),) * 3
     at = np.arange(n)
-    h = span_names(sums, at, at + gram) >> np.uint64(1)
+    h = span_names(sums, at, at + gram)
     least = sliding(h, window, np.minimum)
     end = np.repeat(offsets[1:], np.diff(offsets))[:n]
-    least[at + window + gram - 1 > end] = 0
-    # the largest minimum among the windows that hold a place
-    most = sliding(least[::-1], window, np.maximum)[::-1]
-    return np.flatnonzero(h == most)
+    p = np.flatnonzero(at + length <= end)
+    # places that are the least of some window; then for each start the first of them that is the least of its own
+    mark = np.zeros(n, np.uint64)
+    mark[p] = least[p]
+    places = np.flatnonzero(h == sliding(mark[::-1], window, np.maximum)[::-1])
+    k = np.searchsorted(places, p)
+    open_ = np.flatnonzero(h[places[k]] != least[p]) if len(p) else p
+    while len(open_):
+        k[open_] += 1
+        open_ = open_[h[places[k[open_]]] != least[p[open_]]]
+    cut = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(p) else np.zeros(0, int)
+    stop = np.append(cut[1:], len(p))[: len(cut)] - 1
+    return places[k[cut]], p[cut], p[stop]
 
 
 def contexts(docs: DataFrame, text: str, length: int, window: int, gram: int) -> DataFrame:
-    """(tail, context, id, at) of the anchors of texts of ``length`` bytes or more; id names the text."""
+    """(tail, context, id, at, first, last) of the anchors of texts of ``length`` bytes or more; id names the text."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(body).alias("id"), body.alias("text")).filter(F.octet_length("text") >= length)
 
     def make():
         def fn(raw, offsets, part):
             sums = prefix_sums(raw)
-            a = anchors(raw, offsets, sums, window, gram)
+            a, first, last = anchors(raw, offsets, sums, length, window, gram)
             doc = np.searchsorted(offsets, a, "right") - 1
-            start, end = offsets[doc], offsets[doc + 1]
-            keep = a + length - window + 1 <= end
-            a, doc, start, end = a[keep], doc[keep], start[keep], end[keep]
-            left, right = np.maximum(start, a - window + 1), np.minimum(end, a + length)
             tail = span_names(sums, a, a + length - window + 1)
-            context = mix(span_names(sums, left, right) + (a - left).astype(np.uint64))
-            ids = part.column(0).take(pa.array(doc))
-            return pa.RecordBatch.from_arrays([pa.array(tail.view(np.int64)), pa.array(context.view(np.int64)), ids, pa.array((a - start).astype(np.int32))], names=["tail", "context", "id", "at"])
+            return _batch(part.column(0), doc, offsets[doc], tail, _whole(sums, a, first, last, length), a, first, last)
 
         return fn
 
-    return expand_text(rows, "text", ["id"], make, _kind("tail long, context long, id long, at int"))
+    return expand_text(rows, "text", ["id"], make, _kind(ROW))
+
+
+ROW = "tail long, context long, id long, at int, first int, last int"
+
+
+def _whole(sums: np.ndarray, a: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    """Names of all that the strings starting from first to last hold, and of where they start."""
+    place = (a - first).astype(np.uint64) * np.uint64(1 << 20) + (a - last).astype(np.uint64)
+    return mix(span_names(sums, first, last + length) + mix(place))
+
+
+def _batch(ids: pa.Array, doc: np.ndarray, start: np.ndarray, tail, context, a, first, last) -> pa.RecordBatch:
+    places = [pa.array((x - start).astype(np.int32)) for x in (a, first, last)]
+    return pa.RecordBatch.from_arrays([pa.array(tail.view(np.int64)), pa.array(context.view(np.int64)), ids.take(pa.array(doc)), *places], names=["tail", "context", "id", "at", "first", "last"])
 
 
 def _kind(text: str) -> T.StructType:
@@ -105,64 +124,67 @@ def _kind(text: str) -> T.StructType:
 
 
 def _texts(docs: DataFrame, text: str, places: DataFrame) -> DataFrame:
-    """(id, places, text): the texts for which there are places. Other texts aren't shuffled while the ids are few enough
-    to be sent to every task (counted)."""
-    grouped = durable(places.groupBy("id").agg(F.collect_set("place").alias("places")), "places")  # a text's own places
+    """(id, places, text): each text once for which there are places. Other texts aren't shuffled while the ids are few
+    enough to be sent to every task (counted)."""
+    grouped = durable(places.groupBy("id").agg(F.collect_set(F.struct("at", "first", "last")).alias("places")), "places")  # a text's own places
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(body).alias("id"), body.alias("text"))
     if grouped.count() <= BROADCAST_IDS:
         rows = rows.join(F.broadcast(grouped.select("id")), "id", "left_semi")
-    return rows.join(grouped, "id")
+    return rows.groupBy("id").agg(F.first("text").alias("text")).join(grouped, "id")
+
+
+def _places(part: pa.RecordBatch, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text number, at, first, last) of all places of a batch, as places in the joined texts."""
+    lists = part.column(1)
+    doc = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
+    flat = lists.flatten()
+    return doc, *[offsets[doc] + flat.field(k).to_numpy() for k in range(3)]
 
 
-def bands(docs: DataFrame, text: str, reps: DataFrame, length: int, window: int, band: int) -> DataFrame:
-    """(core, full, id, at, width) of the bands of start positions before the anchors ``reps`` (id, at)."""
-    rows = _texts(docs, text, reps.select("id", F.col("at").alias("place")))
+def bands(docs: DataFrame, text: str, reps: DataFrame, length: int, width: int, band: int) -> DataFrame:
+    """The bands of ``band`` start positions below the places ``reps`` that answer for ``width``: as ``contexts``, with the bytes
+    that all strings of a full band share as the tail."""
+    rows = _texts(docs, text, reps)
 
     def make():
         def fn(raw, offsets, part):
             sums = prefix_sums(raw)
-            lists = part.column(1)
-            many = np.diff(lists.offsets.to_numpy())
-            doc = np.repeat(np.arange(len(part)), many)
-            start, end = offsets[doc], offsets[doc + 1]
-            a = start + lists.flatten().to_numpy()
+            doc, a, first, last = _places(part, offsets)
             out = []
-            for j in range(0, window, band):
-                first, last = np.maximum(start, a - min(j + band, window) + 1), np.minimum(a - j, end - length)
-                some = first <= last
-                f, l, x, s = first[some], last[some], a[some], start[some]
-                low, high = x - min(j + band, window) + 1, x - j
-                core = mix(span_names(sums, high, low + length) + np.uint64(j))
-                full = mix(span_names(sums, f, l + length) + (l - f).astype(np.uint64) * np.uint64(window) + (x - f).astype(np.uint64))
-                out.append((core.view(np.int64), full.view(np.int64), doc[some], f - s, l - f + 1))
-            core, full, of, at, width = (np.concatenate(c) for c in zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(core), pa.array(full), part.column(0).take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(width.astype(np.int32))], names=["core", "full", "id", "at", "width"])
+            for j in range(0, width, band):
+                high = a - j
+                f, l = np.maximum(first, high - band + 1), np.minimum(last, high)
+                some = f <= l
+                h = high[some]
+                core = mix(span_names(sums, h, h - band + 1 + length) + np.uint64(j))
+                out.append((core, _whole(sums, h, f[some], l[some], length), h, f[some], l[some], doc[some]))
+            core, full, high, f, l, of = (np.concatenate(c) for c in zip(*out, strict=True))
+            return _batch(part.column(0), of, offsets[of], core, full, high, f, l)
 
         return fn
 
-    found = expand_text(rows, "text", ["id", "places"], make, _kind("core long, full long, id long, at int, width int"))
-    return found.groupBy("core", "full", "id", "at", "width").agg(F.count(F.lit(1)).alias("rows")).drop("rows")
+    return expand_text(rows, "text", ["id", "places"], make, _kind(ROW))
 
 
-def kinds(rows: DataFrame, group: str, whole: str, rest: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Of rows whose ``group`` occurs twice or more: those whose ``whole`` does, and one of each kind of ``whole``
-    in groups of several kinds, with the number ``n`` of its rows.
+def kinds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows whose tail occurs twice or more: the ranges (id, first, last) of those whose context does, and one place
+    (id, at, first, last) of each kind of context under tails with several.
 
     Both sides of the joins are tables, so that adaptive execution can split a group that holds many rows.
     """
-    often = durable(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(group), "groups")
-    rows = durable(rows.join(often, group, "left_semi"), "often")
-    each = durable(rows.groupBy(whole).agg(F.count(F.lit(1)).alias("n"), F.min(group).alias(group), F.min(F.struct(*rest)).alias("rep")), "kinds")
-    equal = rows.join(each.filter("n > 1").select(whole), whole, "left_semi").select(*rest)
-    several = durable(each.groupBy(group).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(group), "several")
-    return equal, each.join(several, group, "left_semi").select("rep.*", "n")
+    often = durable(rows.groupBy("tail").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tail"), "groups")
+    rows = durable(rows.join(often, "tail", "left_semi"), "often")
+    each = durable(rows.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.min("tail").alias("tail"), F.min(F.struct("id", "at", "first", "last")).alias("rep")), "kinds")
+    equal = rows.join(each.filter("n > 1").select("context"), "context", "left_semi").select("id", "first", "last")
+    several = durable(each.groupBy("tail").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("tail"), "several")
+    return equal, durable(each.join(several, "tail", "left_semi").select("rep.*"), "reps")
 
 
 def sample_triples(docs: DataFrame, text: str, starts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """The triples of blocks of the sample, (c0, c1, c2, id, q), and what is to be compared, (kind, x, y, id, p, q, r).
 
-    ``starts`` (id, place = [first position, width]); kind 0 compares the sample (two names, then blocks x and y),
+    ``starts`` (id, at, first, last); kind 0 compares the sample (two names, then blocks x and y),
     kind 1 classes 0 and 1 (block x, two names, block y), kind 2 classes 0 and 2 (blocks x and y, two names).
     """
     block = length // BLOCKS
@@ -171,14 +193,11 @@ def sample_triples(docs: DataFrame, text: str, starts: DataFrame, length: int) -
     def make():
         def fn(raw, offsets, part):
             sums = prefix_sums(raw)
-            lists = part.column(1)
-            many = np.diff(lists.offsets.to_numpy())
-            pairs = lists.flatten()
-            first, width = pairs.field(0).to_numpy().astype(np.int64), pairs.field(1).to_numpy().astype(np.int64)
-            doc = np.repeat(np.repeat(np.arange(len(part)), many), width)
-            p = np.repeat(first, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-            both = np.unique(np.stack([doc, p]), axis=1)
-            doc, p = both
+            doc, _, first, last = _places(part, offsets)
+            width = last - first + 1
+            doc, first = np.repeat(doc, width), np.repeat(first - offsets[doc], width)
+            p = first + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+            doc, p = np.unique(np.stack([doc, p]), axis=1)
             base = offsets[doc]
             name = lambda of, at: span_names(sums, of + at, of + at + block).view(np.int64)
             cls = (p // block) % 3
@@ -200,9 +219,7 @@ def sample_triples(docs: DataFrame, text: str, starts: DataFrame, length: int) -
         return fn
 
     schema = _kind("kind int, x long, y long, z long, id long, p int, q int, r int")
-    made = expand_text(rows, "text", ["id", "places"], make, schema)
-    # copies of a text give equal rows
-    made = durable(made.dropDuplicates(["kind", "id", "p"]), "triples")
+    made = durable(expand_text(rows, "text", ["id", "places"], make, schema), "triples")
     return made.filter("kind = -1").select(F.col("x").alias("c0"), F.col("y").alias("c1"), F.col("z").alias("c2"), "id", "q"), made.filter("kind >= 0").drop("z")
 
 
@@ -261,15 +278,14 @@ def repeated_starts(docs: DataFrame, text: str, starts: DataFrame, length: int)
 
 def repeated(docs: DataFrame, text: str = "text", length: int = LENGTH, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(id, first, last): ranges of the positions of texts, named by xxhash64, at which repeated strings start."""
-    found = durable(contexts(docs, text, length, window, gram), "anchors")
-    equal, reps = kinds(found, "tail", "context", ["id", "at"])
-    whole = equal.select("id", (F.col("at") - window + 1).alias("first"), F.col("at").alias("last"))
-    banded = durable(bands(docs, text, durable(reps, "reps"), length, window, BAND), "bands")
-    equal, left = kinds(banded, "core", "full", ["id", "at", "width"])
-    some = equal.select("id", F.col("at").alias("first"), (F.col("at") + F.col("width") - 1).alias("last"))
-    starts = durable(left.select("id", F.struct("at", "width").alias("place")), "starts")
-    ones = repeated_starts(docs, text, starts, length).select("id", F.col("at").alias("first"), F.col("at").alias("last"))
-    return whole.union(some).union(ones)
+    rows, ranges = durable(contexts(docs, text, length, window, gram), "anchors"), None
+    for width, band in zip((window, *BANDS), (*BANDS, 1), strict=True):
+        equal, reps = kinds(rows)
+        ranges = equal if ranges is None else ranges.union(equal)
+        if band > 1:
+            rows = durable(bands(docs, text, reps, length, width, band), "bands")
+    ones = repeated_starts(docs, text, reps, length).select("id", F.col("at").alias("first"), F.col("at").alias("last"))
+    return ranges.union(ones)
 
 
 def _merged(spans: DataFrame) -> DataFrame:
