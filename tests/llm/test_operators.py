@@ -381,3 +381,24 @@ def test_jaccard_on_hard_rows(docs, empty):
     assert jaccard.one_of_each(empty).count() == 0
     texts = [r["text"] for r in jaccard.one_of_each(docs).collect()]
     assert sum(t == LONG for t in texts) == 1
+
+
+def test_jaccard_with_null_and_shared_ids(spark):
+    """Classes are told apart by their texts: several null ids, near copies without ids, one id with two texts."""
+    a, b, c, d, e = (words(60, 100 + s) for s in range(5))
+    near = lambda t: t.rsplit(" ", 1)[0]
+    rows = [(None, a), (None, a), (None, near(a)), (None, b), (None, None), (5, c), (5, d), (5, d), (6, near(c)), (7, near(d)), (None, e), (8, near(e)), (5, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [set(shingles(t)[0]) for _, t in rows]
+    link = lambda i, j: bool(sets[i]) and len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])
+    groups = {frozenset(j for j in range(len(rows)) if j == i or link(i, j)) for i in range(len(rows))}
+    got = jaccard.near_duplicates(docs).collect()
+    expected = [(i, sum(link(k, j) for j in range(len(rows)) if j != k), len({rows[j][1] for j in range(len(rows)) if link(k, j)} - {t})) for k, (i, t) in enumerate(rows)]
+    assert collections.Counter((r["doc_id"], r["links"], r["class_links"]) for r in got) == collections.Counter(expected)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect()]
+    assert len(kept) == len(groups) == 6
+    for group in groups:
+        own = [rows[i] for i in group]
+        stays = [k for k in kept if k in own]
+        assert len(stays) == 1
+        assert stays[0][0] == min((i for i, _ in own if i is not None), default=None)

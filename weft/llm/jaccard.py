@@ -11,7 +11,8 @@ Shingles are runs of five words (lower-case letters, marks and digits); a text o
 has the one shingle of all its words. Defined results: a null or empty text, or one without words, is
 linked to texts equal to it only; repeated rows are copies of each other; ids may repeat and may be
 null; other columns are ignored by ``near_duplicates`` and passed through by ``one_of_each``; an empty
-table gives an empty table.
+table gives an empty table. ``class_id`` and ``copy_id`` are ids, so that a class whose ids are all null
+shows null; rows are told apart by their id and a 64-bit hash of their text.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def _sets(part: pa.RecordBatch, words: int):
 
 
 def signatures(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, id, size, bands, signature) of every document."""
+    """(doc_id, text_hash, id, size, bands, signature) of every document."""
     rng = np.random.default_rng(20)
     times = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     plus = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
@@ -90,7 +91,12 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, bands: int, row
         return fn
 
     fields = [T.StructField("id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())]
-    return map_text(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", ["doc_id"], make, fields)
+    source = docs.select(F.col(f"`{key}`").alias("doc_id"), _text_hash(text).alias("text_hash"), F.col(f"`{text}`").alias("text"))
+    return map_text(source, "text", ["doc_id", "text_hash"], make, fields)
+
+
+def _text_hash(text: str):
+    return F.xxhash64(F.col(f"`{text}`").cast("string"))
 
 
 def _fixed(rows: np.ndarray) -> pa.Array:
@@ -224,18 +230,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     all that are connected by links (similarity of the threshold or more); links counts the other
     documents linked to this one, class_links the different shingle sets among them.
     """
+    signed, known = _classes(docs, key, text, words, threshold, recall)
+    smallest = known.groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    known = known.join(smallest, "root").select("id", "class_id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("class_links", F.lit(0)).alias("class_links"))
+    return signed.select("doc_id", "id").join(known, "id").select("doc_id", "class_id", "copy_id", "links", "class_links")
+
+
+def _classes(docs: DataFrame, key: str, text: str, words: int, threshold: Fraction, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and (id, copy_id, copies, least, root, links, class_links) of each shingle set.
+
+    least tells one row of the set: its id (the smallest; null where all are) and text hash.
+    """
     bands, rows = choose_bands(float(threshold), recall)
     signed = durable(signatures(docs, key, text, words, bands, rows), "signed")
-    classes = signed.groupBy("id").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    classes = signed.groupBy("id").agg(F.min("doc_id").alias("copy_id"), least.alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     classes = durable(classes, "classes")
     linked = _links(docs, classes, key, text, words, threshold, bands * rows)
     roots = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"), F.sum("class_links").alias("class_links"))
-    known = classes.select("id", "copy_id", "copies").join(roots, F.col("id") == F.col("node"), "left").drop("node").join(counts, "id", "left")
-    known = durable(known.withColumn("root", F.coalesce("root", "id")), "known")
-    smallest = known.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    known = known.join(smallest, "root").select("id", "class_id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("class_links", F.lit(0)).alias("class_links"))
-    return signed.select("doc_id", "id").join(known, "id").select("doc_id", "class_id", "copy_id", "links", "class_links")
+    known = classes.select("id", "copy_id", "copies", "least").join(roots, F.col("id") == F.col("node"), "left").drop("node").join(counts, "id", "left")
+    return signed, durable(known.withColumn("root", F.coalesce("root", "id")), "known")
 
 
 def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int, threshold: Fraction, width: int) -> DataFrame:
@@ -248,11 +263,12 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int,
     edges = in_tiles(met, "bucket").mapInArrow(_alike(cutoff, width), "a long, b long")
     part = durable(components(edges), "parts")
     sizes = part.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    part = durable(part.join(sizes, "root").join(classes.select("id", "copy_id", "copies"), F.col("node") == F.col("id")).select("root", "n", "id", "copies", "copy_id"), "members")
-    ids = part.select(F.col("copy_id").alias("__id")).distinct()
+    part = durable(part.join(sizes, "root").join(classes.select("id", "least", "copies"), F.col("node") == F.col("id")).select("root", "n", "id", "copies", "least"), "members")
+    ids = part.select(F.col("least.doc_id").alias("__of"), F.col("least.text_hash").alias("__hash_of")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("text")).join(ids, "__id", "left_semi")
+    texts = docs.select(F.col(f"`{key}`").alias("__id"), _text_hash(text).alias("__hash"), F.col(f"`{text}`").alias("text"))
+    texts = texts.join(ids, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__hash_of")), "left_semi")
 
     def make():
         def fn(raw, offsets, piece):
@@ -263,13 +279,16 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int,
         return fn
 
     sets = map_text(texts, "text", [], make, [T.StructField("id", T.LongType()), T.StructField("shingles", T.BinaryType())])
-    cells = part.select("root", "n", "id", "copies").join(sets, "id").dropDuplicates(["id"]).select("root", "n", "id", "copies", "shingles")
+    # rows repeated with id and text give one set; they combine before the shuffle
+    cells = part.select("root", "n", "id", "copies").join(sets.dropDuplicates(["id"]), "id").select("root", "n", "id", "copies", "shingles")
     return durable(in_tiles(cells, "root").mapInArrow(_verify(threshold), "id long, links long, class_links long, root long"), "links")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents without near duplicates: of each class, the row with the smallest id stays (one, if ids repeat)."""
-    classes = near_duplicates(docs, key, text, **how).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: Fraction = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The documents without near duplicates: of each class one row stays, of those with its smallest id."""
+    known = _classes(docs, key, text, words, threshold, recall)[1]
+    kept = known.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__kept"), F.col("least.text_hash").alias("__kept_hash"))
     names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
-    kept = docs.withColumnsRenamed(names).join(classes, F.col(names[key]).eqNullSafe(F.col("__kept")), "left_semi")
-    return kept.dropDuplicates([names[key]]).select(*[F.col(v).alias(c) for c, v in names.items()])
+    rows = docs.withColumnsRenamed(names).withColumn("__hash", _text_hash(names[text]))
+    rows = rows.join(kept, F.col(names[key]).eqNullSafe(F.col("__kept")) & (F.col("__hash") == F.col("__kept_hash")), "left_semi")
+    return rows.dropDuplicates([names[key], "__hash"]).select(*[F.col(v).alias(c) for c, v in names.items()])
