@@ -208,3 +208,27 @@ def test_unique_inverse(spark):
     values_, rows = A.unique_inverse(df, "v")
     assert {r["value"]: r["number"] for r in values_.collect()} == {"a": 0, "b": 1, "c": 2}
     assert sorted((r["v"], r["number"]) for r in rows.collect()) == [("a", 0), ("b", 1), ("b", 1), ("c", 2)]
+
+
+def test_diffusion_whole_against_dense(spark):
+    """All pairs of nodes of the whole ring, by brute force."""
+    from conftest import SMALL
+
+    from weft.plans import catalog
+    from weft.plans.fixtures import ring
+
+    g = ring(spark, SMALL, 64)
+    x, edges = {r["node"]: r["x"] for r in g.nodes.collect()}, g.edges.collect()
+    order = sorted(x)
+    at = {node: i for i, node in enumerate(order)}
+    a = np.zeros((len(order), len(order)))
+    for r in edges:
+        a[at[r["src"]], at[r["dst"]]] = r["w"]
+    p = a.sum(1) ** -0.5
+    a = p[:, None] * a * p[None]
+    s = np.array([sum(x[node]) for node in order])
+    expected = np.stack([np.tanh(np.polyval(t, a) @ s) for t in params.dyadic(3, 3, 1).T], 1)
+    got = np.full(expected.shape, np.nan)
+    for r in catalog.QUERIES["diffusion_whole"](spark, SMALL).collect():
+        got[at[r["node"]], r["dim"]] = r["q"] / 1e6
+    assert np.allclose(got, expected, atol=1e-6)

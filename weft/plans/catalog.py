@@ -557,6 +557,27 @@ def diffusion(spark, sf_dir):
     return long(layer(g.with_edges(layer.preprocess(g.edges, g.nodes))))
 
 
+def _diffusion_whole_sql(s):
+    """Absent edges count with the last coefficient: it times the sum over all nodes, and edges add what they differ by."""
+    s.add("nodes", "SELECT DISTINCT node FROM x")
+    s.add("s", "SELECT node, sum(v) AS s FROM x GROUP BY node")
+    s.degrees()
+    s.normal("a", "e", "deg", True)
+    poly = f"(({w('c', 0, 1)} * w + {w('c', 1, 1)}) * w)"
+    s.add("m", f"SELECT a.src AS node, c AS d, sum({poly} * s.s) AS v FROM a JOIN s ON s.node = a.dst, range(3) r(c) GROUP BY a.src, c")
+    s.spread("met", "m", 3)
+    s.add("h", f"SELECT node, d, tanh(v + {w('d', 2, 1)} * (SELECT sum(s) FROM s)) AS v FROM met")
+    return s.long("h")
+
+
+@query("diffusion_whole", _on_ring(_diffusion_whole_sql, 64))
+def diffusion_whole(spark, sf_dir):
+    """The layer on all nodes, edges and places."""
+    g = ring(spark, sf_dir, 64)
+    layer = C.DiffusionConv(3, K=2, thetas=dyadic(3, 3, 1).T)
+    return long(layer(g.with_edges(layer.preprocess(g.edges, g.nodes))))
+
+
 def _gru_sql(s, name, m, h):
     c = 8
     s.dense(f"{name}a", m, 3 * c, 5, 6)
