@@ -232,3 +232,23 @@ def test_diffusion_whole_against_dense(spark):
     for r in catalog.QUERIES["diffusion_whole"](spark, SMALL).collect():
         got[at[r["node"]], r["dim"]] = r["q"] / 1e6
     assert np.allclose(got, expected, atol=1e-6)
+
+
+def test_attention_of_rows_without_edges(graph):
+    """The row without edges stays: the mean of all nodes, or NaN with saliency."""
+    for saliency in (False, True):
+        got = values(C.GraphAttention(DIM, activation=None, use_bias=False, saliency_map_support=saliency, weights={"kernel0": np.eye(DIM), "self0": np.zeros((DIM, 1)), "neighbour0": np.zeros((DIM, 1))})(graph))
+        assert got.shape == (N, DIM)
+        assert not np.isnan(got[:4]).any()
+        assert np.isnan(got[4]).all() if saliency else np.allclose(got[4], X.mean(0))
+
+
+@pytest.mark.parametrize("name", ["gat_1head_whole", "gat_concat_whole", "gat_average_whole", "gat_saliency_whole"])
+def test_attention_runs_over_all_edges(spark, name):
+    from conftest import SMALL
+
+    from weft.plans import catalog
+
+    rows = catalog.QUERIES[name](spark, SMALL)
+    assert rows.select("node").distinct().count() == 500
+    assert "src % 5" not in catalog.oracle_sql()[name]

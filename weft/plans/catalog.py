@@ -650,10 +650,10 @@ def gin(spark, sf_dir):
     return long(C.GINConv(4, epsilon=0.25, mlp_hidden=[6], activation="tanh", weights=weights)(ring(spark, sf_dir)))
 
 
-def _gat_sql(heads: int, average: bool = False, saliency: bool = False):
+def _gat_sql(heads: int, average: bool = False, saliency: bool = False, whole: bool = False):
     def end(s):
         s.add("nodes", "SELECT DISTINCT node FROM x")
-        s.add("e3", "SELECT * FROM e WHERE src % 5 <> 0")
+        s.add("e3", f"SELECT * FROM e{'' if whole else ' WHERE src % 5 <> 0'}")
         if saliency:
             s.add("kept", "SELECT src, dst, w, 1.0::DOUBLE AS top FROM e3")
         else:
@@ -672,18 +672,20 @@ def _gat_sql(heads: int, average: bool = False, saliency: bool = False):
             s.add(f"o{k}", f"SELECT n.node, m.d, coalesce(h.v, m.v) + {w('m.d', 0, 31 + k)} AS v FROM nodes n CROSS JOIN m{k} m LEFT JOIN h{k}_m h ON h.node = n.node AND h.d = m.d")
             outs.append(f"SELECT node, d + {0 if average else 4 * k} AS d, v FROM o{k}")
         s.add("u", " UNION ALL ".join(outs))
-        s.add("h", f"SELECT node, d, tanh(sum(v) / {heads if average else 1}) AS v FROM u {'WHERE node % 5 <> 0 ' if saliency else ''}GROUP BY node, d")
+        s.add("h", f"SELECT node, d, tanh(sum(v) / {heads if average else 1}) AS v FROM u {'WHERE node % 5 <> 0 ' if saliency and not whole else ''}GROUP BY node, d")
         return s.long("h")
 
-    return _on_ring(end)
+    return _on_ring(end, 64 if whole else 8)
 
 
-def _gat(spark, sf_dir, heads, reduction="concat", saliency=False):
-    g = ring(spark, sf_dir)
+def _gat(spark, sf_dir, heads, reduction="concat", saliency=False, whole=False):
+    g = ring(spark, sf_dir, 64 if whole else 8)
     weights = {}
     for k in range(heads):
-        weights |= {f"kernel{k}": dyadic(8, 4, 1 + k), f"self{k}": dyadic(4, 1, 11 + k), f"neighbour{k}": dyadic(4, 1, 21 + k), f"bias{k}": dyadic_vector(4, 31 + k)}
+        weights |= {f"kernel{k}": dyadic(g.dim, 4, 1 + k), f"self{k}": dyadic(4, 1, 11 + k), f"neighbour{k}": dyadic(4, 1, 21 + k), f"bias{k}": dyadic_vector(4, 31 + k)}
     layer = C.GraphAttention(4, heads, reduction, "tanh", saliency_map_support=saliency, weights=weights)
+    if whole:
+        return long(layer(g))
     out = layer(g.with_edges(g.edges.filter("src % 5 <> 0")))
     return long(out.filter("node % 5 <> 0") if saliency else out)
 
@@ -708,6 +710,26 @@ def gat_saliency(spark, sf_dir):
     return _gat(spark, sf_dir, 1, saliency=True)
 
 
+@query("gat_1head_whole", _gat_sql(1, whole=True))
+def gat_1head_whole(spark, sf_dir):
+    return _gat(spark, sf_dir, 1, whole=True)
+
+
+@query("gat_concat_whole", _gat_sql(2, whole=True))
+def gat_concat_whole(spark, sf_dir):
+    return _gat(spark, sf_dir, 2, whole=True)
+
+
+@query("gat_average_whole", _gat_sql(2, average=True, whole=True))
+def gat_average_whole(spark, sf_dir):
+    return _gat(spark, sf_dir, 2, "average", whole=True)
+
+
+@query("gat_saliency_whole", _gat_sql(1, saliency=True, whole=True))
+def gat_saliency_whole(spark, sf_dir):
+    return _gat(spark, sf_dir, 1, saliency=True, whole=True)
+
+
 def _ppnp_sql(s):
     s.add("nodes", "SELECT DISTINCT node FROM x")
     _gcn_filter(s, "e")
