@@ -23,3 +23,11 @@ def test_entry(spark):
     out = __spark_entry__.entry(spark)
     assert out.columns == ["node", "dim", "q"]
     assert out.limit(1).count() == 1
+
+
+def test_whole_embedding(spark):
+    """Each query on the first places of the embeddings has one on all of them."""
+    part = {n for n, q in SQL.items() if "x_all WHERE d < 8" in q or "y_all WHERE d < 8" in q} - {"matmul"}  # matmul has no features
+    assert part and {f"{n}_whole" for n in part} <= set(catalog.QUERIES)
+    rows = catalog.QUERIES["mp_sum_whole"](spark, SMALL)
+    assert sorted(r["dim"] for r in rows.select("dim").distinct().collect()) == list(range(64))

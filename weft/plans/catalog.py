@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from weft.functions import vectors as V
@@ -21,6 +23,8 @@ from .oracle import RELU, SIGMOID, TANH, Sql, w
 
 QUERIES: dict = {}
 _SQL: dict = {}
+#: Places of an embedding.
+WHOLE = 64
 
 
 def query(name: str, sql):
@@ -34,6 +38,17 @@ def query(name: str, sql):
     return put
 
 
+def on_all_places(name: str, sql):
+    """Register the query below a second time, over the whole embedding instead of its first places."""
+
+    def put(f):
+        QUERIES[f"{name}_whole"] = partial(f, dim=WHOLE)
+        _SQL[f"{name}_whole"] = sql
+        return f
+
+    return put
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: f() for name, f in _SQL.items()}
 
@@ -199,10 +214,14 @@ def adj_matmul(spark, sf_dir):
     return long(A.adj_matmul(g.edges, g.nodes, "x", 64))
 
 
-@query("adj_matmul_t", _on_ring(lambda s: s.long(s.adjacency("h", "x", 8, transpose=True))))
-def adj_matmul_t(spark, sf_dir):
-    g = ring(spark, sf_dir)
-    return long(A.adj_matmul(g.edges, g.nodes, "x", 8, transpose=True))
+_adj_matmul_t_places = lambda s: s.long(s.adjacency("h", "x", s.dim, transpose=True))
+
+
+@on_all_places("adj_matmul_t", _on_ring(_adj_matmul_t_places, WHOLE))
+@query("adj_matmul_t", _on_ring(_adj_matmul_t_places))
+def adj_matmul_t(spark, sf_dir, dim=8):
+    g = ring(spark, sf_dir, dim)
+    return long(A.adj_matmul(g.edges, g.nodes, "x", dim, transpose=True))
 
 
 def _batches(nodes):
@@ -213,15 +232,16 @@ def _batches(nodes):
 
 def _mixed_sql(s):
     s.each("x1", "x", "v * 2 - 1")
-    a, b = s.adjacency("h0", "x", 8), s.adjacency("h1", "x1", 8)
+    a, b = s.adjacency("h0", "x", s.dim), s.adjacency("h1", "x1", s.dim)
     s.add("h", f"SELECT 0::BIGINT AS batch, * FROM {a} UNION ALL SELECT 1::BIGINT, * FROM {b}")
     return s.long("h", "batch, node")
 
 
+@on_all_places("modal_dot_mixed", _on_ring(_mixed_sql, WHOLE))
 @query("modal_dot_mixed", _on_ring(_mixed_sql))
-def modal_dot_mixed(spark, sf_dir):
-    g = ring(spark, sf_dir)
-    return long(A.adj_matmul(g.edges, _batches(g.nodes), "x", 8), ["batch", "node"])
+def modal_dot_mixed(spark, sf_dir, dim=8):
+    g = ring(spark, sf_dir, dim)
+    return long(A.adj_matmul(g.edges, _batches(g.nodes), "x", dim), ["batch", "node"])
 
 
 def _batched_edges(edges):
@@ -232,15 +252,16 @@ def _batched_edges(edges):
 def _batch_sql(s):
     s.each("x1", "x", "v * 2 - 1")
     s.add("e1", "SELECT dst AS src, src AS dst, w FROM e")
-    a, b = s.adjacency("h0", "x", 8), s.adjacency("h1", "x1", 8, "e1")
+    a, b = s.adjacency("h0", "x", s.dim), s.adjacency("h1", "x1", s.dim, "e1")
     s.add("h", f"SELECT 0::BIGINT AS batch, * FROM {a} UNION ALL SELECT 1::BIGINT, * FROM {b}")
     return s.long("h", "batch, node")
 
 
+@on_all_places("modal_dot_batch", _on_ring(_batch_sql, WHOLE))
 @query("modal_dot_batch", _on_ring(_batch_sql))
-def modal_dot_batch(spark, sf_dir):
-    g = ring(spark, sf_dir)
-    return long(A.adj_matmul(_batched_edges(g.edges), _batches(g.nodes), "x", 8), ["batch", "node"])
+def modal_dot_batch(spark, sf_dir, dim=8):
+    g = ring(spark, sf_dir, dim)
+    return long(A.adj_matmul(_batched_edges(g.edges), _batches(g.nodes), "x", dim), ["batch", "node"])
 
 
 @query("matmul", _on_ring(lambda s: (s.add("r", "SELECT a.src, b.dst, sum(a.w * b.w) AS w FROM e a JOIN e b ON a.dst = b.src GROUP BY a.src, b.dst"), s.edges("r"))[1]))
@@ -249,9 +270,13 @@ def matmul(spark, sf_dir):
     return _edges(A.matmul(e, e))
 
 
-@query("polyval", _on_ring(lambda s: s.long(s.each("h", "x", "((0.5::DOUBLE * v - 1.25) * v + 2.0) * v + 0.125"))))
-def polyval(spark, sf_dir):
-    x = vectors(spark, sf_dir)
+_polyval_places = lambda s: s.long(s.each("h", "x", "((0.5::DOUBLE * v - 1.25) * v + 2.0) * v + 0.125"))
+
+
+@on_all_places("polyval", _on_ring(_polyval_places, WHOLE))
+@query("polyval", _on_ring(_polyval_places))
+def polyval(spark, sf_dir, dim=8):
+    x = vectors(spark, sf_dir, dim)
     return long(x.select("node", F.transform("x", lambda v: V.polyval([0.5, -1.25, 2.0, 0.125], v)).alias("h")))
 
 
@@ -298,14 +323,16 @@ def aggr_sum(spark, sf_dir):
     return long(G.SumAggregation()(_segments(spark, sf_dir, 64), 64), ["index"])
 
 
+@on_all_places("aggr_max", _on_segments(_reduced("max", "-1.0::DOUBLE"), WHOLE))
 @query("aggr_max", _on_segments(_reduced("max", "-1.0::DOUBLE")))
-def aggr_max(spark, sf_dir):
-    return long(G.MaxAggregation(fill=-1.0)(_segments(spark, sf_dir), 8), ["index"])
+def aggr_max(spark, sf_dir, dim=8):
+    return long(G.MaxAggregation(fill=-1.0)(_segments(spark, sf_dir, dim), dim), ["index"])
 
 
+@on_all_places("aggr_mean", _on_segments(_reduced("avg", None), WHOLE))
 @query("aggr_mean", _on_segments(_reduced("avg", None)))
-def aggr_mean(spark, sf_dir):
-    return long(G.MeanAggregation()(_segments(spark, sf_dir), 8), ["index"])
+def aggr_mean(spark, sf_dir, dim=8):
+    return long(G.MeanAggregation()(_segments(spark, sf_dir, dim), dim), ["index"])
 
 
 def _softmax_sql(t: str):
@@ -317,14 +344,16 @@ def _softmax_sql(t: str):
     return end
 
 
+@on_all_places("aggr_softmax", _on_segments(_softmax_sql("2.0::DOUBLE"), WHOLE))
 @query("aggr_softmax", _on_segments(_softmax_sql("2.0::DOUBLE")))
-def aggr_softmax(spark, sf_dir):
-    return long(G.SoftmaxAggregation(t=2.0)(_segments(spark, sf_dir), 8), ["index"])
+def aggr_softmax(spark, sf_dir, dim=8):
+    return long(G.SoftmaxAggregation(t=2.0)(_segments(spark, sf_dir, dim), dim), ["index"])
 
 
+@on_all_places("aggr_softmax_trainable", _on_segments(_softmax_sql("0.0::DOUBLE"), WHOLE))
 @query("aggr_softmax_trainable", _on_segments(_softmax_sql("0.0::DOUBLE")))
-def aggr_softmax_trainable(spark, sf_dir):
-    return long(G.SoftmaxAggregation(t=2.0, trainable=True)(_segments(spark, sf_dir), 8), ["index"])
+def aggr_softmax_trainable(spark, sf_dir, dim=8):
+    return long(G.SoftmaxAggregation(t=2.0, trainable=True)(_segments(spark, sf_dir, dim), dim), ["index"])
 
 
 def _power_sql(s):
@@ -332,10 +361,11 @@ def _power_sql(s):
     return s.long("f", "index")
 
 
+@on_all_places("aggr_power_mean", _on_segments(_power_sql, WHOLE))
 @query("aggr_power_mean", _on_segments(_power_sql))
-def aggr_power_mean(spark, sf_dir):
-    rows = _segments(spark, sf_dir).select("index", F.transform("x", lambda v: v * 50).alias("x"))
-    return long(G.PowerMeanAggregation(p=2.0)(rows, 8), ["index"])
+def aggr_power_mean(spark, sf_dir, dim=8):
+    rows = _segments(spark, sf_dir, dim).select("index", F.transform("x", lambda v: v * 50).alias("x"))
+    return long(G.PowerMeanAggregation(p=2.0)(rows, dim), ["index"])
 
 
 def _deepsets_sql(s):
@@ -348,11 +378,12 @@ def _deepsets_sql(s):
     return s.long("h1", "index")
 
 
+@on_all_places("aggr_deepsets", _on_segments(_deepsets_sql, WHOLE))
 @query("aggr_deepsets", _on_segments(_deepsets_sql))
-def aggr_deepsets(spark, sf_dir):
-    local = lambda x: V.dense(x, dyadic(8, 5, 1), dyadic_vector(5, 2), "relu")
+def aggr_deepsets(spark, sf_dir, dim=8):
+    local = lambda x: V.dense(x, dyadic(dim, 5, 1), dyadic_vector(5, 2), "relu")
     last = lambda x: V.dense(x, dyadic(5, 3, 3), dyadic_vector(3, 4))
-    return long(G.DeepSetsAggregation(local, last, 5)(_segments(spark, sf_dir), 8), ["index"])
+    return long(G.DeepSetsAggregation(local, last, 5)(_segments(spark, sf_dir, dim), dim), ["index"])
 
 
 @query("segment_softmax", lambda: """WITH s AS (SELECT event_id, user_id, exp(value / 100 - max(value / 100) OVER (PARTITION BY user_id)) AS e FROM events)
@@ -365,9 +396,13 @@ def segment_softmax_(spark, sf_dir):
 # Message passing ---------------------------------------------------------------------------------
 
 
-@query("mp_sum", _on_ring(lambda s: s.long(s.propagate("h", "x", 8))))
-def mp_sum(spark, sf_dir):
-    return long(MessagePassing()(ring(spark, sf_dir)))
+_mp_sum_places = lambda s: s.long(s.propagate("h", "x", s.dim))
+
+
+@on_all_places("mp_sum", _on_ring(_mp_sum_places, WHOLE))
+@query("mp_sum", _on_ring(_mp_sum_places))
+def mp_sum(spark, sf_dir, dim=8):
+    return long(MessagePassing()(ring(spark, sf_dir, dim)))
 
 
 @query("mp_max", _on_trade(lambda s: s.long(s.spread("h", s.add("m", "SELECT e.dst AS node, d, max(2 * v) AS v FROM e JOIN x ON x.node = e.src GROUP BY e.dst, d"), 4, "-1.0::DOUBLE"))))
@@ -437,23 +472,25 @@ def _agnn_sql(s):
     s.add("l", "SELECT e.src, e.dst, sum(a.v * b.v) AS l FROM e JOIN n a ON a.node = e.src JOIN n b ON b.node = e.dst AND a.d = b.d GROUP BY e.src, e.dst")
     s.add("p", "SELECT src, dst, exp(l - max(l) OVER (PARTITION BY dst)) AS p FROM l")
     s.add("al", "SELECT src, dst, p / (sum(p) OVER (PARTITION BY dst) + 1e-9) AS w FROM p")
-    return s.long(s.adjacency("h", "x", 8, "al", True))
+    return s.long(s.adjacency("h", "x", s.dim, "al", True))
 
 
+@on_all_places("agnn", _on_ring(_agnn_sql, WHOLE))
 @query("agnn", _on_ring(_agnn_sql))
-def agnn(spark, sf_dir):
-    return long(C.AGNNConv()(ring(spark, sf_dir)))
+def agnn(spark, sf_dir, dim=8):
+    return long(C.AGNNConv()(ring(spark, sf_dir, dim)))
 
 
 def _agnn_max_sql(s):
     _agnn_sql(s)
     s.add("hm", "SELECT al.dst AS node, x.d, max(al.w * x.v) AS v FROM al JOIN x ON x.node = al.src GROUP BY al.dst, x.d")
-    return s.long(s.each("ht", s.spread("hs", "hm", 8, "-3.4028234663852886e38::DOUBLE"), TANH))
+    return s.long(s.each("ht", s.spread("hs", "hm", s.dim, "-3.4028234663852886e38::DOUBLE"), TANH))
 
 
+@on_all_places("agnn_max", _on_ring(_agnn_max_sql, WHOLE))
 @query("agnn_max", _on_ring(_agnn_max_sql))
-def agnn_max(spark, sf_dir):
-    return long(C.AGNNConv(aggregate="max", activation="tanh")(ring(spark, sf_dir)))
+def agnn_max(spark, sf_dir, dim=8):
+    return long(C.AGNNConv(aggregate="max", activation="tanh")(ring(spark, sf_dir, dim)))
 
 
 def _appnp_sql(s):
@@ -468,10 +505,11 @@ def _appnp_sql(s):
     return s.long(s.each("h", z, TANH))
 
 
+@on_all_places("appnp_k3", _on_ring(_appnp_sql, WHOLE))
 @query("appnp_k3", _on_ring(_appnp_sql))
-def appnp_k3(spark, sf_dir):
-    g = ring(spark, sf_dir)
-    weights = {"mlp0": dyadic(8, 6, 1), "mlp0_bias": dyadic_vector(6, 2), "mlp1": dyadic(6, 4, 3), "mlp1_bias": dyadic_vector(4, 4)}
+def appnp_k3(spark, sf_dir, dim=8):
+    g = ring(spark, sf_dir, dim)
+    weights = {"mlp0": dyadic(dim, 6, 1), "mlp0_bias": dyadic_vector(6, 2), "mlp1": dyadic(6, 4, 3), "mlp1_bias": dyadic_vector(4, 4)}
     layer = C.APPNPConv(4, propagations=3, mlp_hidden=[6], activation="tanh", weights=weights)
     return long(layer(g.with_edges(layer.preprocess(g.edges, g.nodes))))
 
@@ -498,25 +536,27 @@ def _arma_sql(shared: bool):
     return end
 
 
-def _arma(spark, sf_dir, iterations: int, shared: bool):
-    g = ring(spark, sf_dir)
+def _arma(spark, sf_dir, dim: int, iterations: int, shared: bool):
+    g = ring(spark, sf_dir, dim)
     weights = {}
     for k in range(2):
         for at in range(2):
-            weights[f"w1_{k}_{at}"] = dyadic(8 if at == 0 else 4, 4, 10 * k + at)
-            weights[f"w2_{k}_{at}"], weights[f"b_{k}_{at}"] = dyadic(8, 4, 30 + 10 * k + at), dyadic_vector(4, 60 + 10 * k + at)
+            weights[f"w1_{k}_{at}"] = dyadic(dim if at == 0 else 4, 4, 10 * k + at)
+            weights[f"w2_{k}_{at}"], weights[f"b_{k}_{at}"] = dyadic(dim, 4, 30 + 10 * k + at), dyadic_vector(4, 60 + 10 * k + at)
     layer = C.ARMAConv(4, order=2, iterations=iterations, share_weights=shared, activation="tanh", weights=weights)
     return long(layer(g.with_edges(layer.preprocess(g.edges, g.nodes))))
 
 
+@on_all_places("arma_k2_t2", _on_ring(_arma_sql(False), WHOLE))
 @query("arma_k2_t2", _on_ring(_arma_sql(False)))
-def arma_k2_t2(spark, sf_dir):
-    return _arma(spark, sf_dir, 2, False)
+def arma_k2_t2(spark, sf_dir, dim=8):
+    return _arma(spark, sf_dir, dim, 2, False)
 
 
+@on_all_places("arma_shared", _on_ring(_arma_sql(True), WHOLE))
 @query("arma_shared", _on_ring(_arma_sql(True)))
-def arma_shared(spark, sf_dir):
-    return _arma(spark, sf_dir, 3, True)
+def arma_shared(spark, sf_dir, dim=8):
+    return _arma(spark, sf_dir, dim, 3, True)
 
 
 def _crystal_sql(s):
@@ -578,8 +618,7 @@ def diffusion_whole(spark, sf_dir):
     return long(layer(g.with_edges(layer.preprocess(g.edges, g.nodes))))
 
 
-def _gru_sql(s, name, m, h):
-    c = 8
+def _gru_sql(s, name, m, h, c):
     s.dense(f"{name}a", m, 3 * c, 5, 6)
     s.dense(f"{name}r", h, 3 * c, 7, 8)
     gate = lambda k: f"1.0::DOUBLE / (1.0::DOUBLE + exp(-(a.v + b.v))) AS v FROM {name}a a JOIN {name}r b ON a.node = b.node AND a.d = b.d WHERE a.d >= {k * c} AND a.d < {(k + 1) * c}"
@@ -590,37 +629,41 @@ def _gru_sql(s, name, m, h):
 
 
 def _gated_sql(s):
-    s.add("xp", "SELECT node, d, v FROM x WHERE d < 6 UNION ALL SELECT DISTINCT node, r.d, 0.0::DOUBLE FROM x, range(6, 8) r(d)")
+    places = 6 if s.dim < WHOLE else s.dim
+    c = places + 2
+    s.add("xp", f"SELECT node, d, v FROM x WHERE d < {places} UNION ALL SELECT DISTINCT node, r.d, 0.0::DOUBLE FROM x, range({places}, {c}) r(d)")
     h = "xp"
     for k in range(2):
-        s.dense(f"sent{k}", h, 8, 1 + k)
-        s.propagate(f"got{k}", f"sent{k}", 8)
-        h = _gru_sql(s, f"h{k}", f"got{k}", h)
+        s.dense(f"sent{k}", h, c, 1 + k)
+        s.propagate(f"got{k}", f"sent{k}", c)
+        h = _gru_sql(s, f"h{k}", f"got{k}", h, c)
     return s.long(h)
 
 
+@on_all_places("gated_graph_l2", _on_ring(_gated_sql, WHOLE))
 @query("gated_graph_l2", _on_ring(_gated_sql))
-def gated_graph_l2(spark, sf_dir):
-    g = Graph(vectors(spark, sf_dir, 6).select("node", "x"), ring_edges(spark, sf_dir), 6)
-    weights = {"w0": dyadic(8, 8, 1), "w1": dyadic(8, 8, 2), "kernel": dyadic(8, 24, 5), "recurrent": dyadic(8, 24, 7), "gru_bias": dyadic_vector(24, 6), "gru_recurrent_bias": dyadic_vector(24, 8)}
-    return long(C.GatedGraphConv(8, 2, weights=weights)(g))
+def gated_graph_l2(spark, sf_dir, dim=6):
+    g, c = Graph(vectors(spark, sf_dir, dim).select("node", "x"), ring_edges(spark, sf_dir), dim), dim + 2
+    weights = {"w0": dyadic(c, c, 1), "w1": dyadic(c, c, 2), "kernel": dyadic(c, 3 * c, 5), "recurrent": dyadic(c, 3 * c, 7), "gru_bias": dyadic_vector(3 * c, 6), "gru_recurrent_bias": dyadic_vector(3 * c, 8)}
+    return long(C.GatedGraphConv(c, 2, weights=weights)(g))
 
 
 def _gcn_sql(s):
     s.each("x1", "x", "v * 2 - 1")
     s.add("e1", "SELECT dst AS src, src AS dst, w FROM e")
     for k, (x, e) in enumerate((("x", "e"), ("x1", "e1"))):
-        s.adjacency(f"ax{k}", x, 8, e, True)
+        s.adjacency(f"ax{k}", x, s.dim, e, True)
         s.dense(f"h{k}", f"ax{k}", 4, 1, 2, RELU)
     s.add("h", "SELECT 0::BIGINT AS batch, * FROM h0 UNION ALL SELECT 1::BIGINT, * FROM h1")
     return s.long("h", "batch, node")
 
 
+@on_all_places("gcn_batched", _on_ring(_gcn_sql, WHOLE))
 @query("gcn_batched", _on_ring(_gcn_sql))
-def gcn_batched(spark, sf_dir):
-    g = ring(spark, sf_dir)
-    g = Graph(_batches(g.nodes), _batched_edges(g.edges), 8)
-    return long(C.GraphConvolution(4, "relu", weights={"kernel": dyadic(8, 4, 1), "bias": dyadic_vector(4, 2)})(g), ["batch", "node"])
+def gcn_batched(spark, sf_dir, dim=8):
+    g = ring(spark, sf_dir, dim)
+    g = Graph(_batches(g.nodes), _batched_edges(g.edges), dim)
+    return long(C.GraphConvolution(4, "relu", weights={"kernel": dyadic(dim, 4, 1), "bias": dyadic_vector(4, 2)})(g), ["batch", "node"])
 
 
 def _general_sql(s):
@@ -630,24 +673,26 @@ def _general_sql(s):
     return s.long(s.propagate("h", "p", 6))
 
 
+@on_all_places("general_conv", _on_ring(_general_sql, WHOLE))
 @query("general_conv", _on_ring(_general_sql))
-def general_conv(spark, sf_dir):
-    weights = {"kernel": dyadic(8, 6, 1), "bias": dyadic_vector(6, 2), "mean": dyadic_vector(6, 3), "variance": 1 + dyadic_vector(6, 4) ** 2, "gamma": dyadic_vector(6, 5), "beta": dyadic_vector(6, 6), "slope": dyadic_vector(6, 7)}
-    return long(C.GeneralConv(6, weights=weights)(ring(spark, sf_dir)))
+def general_conv(spark, sf_dir, dim=8):
+    weights = {"kernel": dyadic(dim, 6, 1), "bias": dyadic_vector(6, 2), "mean": dyadic_vector(6, 3), "variance": 1 + dyadic_vector(6, 4) ** 2, "gamma": dyadic_vector(6, 5), "beta": dyadic_vector(6, 6), "slope": dyadic_vector(6, 7)}
+    return long(C.GeneralConv(6, weights=weights)(ring(spark, sf_dir, dim)))
 
 
 def _gin_sql(s):
-    s.propagate("m", "x", 8)
+    s.propagate("m", "x", s.dim)
     s.zip("z", "x", "m", "a.v * 1.25::DOUBLE + b.v")
     s.dense("l", "z", 6, 1, 2, RELU)
     s.each("b", "l", "v / sqrt(1.0::DOUBLE + 1e-3)")
     return s.long(s.dense("h", "b", 4, 3, 4, TANH))
 
 
+@on_all_places("gin", _on_ring(_gin_sql, WHOLE))
 @query("gin", _on_ring(_gin_sql))
-def gin(spark, sf_dir):
-    weights = {"mlp0": dyadic(8, 6, 1), "mlp0_bias": dyadic_vector(6, 2), "mlp1": dyadic(6, 4, 3), "mlp1_bias": dyadic_vector(4, 4)}
-    return long(C.GINConv(4, epsilon=0.25, mlp_hidden=[6], activation="tanh", weights=weights)(ring(spark, sf_dir)))
+def gin(spark, sf_dir, dim=8):
+    weights = {"mlp0": dyadic(dim, 6, 1), "mlp0_bias": dyadic_vector(6, 2), "mlp1": dyadic(6, 4, 3), "mlp1_bias": dyadic_vector(4, 4)}
+    return long(C.GINConv(4, epsilon=0.25, mlp_hidden=[6], activation="tanh", weights=weights)(ring(spark, sf_dir, dim)))
 
 
 def _gat_sql(heads: int, average: bool = False, saliency: bool = False, whole: bool = False):
@@ -733,13 +778,14 @@ def gat_saliency_whole(spark, sf_dir):
 def _ppnp_sql(s):
     s.add("nodes", "SELECT DISTINCT node FROM x")
     _gcn_filter(s, "e")
-    return s.long(s.adjacency("h", "x", 8, "filtered"))
+    return s.long(s.adjacency("h", "x", s.dim, "filtered"))
 
 
+@on_all_places("ppnp", _on_ring(_ppnp_sql, WHOLE))
 @query("ppnp", _on_ring(_ppnp_sql))
-def ppnp(spark, sf_dir):
-    g = ring(spark, sf_dir)
-    return long(C.ppnp_propagation(A.gcn_filter(g.edges, g.nodes), g.nodes, "x", 8))
+def ppnp(spark, sf_dir, dim=8):
+    g = ring(spark, sf_dir, dim)
+    return long(C.ppnp_propagation(A.gcn_filter(g.edges, g.nodes), g.nodes, "x", dim))
 
 
 # Norms, attention --------------------------------------------------------------------------------
@@ -751,15 +797,16 @@ def mean_subtraction_(spark, sf_dir):
 
 
 def _message_norm_sql(s):
-    s.propagate("m", "x", 8)
+    s.propagate("m", "x", s.dim)
     s.unit("a", "m")
     s.unit("b", "x")
     return s.long(s.zip("h", "a", "b", "a.v * b.v * 1.5::DOUBLE"))
 
 
+@on_all_places("message_norm", _on_ring(_message_norm_sql, WHOLE))
 @query("message_norm", _on_ring(_message_norm_sql))
-def message_norm_(spark, sf_dir):
-    g = ring(spark, sf_dir)
+def message_norm_(spark, sf_dir, dim=8):
+    g = ring(spark, sf_dir, dim)
     return long(message_norm(g.nodes, MessagePassing()(g).withColumnRenamed("h", "msg"), scale=1.5))
 
 
@@ -775,17 +822,20 @@ def _linear_sql(s):
     s.add("lab", "SELECT DISTINCT node, label FROM x")
     s.each("q", "x", "v * v + 0.5")
     s.each("k", "x", "abs(v) + 0.25")
-    s.add("vv", "SELECT node, d, CASE WHEN node % 4 = 0 THEN 0.0::DOUBLE ELSE v END AS v FROM x WHERE d < 3")
-    _attend(s, "q", "k", "vv", 3, "h0")
+    values = 3 if s.dim < WHOLE else s.dim
+    s.add("vv", f"SELECT node, d, CASE WHEN node % 4 = 0 THEN 0.0::DOUBLE ELSE v END AS v FROM x WHERE d < {values}")
+    _attend(s, "q", "k", "vv", values, "h0")
     s.add("h", "SELECT label::BIGINT AS batch, h0.node, h0.d, h0.v FROM h0 JOIN lab ON lab.node = h0.node")
     return s.long("h", "batch, node")
 
 
+@on_all_places("linear_attention", _on_ring(_linear_sql, WHOLE))
 @query("linear_attention", _on_ring(_linear_sql))
-def linear_attention_(spark, sf_dir):
-    x = vectors(spark, sf_dir)
-    rows = x.select(F.col("label").cast("long").alias("batch"), "node", F.transform("x", lambda v: v * v + 0.5).alias("q"), F.transform("x", lambda v: F.abs(v) + 0.25).alias("k"), F.slice("x", 1, 3).alias("v"), (F.col("node") % 4 != 0).alias("mask"))
-    return long(linear_attention(rows, 8, 3), ["batch", "node"])
+def linear_attention_(spark, sf_dir, dim=8):
+    values = 3 if dim < WHOLE else dim
+    x = vectors(spark, sf_dir, dim)
+    rows = x.select(F.col("label").cast("long").alias("batch"), "node", F.transform("x", lambda v: v * v + 0.5).alias("q"), F.transform("x", lambda v: F.abs(v) + 0.25).alias("k"), F.slice("x", 1, values).alias("v"), (F.col("node") % 4 != 0).alias("mask"))
+    return long(linear_attention(rows, dim, values), ["batch", "node"])
 
 
 def _performer_sql(s):
@@ -805,29 +855,42 @@ def _performer_sql(s):
     return s.long("h", "batch, node")
 
 
+@on_all_places("performer", _on_ring(_performer_sql, WHOLE))
 @query("performer", _on_ring(_performer_sql))
-def performer(spark, sf_dir):
-    x = vectors(spark, sf_dir).select(F.col("label").cast("long").alias("batch"), "node", "x")
-    weights = {"q": dyadic(8, 8, 1), "k": dyadic(8, 8, 2), "v": dyadic(8, 8, 3), "out": dyadic(8, 6, 5), "out_bias": dyadic_vector(6, 6), "projection": dyadic(5, 4, 4)}
-    return long(PerformerAttention(6, 2, 4, weights=weights)(x, 8), ["batch", "node"])
+def performer(spark, sf_dir, dim=8):
+    x = vectors(spark, sf_dir, dim).select(F.col("label").cast("long").alias("batch"), "node", "x")
+    weights = {"q": dyadic(dim, 8, 1), "k": dyadic(dim, 8, 2), "v": dyadic(dim, 8, 3), "out": dyadic(8, 6, 5), "out_bias": dyadic_vector(6, 6), "projection": dyadic(5, 4, 4)}
+    return long(PerformerAttention(6, 2, 4, weights=weights)(x, dim), ["batch", "node"])
 
 
 # Heads and metrics -------------------------------------------------------------------------------
 
 
-@query("row_normalise", _on_ring(lambda s: s.long(s.add("h", "SELECT node, d, v / sum(abs(v)) OVER (PARTITION BY node) AS v FROM x"))))
-def row_normalise_(spark, sf_dir):
-    return long(row_normalise(vectors(spark, sf_dir).select("node", "x")), h="x")
+_row_normalise_places = lambda s: s.long(s.add("h", "SELECT node, d, v / sum(abs(v)) OVER (PARTITION BY node) AS v FROM x"))
+
+
+@on_all_places("row_normalise", _on_ring(_row_normalise_places, WHOLE))
+@query("row_normalise", _on_ring(_row_normalise_places))
+def row_normalise_(spark, sf_dir, dim=8):
+    return long(row_normalise(vectors(spark, sf_dir, dim).select("node", "x")), h="x")
+
+
+_log_softmax_places = lambda s: s.long(s.add("h", "SELECT node, d, v - m - ln(sum(exp(v - m)) OVER (PARTITION BY node)) AS v FROM (SELECT node, d, v, max(v) OVER (PARTITION BY node) AS m FROM x)"))
+
+
+@on_all_places("log_softmax", _on_ring(_log_softmax_places, WHOLE))
+@query("log_softmax", _on_ring(_log_softmax_places))
+def log_softmax(spark, sf_dir, dim=8):
+    return long(vectors(spark, sf_dir, dim).select("node", V.log_softmax(F.col("x")).alias("h")))
 
 
-@query("log_softmax", _on_ring(lambda s: s.long(s.add("h", "SELECT node, d, v - m - ln(sum(exp(v - m)) OVER (PARTITION BY node)) AS v FROM (SELECT node, d, v, max(v) OVER (PARTITION BY node) AS m FROM x)"))))
-def log_softmax(spark, sf_dir):
-    return long(vectors(spark, sf_dir).select("node", V.log_softmax(F.col("x")).alias("h")))
+_softmax_places = lambda s: s.long(s.add("h", "SELECT node, d, exp(v) / sum(exp(v)) OVER (PARTITION BY node) AS v FROM x"))
 
 
-@query("softmax", _on_ring(lambda s: s.long(s.add("h", "SELECT node, d, exp(v) / sum(exp(v)) OVER (PARTITION BY node) AS v FROM x"))))
-def softmax(spark, sf_dir):
-    return long(vectors(spark, sf_dir).select("node", V.softmax(F.col("x")).alias("h")))
+@on_all_places("softmax", _on_ring(_softmax_places, WHOLE))
+@query("softmax", _on_ring(_softmax_places))
+def softmax(spark, sf_dir, dim=8):
+    return long(vectors(spark, sf_dir, dim).select("node", V.softmax(F.col("x")).alias("h")))
 
 
 _TEN = "SELECT node, label, d, v FROM x WHERE d < 10"

@@ -14,6 +14,7 @@ class Sql:
 
     def __init__(self):
         self.steps: list[tuple[str, str]] = []
+        self.dim = 8
 
     def add(self, name: str, select: str) -> str:
         self.steps.append((name, select))
@@ -27,6 +28,7 @@ class Sql:
 
     # inputs
     def vectors(self, dim: int = 8, name: str = "x") -> str:
+        self.dim = dim
         self.add(f"{name}_all", "SELECT vec_id::BIGINT AS node, label, unnest(range(0, 64)) AS d, unnest(embedding)::DOUBLE AS v FROM embeddings")
         return self.add(name, f"SELECT * FROM {name}_all WHERE d < {dim}")
 
