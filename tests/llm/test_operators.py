@@ -402,3 +402,9 @@ def test_jaccard_with_null_and_shared_ids(spark):
         stays = [k for k in kept if k in own]
         assert len(stays) == 1
         assert stays[0][0] == min((i for i, _ in own if i is not None), default=None)
+
+
+def test_toxicity_trains_on_20000_rows(spark):
+    docs = spark.range(19_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    known = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert quality.labelled_sample(docs, known, "toxic", F.lit(True), "text", "doc_id", toxicity.MAX_ROWS).count() == 19_000

@@ -29,7 +29,7 @@ FAMILIES = 3
 SIZE = FAMILIES * BUCKETS + 1
 CUTOFF = 0.3
 #: Labelled rows that are trained on, about; all in one task.
-MAX_ROWS = 10_000
+MAX_ROWS = 20_000
 SYMBOLS = 32
 #: Characters and the letters that they may stand for (fixed values).
 RESEMBLES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "", ".": "", "-": "", "_": "", "'": "", " ": ""}
