@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import decontaminate, jaccard, language, mixing, neighbours, quality, secrets, sharding, suffixes, toxicity
+from weft.llm import decontaminate, jaccard, mixing, neighbours, quality, secrets, sharding, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, id string, `shard` string, class_id int"
 
@@ -106,39 +106,6 @@ def test_decontamination_of_hard_rows(spark, docs, empty):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
-# Language model
-
-
-def test_language_model(spark, docs, empty):
-    texts = [words(60, s, 40) for s in range(60)]
-    table = spark.createDataFrame(rows_of(texts), SCHEMA).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100))
-    a = {(r["doc_id"], r["n_tokens"], round(r["score"], 6)): r for r in language.score(table).collect()}
-    b = language.score(table, limit=1).collect()
-    assert len(b) == table.count()
-    for r in b:
-        other = a[r["doc_id"], r["n_tokens"], round(r["score"], 6)]
-        assert abs(other["base_score"] - r["base_score"]) < 1e-6
-        assert other["n_known"] == r["n_known"]
-    token = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w] + [None]
-    plain = [(r["doc_id"], r["text"]) for r in table.collect()]
-    train = [t for i, t in plain if zlib.crc32(str("" if i is None else i).encode()) % 10]
-    count = collections.Counter(w for t in train for w in token(t))
-    total = sum(count.values())
-    want = sorted(round(sum(np.log10((count[w] + 0.1) / (total + 0.1 * (len(count) + 1))) for w in token(t)), 6) for _, t in plain)
-    assert np.allclose(want, sorted(r["base_score"] for r in b), atol=1e-5)
-    assert all(r["train_tokens"] == total for r in b)
-    held = [r for r in b if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 60]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    assert language.score(empty).count() == 0
-
-
-def test_language_model_probabilities_sum_to_one():
-    weights = np.full((language.BUCKETS, 3), 1 / 3)
-    after, both = np.array([5, 3, 2]), np.array([2, 0, 1])  # three words; the context was seen three times
-    p = language.mixture(weights, both, np.full(3, 3), after, 10, 3)
-    assert np.isclose(p.sum() + (1 / 3) / 4, 1.0)
-
-
 # Mixing and sharding
 
 

@@ -3,16 +3,23 @@
 Bigram, unigram and uniform maximum-likelihood estimates are mixed; the mixture weights depend on how
 often the context was seen (buckets by powers of two) and are learned by expectation-maximisation on
 the bigram counts of a part of the training documents that the estimates leave out. The final estimates
-use all training documents.
+use all training documents. Three passes read the texts:
 
-The table of words goes to every task while it has at most ``BROADCAST_WORDS`` words (checked). The
-pairs of neighbouring words of all documents are packed by numpy into one blob for each task and target
-partition, so that a shuffle moves few rows, and each partition counts and scores its pairs. Beyond the
-bound, ``score_by_joins`` finds the same scores by joins.
+1. Words are counted. The most frequent (``WORDS`` at most) are numbered and go to every task; all others are rare.
+2. Pairs of training documents are counted: summed up in the task first, then by pair. This gives the events
+   that the weights are learned from, and the ``HOT`` most frequent pairs, whose scores go to every task.
+3. Documents are scored. Hot pairs are scored where they stand. Every other pair of a document becomes a record
+   and meets its equals, where they are counted and scored; a pair with a rare word meets its counts in joins.
+   The sums by document come back as plain rows.
+
+So no key has many records: a pair that isn't hot is rarer than the hot ones, and counts of hot pairs are summed
+before they are moved. The same three ways are taken at every size. Records travel in compressed columns
+(``pack``), one cell for each run of ``HELD`` records and partition.
 
 Defined results: a null or empty text is one end token; texts of any length count whole; repeated rows
-count as often as they occur and each gets its row; a table without training rows gives a uniform model
-over one word, log10 probability 0; columns other than the id and the text are ignored.
+count as often as they occur and each gets its row; a null id trains and scores as an empty one; a table without
+training rows gives a uniform model over one word, log10 probability 0; an empty table gives an empty table;
+columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,16 +39,17 @@ from .words import ascii_lower, mix, per_text, prefix_sums, span_names, spans
 FOLDS = 10
 #: One training document in so many is left out while the mixture weights are learned.
 LEFT_OUT = 10
-BROADCAST_WORDS = 1 << 23
+#: Words and pairs that are sent to every task, at most (16 bytes each, 24 for words).
+WORDS = 1 << 21
+HOT = 1 << 20
 BUCKETS = 40
 ROUNDS = 12
 END = np.uint64(0x1F83D9ABFB41BD6B)
-#: Pairs that a partition should hold, and that a task packs at a time.
+#: Tokens for each partition of pairs, and records that a task packs at a time.
 PAIRS = 1_000_000
 HELD = 1_000_000
-#: Partitions that one task scores one after the other, adding up the sums of a document; documents in a bucket of sums.
+#: Partitions of pairs that one task scores one after the other, adding up the sums of a document.
 GROUP = 8
-BUCKET_ROWS = 50_000
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,11 +63,58 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The id, the role (0 scored only, 1 trained on, 2 trained on but left out at first), the row's name, the text."""
-    k, body = F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    """The id, the role (0 scored only, 1 trained on, 2 trained on but left out at first), the text."""
+    k = F.col(f"`{key}`")
     left_out = F.pmod(F.xxhash64(F.coalesce(k.cast("string"), F.lit("")), F.lit(3)), F.lit(LEFT_OUT)) == 0
     role = F.when(fold_of(key, FOLDS) == 0, 0).when(left_out, 2).otherwise(1)
-    return docs.select(k.alias("doc_id"), role.alias("role"), F.xxhash64(k, body).alias("row"), body.alias("text"))
+    return docs.select(k.alias("doc_id"), role.alias("role"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+
+
+def _batch(fields: dict[str, pa.DataType], size: int, **columns) -> pa.RecordBatch:
+    """A record batch of these fields; those without values are null."""
+    arrays = []
+    for name, kind in fields.items():
+        x = columns.get(name)
+        arrays.append(pa.nulls(size, kind) if x is None else x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, kind))
+    return pa.RecordBatch.from_arrays(arrays, names=list(fields))
+
+
+#: Types of packed columns: steps of pairs, counts, counts left out; steps of pairs, place of the row, count, role, rows.
+SUM_KINDS = (np.uint64, np.uint32, np.uint32)
+RECORD_KINDS = (np.uint64, np.uint32, np.uint32, np.uint8, np.int64)
+
+
+def pack(columns: list[np.ndarray], kinds: tuple) -> bytes:
+    """Columns of numbers, compressed byte plane by byte plane."""
+    columns = [np.ascontiguousarray(c, k) for c, k in zip(columns, kinds, strict=True)]
+    head = np.array([len(columns), *map(len, columns)], np.int64).tobytes()
+    body = head + b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
+    body = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    sizes, at, out = body[8 : 8 * (len(kinds) + 1)].view(np.int64), 8 * (len(kinds) + 1), []
+    for size, kind in zip(sizes.tolist(), map(np.dtype, kinds), strict=True):
+        wide = size * kind.itemsize
+        out.append(np.ascontiguousarray(body[at : at + wide].reshape(kind.itemsize, size).T).view(kind).ravel())
+        at += wide
+    return out
+
+
+def by_partition(pair: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, partitions that have pairs, bounds): pairs sorted by partition and value."""
+    part = (mix(pair) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((pair, part))
+    full, start = np.unique(part[order], return_index=True)
+    return order, full, np.append(start, len(pair))
+
+
+def steps(sorted_pairs: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_pairs, prepend=np.uint64(0))
+
+
+# Words -------------------------------------------------------------------------------------------
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -88,39 +144,43 @@ def word_counts(rows: DataFrame) -> DataFrame:
         return fn
 
     kinds = T.StructType([T.StructField(c, T.LongType()) for c in ("word", "n", "left_out")])
-    found = expand_text(rows, "text", ["role"], make, kinds)
+    found = expand_text(rows.filter("role > 0"), "text", ["role"], make, kinds)
     return found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("left_out").alias("left_out"))
 
 
 class Vocabulary:
-    """Sorted names of words with their counts."""
+    """The numbered words: sorted names with their counts."""
 
     def __init__(self, word: np.ndarray, n: np.ndarray, left_out: np.ndarray):
         order = np.argsort(word.view(np.uint64))
-        self.word, self.n, self.main = word.view(np.uint64)[order], n[order].astype(np.uint32 if n.sum() < 2**32 else np.int64), None
-        self.main = (n - left_out)[order].astype(self.n.dtype)
-        self.n, self.main = np.append(self.n, 0).astype(self.n.dtype), np.append(self.main, 0).astype(self.n.dtype)  # the last is for unknown words
-        self.total, self.total_main = int(n.sum()), int((n - left_out).sum())
+        kind = np.uint32 if not len(n) or n.max() < 2**32 else np.int64
+        self.word, self.n, self.main = word.view(np.uint64)[order], n[order].astype(kind), (n - left_out)[order].astype(kind)
 
     def numbers(self, names: np.ndarray) -> np.ndarray:
-        """Places of names in the table; its length where a name is unknown."""
+        """Places of names in the table; -1 where a word has no number."""
         if not len(self.word):
-            return np.zeros(len(names), np.int64)
+            return np.full(len(names), -1)
         at = np.minimum(np.searchsorted(self.word, names), len(self.word) - 1)
-        return np.where(self.word[at] == names, at, len(self.word))
+        return np.where(self.word[at] == names, at, -1)
+
 
-    def of(self, numbers: np.ndarray, main: bool = False) -> np.ndarray:
-        return (self.main if main else self.n)[numbers].astype(np.int64)
+def most_frequent(words: DataFrame, limit: int) -> DataFrame:
+    """The most frequent words, ``limit`` at most: whole eighths of an octave of counts from the top."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    bins = words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect()  # 8 rows an octave
+    least, held = float("inf"), 0
+    for r in bins:
+        held += r["words"]
+        if held > limit:
+            break
+        least = float(r["level"])
+    return words.filter(level >= F.lit(least))
 
 
-def vocabulary_of(words: DataFrame, total: int, pieces: int = 8) -> Vocabulary:
-    """The table of a bounded number of words on the driver, fetched in pieces."""
-    kind = "int" if total < 2**31 else "long"
-    got = []
-    for k in range(pieces):
-        piece = words.filter(F.pmod("word", F.lit(pieces)) == k).select("word", F.col("n").cast(kind), F.col("left_out").cast(kind)).toArrow()
-        got.append([piece.column(i).to_numpy() for i in range(3)])
-    return Vocabulary(*[np.concatenate(c) for c in zip(*got, strict=True)])
+def fetched(df: DataFrame, key: str, pieces: int = 8) -> list[np.ndarray]:
+    """The columns of a bounded table on the driver, fetched in pieces."""
+    got = [df.filter(F.pmod(F.xxhash64(key), F.lit(pieces)) == k).toArrow() for k in range(pieces)]
+    return [np.concatenate([p.column(i).to_numpy() for p in got]) for i in range(len(df.columns))]
 
 
 def bucket(n: np.ndarray) -> np.ndarray:
@@ -128,154 +188,159 @@ def bucket(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.minimum(np.frexp(n.astype(float))[1], BUCKETS - 1), 0)
 
 
-def packed_pairs(rows: DataFrame, vocabulary, parts: int) -> DataFrame:
-    """(part, pairs, doc_id, row, n_tokens, n_known, base): blobs of pairs, and a row for each document."""
-
-    def make():
-        v = vocabulary.value
-        size = len(v.word)
-        held: list[np.ndarray] = []
+def mixture(weights: np.ndarray, both, before, after, total: int, words: int) -> np.ndarray:
+    w = weights[bucket(before)]
+    return w[:, 0] * both / np.maximum(before, 1) + w[:, 1] * after / max(total, 1) + w[:, 2] / (words + 1)
 
-        def packed():
-            records = np.concatenate(held)
-            held.clear()
-            part = (mix(records["pair"]) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((records["pair"], part))
-            records, part = records[order], part[order]
-            cut = np.searchsorted(part, np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(cut))
-            blobs = [_squeeze(records[cut[p] : cut[p + 1]]) for p in full]
-            return _batch(len(full), part=full, pairs=blobs)
 
-        def fn(raw, offsets, piece):
-            names, doc = tokens(raw, offsets)
-            word, where = np.unique(names, return_inverse=True)
-            number = v.numbers(word)[where]
-            n = v.of(number)
-            last = np.zeros(len(names), bool)
-            last[np.searchsorted(doc, np.arange(len(piece)), "right") - 1] = True
-            before = np.empty(len(names), np.int64)
-            end = int(v.numbers(np.array([END], np.uint64))[0])
-            before[1:] = number[:-1]
-            before[np.append(0, np.flatnonzero(last)[:-1] + 1)] = end
-            base = np.log10((n + 0.1) / (v.total + 0.1 * (size + 1)))
-            # a text's equal pairs are one record
-            pair = before.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)
-            order = np.lexsort((pair, doc))
-            pair, of = pair[order], doc[order]
-            new = np.ones(len(pair), bool)
-            new[1:] = (pair[1:] != pair[:-1]) | (of[1:] != of[:-1])
-            at = np.flatnonzero(new)
-            records = np.empty(len(at), RECORD)
-            records["pair"], records["n"] = pair[at], np.diff(np.append(at, len(pair)))
-            records["row"], records["role"] = piece.column(2).to_numpy()[of[at]], piece.column(1).to_numpy()[of[at]]
-            held.append(records)
-            cut = np.searchsorted(doc, np.arange(len(piece) + 1))
-            rows = _batch(len(piece), doc_id=piece.column(0), row=piece.column(2), n_tokens=np.diff(cut), n_known=per_text((n > 0).astype(np.int64), cut), base=per_text(base, cut))
-            rows_only.append(rows)
-            if sum(map(len, held)) >= HELD:
-                out = [*rows_only, packed()]
-                rows_only.clear()
-                return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-
-        rows_only: list[pa.RecordBatch] = []
-        fn.flush = lambda: [*rows_only, packed()] if held else []
-        return fn
+class Pairs:
+    """The pairs of neighbouring tokens of a slice of texts, with their names and, where both are numbered, their number."""
 
-    return expand_text(rows, "text", ["doc_id", "role", "row"], make, T._parse_datatype_string(PACKED))
+    def __init__(self, v: Vocabulary, raw: np.ndarray, offsets: np.ndarray, texts: int):
+        names, self.doc = tokens(raw, offsets)
+        self.cut = np.searchsorted(self.doc, np.arange(texts + 1))
+        word, where = np.unique(names, return_inverse=True)
+        self.after, self.after_number = names, v.numbers(word)[where]
+        first = self.cut[:-1]
+        self.before, self.before_number = np.roll(names, 1), np.roll(self.after_number, 1)
+        self.before[first], self.before_number[first] = END, v.numbers(np.array([END], np.uint64))[0]
+        self.numbered = (self.before_number >= 0) & (self.after_number >= 0)
+        self.number = (self.before_number.astype(np.uint64) << np.uint64(32)) | self.after_number.astype(np.uint64)
 
 
-PACKED = "part int, pairs binary, doc_id long, row long, n_tokens long, n_known long, base double"
+def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): rows sorted by the keys, the last one first, and where a new combination starts."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    return order, np.flatnonzero(new)
 
 
-RECORD = np.dtype([("pair", np.uint64), ("row", np.int64), ("n", np.uint32), ("role", np.uint8)])
-_FIELDS = {"part": pa.int32(), "pairs": pa.binary(), "doc_id": pa.int64(), "row": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64()}
+# Counts of pairs ---------------------------------------------------------------------------------
 
+_LONG = pa.int64()
+#: kind 0 is a hot pair (pair, n), 1 an event (bucket, both, before, after, n), 2 a pair with a rare word (before, after, n, left_out, and the main count of the other word).
+COUNTS = {"kind": pa.int32(), "pair": _LONG, "n": _LONG, "left_out": _LONG, "bucket": _LONG, "both": _LONG, "before": _LONG, "after": _LONG, "before_main": _LONG, "after_main": _LONG}
+_COUNTS = "kind int, pair long, n long, left_out long, bucket long, both long, before long, after long, before_main long, after_main long"
+#: Pairs summed up in a task: cells of packed columns by partition, or rows of kind 2.
+SUMS = {"part": pa.int32(), "cell": pa.binary()} | {k: COUNTS[k] for k in ("before", "after", "n", "left_out", "before_main", "after_main")}
+_SUMS = "part int, cell binary, before long, after long, n long, left_out long, before_main long, after_main long"
 
-def _batch(size: int, **columns) -> pa.RecordBatch:
-    arrays = []
-    for name, kind in _FIELDS.items():
-        x = columns.get(name)
-        arrays.append(pa.nulls(size, kind) if x is None else x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, kind))
-    return pa.RecordBatch.from_arrays(arrays, names=list(_FIELDS))
 
+def _known(number: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Counts of numbered words, null for the others."""
+    if not len(counts):
+        return pa.nulls(len(number), _LONG)
+    return pa.array(counts[np.maximum(number, 0)].astype(np.int64), _LONG, mask=number < 0)
 
-def _squeeze(records: np.ndarray) -> bytes:
-    """Records sorted by pair as compressed columns; pairs as steps, rows as places in a list of rows."""
-    rows, place = np.unique(records["row"], return_inverse=True)
-    steps = np.diff(records["pair"], prepend=np.uint64(0))
-    columns = [steps.view(np.uint8).reshape(-1, 8).T, place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T, records["n"].copy().view(np.uint8).reshape(-1, 4).T, records["role"][None], rows.view(np.uint8)]
-    head = np.array([len(records), len(rows)], np.int64).tobytes()
-    body = head + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
-    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
+def summed_pairs(rows: DataFrame, vocabulary, parts: int) -> DataFrame:
+    """SUMS of the training documents."""
 
-def _unsqueeze(blob: bytes) -> np.ndarray:
-    body = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), np.uint8)
-    n, m = body[:16].view(np.int64)
-    cut = 16 + np.cumsum([0, 8 * n, 4 * n, 4 * n, n, 8 * m])
-    steps, place, count, role, rows = (body[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True))
-    records = np.empty(n, RECORD)
-    records["pair"] = np.cumsum(np.ascontiguousarray(steps.reshape(8, -1).T).view(np.uint64).ravel())
-    records["row"] = rows.copy().view(np.int64)[np.ascontiguousarray(place.reshape(4, -1).T).view(np.uint32).ravel()]
-    records["n"] = np.ascontiguousarray(count.reshape(4, -1).T).view(np.uint32).ravel()
-    records["role"] = role
-    return records
+    def make():
+        v = vocabulary.value
+        held: list[list[np.ndarray]] = []
 
+        def merged():
+            pair, n, left = (np.concatenate([h[i] for h in held]) for i in range(3))
+            order = np.argsort(pair, kind="stable")
+            at = np.flatnonzero(np.append(True, np.diff(pair[order]) != 0))
+            held[:] = [[pair[order][at], np.add.reduceat(n[order], at), np.add.reduceat(left[order], at)]]
+
+        def cells():
+            merged()
+            pair, n, left = held.pop()
+            order, full, cut = by_partition(pair, parts)
+            pair, n, left = pair[order], n[order], left[order]
+            made = [pack([steps(pair[a:b]), n[a:b], left[a:b]], SUM_KINDS) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            return _batch(SUMS, len(full), part=full, cell=made)
 
-def _partitions(batches: Iterator[pa.RecordBatch]):
-    """The document rows that come by, as batches, and last each partition's records sorted by pair.
+        def fn(raw, offsets, piece):
+            p = Pairs(v, raw, offsets, len(piece))
+            left = (piece.column(0).to_numpy() == 2)[p.doc]
+            out = []
+            use = np.flatnonzero(p.numbered)
+            if len(use):
+                pair, where = np.unique(p.number[use], return_inverse=True)
+                held.append([pair, np.bincount(where, minlength=len(pair)).astype(np.uint32), np.bincount(where, left[use], len(pair)).astype(np.uint32)])
+                if sum(len(h[0]) for h in held) > HELD:
+                    merged()
+                    if len(held[0][0]) > HELD // 2:
+                        out.append(cells())
+            rare = np.flatnonzero(~p.numbered)
+            if len(rare):
+                order, at = _grouped(p.after[rare], p.before[rare])
+                some = rare[order[at]]
+                count = lambda x: np.add.reduceat(x[rare][order].astype(np.int64), at)
+                columns = {"before": p.before[some].view(np.int64), "after": p.after[some].view(np.int64), "n": count(np.ones(len(left))), "left_out": count(left)}
+                out.append(_batch(SUMS, len(some), before_main=_known(p.before_number[some], v.main), after_main=_known(p.after_number[some], v.main), **columns))
+            return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
+
+        fn.flush = lambda: [cells()] if held else []
+        return fn
 
-    Blobs stay compressed until their partition's turn.
-    """
-    blobs: dict[int, list[bytes]] = {}
-    for batch in batches:
-        part, pairs = batch.column(0), batch.column(1)
-        for i in range(len(batch)):
-            if part[i].is_valid:
-                blobs.setdefault(part[i].as_py(), []).append(pairs[i].as_py())
-        if part.null_count:
-            yield batch.filter(part.is_null())
-    for key in list(blobs):
-        records = np.concatenate([_unsqueeze(x) for x in blobs.pop(key)])
-        yield records[np.argsort(records["pair"], kind="stable")]
+    return expand_text(rows.filter("role > 0"), "text", ["role"], make, T._parse_datatype_string(_SUMS))
 
 
-def _pair_counts(records: np.ndarray, roles) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the groups of equal pairs, and how often each occurs in documents of these roles."""
-    start = np.ones(len(records), bool)
-    start[1:] = records["pair"][1:] != records["pair"][:-1]
-    at = np.flatnonzero(start)
-    return at, np.add.reduceat(np.where(np.isin(records["role"], roles), records["n"], 0).astype(np.int64), at)
+def _by_part(batches: Iterator[pa.RecordBatch]):
+    """Of rows sorted by their partition: batches of those without one, then (partition, its cells) one after the other."""
+    part, cells = None, []
+    for batch in batches:
+        own = batch.column(0)
+        if own.null_count:
+            yield batch.filter(own.is_null())
+        for k, cell in zip(own.to_pylist(), batch.column(1), strict=True):
+            if k is None:
+                continue
+            if cells and k != part:
+                yield part, cells
+                cells = []
+            part = k
+            cells.append(cell.as_py())
+    if cells:
+        yield part, cells
 
 
-def left_out_events(packed: DataFrame, vocabulary) -> DataFrame:
-    """(bucket, both, before, after, weight): the left-out pairs by their counts in the documents that were not left out."""
+def pair_counts(sums: DataFrame, vocabulary, parts: int, hot: int) -> DataFrame:
+    """COUNTS: sums of the pairs of each partition, its most frequent pairs, and what happened to its left-out pairs."""
+    tasks, each = -(-parts // GROUP), -(-hot // parts)
 
     def run(batches):
         v = vocabulary.value
-        for got in _partitions(batches):
-            if isinstance(got, pa.RecordBatch) or not len(got):
+        for got in _by_part(batches):
+            if isinstance(got, pa.RecordBatch):
+                yield _batch(COUNTS, len(got), kind=np.full(len(got), 2, np.int32), **{k: got.column(i) for i, k in enumerate(SUMS) if i > 1})
                 continue
-            at, both = _pair_counts(got, [1])
-            weight = _pair_counts(got, [2])[1]
-            use = weight > 0
-            pair = got["pair"][at[use]]
-            before, after = v.of((pair >> np.uint64(32)).astype(np.int64), main=True), v.of((pair & np.uint64(2**32 - 1)).astype(np.int64), main=True)
-            before = np.where(both[use] > 0, before, 2 ** np.maximum(bucket(before) - 1, 0) * (before > 0))  # only its bucket matters
-            key, where = np.unique(np.stack([both[use], before, after], 1), axis=0, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (bucket(key[:, 1]), key[:, 0], key[:, 1], key[:, 2], np.bincount(where.ravel(), weight[use], len(key)))], names=["bucket", "both", "before", "after", "weight"])
-
-    found = packed.mapInArrow(run, "bucket long, both long, before long, after long, weight long")
-    return found.groupBy("bucket", "both", "before", "after").agg(F.sum("weight").alias("weight"))
+            columns = list(zip(*[unpack(x, SUM_KINDS) for x in got[1]], strict=True))
+            pair = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in columns[0]])
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+            at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            pair = pair[at]
+            n, left = (np.add.reduceat(np.concatenate(c)[order].astype(np.int64), at) for c in columns[1:])
+            top = np.argsort(-n, kind="stable")[:each]
+            yield _batch(COUNTS, len(top), kind=np.zeros(len(top), np.int32), pair=pair[top].view(np.int64), n=n[top])
+            use = left > 0
+            both = (n - left)[use]
+            before, after = (v.main[x.astype(np.int64)].astype(np.int64) for x in (pair[use] >> np.uint64(32), pair[use] & np.uint64(2**32 - 1)))
+            before = np.where(both > 0, before, 2 ** np.maximum(bucket(before) - 1, 0) * (before > 0))  # without the pair, only its bucket matters
+            order, at = _grouped(after, before, both)
+            if len(at):
+                some = order[at]
+                yield _batch(COUNTS, len(at), kind=np.ones(len(at), np.int32), bucket=bucket(before[some]), both=both[some], before=before[some], after=after[some], n=np.add.reduceat(left[use][order], at))
+
+    where = F.coalesce(F.pmod("part", F.lit(tasks)).cast("long"), F.xxhash64("before", "after"))
+    return sums.repartition(tasks, where).sortWithinPartitions("part").mapInArrow(run, _COUNTS)
 
 
 def learn_weights(events: DataFrame, total: int, words: int, rounds: int = ROUNDS) -> np.ndarray:
     """BUCKETS x 3 weights of the bigram, unigram and uniform estimates, by expectation-maximisation.
 
-    One grouped sum a round; only three sums a bucket reach the driver. Each weight has one event as prior.
+    ``events`` (bucket, both, before, after, n) may repeat. One grouped sum a round; only three sums a bucket reach
+    the driver. Each weight has one event as prior.
     """
-    events = durable(events, "events")
     weights = np.full((BUCKETS, 3), 1 / 3)
     two = F.when(F.col("before") > 0, F.col("both") / F.greatest(F.col("before"), F.lit(1))).otherwise(0.0)
     one = F.col("after") / F.lit(float(max(total, 1)))
@@ -283,11 +348,12 @@ def learn_weights(events: DataFrame, total: int, words: int, rounds: int = ROUND
         w = [F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, k]]), F.col("bucket").cast("int") + 1) for k in range(3)]
         parts = [w[0] * two, w[1] * one, w[2] / F.lit(float(words + 1))]
         whole = parts[0] + parts[1] + parts[2]
-        got = events.groupBy("bucket").agg(*[F.sum(F.col("weight") * p / whole).alias(f"s{k}") for k, p in enumerate(parts)]).collect()
+        got = events.groupBy("bucket").agg(*[F.sum(F.col("n") * p / whole).alias(f"s{k}") for k, p in enumerate(parts)]).collect()
         new = np.ones((BUCKETS, 3))
         for r in got:
             new[r["bucket"]] += [r["s0"], r["s1"], r["s2"]]
         new[0, 0] = 0.0  # an unseen context has no bigram estimate
+        new[:, 1] *= total > 0  # nor have no documents a unigram estimate
         new /= new.sum(axis=1, keepdims=True)
         if np.abs(new - weights).max() < 1e-4:
             return new
@@ -295,138 +361,168 @@ def learn_weights(events: DataFrame, total: int, words: int, rounds: int = ROUND
     return weights
 
 
-def _scored(packed: DataFrame, vocabulary, weights: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, sums, doc_id, row, n_tokens, n_known, base): sums of log10 probabilities by row name, added up over all
-    pairs of a task and packed into a blob for each bucket of rows; and the rows of the documents."""
+# Pairs with a rare word --------------------------------------------------------------------------
 
-    def run(batches):
-        v, held = vocabulary.value, []
 
-        def merged():
-            rows, where = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return rows, np.bincount(where, np.concatenate([h[1] for h in held]), len(rows))
+def _bucket(c: str):
+    return F.when(F.col(c) > 0, F.least(F.floor(F.log2(F.col(c).cast("double")) + 1e-12).cast("int") + 1, F.lit(BUCKETS - 1))).otherwise(0)
 
-        def blobs():
-            rows, sums = merged()
-            held.clear()
-            bucket_ = (mix(rows.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket_, kind="stable")
-            rows, sums = rows[order], sums[order]
-            cut = np.searchsorted(bucket_[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cut))
-            return _batch(len(full), part=full, pairs=[rows[cut[k] : cut[k + 1]].tobytes() + sums[cut[k] : cut[k + 1]].tobytes() for k in full])
-
-        for got in _partitions(batches):
-            if isinstance(got, pa.RecordBatch):
-                own = (mix(got.column(3).to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(own), *got.columns[1:]], names=list(_FIELDS))
-                continue
-            at, both = _pair_counts(got, [1, 2])
-            pair = got["pair"][at]
-            before, after = v.of((pair >> np.uint64(32)).astype(np.int64)), v.of((pair & np.uint64(2**32 - 1)).astype(np.int64))
-            logs = np.log10(mixture(weights, both, before, after, v.total, len(v.word)))
-            each = np.repeat(logs, np.diff(np.append(at, len(got)))) * got["n"]
-            rows, where = np.unique(got["row"], return_inverse=True)
-            held.append((rows, np.bincount(where, each, len(rows))))
-            if sum(len(h[0]) for h in held) > HELD:
-                held[:] = [merged()]
-                if len(held[0][0]) > HELD // 2:
-                    yield blobs()
-        if held:
-            yield blobs()
 
-    return packed.mapInArrow(run, PACKED)
+def _with_counts(pairs: DataFrame, words: DataFrame, value, given: str) -> DataFrame:
+    """``pairs`` with the counts ``value`` of both words, ``<side>_<given>`` where it is known. Other words are rare: no key has many rows.
 
+    Rows whose count is known are spread by the other word, so that they don't meet under one key.
+    """
+    for side, other in (("before", "after"), ("after", "before")):
+        own = words.select(F.col("word").alias("__word"), value.alias("__n"))
+        meets = F.when(F.col(f"{side}_{given}").isNull(), F.col(side)).otherwise(F.col(other))
+        pairs = pairs.withColumn("__key", meets).join(own, F.col("__key") == F.col("__word"), "left")
+        pairs = pairs.withColumn(f"n_{side}", F.coalesce(f"{side}_{given}", F.col("__n"), F.lit(0))).drop("__key", "__word", "__n")
+    return pairs
+
+
+def rare_events(rare: DataFrame, words: DataFrame) -> DataFrame:
+    met = _with_counts(rare.filter("left_out > 0"), words, F.col("n") - F.col("left_out"), "main")
+    return met.select(_bucket("n_before").cast("long").alias("bucket"), (F.col("n") - F.col("left_out")).alias("both"), F.col("n_before").alias("before"), F.col("n_after").alias("after"), F.col("left_out").alias("n"))
+
+
+def rare_scores(found: DataFrame, rare: DataFrame, words: DataFrame, weights: np.ndarray, total: int, known: int) -> DataFrame:
+    """(row, score, base, known): sums over a document's pairs with a rare word; base and known of rare words only."""
+    met = found.join(rare.select("before", "after", F.col("n").alias("both")), ["before", "after"], "left").fillna(0, ["both"])
+    met = _with_counts(met, words, F.col("n"), "n")
+    w = [F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, k]]), _bucket("n_before") + 1) for k in range(3)]
+    chance = w[0] * F.col("both") / F.greatest(F.col("n_before"), F.lit(1)) + w[1] * F.col("n_after") / F.lit(float(max(total, 1))) + w[2] / F.lit(float(known + 1))
+    own = lambda x: F.when(F.col("after_n").isNull(), x).otherwise(F.lit(0)) * F.col("n")
+    base = F.log10((F.col("n_after") + 0.1) / F.lit(total + 0.1 * (known + 1)))
+    return met.select("row", (F.log10(chance) * F.col("n")).alias("score"), own(base).alias("base"), own((F.col("n_after") > 0).cast("long")).alias("known"))
 
-def _finished(found: DataFrame, buckets: int) -> DataFrame:
-    """The figures of each document row: a bucket's sums meet its rows. Equal rows share their sum."""
 
-    def run(batches):
-        docs, rows, sums = [], [], []
-        for batch in batches:
-            blob = batch.column(1)
-            for x in blob.drop_null():
-                both = np.frombuffer(x.as_buffer(), np.int64)
-                rows.append(both[: len(both) // 2])
-                sums.append(both[len(both) // 2 :].view(np.float64))
-            if blob.null_count:
-                docs.append(batch.filter(blob.is_null()))
-        if not docs:
-            return
-        table = pa.Table.from_batches(docs).combine_chunks().to_batches()[0]
-        names, where = np.unique(np.concatenate(rows), return_inverse=True)
-        total = np.bincount(where, np.concatenate(sums), len(names))
-        at = np.searchsorted(names, table.column(3).to_numpy())
-        score = total[at] / np.bincount(at, minlength=len(names))[at]
-        yield pa.RecordBatch.from_arrays([table.column(2), *table.columns[4:7], pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base", "score"])
-
-    return found.repartition(buckets, "part").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double")
+# Scores of documents -----------------------------------------------------------------------------
 
+#: What a task makes of documents: rows of documents, cells of records of pairs by partition, and pairs with a rare word.
+FOUND = {"part": pa.int32(), "cell": pa.binary(), "row": _LONG, "n_tokens": _LONG, "n_known": _LONG, "base": pa.float64(), "score": pa.float64(), "before": _LONG, "after": _LONG, "n": _LONG, "before_n": _LONG, "after_n": _LONG}
+_FOUND = "part int, cell binary, row long, n_tokens long, n_known long, base double, score double, before long, after long, n long, before_n long, after_n long"
 
-def mixture(weights: np.ndarray, both, before, after, total: int, words: int) -> np.ndarray:
-    w = weights[bucket(before)]
-    return w[:, 0] * both / np.maximum(before, 1) + w[:, 1] * after / max(total, 1) + w[:, 2] / (words + 1)
 
+def scored_hot(rows: DataFrame, vocabulary, hot, parts: int, total: int, known: int) -> DataFrame:
+    """FOUND and doc_id of all documents, with scores over their hot pairs."""
+    id_ = rows.schema["doc_id"]
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = BROADCAST_WORDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    rows = _rows(docs, key, text)
-    words = durable(word_counts(rows), "words")
-    known, total, main = words.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.col("n") - F.col("left_out"))).first()
-    total, main = total or 0, main or 0
-    if known > limit:
-        return score_by_joins(rows, words, known, total, main)
-    vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_of(words, total))
-    parts, size = max(8, -(-int(total) // PAIRS)), docs.count()
-    tasks, buckets = max(8, -(-parts // GROUP)), max(8, size // BUCKET_ROWS)
-    moved = F.coalesce(F.pmod("part", F.lit(tasks)).cast("long"), F.col("row"))
-    trained = packed_pairs(rows.filter("role > 0"), vocabulary, parts).filter("part is not null").repartition(tasks, moved)
-    weights = learn_weights(left_out_events(trained, vocabulary), main, known)
-    found = _scored(packed_pairs(rows, vocabulary, parts).repartition(tasks, moved), vocabulary, weights, buckets)
-    return _result(_finished(found, buckets), total)
+    def make():
+        v, (hot_pairs, logs) = vocabulary.value, hot.value
+        held, row = [], TaskContext.get().partitionId() << 33
 
+        def cells(ids):
+            pair, of, n, role = (np.concatenate([h[i] for h in held]) for i in range(4))
+            held.clear()
+            order, full, cut = by_partition(pair, parts)
+            made = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                at = order[a:b]
+                docs, place = np.unique(of[at], return_inverse=True)
+                made.append(pack([steps(pair[at]), place, n[at], role[at], docs], RECORD_KINDS))
+            return _batch(FOUND | {"doc_id": ids}, len(full), part=full, cell=made)
 
-def _result(found: DataFrame, total: int) -> DataFrame:
-    return found.select("doc_id", (fold_of("doc_id", FOLDS) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+        def fn(raw, offsets, piece):
+            nonlocal row
+            p, texts, ids = Pairs(v, raw, offsets, len(piece)), len(piece), piece.schema.field(0).type
+            numbers, row = row + np.arange(texts), row + texts
+            role, fields = piece.column(1).to_numpy().astype(np.uint8), FOUND | {"doc_id": ids}
+            n = np.where(p.after_number >= 0, v.n[p.after_number] if len(v.n) else 0, 0).astype(np.int64)
+            base = np.where(p.after_number >= 0, np.log10((n + 0.1) / (total + 0.1 * (known + 1))), 0.0)
+            # a text's equal pairs are one record
+            use = np.flatnonzero(p.numbered)
+            order, at = _grouped(p.number[use], p.doc[use])
+            some, many = use[order[at]], np.diff(np.append(at, len(use)))
+            pair, doc = p.number[some], p.doc[some]
+            spot = np.minimum(np.searchsorted(hot_pairs, pair), max(len(hot_pairs) - 1, 0))
+            is_hot = hot_pairs[spot] == pair if len(hot_pairs) else np.zeros(len(pair), bool)
+            score = np.bincount(doc[is_hot], logs[spot[is_hot]] * many[is_hot], texts) if is_hot.any() else np.zeros(texts)
+            out = [_batch(fields, texts, doc_id=piece.column(0), row=numbers, n_tokens=np.diff(p.cut), n_known=per_text((n > 0).astype(np.int64), p.cut), base=per_text(base, p.cut), score=score)]
+            cold = ~is_hot
+            held.append([pair[cold], numbers[doc[cold]], many[cold].astype(np.uint32), role[doc[cold]]])
+            rare = np.flatnonzero(~p.numbered)
+            if len(rare):
+                order, at = _grouped(p.after[rare], p.before[rare], p.doc[rare])
+                some = rare[order[at]]
+                columns = {"before": p.before[some].view(np.int64), "after": p.after[some].view(np.int64), "n": np.diff(np.append(at, len(rare)))}
+                out.append(_batch(fields, len(some), row=numbers[p.doc[some]], before_n=_known(p.before_number[some], v.n), after_n=_known(p.after_number[some], v.n), **columns))
+            if sum(len(h[0]) for h in held) > HELD:
+                out.append(cells(ids))
+            fn.flush = lambda: [cells(ids)] if held else []
+            return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
+        return fn
 
-def score_by_joins(rows: DataFrame, words: DataFrame, known: int, total: int, main: int) -> DataFrame:
-    """The same scores where the words are too many to be sent to every task: pairs meet their counts in joins."""
+    schema = T._parse_datatype_string(_FOUND).add(T.StructField("doc_id", id_.dataType))
+    return expand_text(rows, "text", ["doc_id", "role"], make, schema)
 
-    def make():
-        def fn(raw, offsets, piece):
-            names, doc = tokens(raw, offsets)
-            first = np.searchsorted(doc, np.arange(len(piece)))
-            before = np.append(END, names[:-1])
-            before[first] = END
-            order = np.lexsort((names, before, doc))
-            d, b, w = doc[order], before[order], names[order]
-            new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (b[1:] != b[:-1]) | (w[1:] != w[:-1])
-            at = np.flatnonzero(new)
-            take = pa.array(d[at])
-            columns = [*[piece.column(k).take(take) for k in range(3)], pa.array(b[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(np.diff(np.append(at, len(d))))]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "role", "row", "before", "after", "n"])
 
-        return fn
+def cold_scores(found: DataFrame, vocabulary, weights: np.ndarray, parts: int, total: int, known: int) -> DataFrame:
+    """(row, score): sums over the pairs that are numbered but not hot, added up over the partitions of a task."""
+    tasks = -(-parts // GROUP)
+
+    def run(batches):
+        v, held = vocabulary.value, []
 
-    pairs = durable(expand_text(rows, "text", ["doc_id", "role", "row"], make, T._parse_datatype_string("doc_id long, role int, row long, before long, after long, n long")), "pairs")
-    role = lambda *r: F.coalesce(F.sum(F.when(F.col("role").isin(*r), F.col("n"))), F.lit(0))
-    table = pairs.groupBy("before", "after").agg(role(1).alias("main"), role(2).alias("left_out"))
-    for side in ("before", "after"):
-        own = words.select(F.col("word").alias(side), F.col("n").alias(f"n_{side}"), (F.col("n") - F.col("left_out")).alias(f"main_{side}"))
-        table = table.join(own, side, "left").fillna(0, [f"n_{side}", f"main_{side}"])
-    table = durable(table, "table")
-    size = lambda c: F.when(F.col(c) > 0, F.least(F.floor(F.log2(F.col(c).cast("double")) + 1e-12).cast("int") + 1, F.lit(BUCKETS - 1))).otherwise(0)
-    events = table.filter("left_out > 0").select(size("main_before").alias("bucket"), F.col("main").alias("both"), F.col("main_before").alias("before"), F.col("main_after").alias("after"), F.col("left_out").alias("weight"))
-    events = events.groupBy("bucket", "both", "before", "after").agg(F.sum("weight").alias("weight"))
+        def merged():
+            rows, where = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            held[:] = [(rows, np.bincount(where, np.concatenate([h[1] for h in held]), len(rows)))]
+
+        def batch():
+            rows, sums = held.pop()
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums)], names=["row", "score"])
+
+        for _, cells in _by_part(batches):
+            pair, row, n, role = [], [], [], []
+            for x in cells:
+                step, place, many, kind, docs = unpack(x, RECORD_KINDS)
+                for o, c in zip((pair, row, n, role), (np.cumsum(step, dtype=np.uint64), docs[place], many, kind), strict=True):
+                    o.append(c)
+            pair, row, n, role = map(np.concatenate, (pair, row, n, role))
+            order = np.argsort(pair, kind="stable")
+            pair, row, n, role = pair[order], row[order], n[order].astype(np.int64), role[order]
+            at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            both = np.add.reduceat(np.where(role > 0, n, 0), at)
+            before, after = (v.n[x.astype(np.int64)].astype(np.int64) for x in (pair[at] >> np.uint64(32), pair[at] & np.uint64(2**32 - 1)))
+            logs = np.log10(mixture(weights, both, before, after, total, known))
+            held.append((row, np.repeat(logs, np.diff(np.append(at, len(pair)))) * n))
+            merged()
+            if len(held[0][0]) > HELD // 2:
+                yield batch()
+        if held:
+            yield batch()
+
+    cells = found.filter("part is not null").select("part", "cell").repartition(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part")
+    return cells.mapInArrow(run, "row long, score double")
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", word_limit: int = WORDS, hot_limit: int = HOT) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+
+    ``word_limit`` and ``hot_limit`` bound the two tables that are sent to every task; scores don't depend on them.
+    """
+    spark, rows = docs.sparkSession, _rows(docs, key, text)
+    words = durable(word_counts(rows), "words")
+    known, total, main = words.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.col("n") - F.col("left_out"))).first()
+    total, main = int(total or 0), int(main or 0)
+    parts = max(8, -(-total // PAIRS))
+    table = Vocabulary(*fetched(most_frequent(words, word_limit), "word"))
+    vocabulary = spark.sparkContext.broadcast(table)
+    counts = durable(pair_counts(summed_pairs(rows, vocabulary, parts), vocabulary, parts, hot_limit), "counts")
+    own = [F.sum("n").alias("n"), F.sum("left_out").alias("left_out"), F.max("before_main").alias("before_main"), F.max("after_main").alias("after_main")]
+    rare = durable(counts.filter("kind = 2").groupBy("before", "after").agg(*own), "rare")
+    events = counts.filter("kind = 1").select("bucket", "both", "before", "after", "n").unionByName(durable(rare_events(rare, words), "events"))
     weights = learn_weights(events, main, known)
-    w = [F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, k]]), size("n_before") + 1) for k in range(3)]
-    chance = w[0] * (F.col("main") + F.col("left_out")) / F.greatest(F.col("n_before"), F.lit(1)) + w[1] * F.col("n_after") / F.lit(float(max(total, 1))) + w[2] / F.lit(float(known + 1))
-    base = F.log10((F.col("n_after") + 0.1) / F.lit(total + 0.1 * (known + 1)))
-    table = table.select("before", "after", F.log10(chance).alias("logs"), base.alias("base"), (F.col("n_after") > 0).alias("known"))
-    scored = pairs.join(table, ["before", "after"]).groupBy("row").agg(F.sum(F.col("logs") * F.col("n")).alias("logs"), F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("base") * F.col("n")).alias("base"))
-    times = rows.groupBy("row").agg(F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("doc_id"))
-    scored = scored.join(times, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    each = [(F.col(c) / F.col("rows")).cast(k).alias(n) for c, k, n in (("n_tokens", "long", "n_tokens"), ("n_known", "long", "n_known"), ("base", "double", "base"), ("logs", "double", "score"))]
-    return _result(scored.select("doc_id", *each), total)
+    pair, n = fetched(counts.filter("kind = 0").select("pair", "n"), "pair")
+    order = np.argsort(pair.view(np.uint64))
+    pair, n = pair.view(np.uint64)[order], n[order]
+    sides = [table.n[x.astype(np.int64)].astype(np.int64) for x in (pair >> np.uint64(32), pair & np.uint64(2**32 - 1))]
+    hot = spark.sparkContext.broadcast((pair, np.log10(mixture(weights, n, *sides, total, known))))
+    found = durable(scored_hot(rows, vocabulary, hot, parts, total, known), "found")
+    cold = cold_scores(found, vocabulary, weights, parts, total, known).select("row", "score", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"))
+    scores = cold.unionByName(rare_scores(found.filter("before is not null"), rare, words, weights, total, known))
+    scores = scores.groupBy("row").agg(*[F.sum(c).alias(f"more_{c}") for c in ("score", "base", "known")])
+    out = found.filter("n_tokens is not null").join(scores, "row", "left").fillna(0, [f"more_{c}" for c in ("score", "base", "known")])
+    both = lambda a, b: F.col(a) + F.col(f"more_{b}")
+    return out.select("doc_id", (fold_of("doc_id", FOLDS) == 0).alias("held_out"), "n_tokens", both("n_known", "known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), both("base", "base").alias("base_score"), both("score", "score").alias("score"))
