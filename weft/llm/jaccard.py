@@ -2,10 +2,15 @@
 
 Documents with equal shingle sets are one class. Classes meet in buckets of banded MinHash
 signatures; bands and rows are chosen for a target recall. Inside a bucket, classes whose signatures
-estimate too low a similarity are let go; what is left is grouped into candidate components, and all
-pairs within a component are verified on the full shingle sets. Large buckets and components are cut
-into tiles, a task looks at one pair of tiles, and gives back link counts and a spanning forest, never
-the pairs, so that neither rows nor tasks grow with the square of a group.
+estimate too low a similarity are let go (four standard errors below the threshold: of pairs just at it
+about 3 in 100,000 in each bucket that they share); what is left is grouped into candidate components, and
+pairs within a component are verified on the full shingle sets. Tasks give back link counts and a
+spanning forest, never the pairs.
+
+Buckets and components of more than ``TILE`` classes have a centre. Members near it are linked to each other for
+certain and are counted by sorted sums, a row a member; only members far from it are compared with all, in
+cells of bounded size. So rows grow with a group of near copies, not with its square; a group without a centre
+(a chain, or chance collisions) still costs its far members times the tiles of the group.
 
 Shingles are runs of five words (lower-case letters, marks and digits); a text of one to four words
 has the one shingle of all its words. Defined results: a null or empty text, or one without words, is
@@ -22,7 +27,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,16 +113,31 @@ def _blobs(column: pa.Array, kind) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in column]
 
 
-def in_tiles(members: DataFrame, group: str) -> DataFrame:
-    """Members (with the size ``n`` of their group) at every pair of tiles that they belong to: columns group, i, j, tile come first."""
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    x = members.withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    rest = [c for c in members.columns if c not in (group, "n")]
-    x = x.select(group, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", *rest)
+def in_cells(members: DataFrame, group: str) -> DataFrame:
+    """Members (group, n, heavy_n, heavy, id, ...) in the cells where their pairs are looked at: columns group, i, j, side come first.
+
+    A group of up to TILE members is one cell (side 2). In a larger one only its heavy members (side 1, in strips) meet
+    all members (side 0, in tiles), so that rows grow with members and with heavy ones times tiles.
+    """
+    tiles, strips = (F.ceil(F.col(c) / TILE).cast("int") for c in ("n", "heavy_n"))
+    at = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    until = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+    place = F.xxhash64("id")
+    below = F.transform(until(strips), lambda i: at(i, F.pmod(place, tiles), 0))
+    over = F.when(F.col("heavy"), F.transform(until(tiles), lambda j: at(F.pmod(place, strips), j, 1))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    cells = F.when(F.col("n") <= TILE, F.array(at(F.lit(0), F.lit(0), 2))).otherwise(F.concat(below, over))
+    rest = [c for c in members.columns if c not in (group, "n", "heavy_n")]
+    x = members.withColumn("cell", F.explode(cells)).select(group, "cell.*", *rest)
     return x.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
+def to_members(members: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``members`` (with the size n of their group) joined to one row for each key; a large group's members are spread over copies of that row."""
+    spread = F.ceil(F.col("n") / (16 * TILE)).cast("int")
+    groups = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), spread - 1))).drop("n")
+    return members.withColumn("__salt", F.pmod(F.xxhash64("id"), spread).cast("int")).join(groups, [*keys, "__salt"]).drop("__salt")
+
+
 def _forest(n: int, pairs: np.ndarray) -> np.ndarray:
     """The smallest member reached from each of n members over the pairs."""
     root = np.arange(n)
@@ -141,59 +161,93 @@ def _alike(cutoff: float, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped_rows(batches, 3):
             cut = bounds(batch, 3)
-            tile, ids = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            sig = np.stack(_blobs(batch.column(5), np.uint16)) if len(batch) else np.zeros((0, width), np.uint16)
-            one = batch.column(1).to_numpy() == batch.column(2).to_numpy()
+            side, ids = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            sig = np.stack(_blobs(batch.column(6), np.uint16)) if len(batch) else np.zeros((0, width), np.uint16)
             twos = cut[:-1][np.diff(cut) == 2]
-            near = (sig[twos] == sig[twos + 1]).mean(axis=1) >= cutoff
-            keep = twos[near & (one[twos] | (tile[twos] != tile[twos + 1]))]
-            a, b = [ids[keep]], [ids[keep + 1]]
+            twos = twos[(side[twos] == 2) & ((sig[twos] == sig[twos + 1]).mean(axis=1) >= cutoff)]
+            a, b = [ids[twos]], [ids[twos + 1]]
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                if hi - lo < 3:
+                if hi - lo < 3 and side[lo] == 2:
                     continue
-                order = np.argsort(ids[lo:hi]) + lo
-                s, t, m = sig[order], tile[order], hi - lo
-                found = []
-                for at in range(0, m, 64):
-                    same = (s[at : at + 64, None, :] == s[None]).mean(axis=2) >= cutoff
-                    if not one[lo]:
-                        same &= t[at : at + 64, None] != t[None]
-                    x, y = np.nonzero(np.triu(same, at + 1))
-                    found.append(np.stack([x + at, y], 1))
-                root = _forest(m, np.concatenate(found))
-                moved = np.flatnonzero(root != np.arange(m))
-                a.append(ids[order][moved])
-                b.append(ids[order][root[moved]])
+                left, right = np.flatnonzero(side[lo:hi] > 0) + lo, np.flatnonzero(side[lo:hi] != 1) + lo
+                found = [np.zeros((0, 2), int)]
+                for at in range(0, len(left), 64):
+                    x, y = np.nonzero((sig[left[at : at + 64], None, :] == sig[right][None]).mean(axis=2) >= cutoff)
+                    found.append(np.stack([left[x + at], right[y]], 1))
+                who, at = np.unique(ids[np.concatenate(found)], return_inverse=True)
+                root = _forest(len(who), at.reshape(-1, 2))
+                a.append(who)
+                b.append(who[root])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return run
 
 
+def alike(met: DataFrame, width: int, cutoff: float) -> DataFrame:
+    """(a, b): edges that connect all members (bucket, n, id, signature) of a bucket whose signatures agree in ``cutoff`` of their places.
+
+    A large bucket has a centre, the commonest value of each place. Two members that differ from it in few places agree
+    in all others, so that those that are this near (light) are connected at once; the rest (heavy) are compared with all.
+    """
+    large = durable(met.filter(F.col("n") > TILE), "large")
+
+    def counted(batches):
+        for batch in batches:
+            if len(batch):
+                group, of = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+                sig = np.stack(_blobs(batch.column(1), np.uint16)).astype(np.int64)
+                code, n = np.unique((of[:, None] * width + np.arange(width)) << 16 | sig, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(group[(code >> 16) // width]), pa.array((code >> 16) % width), pa.array(code & 0xFFFF), pa.array(n)], names=["bucket", "place", "value", "n"])
+
+    values = large.select("bucket", "signature").mapInArrow(counted, "bucket long, place long, value long, n long").groupBy("bucket", "place", "value").agg(F.sum("n").alias("n"))
+    centre = values.groupBy("bucket", "place").agg(F.max_by("value", F.struct("n", "value")).alias("value"))
+    centre = centre.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("centre"))  # width values a bucket
+    sizes = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    most = width - int(np.ceil(cutoff * width))  # places in which members that are alike may differ
+
+    def measured(batches):
+        for batch in batches:
+            if len(batch):
+                centre = batch.column(4).flatten().field(1).to_numpy().reshape(len(batch), width)
+                off = (np.stack(_blobs(batch.column(3), np.uint16)) != centre).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(2 * off > most)], names=["bucket", "n", "id", "signature", "heavy"])
+
+    large = to_members(large, centre.join(sizes, "bucket"), ["bucket"]).select("bucket", "n", "id", "signature", "centre")
+    large = durable(large.mapInArrow(measured, "bucket long, n long, id long, signature binary, heavy boolean"), "measured")
+    figures = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("heavy").alias("heavy_n"), F.min(F.when(~F.col("heavy"), F.col("id"))).alias("light"))
+    large = to_members(large, figures, ["bucket"])
+    small = met.filter(F.col("n") <= TILE).select("bucket", "n", "id", "signature", F.lit(True).alias("heavy"), F.lit(0).cast("long").alias("heavy_n"))
+    cells = small.unionByName(large.drop("light")).select("bucket", "n", "heavy_n", "id", "heavy", "signature")
+    edges = in_cells(cells, "bucket").mapInArrow(_alike(cutoff, width), "a long, b long")
+    return edges.union(large.filter(~F.col("heavy")).select(F.col("id").alias("a"), F.col("light").alias("b")))
+
+
 def _verify(threshold: Fraction):
-    """Per cell: (id, linked documents, linked classes, smallest id of its part) over exact similarities."""
+    """Per cell: (id, linked documents, linked classes, smallest id of its part) over exact similarities; of pairs that the centre doesn't settle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped_rows(batches, 3):
             cut = bounds(batch, 3)
-            tile, ids, copies = (batch.column(k).to_numpy() for k in (3, 4, 5))
-            one = batch.column(1).to_numpy() == batch.column(2).to_numpy()
+            side, ids, copies, far, heavy = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6, 7))
             out: list[list[np.ndarray]] = [[], [], [], []]
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 if hi - lo < 2:
                     continue
-                order = np.argsort(ids[lo:hi])
-                sets = _blobs(batch.column(6).slice(lo, hi - lo), np.uint64)
-                sets = [sets[k] for k in order]
-                order = order + lo
-                linked = similar(sets, threshold)
-                if not one[lo]:
-                    linked &= tile[order][:, None] != tile[order][None]
-                degree = linked @ copies[order]
-                some = np.flatnonzero(degree)
-                if not some.size:
+                sets = _blobs(batch.column(8).slice(lo, hi - lo), np.uint64)
+                left, right = np.flatnonzero(side[lo:hi] > 0), np.flatnonzero(side[lo:hi] != 1)
+                linked = similar(sets, threshold)[np.ix_(left, right)]
+                left, right = left + lo, right + lo
+                linked &= (ids[left][:, None] != ids[right][None]) & (far[left][:, None] + far[right][None] > 0)
+                if not linked.any():
                     continue
-                root = _forest(hi - lo, np.argwhere(np.triu(linked, 1)))
-                for o, v in zip(out, (ids[order][some], degree[some], linked.sum(axis=1)[some], ids[order][root[some]]), strict=True):
+                # a heavy member's own links are counted where it stands on the left
+                back = linked[:, ~heavy[right]]
+                who, degree, classes = (np.concatenate(x) for x in ((ids[left], ids[right][~heavy[right]]), (linked @ copies[right], copies[left] @ back), (linked.sum(axis=1), back.sum(axis=0))))
+                names, at = np.unique(np.concatenate([ids[left], ids[right]]), return_inverse=True)
+                x, y = np.nonzero(linked)
+                root = names[_forest(len(names), np.stack([at[: len(left)][x], at[len(left) :][y]], 1))]
+                some = degree > 0
+                for o, v in zip(out, (who[some], degree[some], classes[some], root[np.searchsorted(names, who[some])]), strict=True):
                     o.append(v.astype(np.int64))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["id", "links", "class_links", "root"])
@@ -201,6 +255,63 @@ def _verify(threshold: Fraction):
     return run
 
 
+def verified(cells: DataFrame, threshold: Fraction) -> DataFrame:
+    """(id, links, class_links, root) of the members (root, n, id, copies, shingles) with links, in one or more rows.
+
+    Of a large group the centre r holds the shingles that more than half of the members have. With R the shingles of r
+    that a member x lacks and A those that it has besides, two members share |r| - |Rx| - |Ry| + |Rx & Ry| + |Ax & Ay|. So
+    they are similar enough, whatever they share of R and A, if far(x) + far(y) <= 0 for a number ``far`` of each member. These links
+    are counted by sorted sums; only members with far > 0 (heavy) are compared with all others.
+    """
+    a, b = threshold.numerator, threshold.denominator
+    large = durable(cells.filter(F.col("n") > TILE), "large")
+
+    def counted(batches):
+        for batch in batches:
+            if len(batch):
+                sets = _blobs(batch.column(1), np.uint64)
+                group, of = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+                of, values = np.repeat(of, [len(x) for x in sets]), np.concatenate(sets)
+                order = np.lexsort((values, of))
+                of, values = of[order], values[order]
+                at = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (values[1:] != values[:-1]))[: len(of)])
+                yield pa.RecordBatch.from_arrays([pa.array(group[of[at]]), pa.array(values[at].view(np.int64)), pa.array(np.diff(np.append(at, len(of))))], names=["root", "shingle", "n"])
+
+    sizes = large.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    common = large.select("root", "shingles").mapInArrow(counted, "root long, shingle long, n long").groupBy("root", "shingle").agg(F.sum("n").alias("n"))
+    centre = common.join(sizes, "root").filter(F.col("n") * 2 > F.col("members")).groupBy("root").agg(F.collect_list("shingle").alias("centre"))
+    centre = sizes.select("root", F.col("members").alias("n")).join(centre, "root", "left")
+
+    def measured(batches):
+        for batch in batches:
+            if len(batch):
+                centre, far = batch.column(5), []
+                for x, r in zip(_blobs(batch.column(4), np.uint64), centre, strict=True):
+                    r = r.values.to_numpy().view(np.uint64) if r.is_valid else np.zeros(0, np.uint64)
+                    lacks = len(r) - len(np.intersect1d(x, r, assume_unique=True))
+                    far.append(2 * a * len(x) + 2 * (a + b) * lacks - (a + b) * len(r))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(far, pa.int64())], names=["root", "n", "id", "copies", "shingles", "far"])
+
+    large = to_members(large, centre, ["root"]).select("root", "n", "id", "copies", "shingles", "centre")
+    large = durable(large.mapInArrow(measured, "root long, n long, id long, copies long, shingles binary, far long"), "measured").withColumn("heavy", F.col("far") > 0)
+    figures = large.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.count_if("heavy").alias("heavy_n"), F.min_by("id", F.struct("far", "id")).alias("near"))
+    # classes and documents with far' <= -far: sums over the sorted values, of which a group has few
+    bins = durable(large.groupBy("root", "far").agg(F.count(F.lit(1)).alias("classes"), F.sum("copies").alias("docs"), F.max("n").alias("n")), "bins")
+    none = F.lit(0).cast("long")
+    asked = bins.select("root", (-F.col("far")).alias("at"), F.lit(1).alias("asked"), none.alias("classes"), none.alias("docs"), "n")
+    line = bins.select("root", F.col("far").alias("at"), F.lit(0).alias("asked"), "classes", "docs", "n").unionByName(asked)
+    until = Window.partitionBy("root").orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.select("root", "n", "asked", (-F.col("at")).alias("far"), F.sum("classes").over(until).alias("with_classes"), F.sum("docs").over(until).alias("with_docs")).filter("asked = 1 and with_classes > 0").drop("asked")
+    settled = to_members(large.select("root", "n", "id", "copies", "far"), line, ["root", "far"])
+    settled = to_members(settled, figures.select("root", "n", "near"), ["root"])
+    own = F.when(F.col("far") <= 0, 1).otherwise(0)
+    settled = settled.select("id", (F.col("with_docs") - own * F.col("copies")).alias("links"), (F.col("with_classes") - own).alias("class_links"), F.col("near").alias("root")).filter("class_links > 0")
+    columns = ["root", "n", "heavy_n", "id", "copies", "far", "heavy", "shingles"]
+    small = cells.filter(F.col("n") <= TILE).select("root", "n", none.alias("heavy_n"), "id", "copies", F.lit(1).cast("long").alias("far"), F.lit(True).alias("heavy"), "shingles")
+    met = small.select(*columns).unionByName(to_members(large, figures.drop("near"), ["root"]).select(*columns))
+    return in_cells(met, "root").mapInArrow(_verify(threshold), "id long, links long, class_links long, root long").unionByName(settled)
+
+
 def similar(sets: list[np.ndarray], threshold: Fraction, columns: int = 1 << 14) -> np.ndarray:
     """Which pairs of distinct sets have a Jaccard similarity of the threshold or more."""
     n, size = len(sets), np.array([len(s) for s in sets])
@@ -260,8 +371,7 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int,
     met = met.join(full, "bucket").join(classes.select("id", "signature"), "id").select("bucket", "n", "id", "signature")
     p = float(threshold)
     cutoff = p - SLACK * (p * (1 - p) / width) ** 0.5
-    edges = in_tiles(met, "bucket").mapInArrow(_alike(cutoff, width), "a long, b long")
-    part = durable(components(edges), "parts")
+    part = durable(components(alike(met, width, cutoff)), "parts")
     sizes = part.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     part = durable(part.join(sizes, "root").join(classes.select("id", "least", "copies"), F.col("node") == F.col("id")).select("root", "n", "id", "copies", "least"), "members")
     ids = part.select(F.col("least.doc_id").alias("__of"), F.col("least.text_hash").alias("__hash_of")).distinct()
@@ -281,7 +391,7 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int,
     sets = map_text(texts, "text", [], make, [T.StructField("id", T.LongType()), T.StructField("shingles", T.BinaryType())])
     # rows repeated with id and text give one set; they combine before the shuffle
     cells = part.select("root", "n", "id", "copies").join(sets.dropDuplicates(["id"]), "id").select("root", "n", "id", "copies", "shingles")
-    return durable(in_tiles(cells, "root").mapInArrow(_verify(threshold), "id long, links long, class_links long, root long"), "links")
+    return durable(verified(cells, threshold), "links")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: Fraction = THRESHOLD, recall: float = RECALL) -> DataFrame:
