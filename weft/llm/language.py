@@ -3,18 +3,16 @@
 Bigram, unigram and uniform maximum-likelihood estimates are mixed; the mixture weights depend on how
 often the context was seen (buckets by powers of two) and are learned by expectation-maximisation on
 the bigram counts of a part of the training documents that the estimates leave out. The final estimates
-use all training documents. Three passes read the texts:
+use all training documents. Two passes read the texts:
 
-1. Words are counted. The most frequent (``WORDS`` at most) are numbered and go to every task; all others are rare.
-2. Pairs of training documents are counted: summed up in the task first, then by pair. This gives the events
-   that the weights are learned from, and the ``HOT`` most frequent pairs, whose scores go to every task.
-3. Documents are scored. Hot pairs are scored where they stand. Every other pair of a document becomes a record
-   and meets its equals, where they are counted and scored; a pair with a rare word meets its counts in joins.
-   The sums by document come back as plain rows.
+1. Words are counted. The most frequent (``WORDS`` at most) are numbered by rank and go to every task; all others are rare.
+2. Texts become blocks of about ``BLOCK`` word numbers. Pairs with a rare word leave them as rows and meet their
+   counts in joins.
 
-So no key has many records: a pair that isn't hot is rarer than the hot ones, and counts of hot pairs are summed
-before they are moved. The same three ways are taken at every size. Records travel in compressed columns
-(``pack``), one cell for each run of ``HELD`` records and partition.
+Each block then asks for its distinct pairs: they go, with their counts in the block, to the partitions of pairs,
+are added up there, and the whole corpus's counts go back to the block in the order asked for. A pair has one
+record a block and not one a document, and no sum is split over tasks: a block scores its documents whole. What is moved grows with
+the number of blocks. Numbers travel in compressed columns (``pack``), a cell for each block and partition.
 
 Defined results: a null or empty text is one end token; texts of any length count whole; repeated rows
 count as often as they occur and each gets its row; a null id trains and scores as an empty one; a table without
@@ -39,17 +37,17 @@ from .words import ascii_lower, mix, per_text, prefix_sums, span_names, spans
 FOLDS = 10
 #: One training document in so many is left out while the mixture weights are learned.
 LEFT_OUT = 10
-#: Words and pairs that are sent to every task, at most (16 bytes each, 24 for words).
-WORDS = 1 << 21
-HOT = 1 << 20
+#: Words that are sent to every task, at most (20 bytes each).
+WORDS = 1 << 20
 BUCKETS = 40
 ROUNDS = 12
 END = np.uint64(0x1F83D9ABFB41BD6B)
-#: Tokens for each partition of pairs, and records that a task packs at a time.
+#: Tokens of a block, tokens for each partition of pairs, and word counts that a task holds.
+BLOCK = 1_000_000
 PAIRS = 1_000_000
 HELD = 1_000_000
-#: Partitions of pairs that one task scores one after the other, adding up the sums of a document.
-GROUP = 8
+#: Partitions of pairs, or blocks, that one task looks at, one after the other.
+GROUP = 4
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +77,11 @@ def _batch(fields: dict[str, pa.DataType], size: int, **columns) -> pa.RecordBat
     return pa.RecordBatch.from_arrays(arrays, names=list(fields))
 
 
-#: Types of packed columns: steps of pairs, counts, counts left out; steps of pairs, place of the row, count, role, rows.
-SUM_KINDS = (np.uint64, np.uint32, np.uint32)
-RECORD_KINDS = (np.uint64, np.uint32, np.uint32, np.uint8, np.int64)
+#: Types of packed columns. A block: word numbers plus one (0 for rare words), tokens and role of each document.
+#: What it asks: steps of sorted pairs, their counts, and counts left out. An answer: counts.
+BLOCK_KINDS = (np.uint32, np.uint32, np.uint8)
+ASKED_KINDS = (np.uint64, np.uint32, np.uint32)
+ANSWER_KINDS = (np.uint32,)
 
 
 def pack(columns: list[np.ndarray], kinds: tuple) -> bytes:
@@ -110,10 +110,6 @@ def by_partition(pair: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray,
     return order, full, np.append(start, len(pair))
 
 
-def steps(sorted_pairs: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_pairs, prepend=np.uint64(0))
-
-
 # Words -------------------------------------------------------------------------------------------
 
 
@@ -149,19 +145,24 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The numbered words: sorted names with their counts."""
+    """The numbered words: names in order with their ranks, and counts by rank, with and without what is left out."""
 
     def __init__(self, word: np.ndarray, n: np.ndarray, left_out: np.ndarray):
-        order = np.argsort(word.view(np.uint64))
+        word = word.view(np.uint64)
+        order = np.lexsort((word, -n))
         kind = np.uint32 if not len(n) or n.max() < 2**32 else np.int64
-        self.word, self.n, self.main = word.view(np.uint64)[order], n[order].astype(kind), (n - left_out)[order].astype(kind)
+        self.n, self.main = n[order].astype(kind), (n - left_out)[order].astype(kind)
+        ranked = word[order]
+        at = np.argsort(ranked)
+        self.word, self.rank = ranked[at], at.astype(np.int32)
+        self.end = int(self.numbers(np.array([END]))[0])
 
     def numbers(self, names: np.ndarray) -> np.ndarray:
-        """Places of names in the table; -1 where a word has no number."""
+        """Ranks of names; -1 where a word has no number."""
         if not len(self.word):
             return np.full(len(names), -1)
         at = np.minimum(np.searchsorted(self.word, names), len(self.word) - 1)
-        return np.where(self.word[at] == names, at, -1)
+        return np.where(self.word[at] == names, self.rank[at], -1)
 
 
 def most_frequent(words: DataFrame, limit: int) -> DataFrame:
@@ -177,7 +178,7 @@ def most_frequent(words: DataFrame, limit: int) -> DataFrame:
     return words.filter(level >= F.lit(least))
 
 
-def fetched(df: DataFrame, key: str, pieces: int = 8) -> list[np.ndarray]:
+def fetched(df: DataFrame, key: str, pieces: int = 16) -> list[np.ndarray]:
     """The columns of a bounded table on the driver, fetched in pieces."""
     got = [df.filter(F.pmod(F.xxhash64(key), F.lit(pieces)) == k).toArrow() for k in range(pieces)]
     return [np.concatenate([p.column(i).to_numpy() for p in got]) for i in range(len(df.columns))]
@@ -193,21 +194,6 @@ def mixture(weights: np.ndarray, both, before, after, total: int, words: int) ->
     return w[:, 0] * both / np.maximum(before, 1) + w[:, 1] * after / max(total, 1) + w[:, 2] / (words + 1)
 
 
-class Pairs:
-    """The pairs of neighbouring tokens of a slice of texts, with their names and, where both are numbered, their number."""
-
-    def __init__(self, v: Vocabulary, raw: np.ndarray, offsets: np.ndarray, texts: int):
-        names, self.doc = tokens(raw, offsets)
-        self.cut = np.searchsorted(self.doc, np.arange(texts + 1))
-        word, where = np.unique(names, return_inverse=True)
-        self.after, self.after_number = names, v.numbers(word)[where]
-        first = self.cut[:-1]
-        self.before, self.before_number = np.roll(names, 1), np.roll(self.after_number, 1)
-        self.before[first], self.before_number[first] = END, v.numbers(np.array([END], np.uint64))[0]
-        self.numbered = (self.before_number >= 0) & (self.after_number >= 0)
-        self.number = (self.before_number.astype(np.uint64) << np.uint64(32)) | self.after_number.astype(np.uint64)
-
-
 def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, starts): rows sorted by the keys, the last one first, and where a new combination starts."""
     order = np.lexsort(keys)
@@ -218,15 +204,12 @@ def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-# Counts of pairs ---------------------------------------------------------------------------------
+# Blocks ------------------------------------------------------------------------------------------
 
 _LONG = pa.int64()
-#: kind 0 is a hot pair (pair, n), 1 an event (bucket, both, before, after, n), 2 a pair with a rare word (before, after, n, left_out, and the main count of the other word).
-COUNTS = {"kind": pa.int32(), "pair": _LONG, "n": _LONG, "left_out": _LONG, "bucket": _LONG, "both": _LONG, "before": _LONG, "after": _LONG, "before_main": _LONG, "after_main": _LONG}
-_COUNTS = "kind int, pair long, n long, left_out long, bucket long, both long, before long, after long, before_main long, after_main long"
-#: Pairs summed up in a task: cells of packed columns by partition, or rows of kind 2.
-SUMS = {"part": pa.int32(), "cell": pa.binary()} | {k: COUNTS[k] for k in ("before", "after", "n", "left_out", "before_main", "after_main")}
-_SUMS = "part int, cell binary, before long, after long, n long, left_out long, before_main long, after_main long"
+#: What a task makes of texts: rows of documents (row, n_tokens, ...), blocks (block, cell), and pairs with a rare word (before, after, ...; counts of the other word).
+FOUND = {"block": _LONG, "cell": pa.binary(), "row": _LONG, "n_tokens": _LONG, "n_known": _LONG, "base": pa.float64(), "before": _LONG, "after": _LONG, "n": _LONG, "role": pa.int32()} | {f"{a}_{b}": _LONG for a in ("before", "after") for b in ("n", "main")}
+_FOUND = "block long, cell binary, row long, n_tokens long, n_known long, base double, before long, after long, n long, role int, before_n long, before_main long, after_n long, after_main long"
 
 
 def _known(number: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -236,92 +219,116 @@ def _known(number: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.array(counts[np.maximum(number, 0)].astype(np.int64), _LONG, mask=number < 0)
 
 
-def summed_pairs(rows: DataFrame, vocabulary, parts: int) -> DataFrame:
-    """SUMS of the training documents."""
+def blocks(rows: DataFrame, vocabulary, total: int, known: int) -> DataFrame:
+    """FOUND and doc_id. A document's row number is unique; a block bears that of its first document and numbers on."""
 
     def make():
         v = vocabulary.value
-        held: list[list[np.ndarray]] = []
+        held, row = [], TaskContext.get().partitionId() << 33
 
-        def merged():
-            pair, n, left = (np.concatenate([h[i] for h in held]) for i in range(3))
-            order = np.argsort(pair, kind="stable")
-            at = np.flatnonzero(np.append(True, np.diff(pair[order]) != 0))
-            held[:] = [[pair[order][at], np.add.reduceat(n[order], at), np.add.reduceat(left[order], at)]]
-
-        def cells():
-            merged()
-            pair, n, left = held.pop()
-            order, full, cut = by_partition(pair, parts)
-            pair, n, left = pair[order], n[order], left[order]
-            made = [pack([steps(pair[a:b]), n[a:b], left[a:b]], SUM_KINDS) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            return _batch(SUMS, len(full), part=full, cell=made)
+        def block(fields):
+            number, size, role = (np.concatenate([h[i] for h in held]) for i in range(3))
+            held.clear()
+            return _batch(fields, 1, block=[row - len(size)], cell=[pack([number + 1, size, role], BLOCK_KINDS)])
 
         def fn(raw, offsets, piece):
-            p = Pairs(v, raw, offsets, len(piece))
-            left = (piece.column(0).to_numpy() == 2)[p.doc]
-            out = []
-            use = np.flatnonzero(p.numbered)
-            if len(use):
-                pair, where = np.unique(p.number[use], return_inverse=True)
-                held.append([pair, np.bincount(where, minlength=len(pair)).astype(np.uint32), np.bincount(where, left[use], len(pair)).astype(np.uint32)])
-                if sum(len(h[0]) for h in held) > HELD:
-                    merged()
-                    if len(held[0][0]) > HELD // 2:
-                        out.append(cells())
-            rare = np.flatnonzero(~p.numbered)
+            nonlocal row
+            texts, fields = len(piece), FOUND | {"doc_id": piece.schema.field(0).type}
+            names, doc = tokens(raw, offsets)
+            cut, role = np.searchsorted(doc, np.arange(texts + 1)), piece.column(1).to_numpy()
+            word, where = np.unique(names, return_inverse=True)
+            number = v.numbers(word)[where]
+            n = np.where(number >= 0, v.n[number] if len(v.n) else 0, 0).astype(np.int64)
+            base = np.where(number >= 0, np.log10((n + 0.1) / (total + 0.1 * (known + 1))), 0.0)
+            numbers, row = row + np.arange(texts), row + texts
+            out = [_batch(fields, texts, doc_id=piece.column(0), row=numbers, n_tokens=np.diff(cut), n_known=per_text((n > 0).astype(np.int64), cut), base=per_text(base, cut))]
+            before, before_number = np.roll(names, 1), np.roll(number, 1)
+            before[cut[:-1]], before_number[cut[:-1]] = END, v.end
+            rare = np.flatnonzero((number < 0) | (before_number < 0))
             if len(rare):
-                order, at = _grouped(p.after[rare], p.before[rare])
+                order, at = _grouped(names[rare], before[rare], doc[rare])
                 some = rare[order[at]]
-                count = lambda x: np.add.reduceat(x[rare][order].astype(np.int64), at)
-                columns = {"before": p.before[some].view(np.int64), "after": p.after[some].view(np.int64), "n": count(np.ones(len(left))), "left_out": count(left)}
-                out.append(_batch(SUMS, len(some), before_main=_known(p.before_number[some], v.main), after_main=_known(p.after_number[some], v.main), **columns))
-            return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
+                columns = {f"{k}_{c}": _known(x[some], getattr(v, c)) for k, x in (("before", before_number), ("after", number)) for c in ("n", "main")}
+                out.append(_batch(fields, len(some), row=numbers[doc[some]], role=role[doc[some]], before=before[some].view(np.int64), after=names[some].view(np.int64), n=np.diff(np.append(at, len(rare))), **columns))
+            held.append((number.astype(np.int32), np.diff(cut), role))
+            if sum(len(h[0]) for h in held) >= BLOCK:
+                out.append(block(fields))
+            fn.flush = lambda: [block(fields)] if held else []
+            return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
-        fn.flush = lambda: [cells()] if held else []
         return fn
 
-    return expand_text(rows.filter("role > 0"), "text", ["role"], make, T._parse_datatype_string(_SUMS))
+    schema = T._parse_datatype_string(_FOUND).add(T.StructField("doc_id", rows.schema["doc_id"].dataType))
+    return expand_text(rows, "text", ["doc_id", "role"], make, schema)
+
+
+class Block:
+    """The pairs of numbered words of a block: distinct ones in the order of partitions and values, and the place of each token's pair among them."""
+
+    def __init__(self, cell: bytes, end: int, parts: int):
+        number, self.size, self.role = unpack(cell, BLOCK_KINDS)
+        number = number.astype(np.int64) - 1
+        before = np.roll(number, 1)
+        before[np.cumsum(self.size, dtype=np.int64) - self.size] = end
+        self.use = np.flatnonzero((number >= 0) & (before >= 0))
+        pair, where = np.unique(before[self.use].astype(np.uint64) << np.uint64(32) | number[self.use].astype(np.uint64), return_inverse=True)
+        order, self.full, self.cut = by_partition(pair, parts)
+        self.pair, place = pair[order], np.empty(len(pair), np.int64)
+        place[order] = np.arange(len(pair))
+        self.place = place[where]
+
+    def of_tokens(self, each: np.ndarray) -> np.ndarray:
+        """A value of each document for all its tokens with numbered pairs."""
+        return np.repeat(each, self.size)[self.use]
+
 
+def asked(found: DataFrame, vocabulary, parts: int) -> DataFrame:
+    """(part, block, cell): the distinct pairs of each block, with their counts in its training documents."""
 
-def _by_part(batches: Iterator[pa.RecordBatch]):
-    """Of rows sorted by their partition: batches of those without one, then (partition, its cells) one after the other."""
-    part, cells = None, []
+    def run(batches):
+        end = vocabulary.value.end
+        for batch in batches:
+            for block, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                b = Block(cell.as_py(), end, parts)
+                role, size = b.of_tokens(b.role), len(b.pair)
+                n, left = (np.bincount(b.place, x, size) for x in (role > 0, role == 2))
+                made = [pack([np.diff(b.pair[lo:hi], prepend=np.uint64(0)), n[lo:hi], left[lo:hi]], ASKED_KINDS) for lo, hi in zip(b.cut[:-1], b.cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(b.full.astype(np.int32)), pa.array(np.full(len(made), block)), pa.array(made, pa.binary())], names=["part", "block", "cell"])
+
+    return found.filter("cell is not null").select("block", "cell").mapInArrow(run, "part int, block long, cell binary")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: int):
+    """Rows (part, block, cell) sorted by a column: the key and its rows, one key after the other."""
+    now, held = None, []
     for batch in batches:
-        own = batch.column(0)
-        if own.null_count:
-            yield batch.filter(own.is_null())
-        for k, cell in zip(own.to_pylist(), batch.column(1), strict=True):
-            if k is None:
-                continue
-            if cells and k != part:
-                yield part, cells
-                cells = []
-            part = k
-            cells.append(cell.as_py())
-    if cells:
-        yield part, cells
-
-
-def pair_counts(sums: DataFrame, vocabulary, parts: int, hot: int) -> DataFrame:
-    """COUNTS: sums of the pairs of each partition, its most frequent pairs, and what happened to its left-out pairs."""
-    tasks, each = -(-parts // GROUP), -(-hot // parts)
+        for row in zip(*[batch.column(i).to_pylist() for i in range(2)], batch.column(2), strict=True):
+            if held and row[key] != now:
+                yield now, held
+                held = []
+            now = row[key]
+            held.append((*row[:2], row[2].as_py()))
+    if held:
+        yield now, held
+
+
+#: Answers to blocks (part, block, cell), and events: what happened to the left-out pairs.
+ANSWERS = {"part": pa.int32(), "block": _LONG, "cell": pa.binary()} | {k: _LONG for k in ("bucket", "both", "before", "after", "n")}
+_ANSWERS = "part int, block long, cell binary, bucket long, both long, before long, after long, n long"
+
+
+def answers(asks: DataFrame, vocabulary, tasks: int) -> DataFrame:
+    """ANSWERS: counts of all training documents in the order in which a block asks, and (bucket, both, before, after, n) events."""
 
     def run(batches):
         v = vocabulary.value
-        for got in _by_part(batches):
-            if isinstance(got, pa.RecordBatch):
-                yield _batch(COUNTS, len(got), kind=np.full(len(got), 2, np.int32), **{k: got.column(i) for i, k in enumerate(SUMS) if i > 1})
-                continue
-            columns = list(zip(*[unpack(x, SUM_KINDS) for x in got[1]], strict=True))
-            pair = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in columns[0]])
-            order = np.argsort(pair, kind="stable")
-            pair = pair[order]
-            at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-            pair = pair[at]
-            n, left = (np.add.reduceat(np.concatenate(c)[order].astype(np.int64), at) for c in columns[1:])
-            top = np.argsort(-n, kind="stable")[:each]
-            yield _batch(COUNTS, len(top), kind=np.zeros(len(top), np.int32), pair=pair[top].view(np.int64), n=n[top])
+        for part, rows in _runs(batches, 0):
+            columns = list(zip(*[unpack(x, ASKED_KINDS) for _, _, x in rows], strict=True))
+            ends = np.cumsum([0, *map(len, columns[0])])
+            pair, at = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in columns[0]]), return_inverse=True)
+            n, left = (np.bincount(at, np.concatenate(c), len(pair)).astype(np.int64) for c in columns[1:])
+            back = n[at]
+            yield _batch(ANSWERS, len(rows), part=np.full(len(rows), part, np.int32), block=[b for _, b, _ in rows], cell=[pack([back[lo:hi]], ANSWER_KINDS) for lo, hi in zip(ends[:-1], ends[1:], strict=True)])
             use = left > 0
             both = (n - left)[use]
             before, after = (v.main[x.astype(np.int64)].astype(np.int64) for x in (pair[use] >> np.uint64(32), pair[use] & np.uint64(2**32 - 1)))
@@ -329,10 +336,9 @@ def pair_counts(sums: DataFrame, vocabulary, parts: int, hot: int) -> DataFrame:
             order, at = _grouped(after, before, both)
             if len(at):
                 some = order[at]
-                yield _batch(COUNTS, len(at), kind=np.ones(len(at), np.int32), bucket=bucket(before[some]), both=both[some], before=before[some], after=after[some], n=np.add.reduceat(left[use][order], at))
+                yield _batch(ANSWERS, len(at), bucket=bucket(before[some]), both=both[some], before=before[some], after=after[some], n=np.add.reduceat(left[use][order], at))
 
-    where = F.coalesce(F.pmod("part", F.lit(tasks)).cast("long"), F.xxhash64("before", "after"))
-    return sums.repartition(tasks, where).sortWithinPartitions("part").mapInArrow(run, _COUNTS)
+    return asks.repartition(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part").mapInArrow(run, _ANSWERS)
 
 
 def learn_weights(events: DataFrame, total: int, words: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -399,130 +405,47 @@ def rare_scores(found: DataFrame, rare: DataFrame, words: DataFrame, weights: np
 
 # Scores of documents -----------------------------------------------------------------------------
 
-#: What a task makes of documents: rows of documents, cells of records of pairs by partition, and pairs with a rare word.
-FOUND = {"part": pa.int32(), "cell": pa.binary(), "row": _LONG, "n_tokens": _LONG, "n_known": _LONG, "base": pa.float64(), "score": pa.float64(), "before": _LONG, "after": _LONG, "n": _LONG, "before_n": _LONG, "after_n": _LONG}
-_FOUND = "part int, cell binary, row long, n_tokens long, n_known long, base double, score double, before long, after long, n long, before_n long, after_n long"
 
-
-def scored_hot(rows: DataFrame, vocabulary, hot, parts: int, total: int, known: int) -> DataFrame:
-    """FOUND and doc_id of all documents, with scores over their hot pairs."""
-    id_ = rows.schema["doc_id"]
-
-    def make():
-        v, (hot_pairs, logs) = vocabulary.value, hot.value
-        held, row = [], TaskContext.get().partitionId() << 33
-
-        def cells(ids):
-            pair, of, n, role = (np.concatenate([h[i] for h in held]) for i in range(4))
-            held.clear()
-            order, full, cut = by_partition(pair, parts)
-            made = []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                at = order[a:b]
-                docs, place = np.unique(of[at], return_inverse=True)
-                made.append(pack([steps(pair[at]), place, n[at], role[at], docs], RECORD_KINDS))
-            return _batch(FOUND | {"doc_id": ids}, len(full), part=full, cell=made)
-
-        def fn(raw, offsets, piece):
-            nonlocal row
-            p, texts, ids = Pairs(v, raw, offsets, len(piece)), len(piece), piece.schema.field(0).type
-            numbers, row = row + np.arange(texts), row + texts
-            role, fields = piece.column(1).to_numpy().astype(np.uint8), FOUND | {"doc_id": ids}
-            n = np.where(p.after_number >= 0, v.n[p.after_number] if len(v.n) else 0, 0).astype(np.int64)
-            base = np.where(p.after_number >= 0, np.log10((n + 0.1) / (total + 0.1 * (known + 1))), 0.0)
-            # a text's equal pairs are one record
-            use = np.flatnonzero(p.numbered)
-            order, at = _grouped(p.number[use], p.doc[use])
-            some, many = use[order[at]], np.diff(np.append(at, len(use)))
-            pair, doc = p.number[some], p.doc[some]
-            spot = np.minimum(np.searchsorted(hot_pairs, pair), max(len(hot_pairs) - 1, 0))
-            is_hot = hot_pairs[spot] == pair if len(hot_pairs) else np.zeros(len(pair), bool)
-            score = np.bincount(doc[is_hot], logs[spot[is_hot]] * many[is_hot], texts) if is_hot.any() else np.zeros(texts)
-            out = [_batch(fields, texts, doc_id=piece.column(0), row=numbers, n_tokens=np.diff(p.cut), n_known=per_text((n > 0).astype(np.int64), p.cut), base=per_text(base, p.cut), score=score)]
-            cold = ~is_hot
-            held.append([pair[cold], numbers[doc[cold]], many[cold].astype(np.uint32), role[doc[cold]]])
-            rare = np.flatnonzero(~p.numbered)
-            if len(rare):
-                order, at = _grouped(p.after[rare], p.before[rare], p.doc[rare])
-                some = rare[order[at]]
-                columns = {"before": p.before[some].view(np.int64), "after": p.after[some].view(np.int64), "n": np.diff(np.append(at, len(rare)))}
-                out.append(_batch(fields, len(some), row=numbers[p.doc[some]], before_n=_known(p.before_number[some], v.n), after_n=_known(p.after_number[some], v.n), **columns))
-            if sum(len(h[0]) for h in held) > HELD:
-                out.append(cells(ids))
-            fn.flush = lambda: [cells(ids)] if held else []
-            return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-
-        return fn
-
-    schema = T._parse_datatype_string(_FOUND).add(T.StructField("doc_id", id_.dataType))
-    return expand_text(rows, "text", ["doc_id", "role"], make, schema)
-
-
-def cold_scores(found: DataFrame, vocabulary, weights: np.ndarray, parts: int, total: int, known: int) -> DataFrame:
-    """(row, score): sums over the pairs that are numbered but not hot, added up over the partitions of a task."""
-    tasks = -(-parts // GROUP)
+def block_scores(cells: DataFrame, vocabulary, weights: np.ndarray, parts: int, tasks: int, total: int, known: int) -> DataFrame:
+    """(row, score) of every document over its pairs of numbered words. ``cells`` (part, block, cell): blocks, without a part, and answers."""
 
     def run(batches):
-        v, held = vocabulary.value, []
-
-        def merged():
-            rows, where = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            held[:] = [(rows, np.bincount(where, np.concatenate([h[1] for h in held]), len(rows)))]
-
-        def batch():
-            rows, sums = held.pop()
-            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums)], names=["row", "score"])
-
-        for _, cells in _by_part(batches):
-            pair, row, n, role = [], [], [], []
-            for x in cells:
-                step, place, many, kind, docs = unpack(x, RECORD_KINDS)
-                for o, c in zip((pair, row, n, role), (np.cumsum(step, dtype=np.uint64), docs[place], many, kind), strict=True):
-                    o.append(c)
-            pair, row, n, role = map(np.concatenate, (pair, row, n, role))
-            order = np.argsort(pair, kind="stable")
-            pair, row, n, role = pair[order], row[order], n[order].astype(np.int64), role[order]
-            at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-            both = np.add.reduceat(np.where(role > 0, n, 0), at)
-            before, after = (v.n[x.astype(np.int64)].astype(np.int64) for x in (pair[at] >> np.uint64(32), pair[at] & np.uint64(2**32 - 1)))
+        v = vocabulary.value
+        for block, rows in _runs(batches, 1):
+            b = Block(rows[0][2], v.end, parts)
+            both = np.concatenate([np.zeros(0, np.uint32), *[unpack(x, ANSWER_KINDS)[0] for _, _, x in rows[1:]]])
+            before, after = (v.n[x.astype(np.int64)].astype(np.int64) for x in (b.pair >> np.uint64(32), b.pair & np.uint64(2**32 - 1)))
             logs = np.log10(mixture(weights, both, before, after, total, known))
-            held.append((row, np.repeat(logs, np.diff(np.append(at, len(pair)))) * n))
-            merged()
-            if len(held[0][0]) > HELD // 2:
-                yield batch()
-        if held:
-            yield batch()
+            doc = b.of_tokens(np.arange(len(b.size)))
+            yield pa.RecordBatch.from_arrays([pa.array(block + np.arange(len(b.size))), pa.array(np.bincount(doc, logs[b.place], len(b.size)), pa.float64())], names=["row", "score"])
 
-    cells = found.filter("part is not null").select("part", "cell").repartition(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part")
-    return cells.mapInArrow(run, "row long, score double")
+    return cells.repartition(tasks, "block").sortWithinPartitions("block", "part").mapInArrow(run, "row long, score double")
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", word_limit: int = WORDS, hot_limit: int = HOT) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", word_limit: int = WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    ``word_limit`` and ``hot_limit`` bound the two tables that are sent to every task; scores don't depend on them.
+    ``word_limit`` bounds the words that are sent to every task; scores don't depend on it.
     """
-    spark, rows = docs.sparkSession, _rows(docs, key, text)
+    rows = _rows(docs, key, text)
     words = durable(word_counts(rows), "words")
     known, total, main = words.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.col("n") - F.col("left_out"))).first()
     total, main = int(total or 0), int(main or 0)
     parts = max(8, -(-total // PAIRS))
-    table = Vocabulary(*fetched(most_frequent(words, word_limit), "word"))
-    vocabulary = spark.sparkContext.broadcast(table)
-    counts = durable(pair_counts(summed_pairs(rows, vocabulary, parts), vocabulary, parts, hot_limit), "counts")
-    own = [F.sum("n").alias("n"), F.sum("left_out").alias("left_out"), F.max("before_main").alias("before_main"), F.max("after_main").alias("after_main")]
-    rare = durable(counts.filter("kind = 2").groupBy("before", "after").agg(*own), "rare")
-    events = counts.filter("kind = 1").select("bucket", "both", "before", "after", "n").unionByName(durable(rare_events(rare, words), "events"))
+    tasks = max(8, -(-parts // GROUP))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(*fetched(most_frequent(words, word_limit), "word")))
+    found = durable(blocks(rows, vocabulary, total, known), "blocks")
+    back = durable(answers(asked(found, vocabulary, parts), vocabulary, tasks), "answers")
+    rare_rows = found.filter("before is not null")
+    in_role = lambda *r: F.sum(F.when(F.col("role").isin(*r), F.col("n")).otherwise(0))
+    rare = rare_rows.groupBy("before", "after").agg(in_role(1, 2).alias("n"), in_role(2).alias("left_out"), *[F.max(c).alias(c) for c in ("before_main", "after_main")])
+    rare = durable(rare, "rare")
+    events = back.filter("bucket is not null").select("bucket", "both", "before", "after", "n").unionByName(durable(rare_events(rare, words), "events"))
     weights = learn_weights(events, main, known)
-    pair, n = fetched(counts.filter("kind = 0").select("pair", "n"), "pair")
-    order = np.argsort(pair.view(np.uint64))
-    pair, n = pair.view(np.uint64)[order], n[order]
-    sides = [table.n[x.astype(np.int64)].astype(np.int64) for x in (pair >> np.uint64(32), pair & np.uint64(2**32 - 1))]
-    hot = spark.sparkContext.broadcast((pair, np.log10(mixture(weights, n, *sides, total, known))))
-    found = durable(scored_hot(rows, vocabulary, hot, parts, total, known), "found")
-    cold = cold_scores(found, vocabulary, weights, parts, total, known).select("row", "score", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"))
-    scores = cold.unionByName(rare_scores(found.filter("before is not null"), rare, words, weights, total, known))
+    cells = found.filter("cell is not null").select(F.lit(None).cast("int").alias("part"), "block", "cell").unionByName(back.filter("cell is not null").select("part", "block", "cell"))
+    scores = block_scores(cells, vocabulary, weights, parts, tasks, total, known).select("row", "score", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"))
+    scores = scores.unionByName(rare_scores(rare_rows, rare, words, weights, total, known))
     scores = scores.groupBy("row").agg(*[F.sum(c).alias(f"more_{c}") for c in ("score", "base", "known")])
     out = found.filter("n_tokens is not null").join(scores, "row", "left").fillna(0, [f"more_{c}" for c in ("score", "base", "known")])
     both = lambda a, b: F.col(a) + F.col(f"more_{b}")
-    return out.select("doc_id", (fold_of("doc_id", FOLDS) == 0).alias("held_out"), "n_tokens", both("n_known", "known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), both("base", "base").alias("base_score"), both("score", "score").alias("score"))
+    return out.select("doc_id", (fold_of("doc_id", FOLDS) == 0).alias("held_out"), "n_tokens", both("n_known", "known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), both("base", "base").alias("base_score"), F.col("more_score").alias("score"))
