@@ -3,19 +3,18 @@
 Texts that are equal stay together, so the tree's points are groups of equal texts, weighted by bytes.
 A leaf that still holds more than one shard is split along the dimension in which it is widest
 (in units of the whole table's range), at a weighted quantile that a few rounds of distributed
-histograms narrow down; the shards go to both sides in proportion to their bytes. Only bounds and
-histograms (rows in proportion to the number of shards) come to the driver.
-
-Defined results: a null text counts as empty; null metadata counts as 0; one group that is larger than
-a shard fills a shard of its own; equal rows get neighbouring slots; fewer groups than shards leave
-shards empty; an empty table gives an empty table; columns that are not named are not looked at.
+histograms narrow down; the shards go to both sides in proportion to their bytes. Points, leaves,
+histograms and cuts are tables; the driver sees the totals of the whole table and one count a round.
+
+Defined results: a null text counts as empty; metadata that is null, NaN or infinite counts as 0; texts are told
+apart by 64-bit hashes (a collision puts two texts into one shard); a text of any length is one group, and a group
+that is larger than a shard fills a shard of its own; equal rows get neighbouring slots; fewer groups than shards
+leave shards empty; an empty table gives an empty table; columns that are not named are not looked at, and
+``sharded`` replaces one named ``shard`` and passes all others through.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,41 +25,11 @@ BINS = 256
 #: A cut may miss its quantile by this share of the leaf.
 TOLERANCE = 0.001
 SLOT_ROWS = 10_000
-
-
-@dataclass
-class Leaf:
-    node: int
-    first: int
-    shards: int
-    bytes: int
-    low: list[float]
-    high: list[float]
-
-
-@dataclass
-class Cut:
-    """A search for a weighted quantile: first along the dimension, then along the key among equal values."""
-
-    leaf: Leaf
-    dim: int
-    goal: float
-    low: float
-    high: float
-    below: float = 0.0
-    key_low: int = -(2**63)
-    key_high: int = 2**63 - 1
-    by_key: bool = False
-    done: bool = False
-    value: float = 0.0
-    key: int = -(2**63)
-
-
-def _values(spark, rows: list[tuple], schema: str) -> DataFrame:
-    kinds = [f.dataType.simpleString() for f in T._parse_datatype_string(schema).fields]
-    cells = ", ".join("(" + ", ".join(f"CAST('{x}' AS {k})" for x, k in zip(row, kinds, strict=True)) + ")" for row in rows)
-    names = ", ".join(f.name for f in T._parse_datatype_string(schema).fields)
-    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {cells} AS t({names})"))  # a row a node at most
+#: Rounds of histograms that a cut takes at most; what it has then is a cut, if a less even one.
+ROUNDS = 20
+#: Levels that node numbers have room for; leaves at the last one aren't split.
+DEPTH = 60
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 def _number(df: DataFrame, column: str) -> Column:
@@ -68,7 +37,8 @@ def _number(df: DataFrame, column: str) -> Column:
     c = F.col(f"`{column}`")
     kind = df.schema[column].dataType
     if isinstance(kind, T.NumericType):
-        return F.coalesce(c.cast("double"), F.lit(0.0))
+        v = c.cast("double")
+        return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v)
     if isinstance(kind, (T.TimestampType, T.DateType)):
         return F.coalesce(F.unix_timestamp(c).cast("double"), F.lit(0.0))
     return F.coalesce(F.crc32(c.cast("string").cast("binary")).cast("double"), F.lit(0.0))
@@ -80,108 +50,110 @@ def kd_shards(items: DataFrame, weight: str, group: str, dims: list[str], shards
     ``weight`` is a long column; ``dims`` are double columns (a group's smallest value counts). Either
     the number of ``shards`` is given, or ``target_bytes``, which the leaves reach.
     """
-    spark = items.sparkSession
-    n = len(dims)
-    points = items.groupBy(F.col(group).alias("__group")).agg(F.sum(weight).alias("__w"), *[F.min(d).alias(f"__d{i}") for i, d in enumerate(dims)])
-    points = durable(points.withColumn("__node", F.lit(1)), "points")
-    ends = points.agg(F.sum("__w").alias("w"), *[f(f"__d{i}").alias(f"{k}{i}") for i in range(n) for k, f in (("a", F.min), ("b", F.max))]).first()
-    if ends["w"] is None:
+    dims_ = [f"__d{i}" for i in range(len(dims))]
+    points = items.groupBy(F.col(group).alias("__group")).agg(F.sum(weight).alias("__w"), *[F.min(d).alias(c) for d, c in zip(dims, dims_, strict=True)])
+    points = durable(points.withColumn("__node", F.lit(1).cast("long")), "points")
+    whole = _extents(points, dims_)
+    ends = whole.first()
+    if ends is None:
         return points.select(F.col("__group").alias(group), F.lit(0).alias("shard"))
     if shards is None:
-        shards = max(1, -(-int(ends["w"]) // int(target_bytes)))
-    scale = [max(ends[f"b{i}"] - ends[f"a{i}"], 1e-300) for i in range(n)]
-    leaves, final = [Leaf(1, 0, shards, int(ends["w"]), [ends[f"a{i}"] for i in range(n)], [ends[f"b{i}"] for i in range(n)])], []
-    while leaves:
-        final += [x for x in leaves if x.shards == 1]
-        if not (open_ := [x for x in leaves if x.shards > 1]):
+        shards = max(1, -(-int(ends["bytes"]) // int(target_bytes)))
+    scale = [max(b - a, 1e-300) for a, b in zip(ends["low"], ends["high"], strict=True)]
+    leaves = durable(whole.select("node", F.lit(0).alias("first"), F.lit(int(shards)).alias("shards"), "bytes", "low", "high"), "leaves")
+    for _ in range(DEPTH):
+        open_ = leaves.filter("shards > 1")
+        if not open_.limit(1).count():
+            break
+        cuts = _search(points, _start(open_, scale), dims_)
+        points = durable(_split(points, cuts, dims_), "points")  # else each level would split anew from the root
+        leaves = durable(leaves.filter("shards = 1").unionByName(_halves(_extents(points, dims_), open_)), "leaves")
+    numbers = leaves.select(F.col("node").alias("__leaf"), F.col("first").alias("shard"))
+    return points.join(numbers, F.col("__node") == F.col("__leaf")).select(F.col("__group").alias(group), "shard")
+
+
+def _extents(points: DataFrame, dims: list[str]) -> DataFrame:
+    """(node, bytes, low, high) of every node that has points."""
+    ends = [F.array(*[f(d) for d in dims]).alias(k) for k, f in (("low", F.min), ("high", F.max))]
+    return points.groupBy(F.col("__node").alias("node")).agg(F.sum("__w").alias("bytes"), *ends)
+
+
+def _halves(extents: DataFrame, parents: DataFrame) -> DataFrame:
+    """The leaves below ``parents``. Shards are dealt by bytes; a leaf that couldn't be split keeps one, its others stay empty."""
+    up = parents.select(F.col("node").alias("parent"), "first", "shards", F.col("bytes").alias("all"))
+    side = extents.join(up, F.shiftright("node", 1) == F.col("parent"))
+    left = F.when(F.col("node") % 2 == 0, F.col("bytes")).otherwise(F.col("all") - F.col("bytes"))
+    share = F.least(F.greatest(F.round(F.col("shards") * left / F.col("all")).cast("int"), F.lit(1)), F.col("shards") - 1)
+    alone = F.col("bytes") == F.col("all")
+    one = F.col("node") % 2 == 0
+    first = F.when(alone | one, F.col("first")).otherwise(F.col("first") + share)
+    return side.select("node", first.alias("first"), F.when(alone, 1).when(one, share).otherwise(F.col("shards") - share).alias("shards"), "bytes", "low", "high")
+
+
+def _start(leaves: DataFrame, scale: list[float]) -> DataFrame:
+    """A search for each leaf's weighted quantile: first along its widest dimension, then along the key among equal values."""
+    wide = [(F.get("high", F.lit(i)) - F.get("low", F.lit(i))) / F.lit(x) for i, x in enumerate(scale)]
+    dim = F.array_position(F.array(*wide), F.greatest(*wide) if len(wide) > 1 else wide[0]).cast("int") - 1
+    x = leaves.withColumn("dim", dim).select("node", "dim", "bytes", (F.col("bytes") * F.floor(F.col("shards") / 2) / F.col("shards")).alias("goal"), F.get("low", F.col("dim")).alias("low"), F.get("high", F.col("dim")).alias("high"))
+    return x.select("*", (F.col("low") == F.col("high")).alias("by_key"), F.lit(_LEAST).alias("key_low"), F.lit(_MOST).alias("key_high"), F.lit(0).cast("double").alias("below"), F.lit(False).alias("done"), F.col("low").alias("value"), F.lit(_LEAST).alias("cut_key"))
+
+
+def _search(points: DataFrame, cuts: DataFrame, dims: list[str]) -> DataFrame:
+    """Narrow every cut to its quantile, all leaves at once: one aggregation a round."""
+    cuts = durable(cuts, "cuts")
+    for _ in range(ROUNDS):
+        live = cuts.filter("not done")
+        if not live.limit(1).count():
             break
-        cuts = {}
-        for x in open_:
-            dim = max(range(n), key=lambda i: (x.high[i] - x.low[i]) / scale[i])
-            cuts[x.node] = Cut(x, dim, x.bytes * (x.shards // 2) / x.shards, x.low[dim], x.high[dim], by_key=x.low[dim] == x.high[dim], value=x.low[dim])
-        _search(points, cuts)
-        points = durable(_split(points, cuts), "points")  # else each round would split anew from the root
-        # both halves as they are now
-        rows = points.filter(F.col("__node").isin([m for x in cuts for m in (2 * x, 2 * x + 1)])).groupBy("__node")
-        rows = rows.agg(F.sum("__w").alias("w"), *[f(f"__d{i}").alias(f"{k}{i}") for i in range(n) for k, f in (("a", F.min), ("b", F.max))]).collect()
-        got = {r["__node"]: r for r in rows}
-        leaves = []
-        for x in open_:
-            sides = [got.get(2 * x.node + s) for s in (0, 1)]
-            if None in sides:  # one group, which cannot be split: the other shards stay empty
-                final += [Leaf(r["__node"], x.first, 1, int(r["w"]), [], []) for r in sides if r]
-                continue
-            left = min(max(round(x.shards * sides[0]["w"] / x.bytes), 1), x.shards - 1)
-            for r, first, count in ((sides[0], x.first, left), (sides[1], x.first + left, x.shards - left)):
-                leaves.append(Leaf(r["__node"], first, count, int(r["w"]), [r[f"a{i}"] for i in range(n)], [r[f"b{i}"] for i in range(n)]))
-    numbers = _values(spark, [(x.node, x.first) for x in final], "node int, shard int")
-    return points.join(numbers, F.col("__node") == F.col("node")).select(F.col("__group").alias(group), "shard")
-
-
-def _search(points: DataFrame, cuts: dict[int, Cut]) -> None:
-    """Narrow every cut to its quantile: all leaves in one aggregation a round."""
-    spark = points.sparkSession
-    for _ in range(20):
-        live = [c for c in cuts.values() if not c.done]
-        if not live:
-            return
-        rows = [(c.leaf.node, c.dim, c.low, c.high, c.by_key, c.key_low, c.key_high) for c in live]
-        s = _values(spark, rows, "node int, dim int, low double, high double, by_key boolean, key_low bigint, key_high bigint")
-        dims = [c for c in points.columns if c.startswith("__d")]
-        x = points.join(s, F.col("__node") == F.col("node")).withColumn("v", F.element_at(F.array(*dims), F.col("dim") + 1))
+        x = points.join(live, F.col("__node") == F.col("node")).withColumn("v", F.get(F.array(*dims), F.col("dim")))
         step = F.when(F.col("high") > F.col("low"), (F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS).otherwise(0.0)
         wide = F.col("key_high").cast("double") - F.col("key_low").cast("double") + 1
         key_step = (F.col("__group").cast("double") - F.col("key_low").cast("double")) / wide * BINS
         keep = F.when(F.col("by_key"), (F.col("v") == F.col("low")) & F.col("__group").between(F.col("key_low"), F.col("key_high"))).otherwise(F.col("v").between(F.col("low"), F.col("high")))
         bin_ = F.least(F.floor(F.when(F.col("by_key"), key_step).otherwise(step)).cast("int"), F.lit(BINS - 1))
-        got = x.filter(keep).groupBy("node", bin_.alias("bin")).agg(F.sum("__w").alias("w"), F.min("v").alias("a"), F.max("v").alias("b"), F.min("__group").alias("ka"), F.max("__group").alias("kb")).collect()
-        by_node: dict[int, list] = {}
-        for r in got:  # BINS rows a leaf at most
-            by_node.setdefault(r["node"], []).append(r)
-        for c in live:
-            _narrow(c, sorted(by_node.get(c.leaf.node, []), key=lambda r: r["bin"]))
-    for c in cuts.values():
-        c.done = True
-
-
-def _narrow(c: Cut, bins: list) -> None:
-    """Look at a histogram: stop at a bin's edge that is near enough the goal, else go into the bin that holds it."""
-    below = c.below
-    for k, r in enumerate(bins):
-        if below + r["w"] < c.goal and k + 1 < len(bins):
-            below += r["w"]
-            continue
-        near_left, near_right = abs(c.goal - below), abs(below + r["w"] - c.goal)
-        only = r["ka"] == r["kb"] if c.by_key else False
-        if only or min(near_left, near_right) <= TOLERANCE * c.leaf.bytes:
-            nxt = bins[k + 1] if k + 1 < len(bins) else None
-            left_empty = below == 0
-            if (near_left <= near_right and not left_empty) or (nxt is None and not left_empty):
-                c.value, c.key = (c.low, r["ka"]) if c.by_key else (r["a"], -(2**63))
-            elif nxt is not None:
-                c.value, c.key = (c.low, nxt["ka"]) if c.by_key else (nxt["a"], -(2**63))
-            elif c.by_key:  # only one group has this value: what is above it goes right
-                c.value, c.key = math.nextafter(c.low, math.inf), -(2**63)
-            else:
-                c.low, c.high, c.below = r["a"], r["b"], below
-                c.by_key = r["a"] == r["b"]
-                return
-            c.done = True
-        elif c.by_key:
-            c.key_low, c.key_high, c.below = r["ka"], r["kb"], below
-        else:
-            c.low, c.high, c.below, c.by_key = r["a"], r["b"], below, r["a"] == r["b"]
-        return
-    c.done = True
-
-
-def _split(points: DataFrame, cuts: dict[int, Cut]) -> DataFrame:
-    s = _values(points.sparkSession, [(c.leaf.node, c.dim, c.value, c.key) for c in cuts.values()], "node int, dim int, value double, cut_key bigint")
-    dims = [c for c in points.columns if c.startswith("__d")]
-    x = points.join(s, F.col("__node") == F.col("node"), "left")
-    v = F.element_at(F.array(*dims), F.col("dim") + 1)
+        sums = [F.sum("__w").alias("w"), F.min("v").alias("a"), F.max("v").alias("b"), F.min("__group").alias("ka"), F.max("__group").alias("kb")]
+        bins = x.filter(keep).groupBy("node", bin_.alias("bin")).agg(*sums)
+        cuts = durable(cuts.filter("done").unionByName(_narrowed(bins, live)), "cuts")
+    return cuts
+
+
+def _narrowed(bins: DataFrame, live: DataFrame) -> DataFrame:
+    """The searches after a look at their histograms: done at a bin's edge that is near enough the goal, else gone into the bin that holds it."""
+    own = Window.partitionBy("node").orderBy("bin")
+    x = bins.select("*", (F.sum("w").over(own) - F.col("w")).alias("before"), F.lead("a").over(own).alias("next_a"), F.lead("ka").over(own).alias("next_ka"))
+    x = x.join(live, "node").withColumn("left", F.col("below") + F.col("before")).withColumn("right", F.col("left") + F.col("w"))
+    # the first bin that reaches the goal, or the last one
+    last = F.col("next_ka").isNull()
+    x = x.filter((F.col("left") < F.col("goal")) | (F.col("before") == 0)).filter((F.col("right") >= F.col("goal")) | last)
+    by_key = F.col("by_key")
+    to_left, to_right = F.abs(F.col("goal") - F.col("left")), F.abs(F.col("right") - F.col("goal"))
+    near = (by_key & (F.col("ka") == F.col("kb"))) | (F.least(to_left, to_right) <= F.col("bytes") * TOLERANCE)
+    at_left = (F.col("left") > 0) & ((to_left <= to_right) | last)  # the bin goes right
+    at_right = ~at_left & ~last  # the bin goes left, what follows right
+    stuck = ~at_left & ~at_right
+    # a bin that holds everything: what lies above a single group's value goes right, other bins are looked into
+    done = near & (~stuck | by_key)
+    value = F.when(by_key & stuck, F.col("low") + F.abs(F.col("low")) * 1e-15 + 1e-300).when(by_key, F.col("low")).when(at_left, F.col("a")).otherwise(F.col("next_a"))
+    cut_key = F.when(by_key & at_left, F.col("ka")).when(by_key & at_right, F.col("next_ka")).otherwise(F.lit(_LEAST))
+    return x.select(
+        "node", "dim", "bytes", "goal",
+        F.when(done | by_key, F.col("low")).otherwise(F.col("a")).alias("low"),
+        F.when(done | by_key, F.col("high")).otherwise(F.col("b")).alias("high"),
+        F.when(by_key, True).otherwise(~done & (F.col("a") == F.col("b"))).alias("by_key"),
+        F.when(by_key & ~done, F.col("ka")).otherwise(F.col("key_low")).alias("key_low"),
+        F.when(by_key & ~done, F.col("kb")).otherwise(F.col("key_high")).alias("key_high"),
+        F.when(done, F.col("below")).otherwise(F.col("left")).alias("below"),
+        done.alias("done"),
+        F.when(done, value).otherwise(F.col("value")).alias("value"),
+        F.when(done, cut_key).otherwise(F.col("cut_key")).alias("cut_key"),
+    )
+
+
+def _split(points: DataFrame, cuts: DataFrame, dims: list[str]) -> DataFrame:
+    x = points.join(cuts.select("node", "dim", "value", "cut_key"), F.col("__node") == F.col("node"), "left")
+    v = F.get(F.array(*dims), F.col("dim"))
     right = (v > F.col("value")) | ((v == F.col("value")) & (F.col("__group") >= F.col("cut_key")))
-    node = F.when(F.col("node").isNull(), F.col("__node")).otherwise(F.col("__node") * 2 + right.cast("int"))
+    node = F.when(F.col("node").isNull(), F.col("__node")).otherwise(F.col("__node") * 2 + right.cast("long"))
     return x.select("__group", "__w", *dims, node.alias("__node"))
 
 
@@ -199,17 +171,19 @@ def shard_documents(docs: DataFrame, shards: int | None = 24, target_bytes: int
     rows = durable(rows, "items")
     placed = kd_shards(rows, "size", "__text", [f"__m{i}" for i in range(len(found))], shards, target_bytes)
     placed = rows.select("doc_id", "size", "text_crc32", "__text").join(placed, "__text")
-    return _slots(durable(placed, "placed")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = durable(placed.withColumn("__row", F.monotonically_increasing_id()), "placed")  # numbers hold once they are written
+    return _slots(placed).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _slots(placed: DataFrame) -> DataFrame:
     """Number the rows of each shard from 0, in buckets of bounded size."""
     buckets = max(1, placed.count() // SLOT_ROWS)
-    placed = placed.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "__text"), F.lit(buckets)))
+    spread = F.when(F.col("doc_id").isNull(), F.col("__row"))  # rows without an id may be equal in great numbers
+    placed = placed.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "__text", spread), F.lit(buckets)))
     counts = placed.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("shard", "__bucket").orderBy("doc_id", "__text")
+    inside = Window.partitionBy("shard", "__bucket").orderBy("doc_id", "__text", "__row")
     numbered = placed.withColumn("__at", F.row_number().over(inside) - 1)
     return numbered.join(counts, ["shard", "__bucket"]).withColumn("slot", (F.col("__before") + F.col("__at")).cast("long"))
 
