@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by inner product, with an adaptive dimension scan.
 
-Vectors are dealt to the lists of the nearest centroid (k-means on a bounded sample of ``SAMPLE`` rows;
-every row is indexed) and packed into blocks of bounded size, so that a large list is many blocks. A
+Vectors are dealt to lists by their nearest coarse centroid and the nearest fine one to what is left of them
+(k-means on a bounded sample of ``SAMPLE`` rows; every row is indexed). A list's centre is the sum of both, so that
+the number of lists grows with the square root of the rows while two small tables of centroids go to the tasks. Lists
+are packed into blocks of bounded size; a large list is dealt in salts, each of which meets all queries of the list. A
 query first scans its nearest lists in full, which gives a bound for its k-th best score. In the other
 lists that it probes, randomly rotated vectors are compared a block of columns at a time: a hypothesis
 test (Gao and Long, ADSampling) on the partial distance abandons a candidate as soon as its distance is
@@ -27,9 +29,12 @@ from pyspark.sql import types as T
 from .common import durable
 
 SAMPLE = 32_768
-MAX_LISTS = 4096
+#: Coarse centroids, and fine ones, at most; lists are pairs of them.
+COARSE = 4096
 CALIBRATION = 100
 RECALL = 0.975
+#: Scores of queries with lists that a task looks at together.
+SCORES = 1 << 22
 #: Lists that a query scans in full before any test.
 FIRST_LISTS = 3
 BLOCK = 1024
@@ -64,7 +69,7 @@ def centroids(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     distinct = np.unique(sample, axis=0)
     c = distinct[rng.choice(len(distinct), min(lists, len(distinct)), replace=False)].copy()
     for _ in range(rounds):
-        near = nearest_list(sample, c)
+        near = nearest(sample, c)
         order = np.argsort(near, kind="stable")
         cut = np.searchsorted(near[order], np.arange(len(c) + 1))
         full = np.flatnonzero(np.diff(cut))
@@ -72,10 +77,31 @@ def centroids(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def nearest_list(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmax(x @ c.T - 0.5 * np.einsum("ij,ij->i", c, c), axis=1)
 
 
+class Lists:
+    """Coarse and fine centroids; list number = coarse number times fine ones plus fine number."""
+
+    def __init__(self, sample: np.ndarray, lists: int, most: int):
+        self.coarse = centroids(sample, min(lists, most))
+        fine = -(-lists // len(self.coarse)) if lists > most else 1
+        rest = sample - self.coarse[nearest(sample, self.coarse)]
+        self.fine = centroids(rest, min(fine, most)) if fine > 1 else np.zeros((1, sample.shape[1]))
+
+    def __len__(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        first = nearest(x, self.coarse)
+        return first * len(self.fine) + nearest(x - self.coarse[first], self.fine)
+
+    def scores(self, q: np.ndarray) -> np.ndarray:
+        """Inner products with the centres of all lists."""
+        return ((q @ self.coarse.T)[:, :, None] + (q @ self.fine.T)[:, None, :]).reshape(len(q), -1)
+
+
 def best(scores: np.ndarray, query: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of each query's k best pairs, ties to the smaller id."""
     order = np.lexsort((ids, -scores, query))
@@ -109,7 +135,7 @@ def exact(rows: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int, dim: in
 
 
 def packed(rows: DataFrame, dim: int, extra: bool) -> DataFrame:
-    """(list, salt, ids, vectors, bounds): the rows of each list and salt in blocks of bounded size."""
+    """(list, salt, ids, vectors, bounds): the rows of each list and salt in blocks of bounded size; columns list, salt, vec_id, v (and bound) come in."""
     size = QUERIES if extra else BLOCK
 
     def run(batches):
@@ -119,7 +145,7 @@ def packed(rows: DataFrame, dim: int, extra: bool) -> DataFrame:
             count += len(batch)
             if count >= 64 * size:
                 ready = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                last = np.flatnonzero(np.diff(ready.column(0).to_numpy()))
+                last = np.flatnonzero(np.diff(ready.column(0).to_numpy()) | np.diff(ready.column(1).to_numpy()))
                 cut = int(last[-1]) + 1 if len(last) else len(ready) // size * size
                 yield blocks(ready.slice(0, cut))
                 held, count = [ready.slice(cut)], len(ready) - cut
@@ -127,28 +153,33 @@ def packed(rows: DataFrame, dim: int, extra: bool) -> DataFrame:
             yield blocks(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     def blocks(batch):
-        lists, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        x = _matrix(batch.column(2), dim)
-        bound = batch.column(3).to_numpy() if extra else None
+        lists, salts, ids = (batch.column(i).to_numpy() for i in range(3))
+        x = _matrix(batch.column(3), dim)
+        bound = batch.column(4).to_numpy() if extra else None
         cut = [0]
-        for end in np.append(np.flatnonzero(np.diff(lists)) + 1, len(lists)).tolist():
+        for end in np.append(np.flatnonzero(np.diff(lists) | np.diff(salts)) + 1, len(lists)).tolist():
             while end - cut[-1] > size:
                 cut.append(cut[-1] + size)
             cut.append(end)
         pairs = list(zip(cut[:-1], cut[1:], strict=True))
-        columns = [pa.array([int(lists[a]) for a, _ in pairs], pa.int32()), pa.array([ids[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([np.ascontiguousarray(x[a:b]).tobytes() for a, b in pairs], pa.binary())]
-        names = ["list", "ids", "vectors"]
+        columns = [pa.array([int(of[a]) for a, _ in pairs], pa.int32()) for of in (lists, salts)]
+        columns += [pa.array([ids[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([np.ascontiguousarray(x[a:b]).tobytes() for a, b in pairs], pa.binary())]
+        names = ["list", "salt", "ids", "vectors"]
         if extra:
             columns.append(pa.array([bound[a:b].tobytes() for a, b in pairs], pa.binary()))
             names.append("bounds")
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    kinds = "list int, ids binary, vectors binary" + ", bounds binary" * extra
-    return rows.repartition("list", "salt").sortWithinPartitions("list").mapInArrow(run, kinds)
+    kinds = "list int, salt int, ids binary, vectors binary" + ", bounds binary" * extra
+    rows = rows.select("list", F.col("salt").cast("int").alias("salt"), "vec_id", "v", *["bound"] * extra)
+    return rows.repartition("list", "salt").sortWithinPartitions("list", "salt").mapInArrow(run, kinds)
+
 
+def scan(queries: DataFrame, items: DataFrame, salts: DataFrame, dim: int, single: bool, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the candidates that are left of each pair of a query block and an item block.
 
-def scan(queries: DataFrame, items: DataFrame, dim: int, single: bool, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of the candidates that are left of each pair of a query block and an item block."""
+    ``salts`` (list, salts): a query block goes to each salt of its list, so that a large list is many tasks.
+    """
     turn = rotation(dim)
     kind = np.float32 if single else np.float64
 
@@ -166,7 +197,9 @@ def scan(queries: DataFrame, items: DataFrame, dim: int, single: bool, k: int) -
                 top = best(score, a, xid[b], k)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[a[top]]), pa.array(xid[b[top]]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
 
-    met = queries.select("list", F.col("ids").alias("qids"), F.col("vectors").alias("q"), "bounds").join(items, "list")
+    asked = queries.select("list", F.col("ids").alias("qids"), F.col("vectors").alias("q"), "bounds").join(salts, "list")
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    met = asked.join(items, ["list", "salt"])
     return met.select("qids", "q", "bounds", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
@@ -193,30 +226,31 @@ def survivors(q: np.ndarray, x: np.ndarray, bound: np.ndarray, epsilon: float =
     return a, b
 
 
-def _probes(rows: DataFrame, c: np.ndarray, sizes: np.ndarray, probes: int, k: int, dim: int, first: bool) -> DataFrame:
+def _probes(rows: DataFrame, c: Lists, sizes: np.ndarray, probes: int, k: int, dim: int, first: bool) -> DataFrame:
     """(list, vec_id, v, bound): a row for each list that a query scans first, or afterwards."""
     held = rows.sparkSession.sparkContext.broadcast((c, sizes))
 
     def run(batches):
         c, sizes = held.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            order = np.argsort(-(_matrix(batch.column(1), dim).astype(float) @ c.T), axis=1, kind="stable")
-            many = np.cumsum(sizes[order], axis=1) > k  # so many lists that there are k besides the query itself
-            least = np.where(many[:, -1], many.argmax(axis=1) + 1, len(c))
-            start = np.maximum(least, min(FIRST_LISTS, len(c)))
-            stop = np.maximum(start, probes)
-            rank = np.arange(len(c))[None]
-            use = rank < start[:, None] if first else (rank >= start[:, None]) & (rank < stop[:, None])
-            at, place = np.nonzero(use)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(order[at, place].astype(np.int32)), *[batch.column(i).take(take) for i in range(3)]], names=["list", "vec_id", "v", "bound"])
+        step = max(1, SCORES // len(c))
+        for whole in batches:
+            for lo in range(0, len(whole), step):
+                batch = whole.slice(lo, step)
+                order = np.argsort(-c.scores(_matrix(batch.column(1), dim).astype(float)), axis=1, kind="stable")
+                many = np.cumsum(sizes[order], axis=1) > k  # so many lists that there are k besides the query itself
+                least = np.where(many[:, -1], many.argmax(axis=1) + 1, len(c))
+                start = np.maximum(least, min(FIRST_LISTS, len(c)))
+                stop = np.maximum(start, probes)
+                rank = np.arange(len(c))[None]
+                use = rank < start[:, None] if first else (rank >= start[:, None]) & (rank < stop[:, None])
+                at, place = np.nonzero(use)
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(order[at, place].astype(np.int32)), *[batch.column(i).take(take) for i in range(3)]], names=["list", "vec_id", "v", "bound"])
 
     return rows.mapInArrow(run, T.StructType([T.StructField("list", T.IntegerType()), *rows.schema.fields]))
 
 
-def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
+def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, coarse: int = COARSE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by ``every``."""
     spark = df.sparkSession
     rows = usable(df, key, vector)
@@ -225,35 +259,37 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
     rows = durable(rows.filter(F.size("v") == dim), "vectors")
     single = isinstance(rows.schema["v"].dataType.elementType, T.FloatType)
     n = widths["n"] if widths else 0
-    lists = int(min(MAX_LISTS, max(1, round(n**0.5 / 2))))
+    lists = max(1, round(n**0.5 / 2))
     share = min(1.0, min(SAMPLE, 128 * lists) / max(n, 1))
     picked = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(SAMPLE).toArrow()  # SAMPLE rows
     sample = _matrix(picked.column("v").combine_chunks(), dim).astype(float) if len(picked) else np.zeros((1, dim))
-    c = centroids(sample, lists)
+    c = Lists(sample, lists, coarse)
     center = spark.sparkContext.broadcast(c)
 
     def assign(batches):
         for batch in batches:
             if len(batch):
-                near = nearest_list(_matrix(batch.column(1), dim).astype(float), center.value)
+                near = center.value.of(_matrix(batch.column(1), dim).astype(float))
                 yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *batch.columns], names=["list", "vec_id", "v"])
 
     placed = rows.mapInArrow(assign, T.StructType([T.StructField("list", T.IntegerType()), *rows.schema.fields]))
     placed = durable(placed, "placed")
+    counts = durable(placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")), "counts")
     sizes = np.zeros(len(c), np.int64)
-    for r in placed.groupBy("list").count().collect():  # a row a list
-        sizes[r["list"]] = r["count"]
-    salts = F.element_at(F.array(*[F.lit(max(1, int(-(-x // (4 * BLOCK))))) for x in sizes]), F.col("list") + 1)
-    items = durable(packed(placed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts)), dim, False), "items")
+    for r in counts.collect():  # a row a list: the square root of the rows
+        sizes[r["list"]] = r["n"]
+    salts = counts.select("list", F.ceil(F.col("n") / (4 * BLOCK)).cast("int").alias("salts"))
+    items = placed.join(salts, "list").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")))
+    items = durable(packed(items, dim, False), "items")
     asked = rows.filter(F.col("vec_id") % every == 0)
     probes = _calibrated(rows, asked, c, dim, k)
     salted = lambda x: x.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, int(n // every // QUERIES)))))
     start = _probes(asked.withColumn("bound", F.lit(float("-inf"))), c, sizes, probes, k, dim, True)
-    near = durable(scan(packed(salted(start), dim, True), items, dim, single, k), "near")
+    near = durable(scan(packed(salted(start), dim, True), items, salts, dim, single, k), "near")
     worst = _top(near, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))
     worst = worst.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("worst")).otherwise(float("-inf")).alias("bound"))
     rest = _probes(asked.join(worst, "vec_id", "left").fillna(float("-inf"), ["bound"]).select("vec_id", "v", "bound"), c, sizes, probes, k, dim, False)
-    far = scan(packed(salted(rest), dim, True), items, dim, single, k)
+    far = scan(packed(salted(rest), dim, True), items, salts, dim, single, k)
     return _top(near.union(far), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -262,7 +298,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
 
-def _calibrated(rows: DataFrame, asked: DataFrame, c: np.ndarray, dim: int, k: int) -> int:
+def _calibrated(rows: DataFrame, asked: DataFrame, c: Lists, dim: int, k: int) -> int:
     """How many of a query's lists hold RECALL of the true neighbours of CALIBRATION queries."""
     some = asked.orderBy(F.xxhash64("vec_id")).limit(CALIBRATION).toArrow()
     if not len(some):
@@ -271,10 +307,10 @@ def _calibrated(rows: DataFrame, asked: DataFrame, c: np.ndarray, dim: int, k: i
     true = exact(rows, q, ids, k, dim).select("query_id", "v").toArrow()  # CALIBRATION * k rows
     if not len(true):
         return len(c)
-    order = np.argsort(-(q @ c.T), axis=1, kind="stable")
+    order = np.argsort(-c.scores(q), axis=1, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(len(c))[None].repeat(len(q), 0), 1)
     at = {int(x): i for i, x in enumerate(ids)}
-    near = nearest_list(_matrix(true.column("v").combine_chunks(), dim).astype(float), c)
+    near = c.of(_matrix(true.column("v").combine_chunks(), dim).astype(float))
     ranks = rank[[at[x] for x in true.column("query_id").to_pylist()], near]
     return int(np.quantile(ranks, RECALL, method="higher")) + 1
