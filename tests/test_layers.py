@@ -10,6 +10,7 @@ from weft.operators import adjacency as A
 from weft.operators import aggregators as G
 from weft.operators import convolutions as C
 from weft.operators import params
+from weft.operators.params import from_config
 from weft.operators.attention import PerformerAttention
 from weft.operators.message_passing import MessagePassing
 from weft.operators.norms import mean_subtraction
@@ -210,7 +211,7 @@ def test_unique_inverse(spark):
     assert sorted((r["v"], r["number"]) for r in rows.collect()) == [("a", 0), ("b", 1), ("b", 1), ("c", 2)]
 
 
-def test_diffusion_whole_against_dense(spark):
+def test_diffusion_against_dense(spark):
     """All pairs of nodes of the whole ring, by brute force."""
     from conftest import SMALL
 
@@ -229,7 +230,7 @@ def test_diffusion_whole_against_dense(spark):
     s = np.array([sum(x[node]) for node in order])
     expected = np.stack([np.tanh(np.polyval(t, a) @ s) for t in params.dyadic(3, 3, 1).T], 1)
     got = np.full(expected.shape, np.nan)
-    for r in catalog.QUERIES["diffusion_whole"](spark, SMALL).collect():
+    for r in catalog.QUERIES["diffusion"](spark, SMALL).collect():
         got[at[r["node"]], r["dim"]] = r["q"] / 1e6
     assert np.allclose(got, expected, atol=1e-6)
 
@@ -243,7 +244,7 @@ def test_attention_of_rows_without_edges(graph):
         assert np.isnan(got[4]).all() if saliency else np.allclose(got[4], X.mean(0))
 
 
-@pytest.mark.parametrize("name", ["gat_1head_whole", "gat_concat_whole", "gat_average_whole", "gat_saliency_whole"])
+@pytest.mark.parametrize("name", ["gat_1head", "gat_concat", "gat_average", "gat_saliency"])
 def test_attention_runs_over_all_edges(spark, name):
     from conftest import SMALL
 
@@ -252,3 +253,116 @@ def test_attention_runs_over_all_edges(spark, name):
     rows = catalog.QUERIES[name](spark, SMALL)
     assert rows.select("node").distinct().count() == 500
     assert "src % 5" not in catalog.oracle_sql()[name]
+
+
+# Options of layers, stacks and long iterations
+
+
+def plain_ring(spark, n=40, dim=6):
+    rng = np.random.default_rng(1)
+    nodes = spark.createDataFrame([(i, rng.normal(size=dim).tolist()) for i in range(n)], "node long, x array<double>")
+    edges = spark.createDataFrame([(i, (i * 3 + k) % n, 1.0) for i in range(n) for k in (1, 5)], "src long, dst long, w double")
+    return Graph(nodes, edges, dim)
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+@pytest.mark.parametrize("make", [lambda k: C.APPNPConv(3, propagations=k), lambda k: C.ARMAConv(3, iterations=k, share_weights=True), lambda k: C.GatedGraphConv(7, k)])
+def test_plans_of_long_iterations_stay_small(spark, make):
+    g = plain_ring(spark)
+    few, many = make(2)(g), make(10)(g)
+    assert scans(many) == scans(few) <= 6
+    assert many.count() == 40
+
+
+def test_configs_make_layers_again(spark):
+    g = plain_ring(spark)
+    layers = [C.GINConv(4, epsilon=0.5, mlp_hidden=[5], seed=3), C.APPNPConv(3, mlp_hidden=[4], propagations=2), C.GraphAttention(3, 2, "average"), C.SAGEConv(4), C.AGNNConv(beta=2.0), C.GeneralConv(3, aggregate="max")]
+    for layer in layers:
+        first = layer(g).collect()
+        again = from_config(layer.config())
+        assert type(again) is type(layer)
+        assert same_rows(first, again(g).collect())
+    with pytest.raises(ValueError, match="unknown layer"):
+        from_config({"layer": "Nothing"})
+
+
+def same_rows(a, b):
+    value = lambda rows: np.array([r["h"] for r in sorted(rows, key=lambda r: r["node"])])
+    return np.allclose(value(a), value(b))
+
+
+def test_weights_by_initialiser(spark):
+    g = plain_ring(spark)
+    layer = C.SAGEConv(6, weights={"rel": "zeros", "root": lambda rows, columns, seed: np.eye(rows, columns), "bias": "ones"})
+    x = {r["node"]: r["x"] for r in g.nodes.collect()}
+    assert all(np.allclose(r["h"], np.array(x[r["node"]]) + 1) for r in layer(g).collect())
+    with pytest.raises(ValueError, match="unknown initialiser"):
+        C.SAGEConv(6, weights={"rel": "nothing"})(g)
+
+
+def test_dropout_in_layers(spark):
+    g = plain_ring(spark)
+    for layer in (C.APPNPConv(3, mlp_hidden=[8], dropout_rate=0.5), C.ARMAConv(3, dropout_rate=0.5), C.GeneralConv(8, dropout=0.5), C.GraphAttention(3, in_dropout_rate=0.5, attn_dropout_rate=0.5)):
+        plain, one, again, other = layer(g).collect(), layer(g, draw=1).collect(), layer(g, draw=1).collect(), layer(g, draw=2).collect()
+        assert same_rows(one, again)
+        assert not same_rows(one, plain)
+        assert not same_rows(one, other)
+    rows = spark.range(4000).select(F.col("id").alias("node"), V.dropout(F.array(F.lit(1.0), F.lit(2.0)), 0.25, 5).alias("h")).collect()
+    h = np.array([r["h"] for r in rows])
+    assert set(np.unique(h[:, 0]).round(9)) == {0.0, round(1 / 0.75, 9)}
+    assert abs((h == 0).mean() - 0.25) < 0.03
+
+
+def test_batch_statistics(spark):
+    g = plain_ring(spark)
+    x = np.array([r["x"] for r in g.nodes.collect()])
+    mean, variance = V.batch_statistics(g.nodes, "x", 6)
+    assert np.allclose(mean, x.mean(axis=0))
+    assert np.allclose(variance, x.var(axis=0))
+
+
+def test_messages_get_what_they_name(spark):
+    g = plain_ring(spark)
+
+    class Scaled(MessagePassing):
+        def message(self, c, factor, shift=0.0):
+            return F.transform(c.source("x"), lambda v: v * factor + shift)
+
+    layer = Scaled()
+    plain = {r["node"]: r["agg"] for r in MessagePassing().propagate(g).collect()}
+    got = {r["node"]: r["agg"] for r in layer.propagate(g, factor=3.0, other=1).collect()}
+    assert all(np.allclose(got[n], 3 * np.array(plain[n])) for n in plain)
+    with pytest.raises(ValueError, match="factor"):
+        layer.propagate(g)
+
+
+def test_unique_by_first_appearance(spark):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate("cabacdbxa")], "at int, v string").repartition(3)
+    _, numbered = A.unique_inverse(rows, "v", order="at")
+    assert [r["number"] for r in numbered.orderBy("at").collect()] == [0, 1, 2, 1, 0, 3, 2, 4, 1]
+
+
+def test_wide_vectors_are_reduced_in_one_pass(spark):
+    from weft.functions.segments import reduce_vectors
+
+    x = np.random.default_rng(0).normal(size=(30, 150))
+    df = spark.createDataFrame([(i % 3, v.tolist()) for i, v in enumerate(x)], "g int, x array<double>")
+    out = reduce_vectors(df, ["g"], "x", 150, "sum", "s", [F.count(F.lit(1)).alias("n"), F.max(F.get("x", F.lit(0))).alias("m")])
+    assert out.columns == ["g", "s", "n"] + ["m"]
+    for r in out.collect():
+        assert np.allclose(r["s"], x[r["g"] :: 3].sum(axis=0))
+        assert r["n"] == 10
+
+
+def test_written_tables(spark):
+    from weft.sources import written as W
+
+    t = W.written(spark.range(5))
+    assert t.count() == 5
+    W.clear(spark)
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        t.count()
+    assert W.written(spark.range(3)).count() == 3

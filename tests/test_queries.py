@@ -26,8 +26,9 @@ def test_entry(spark):
 
 
 def test_whole_embedding(spark):
-    """Each query on the first places of the embeddings has one on all of them."""
-    part = {n for n, q in SQL.items() if "x_all WHERE d < 8" in q or "y_all WHERE d < 8" in q} - {"matmul"}  # matmul has no features
-    assert part and {f"{n}_whole" for n in part} <= set(catalog.QUERIES)
-    rows = catalog.QUERIES["mp_sum_whole"](spark, SMALL)
+    """Queries on the embeddings read all of their places and all of their rows."""
+    rows = catalog.QUERIES["mp_sum"](spark, SMALL)
     assert sorted(r["dim"] for r in rows.select("dim").distinct().collect()) == list(range(64))
+    assert rows.select("node").distinct().count() == spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
+    partial = {n for n, q in SQL.items() if "x_all WHERE d < 64" not in q and "y_all WHERE d < 64" not in q and "FROM embeddings" in q}
+    assert partial == {"argmax_pred", "masked_accuracy", "cross_entropy"}  # one place for each of ten classes

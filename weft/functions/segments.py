@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,18 +32,23 @@ def reducer_name(f) -> str:
 
 
 def reduce_vectors(df: DataFrame, keys: list[str], vector: str | Column, dim: int, how="sum", out: str = "h", extra: list[Column] = ()) -> DataFrame:
-    """(keys, out, extra aggregates): the vectors of each group reduced place by place."""
+    """(keys, out, extra aggregates): the vectors of each group reduced place by place.
+
+    Beyond CHUNK places a row is cut into pieces that are groups of their own, so that ``df`` is computed once; the
+    pieces of a group, already reduced, are put together again.
+    """
     f = reducer(how)
     v = F.col(vector) if isinstance(vector, str) else vector
     rows = df.withColumn("__v", v)
-    parts = []
-    for k, lo in enumerate(range(0, max(dim, 1), CHUNK)):
-        places = [f(F.get("__v", F.lit(i))) for i in range(lo, min(lo + CHUNK, dim))]
-        more = extra if k == 0 else []
-        parts.append(rows.groupBy(*keys).agg(F.array(*places).alias(f"__c{k}"), *more))
-    whole = reduce(lambda a, b: a.join(b, keys), parts)
-    names = [c for c in parts[0].columns if c not in (*keys, "__c0")]
-    return whole.select(*keys, F.concat(*[F.col(f"__c{k}") for k in range(len(parts))]).alias(out), *names)
+    if dim <= CHUNK:
+        return rows.groupBy(*keys).agg(F.array(*[f(F.get("__v", F.lit(i))) for i in range(dim)]).alias(out), *extra)
+    pieces = -(-dim // CHUNK)
+    rows = rows.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    rows = rows.withColumn("__v", F.slice("__v", F.col("__k") * CHUNK + 1, CHUNK))
+    parts = rows.groupBy(*keys, "__k").agg(F.array(*[f(F.get("__v", F.lit(i))) for i in range(CHUNK)]).alias("__c"), *extra)
+    names = [c for c in parts.columns if c not in (*keys, "__k", "__c")]
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__c"))), lambda s: s["__c"]))  # the pieces of one vector
+    return parts.groupBy(*keys).agg(F.slice(whole, 1, dim).alias(out), *[F.max(F.when(F.col("__k") == 0, F.col(c))).alias(c) for c in names])
 
 
 def keep_all(nodes: DataFrame, found: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:

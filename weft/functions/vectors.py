@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Small constants of the layers (fixed values).
@@ -163,11 +163,22 @@ def batch_norm(a: Column, mean, variance, gamma, beta, epsilon: float = BATCH_NO
     return vadd(vmul(a, literal(scale)), literal(shift))
 
 
-def dropout(a: Column, rate: float, seed: int | None = None) -> Column:
-    """Identity at inference; with a seed, places fall out at the rate and the others are scaled up."""
+def dropout(a: Column, rate: float, seed: int | None = None, key: str = "node") -> Column:
+    """Identity at inference; with a seed, places fall out at the rate and the others are scaled up.
+
+    What falls out depends on the seed, the row's ``key`` and the place only, so that a task that runs again agrees.
+    """
     if seed is None or rate <= 0:
         return a
-    return F.transform(a, lambda x: F.when(F.rand(seed) < rate, 0.0).otherwise(x / (1 - rate)))
+    stays = lambda i: F.pmod(F.xxhash64(F.col(key), i, F.lit(seed)), F.lit(1 << 20)) >= int(rate * (1 << 20))
+    return F.transform(a, lambda x, i: F.when(stays(i), x / (1 - rate)).otherwise(0.0))
+
+
+def batch_statistics(df: DataFrame, x: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and variances of the places of a column over all rows, as batch normalisation takes them in training: one row."""
+    places = [F.get(x, F.lit(i)) for i in range(dim)]
+    row = df.agg(F.array(*[F.avg(p) for p in places]).alias("m"), F.array(*[F.var_pop(p) for p in places]).alias("v")).first()
+    return np.array(row["m"], float), np.array(row["v"], float)
 
 
 def dense(x: Column, w, b=None, act=None) -> Column:
@@ -193,8 +204,10 @@ def _dense_numpy(w: np.ndarray, b: np.ndarray | None):
 
 
 def mlp(x: Column, layers: list[dict]) -> Column:
-    """Dense layers one after the other: dicts with w and, where wanted, b, act and bn (mean, variance, gamma, beta)."""
+    """Dense layers one after the other: dicts with w and, where wanted, b, act, bn (mean, variance, gamma, beta), and
+    drop, a function that comes before."""
     for layer in layers:
+        x = layer["drop"](x) if "drop" in layer else x
         x = dense(x, layer["w"], layer.get("b"), layer.get("act"))
         if "bn" in layer:
             x = batch_norm(x, *layer["bn"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.segments import keep_all, reduce_vectors
 from weft.functions.vectors import NORM_EPSILON, vscale, zeros
+from weft.sources.written import written
 
 
 def _keys(frame: DataFrame) -> list[str]:
@@ -91,13 +92,16 @@ def normalized_laplacian(edges: DataFrame, nodes: DataFrame, symmetric: bool = T
 
 
 def gcn_filter(edges: DataFrame, nodes: DataFrame, symmetric: bool = True) -> DataFrame:
-    """A + I, normalised; a self-loop that is there gains 1. The input stays as it is."""
+    """A + I, normalised; a self-loop that is there gains 1. The input stays as it is.
+
+    The sum is written, as its degrees and both of its ends are looked at.
+    """
     with_loops = _summed(edges.select(*_keys(edges), "src", "dst", "w"), _diagonal(nodes, F.lit(1.0)))
-    return normalized_adjacency(with_loops, nodes, symmetric)
+    return normalized_adjacency(written(with_loops, "loops"), nodes, symmetric)
 
 
-def adj_matmul(edges: DataFrame, nodes: DataFrame, x: str, dim: int, transpose: bool = False, out: str = "h") -> DataFrame:
-    """(node, out) of A x (or A' x): out[src] = sum of w * x[dst]; nodes without edges get zeros.
+def adj_matmul(edges: DataFrame, nodes: DataFrame, x: str, dim: int, transpose: bool = False, out: str = "h", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(node, keep, out) of A x (or A' x): out[src] = sum of w * x[dst]; nodes without edges get zeros.
 
     Single, batched and mixed products: the batch key joins where both sides have it, and is carried
     along where only one side has it.
@@ -108,9 +112,9 @@ def adj_matmul(edges: DataFrame, nodes: DataFrame, x: str, dim: int, transpose:
     side = nodes.select(*_keys(nodes), F.col("node").alias(b), F.col(x).alias("__x"))
     met = edges.select(*_keys(edges), "src", "dst", "w").join(side, [*both, b]).withColumnRenamed(a, "node")
     sums = reduce_vectors(met.select(*keys, "node", vscale(F.col("__x"), F.col("w")).alias("__wx")), [*keys, "node"], "__wx", dim, "sum", out)
-    base = nodes.select(*_keys(nodes), "node")
+    base = nodes.select(*_keys(nodes), "node", *keep)
     if "batch" in keys and "batch" not in base.columns:
-        base = base.crossJoin(F.broadcast(edges.select("batch").distinct()))  # nodes shared by all graphs of a batch
+        base = base.crossJoin(edges.select("batch").distinct())  # nodes shared by all graphs of a batch: each is a row of the result
     return keep_all(base, sums, [*keys, "node"], {out: zeros(dim)})
 
 
@@ -121,13 +125,16 @@ def matmul(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.groupBy("src", F.col("__j").alias("dst")).agg(F.sum(F.col("w") * F.col("__v")).alias("w"))
 
 
-def unique_inverse(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+def unique_inverse(df: DataFrame, column: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(value, number) of the distinct values in order, and ``df`` with each row's number.
 
-    Ranges of the sorted values are numbered apart and shifted by the rows before, so that no task sorts all.
+    With ``order``, a column that orders the rows, values are numbered by their first appearance.
+    Ranges of the sorted values are numbered apart and shifted by the rows before, so that no task sorts all; they
+    are written, so that the numbers hold.
     """
-    values = df.select(F.col(column).alias("value")).distinct().repartitionByRange("value").sortWithinPartitions("value")
-    values = values.withColumn("__run", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()).persist()
+    values = df.groupBy(F.col(column).alias("value")).agg((F.min(order) if order else F.lit(0)).alias("__first"))
+    values = values.repartitionByRange("__first", "value").sortWithinPartitions("__first", "value").drop("__first")
+    values = written(values.withColumn("__run", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "unique")
     starts = values.groupBy("__run").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first")).orderBy("__run").collect()  # a row a range
     before, shift = 0, []
     for r in starts:

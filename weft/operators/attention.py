@@ -20,8 +20,8 @@ def generalized_kernel(x: Column, matrix, kernel="relu", epsilon: float = KERNEL
     return F.transform(activation(kernel)(dense(x, np.asarray(matrix, float).T)), lambda v: v + F.lit(epsilon))
 
 
-def _sums(rows: DataFrame, m: int, d: int) -> DataFrame:
-    """(batch, r, kv, k): for each place r of the keys, the sums of k_r v and of k_r; partial products in each task."""
+def _sums(rows: DataFrame, m: int, d: int, heads: int = 1) -> DataFrame:
+    """(batch, s): for each place r of the keys of each head, the sums of k_r v and of k_r; partial products in each task."""
 
     def run(batches):
         held: dict = {}
@@ -30,28 +30,34 @@ def _sums(rows: DataFrame, m: int, d: int) -> DataFrame:
             k, v = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) for i in (1, 2))
             for key in np.unique(keys):
                 own = keys == key
-                part = np.concatenate([k[own].T @ v[own], k[own].sum(axis=0)[:, None]], axis=1)
+                a, b = k[own].reshape(-1, heads, m), v[own].reshape(-1, heads, d)
+                part = np.concatenate([np.einsum("nhm,nhd->hmd", a, b), a.sum(axis=0)[:, :, None]], axis=2).reshape(heads * m, d + 1)
                 held[key] = held[key] + part if key in held else part
         for key, part in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([key] * m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(part.tolist(), pa.list_(pa.float64()))], names=["batch", "r", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array([key] * (heads * m), pa.int64()), pa.array(range(heads * m), pa.int32()), pa.array(part.tolist(), pa.list_(pa.float64()))], names=["batch", "r", "p"])
 
     parts = rows.mapInArrow(run, "batch long, r int, p array<double>")
     sums = parts.groupBy("batch", "r").agg(F.array(*[F.sum(F.get("p", F.lit(i))) for i in range(d)]).alias("kv"), F.sum(F.get("p", F.lit(d))).alias("k"))
-    # m rows a batch: a parameter's number, not the data's
+    # heads times m rows a batch: a parameter's number, not the data's
     return sums.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("r", "kv", "k"))).alias("s"))
 
 
-def linear_attention(rows: DataFrame, m: int, d: int, q: str = "q", k: str = "k", v: str = "v", out: str = "h") -> DataFrame:
-    """(q (sum of k x v)) / (q . sum of k) in each batch; the mask of a row zeroes its v only.
+def linear_attention(rows: DataFrame, m: int, d: int, q: str = "q", k: str = "k", v: str = "v", out: str = "h", heads: int = 1) -> DataFrame:
+    """(q (sum of k x v)) / (q . sum of k) in each batch and head; the mask of a row zeroes its v only.
 
-    Columns: batch, node, q and k of width m, v of width d, optional boolean mask.
+    Columns: batch, node, q and k of width m for each head, v of width d for each head, optional boolean mask.
+    All heads share one pass over the rows and one join.
     """
-    value = F.col(v) if "mask" not in rows.columns else F.when(F.col("mask"), F.col(v)).otherwise(zeros(d))
-    sums = _sums(rows.select(F.col("batch").cast("long").alias("batch"), F.col(k).alias("k"), value.alias("v")), m, d)
+    value = F.col(v) if "mask" not in rows.columns else F.when(F.col("mask"), F.col(v)).otherwise(zeros(heads * d))
+    sums = _sums(rows.select(F.col("batch").cast("long").alias("batch"), F.col(k).alias("k"), value.alias("v")), m, d, heads)
     met = rows.join(sums, "batch")
-    top = F.aggregate(F.zip_with(q, "s", lambda x, s: vscale(s["kv"], x)), zeros(d), lambda a, x: vadd(a, x))
-    bottom = vdot(F.col(q), F.transform("s", lambda s: s["k"]))
-    return met.withColumn("__bottom", bottom).withColumn(out, F.transform(top, lambda x: x / F.col("__bottom"))).drop("s", "__bottom")
+    for h in range(heads):
+        own, s = F.slice(q, h * m + 1, m), F.slice("s", h * m + 1, m)
+        top = F.aggregate(F.zip_with(own, s, lambda x, y: vscale(y["kv"], x)), zeros(d), lambda a, x: vadd(a, x))
+        met = met.withColumns({f"__top{h}": top, f"__bottom{h}": vdot(own, F.transform(s, lambda y: y["k"]))})
+    over = lambda b: lambda x: x / b
+    parts = [F.transform(f"__top{h}", over(F.col(f"__bottom{h}"))) for h in range(heads)]
+    return met.withColumn(out, concat(*parts)).drop("s", *[f"__{n}{h}" for n in ("top", "bottom") for h in range(heads)])
 
 
 class PerformerAttention(Conv):
@@ -72,13 +78,10 @@ class PerformerAttention(Conv):
         rows = nodes
         for name in ("q", "k", "v"):
             rows = rows.withColumn(f"__{name}", dense(F.col("x"), self.weight(name, dim, inner), self.bias(f"{name}_bias", inner) if self.qkv_bias else None))
-        keep = rows
-        for head in range(self.heads):
-            part = lambda name, head=head: F.slice(f"__{name}", head * self.head_channels + 1, self.head_channels)
-            one = keep.select("batch", "node", *[c for c in ("mask",) if c in nodes.columns], *[generalized_kernel(part(n), self.projection, self.kernel).alias(n) for n in ("q", "k")], part("v").alias("v"))
-            done = linear_attention(one, m, self.head_channels, out=f"__h{head}").select("batch", "node", f"__h{head}")
-            rows = rows.join(done, ["batch", "node"])
-        h = concat(*[F.col(f"__h{k}") for k in range(self.heads)])
-        h = dense(h, self.weight("out", inner, self.channels), self.bias("out_bias", self.channels) if self.attn_out_bias else None)
+        part = lambda name, head: F.slice(f"__{name}", head * self.head_channels + 1, self.head_channels)
+        lifted = lambda name: concat(*[generalized_kernel(part(name, k), self.projection, self.kernel) for k in range(self.heads)])
+        rows = rows.select("batch", "node", *[c for c in ("mask",) if c in nodes.columns], lifted("q").alias("q"), lifted("k").alias("k"), F.col("__v").alias("v"))
+        rows = linear_attention(rows, m, self.head_channels, heads=self.heads)
+        h = dense(F.col("h"), self.weight("out", inner, self.channels), self.bias("out_bias", self.channels) if self.attn_out_bias else None)
         return rows.select("batch", "node", h.alias("h"))
 

@@ -2,8 +2,10 @@
 
 Layers built on message passing send from src to dst and ignore weights; layers built on ``adj_matmul``
 are weighted and collect at src, but for GraphConvolution, which collects at dst. Weights are numpy
-arrays of the driver in ``weights``; missing ones are drawn from a seeded initialiser. Options that a
-layer's formula ignores are not taken.
+arrays of the driver in ``weights``, or names of initialisers, or functions like them; missing ones are drawn from
+``glorot_uniform``, biases are zeros. Options that a layer's formula ignores are not taken. Dropout is drawn where
+a layer is called with ``draw``, a seed; without one it is left out, as in inference. Iterative layers write their state
+every round.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ from weft.functions.vectors import (
     SOFTMAX_EPSILON,
     activation,
     batch_norm,
+    batch_statistics,
     concat,
     dense,
+    dropout,
     gru,
     leaky_relu,
+    literal,
     mlp,
     normalize,
     pad,
@@ -37,18 +42,17 @@ from weft.functions.vectors import (
     zeros,
 )
 from weft.sources.graph import Graph
+from weft.sources.written import written
 
 from . import adjacency
 from .message_passing import EdgeContext, MessagePassing
-from .params import glorot_uniform
+from .params import Configured, glorot_uniform, initialised
 
-#: Rounds of an iterative layer between two checkpoints of its node table.
-CHECKPOINT_EVERY = 4
 #: Logits of attention are taken as they are while they can't overflow.
 SAFE_LOGIT = 300.0
 
 
-class Conv:
+class Conv(Configured):
     """Base of the layers on adjacency products."""
 
     activation = None
@@ -57,36 +61,24 @@ class Conv:
         self.weights, self.activation, self.seed = dict(weights or {}), activation, seed
 
     def weight(self, name: str, rows: int, columns: int) -> np.ndarray:
-        if name not in self.weights:
-            offset = sum(map(ord, name))
-            self.weights[name] = glorot_uniform(rows, columns, self.seed + offset)
-        w = np.asarray(self.weights[name], float)
+        w = self.weights[name] = initialised(self.weights.get(name, glorot_uniform), rows, columns, self.seed + sum(map(ord, name)))
         if w.shape != (rows, columns):
             raise ValueError(f"{name} has the shape {w.shape}, not {(rows, columns)}")
         return w
 
     def bias(self, name: str, size: int) -> np.ndarray:
-        return np.asarray(self.weights.setdefault(name, np.zeros(size)), float)
+        w = self.weights[name] = np.ravel(initialised(self.weights.get(name, "zeros"), 1, size, self.seed + sum(map(ord, name))))
+        return w
 
     @staticmethod
     def preprocess(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         return edges
 
-    def config(self) -> dict:
-        return {"layer": type(self).__name__} | {k: v for k, v in vars(self).items() if isinstance(v, (int, float, str, bool, type(None)))}
-
 
 def _masked(h: Column, nodes: DataFrame) -> Column:
     return vscale(h, F.col("mask").cast("double")) if "mask" in nodes.columns else h
 
 
-def _settled(df: DataFrame, step: int) -> DataFrame:
-    """Cut the lineage of a long iteration through the reliable checkpoint folder, where one is set."""
-    if step and step % CHECKPOINT_EVERY == 0 and df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df
-
-
 class SAGEConv(Conv):
     """h = (A x / max(row sum, 1)) W_rel + x W_root + b; optionally of length 1 and masked."""
 
@@ -141,18 +133,23 @@ class APPNPConv(Conv):
 
     preprocess = staticmethod(adjacency.gcn_filter)
 
-    def _mlp(self, dim: int) -> list[dict]:
+    def _mlp(self, dim: int, draw: int | None) -> list[dict]:
         widths = [dim, *self.mlp_hidden, self.channels]
         acts = [self.mlp_activation] * len(self.mlp_hidden) + [None]
-        return [{"w": self.weight(f"mlp{k}", a, b), "b": self.bias(f"mlp{k}_bias", b), "act": act} for k, (a, b, act) in enumerate(zip(widths[:-1], widths[1:], acts, strict=True))]
-
-    def __call__(self, graph: Graph) -> DataFrame:
-        rows = graph.nodes.withColumn("h0", mlp(F.col("x"), self._mlp(graph.dim)))
-        rows = rows.select("node", *[c for c in ("mask",) if c in graph.nodes.columns], "h0", F.col("h0").alias("z"))
-        for k in range(self.propagations):
-            moved = adjacency.adj_matmul(graph.edges, rows, "z", self.channels, out="az")
+        layers = [{"w": self.weight(f"mlp{k}", a, b), "b": self.bias(f"mlp{k}_bias", b), "act": act} for k, (a, b, act) in enumerate(zip(widths[:-1], widths[1:], acts, strict=True))]
+        for k, layer in enumerate(layers[:-1]):  # before each hidden layer
+            layer["drop"] = lambda x, k=k: dropout(x, self.dropout_rate, None if draw is None else draw + k)
+        return layers
+
+    def __call__(self, graph: Graph, draw: int | None = None) -> DataFrame:
+        rows = graph.nodes.withColumn("h0", mlp(F.col("x"), self._mlp(graph.dim, draw)))
+        keep = [*[c for c in ("mask",) if c in graph.nodes.columns], "h0"]
+        rows = written(rows.select("node", *keep, F.col("h0").alias("z")), "appnp")
+        edges = written(graph.edges.select("src", "dst", "w"), "edges") if self.propagations > 1 else graph.edges
+        for _ in range(self.propagations):
+            moved = adjacency.adj_matmul(edges, rows, "z", self.channels, out="az", keep=keep)
             z = F.zip_with("az", "h0", lambda a, h: a * F.lit(1 - self.alpha) + h * F.lit(self.alpha))
-            rows = _settled(rows.drop("z").join(moved, "node").withColumn("z", z).drop("az"), k)
+            rows = written(moved.withColumn("z", z).drop("az"), "appnp")
         return rows.select("node", activation(self.activation)(_masked(F.col("z"), graph.nodes)).alias("h"))
 
 
@@ -166,22 +163,24 @@ class ARMAConv(Conv):
 
     preprocess = staticmethod(adjacency.normalized_adjacency)
 
-    def __call__(self, graph: Graph) -> DataFrame:
+    def __call__(self, graph: Graph, draw: int | None = None) -> DataFrame:
         c, stacks = self.channels, range(self.order)
-        rows = graph.nodes
+        rows = graph.nodes.select("node", "x", *[m for m in ("mask",) if m in graph.nodes.columns])
+        edges = written(graph.edges.select("src", "dst", "w"), "edges") if self.iterations > 1 else graph.edges
         x = {k: F.col("x") for k in stacks}
         for i in range(self.iterations):
             at = min(i, 1) if self.share_weights else i
             width = graph.dim if i == 0 else c
             parts = [dense(x[k], self.weight(f"w1_{k}_{at}", width, c)) for k in stacks]
-            rows = rows.withColumn("__xw", concat(*parts))
-            moved = adjacency.adj_matmul(graph.edges, rows, "__xw", c * self.order, out="__ax")
-            rows = rows.drop("__xw", "__y").join(moved, "node")
+            rows = written(rows.withColumn("__xw", concat(*parts)).drop("__y"), "arma")
+            rows = adjacency.adj_matmul(edges, rows, "__xw", c * self.order, out="__ax", keep=[m for m in rows.columns if m not in ("node", "__xw")])
             y = []
             for k in stacks:
-                skip = dense(F.col("x"), self.weight(f"w2_{k}_{at}", graph.dim, c), self.bias(f"b_{k}_{at}", c) if self.use_bias else None)
-                y.append(activation(self.gcn_activation)(vadd(F.slice("__ax", k * c + 1, c), skip)))
-            rows = _settled(rows.withColumn("__y", concat(*y)).drop("__ax"), i)
+                skip = dense(F.col("x"), self.weight(f"w2_{k}_{at}", graph.dim, c))
+                skip = dropout(skip, self.dropout_rate, None if draw is None else draw + i * self.order + k)
+                bias = literal(self.bias(f"b_{k}_{at}", c)) if self.use_bias else None
+                y.append(activation(self.gcn_activation)(vadd(F.slice("__ax", k * c + 1, c), skip if bias is None else vadd(skip, bias))))
+            rows = rows.withColumn("__y", concat(*y)).drop("__ax")
             x = {k: F.slice("__y", k * c + 1, c) for k in stacks}
         mean = F.transform(reduce(vadd, x.values()), lambda v: v / F.lit(float(self.order)))
         return rows.select("node", activation(self.activation)(_masked(mean, graph.nodes)).alias("h"))
@@ -263,10 +262,12 @@ class GatedGraphConv(MessagePassing):
         c = self.channels
         cell = [self.params.weight("kernel", c, 3 * c), self.params.weight("recurrent", c, 3 * c), self.params.bias("gru_bias", 3 * c), self.params.bias("gru_recurrent_bias", 3 * c)]
         rows = self.get_inputs(graph).nodes.select("node", pad(F.col("x"), graph.dim, c).alias("x"))
+        if self.n_layers > 1:
+            graph = graph.with_edges(written(graph.edges, "edges"))
         for layer in range(self.n_layers):
-            sent = rows.select("node", "x", dense(F.col("x"), self.params.weight(f"w{layer}", c, c)).alias("m"))
+            sent = written(rows.select("node", "x", dense(F.col("x"), self.params.weight(f"w{layer}", c, c)).alias("m")), "gated")
             out = self.propagate(graph.with_features(sent, c), lambda e: e.source("m"))
-            rows = _settled(out.select("node", gru(F.col("agg"), F.col("x"), *cell).alias("x")), layer)
+            rows = out.select("node", gru(F.col("agg"), F.col("x"), *cell).alias("x"))
         return rows.select("node", activation(self.activation)(F.col("x")).alias("h"))
 
 
@@ -288,7 +289,10 @@ class GraphConvolution(Conv):
 
 
 class GeneralConv(MessagePassing):
-    """Sum over edges of act(dropout(BN(x W + b))); nothing follows the sum."""
+    """Sum over edges of act(dropout(BN(x W + b))); nothing follows the sum.
+
+    Called with ``draw``, BN takes the means and variances of the nodes at hand, as in training.
+    """
 
     def __init__(self, channels: int = 256, batch_norm: bool = True, dropout: float = 0.0, aggregate="sum", activation="prelu", use_bias: bool = True, weights=None, seed: int = 0):
         super().__init__(aggregate, activation)
@@ -298,12 +302,17 @@ class GeneralConv(MessagePassing):
     def message_dim(self, graph: Graph) -> int:
         return self.channels
 
-    def __call__(self, graph: Graph) -> DataFrame:
+    def __call__(self, graph: Graph, draw: int | None = None) -> DataFrame:
         c, p = self.channels, self.params
         h = dense(F.col("x"), p.weight("kernel", graph.dim, c), p.bias("bias", c) if self.use_bias else None)
         if self.batch_norm:
             one = np.ones(c)
-            h = batch_norm(h, *[p.weights.get(n, d) for n, d in (("mean", 0 * one), ("variance", one), ("gamma", one), ("beta", 0 * one))])
+            if draw is None:
+                mean, variance = p.weights.get("mean", 0 * one), p.weights.get("variance", one)
+            else:
+                mean, variance = batch_statistics(graph.nodes.select(h.alias("h")), "h", c)
+            h = batch_norm(h, mean, variance, p.weights.get("gamma", one), p.weights.get("beta", 0 * one))
+        h = dropout(h, self.dropout, draw)
         h = prelu(h, p.bias("slope", c)) if self.activation == "prelu" else activation(self.activation)(h)
         rows = self.get_inputs(graph).nodes.select("node", h.alias("m"))
         out = self.propagate(graph.with_features(rows.withColumn("x", F.col("m")), c), lambda e: e.source("m"))
@@ -341,10 +350,11 @@ class GraphAttention(Conv):
     The additive mask of -1e10 (1 - a) is carried out as a rule: only edges whose weight is their row's
     largest count; where that is 1, by the softmax of the logits, otherwise evenly; a row without edges
     gets the mean of all nodes. ``saliency`` weighs the softmax by the edges' weights instead, and leaves
-    rows without edges NaN; its delta is 1 and it counts no absent edges.
+    rows without edges NaN; its delta is 1 and it counts no absent edges. With ``draw``, features and attention
+    coefficients of edges fall out at their rates; the mean of a row without edges stays whole.
     """
 
-    def __init__(self, units: int, attn_heads: int = 1, attn_heads_reduction: str = "concat", activation="relu", use_bias: bool = True, final_layer=None, saliency_map_support: bool = False, weights=None, seed: int = 0):
+    def __init__(self, units: int, attn_heads: int = 1, attn_heads_reduction: str = "concat", activation="relu", use_bias: bool = True, final_layer=None, saliency_map_support: bool = False, in_dropout_rate: float = 0.0, attn_dropout_rate: float = 0.0, weights=None, seed: int = 0):
         if attn_heads_reduction not in ("concat", "average"):
             raise ValueError("attn_heads_reduction is concat or average")
         if final_layer is not None:
@@ -352,14 +362,16 @@ class GraphAttention(Conv):
         super().__init__(weights, activation, seed)
         self.units, self.attn_heads, self.attn_heads_reduction = units, attn_heads, attn_heads_reduction
         self.use_bias, self.saliency = use_bias, saliency_map_support
+        self.in_dropout_rate, self.attn_dropout_rate = in_dropout_rate, attn_dropout_rate
 
-    def __call__(self, graph: Graph) -> DataFrame:
+    def __call__(self, graph: Graph, draw: int | None = None) -> DataFrame:
         c, heads = self.units, range(self.attn_heads)
         parts = [dense(F.col("x"), self.weight(f"kernel{k}", graph.dim, c)) for k in heads]
         rows = graph.nodes.select("node", concat(*parts).alias("f"))
         own = lambda k: F.slice("f", k * c + 1, c)
         score = lambda name: F.array(*[F.get(dense(own(k), self.weight(f"{name}{k}", c, 1)), F.lit(0)) for k in heads])
         rows = rows.select("node", "f", score("self").alias("a"), score("neighbour").alias("b"))
+        rows = rows.withColumn("f", dropout(F.col("f"), self.in_dropout_rate, draw))  # scores see whole features
         edges = graph.edges.filter("w <> 0").select("src", "dst", "w")
         if not self.saliency:
             top = edges.groupBy("src").agg(F.max("w").alias("top"), F.min("w").alias("least"))
@@ -374,7 +386,10 @@ class GraphAttention(Conv):
         met = met.join(peak, "src")
         e = F.zip_with("l", "peak", lambda x, m: F.exp(x - m))
         met = met.withColumn("e", vscale(e, F.col("w")) if self.saliency else e)
-        sent = concat(*[vscale(own(k), F.get("e", F.lit(k))) for k in heads], F.col("e"))
+        met = met.withColumn("__edge", F.xxhash64("src", "dst"))
+        falls = dropout(F.col("e"), self.attn_dropout_rate, None if draw is None else draw + 1, "__edge")
+        met = met.withColumn("u", falls)  # the sums that coefficients are divided by stay whole
+        sent = concat(*[vscale(own(k), F.get("u", F.lit(k))) for k in heads], F.col("e"))
         wide = self.attn_heads * (c + 1)
         sums = reduce_vectors(met.select(F.col("src").alias("node"), sent.alias("v")), ["node"], "v", wide, "sum", "s")
         out = graph.nodes.select("node").join(sums, "node", "left")

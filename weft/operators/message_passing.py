@@ -6,6 +6,7 @@ are there. Every node of the graph stays; what no message reaches holds the redu
 
 from __future__ import annotations
 
+import inspect
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ from weft.functions.segments import FILLS, keep_all, reduce_vectors, reducer, re
 from weft.functions.vectors import activation
 from weft.sources.graph import Graph
 
+from .params import Configured
+
 
 @dataclass
 class EdgeContext:
@@ -37,7 +40,7 @@ class EdgeContext:
         return F.col(f"e_{name}")
 
 
-class MessagePassing:
+class MessagePassing(Configured):
     def __init__(self, aggregate="sum", activation=None):
         reducer(aggregate)
         self.aggregate, self.activation = aggregate, activation
@@ -71,11 +74,15 @@ class MessagePassing:
                 out = out.join(table, key)
         return out
 
-    def propagate(self, graph: Graph, message=None) -> DataFrame:
-        """(nodes' columns, agg): the reduced messages of every node."""
+    def propagate(self, graph: Graph, message=None, **more) -> DataFrame:
+        """(nodes' columns, agg): the reduced messages of every node. A message gets those of ``more`` that it names."""
         columns = [c for c in graph.nodes.columns if c != "node"]
         context = EdgeContext(graph.edges.columns)
-        m = (message or self.message)(context)
+        f = message or self.message
+        wanted = list(inspect.signature(f).parameters.values())[1:]
+        if missing := [p.name for p in wanted if p.default is p.empty and p.kind is p.POSITIONAL_OR_KEYWORD and p.name not in more]:
+            raise ValueError(f"the message asks for {missing}, which propagate wasn't given")
+        m = f(context, **{p.name: more[p.name] for p in wanted if p.name in more})
         edges = self.gather(graph, columns, context.used)
         dim = self.message_dim(graph)
         found = reduce_vectors(edges.select(F.col("dst").alias("node"), m.alias("__m")), ["node"], "__m", dim, self.aggregate, "agg")
@@ -91,6 +98,4 @@ class MessagePassing:
         return edges
 
     def config(self) -> dict:
-        """What the layer was made with; weights are kept apart (``params``)."""
-        plain = {k: v for k, v in vars(self).items() if isinstance(v, (int, float, str, bool, type(None)))}
-        return {"layer": type(self).__name__, **plain, "aggregate": reducer_name(self.aggregate)}
+        return super().config() | {"aggregate": reducer_name(self.aggregate)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,46 @@ INITIALISERS = {
 }
 
 
+def initialised(given, rows: int, columns: int, seed: int) -> np.ndarray:
+    """A matrix from what was given for it: an array, the name of an initialiser, or a function like one."""
+    if isinstance(given, str):
+        if given not in INITIALISERS:
+            raise ValueError(f"unknown initialiser {given!r}; known: {', '.join(INITIALISERS)}")
+        given = INITIALISERS[given]
+    return np.asarray(given(rows, columns, seed) if callable(given) else given, float)
+
+
+class Configured:
+    """Remembers what a layer was made with. ``config`` gives it as plain values, ``from_config`` makes the layer again."""
+
+    known: dict[str, type] = {}
+
+    def __init_subclass__(cls, **how):
+        super().__init_subclass__(**how)
+        Configured.known[cls.__name__] = cls
+
+    def __new__(cls, *args, **how):
+        self = super().__new__(cls)
+        bound = inspect.signature(cls.__init__).bind(self, *args, **how)
+        bound.apply_defaults()
+        self._given = {k: v for k, v in list(bound.arguments.items())[1:] if k != "weights"}
+        return self
+
+    def config(self) -> dict:
+        """The layer's name and arguments; functions by their names, weights apart (``save``)."""
+        plain = lambda v: getattr(v, "__name__", str(v)) if callable(v) else v.tolist() if isinstance(v, np.ndarray) else v
+        return {"layer": type(self).__name__} | {k: plain(v) for k, v in self._given.items()}
+
+
+def from_config(config: dict, weights: dict | None = None):
+    """The layer that ``config`` describes, with these weights."""
+    how = {k: v for k, v in config.items() if k != "layer"}
+    if config["layer"] not in Configured.known:
+        raise ValueError(f"unknown layer {config['layer']!r}")
+    cls = Configured.known[config["layer"]]
+    return cls(**how, **({"weights": weights} if "weights" in inspect.signature(cls.__init__).parameters else {}))
+
+
 def save(spark: SparkSession, path: str, weights: dict[str, dict[str, np.ndarray]]) -> None:
     """{layer: {name: vector or matrix}} as rows (layer, name, i, j, value); j is null for vectors."""
     rows = []

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from weft.functions import vectors as V
@@ -38,17 +36,6 @@ def query(name: str, sql):
     return put
 
 
-def on_all_places(name: str, sql):
-    """Register the query below a second time, over the whole embedding instead of its first places."""
-
-    def put(f):
-        QUERIES[f"{name}_whole"] = partial(f, dim=WHOLE)
-        _SQL[f"{name}_whole"] = sql
-        return f
-
-    return put
-
-
 def oracle_sql() -> dict[str, str]:
     return {name: f() for name, f in _SQL.items()}
 
@@ -198,7 +185,7 @@ def gcn_filter(spark, sf_dir):
 # Products ----------------------------------------------------------------------------------------
 
 
-def _on_ring(end, dim: int = 8):
+def _on_ring(end, dim: int = WHOLE):
     def sql():
         s = Sql()
         s.vectors(dim)
@@ -217,9 +204,8 @@ def adj_matmul(spark, sf_dir):
 _adj_matmul_t_places = lambda s: s.long(s.adjacency("h", "x", s.dim, transpose=True))
 
 
-@on_all_places("adj_matmul_t", _on_ring(_adj_matmul_t_places, WHOLE))
 @query("adj_matmul_t", _on_ring(_adj_matmul_t_places))
-def adj_matmul_t(spark, sf_dir, dim=8):
+def adj_matmul_t(spark, sf_dir, dim=WHOLE):
     g = ring(spark, sf_dir, dim)
     return long(A.adj_matmul(g.edges, g.nodes, "x", dim, transpose=True))
 
@@ -237,9 +223,8 @@ def _mixed_sql(s):
     return s.long("h", "batch, node")
 
 
-@on_all_places("modal_dot_mixed", _on_ring(_mixed_sql, WHOLE))
 @query("modal_dot_mixed", _on_ring(_mixed_sql))
-def modal_dot_mixed(spark, sf_dir, dim=8):
+def modal_dot_mixed(spark, sf_dir, dim=WHOLE):
     g = ring(spark, sf_dir, dim)
     return long(A.adj_matmul(g.edges, _batches(g.nodes), "x", dim), ["batch", "node"])
 
@@ -257,9 +242,8 @@ def _batch_sql(s):
     return s.long("h", "batch, node")
 
 
-@on_all_places("modal_dot_batch", _on_ring(_batch_sql, WHOLE))
 @query("modal_dot_batch", _on_ring(_batch_sql))
-def modal_dot_batch(spark, sf_dir, dim=8):
+def modal_dot_batch(spark, sf_dir, dim=WHOLE):
     g = ring(spark, sf_dir, dim)
     return long(A.adj_matmul(_batched_edges(g.edges), _batches(g.nodes), "x", dim), ["batch", "node"])
 
@@ -273,9 +257,8 @@ def matmul(spark, sf_dir):
 _polyval_places = lambda s: s.long(s.each("h", "x", "((0.5::DOUBLE * v - 1.25) * v + 2.0) * v + 0.125"))
 
 
-@on_all_places("polyval", _on_ring(_polyval_places, WHOLE))
 @query("polyval", _on_ring(_polyval_places))
-def polyval(spark, sf_dir, dim=8):
+def polyval(spark, sf_dir, dim=WHOLE):
     x = vectors(spark, sf_dir, dim)
     return long(x.select("node", F.transform("x", lambda v: V.polyval([0.5, -1.25, 2.0, 0.125], v)).alias("h")))
 
@@ -289,12 +272,12 @@ def unique_inverse(spark, sf_dir):
 # Segments ----------------------------------------------------------------------------------------
 
 
-def _segments(spark, sf_dir, dim=8):
+def _segments(spark, sf_dir, dim=WHOLE):
     """Vectors by label, with the odd numbers missing."""
     return vectors(spark, sf_dir, dim).select((F.col("label").cast("long") * 2).alias("index"), "x")
 
 
-def _on_segments(end, dim: int = 8):
+def _on_segments(end, dim: int = WHOLE):
     def sql():
         s = Sql()
         s.vectors(dim, "y")
@@ -323,15 +306,13 @@ def aggr_sum(spark, sf_dir):
     return long(G.SumAggregation()(_segments(spark, sf_dir, 64), 64), ["index"])
 
 
-@on_all_places("aggr_max", _on_segments(_reduced("max", "-1.0::DOUBLE"), WHOLE))
 @query("aggr_max", _on_segments(_reduced("max", "-1.0::DOUBLE")))
-def aggr_max(spark, sf_dir, dim=8):
+def aggr_max(spark, sf_dir, dim=WHOLE):
     return long(G.MaxAggregation(fill=-1.0)(_segments(spark, sf_dir, dim), dim), ["index"])
 
 
-@on_all_places("aggr_mean", _on_segments(_reduced("avg", None), WHOLE))
 @query("aggr_mean", _on_segments(_reduced("avg", None)))
-def aggr_mean(spark, sf_dir, dim=8):
+def aggr_mean(spark, sf_dir, dim=WHOLE):
     return long(G.MeanAggregation()(_segments(spark, sf_dir, dim), dim), ["index"])
 
 
@@ -344,15 +325,13 @@ def _softmax_sql(t: str):
     return end
 
 
-@on_all_places("aggr_softmax", _on_segments(_softmax_sql("2.0::DOUBLE"), WHOLE))
 @query("aggr_softmax", _on_segments(_softmax_sql("2.0::DOUBLE")))
-def aggr_softmax(spark, sf_dir, dim=8):
+def aggr_softmax(spark, sf_dir, dim=WHOLE):
     return long(G.SoftmaxAggregation(t=2.0)(_segments(spark, sf_dir, dim), dim), ["index"])
 
 
-@on_all_places("aggr_softmax_trainable", _on_segments(_softmax_sql("0.0::DOUBLE"), WHOLE))
 @query("aggr_softmax_trainable", _on_segments(_softmax_sql("0.0::DOUBLE")))
-def aggr_softmax_trainable(spark, sf_dir, dim=8):
+def aggr_softmax_trainable(spark, sf_dir, dim=WHOLE):
     return long(G.SoftmaxAggregation(t=2.0, trainable=True)(_segments(spark, sf_dir, dim), dim), ["index"])
 
 
@@ -361,9 +340,8 @@ def _power_sql(s):
     return s.long("f", "index")
 
 
-@on_all_places("aggr_power_mean", _on_segments(_power_sql, WHOLE))
 @query("aggr_power_mean", _on_segments(_power_sql))
-def aggr_power_mean(spark, sf_dir, dim=8):
+def aggr_power_mean(spark, sf_dir, dim=WHOLE):
     rows = _segments(spark, sf_dir, dim).select("index", F.transform("x", lambda v: v * 50).alias("x"))
     return long(G.PowerMeanAggregation(p=2.0)(rows, dim), ["index"])
 
@@ -378,9 +356,8 @@ def _deepsets_sql(s):
     return s.long("h1", "index")
 
 
-@on_all_places("aggr_deepsets", _on_segments(_deepsets_sql, WHOLE))
 @query("aggr_deepsets", _on_segments(_deepsets_sql))
-def aggr_deepsets(spark, sf_dir, dim=8):
+def aggr_deepsets(spark, sf_dir, dim=WHOLE):
     local = lambda x: V.dense(x, dyadic(dim, 5, 1), dyadic_vector(5, 2), "relu")
     last = lambda x: V.dense(x, dyadic(5, 3, 3), dyadic_vector(3, 4))
     return long(G.DeepSetsAggregation(local, last, 5)(_segments(spark, sf_dir, dim), dim), ["index"])
@@ -399,9 +376,8 @@ def segment_softmax_(spark, sf_dir):
 _mp_sum_places = lambda s: s.long(s.propagate("h", "x", s.dim))
 
 
-@on_all_places("mp_sum", _on_ring(_mp_sum_places, WHOLE))
 @query("mp_sum", _on_ring(_mp_sum_places))
-def mp_sum(spark, sf_dir, dim=8):
+def mp_sum(spark, sf_dir, dim=WHOLE):
     return long(MessagePassing()(ring(spark, sf_dir, dim)))
 
 
@@ -475,9 +451,8 @@ def _agnn_sql(s):
     return s.long(s.adjacency("h", "x", s.dim, "al", True))
 
 
-@on_all_places("agnn", _on_ring(_agnn_sql, WHOLE))
 @query("agnn", _on_ring(_agnn_sql))
-def agnn(spark, sf_dir, dim=8):
+def agnn(spark, sf_dir, dim=WHOLE):
     return long(C.AGNNConv()(ring(spark, sf_dir, dim)))
 
 
@@ -487,9 +462,8 @@ def _agnn_max_sql(s):
     return s.long(s.each("ht", s.spread("hs", "hm", s.dim, "-3.4028234663852886e38::DOUBLE"), TANH))
 
 
-@on_all_places("agnn_max", _on_ring(_agnn_max_sql, WHOLE))
 @query("agnn_max", _on_ring(_agnn_max_sql))
-def agnn_max(spark, sf_dir, dim=8):
+def agnn_max(spark, sf_dir, dim=WHOLE):
     return long(C.AGNNConv(aggregate="max", activation="tanh")(ring(spark, sf_dir, dim)))
 
 
@@ -505,9 +479,8 @@ def _appnp_sql(s):
     return s.long(s.each("h", z, TANH))
 
 
-@on_all_places("appnp_k3", _on_ring(_appnp_sql, WHOLE))
 @query("appnp_k3", _on_ring(_appnp_sql))
-def appnp_k3(spark, sf_dir, dim=8):
+def appnp_k3(spark, sf_dir, dim=WHOLE):
     g = ring(spark, sf_dir, dim)
     weights = {"mlp0": dyadic(dim, 6, 1), "mlp0_bias": dyadic_vector(6, 2), "mlp1": dyadic(6, 4, 3), "mlp1_bias": dyadic_vector(4, 4)}
     layer = C.APPNPConv(4, propagations=3, mlp_hidden=[6], activation="tanh", weights=weights)
@@ -547,15 +520,13 @@ def _arma(spark, sf_dir, dim: int, iterations: int, shared: bool):
     return long(layer(g.with_edges(layer.preprocess(g.edges, g.nodes))))
 
 
-@on_all_places("arma_k2_t2", _on_ring(_arma_sql(False), WHOLE))
 @query("arma_k2_t2", _on_ring(_arma_sql(False)))
-def arma_k2_t2(spark, sf_dir, dim=8):
+def arma_k2_t2(spark, sf_dir, dim=WHOLE):
     return _arma(spark, sf_dir, dim, 2, False)
 
 
-@on_all_places("arma_shared", _on_ring(_arma_sql(True), WHOLE))
 @query("arma_shared", _on_ring(_arma_sql(True)))
-def arma_shared(spark, sf_dir, dim=8):
+def arma_shared(spark, sf_dir, dim=WHOLE):
     return _arma(spark, sf_dir, dim, 3, True)
 
 
@@ -577,27 +548,6 @@ def crystal(spark, sf_dir):
 
 
 def _diffusion_sql(s):
-    s.add("nodes", "SELECT DISTINCT node FROM x WHERE node < 300")
-    s.add("s", "SELECT node, sum(v) AS s FROM x WHERE node < 300 GROUP BY node")
-    s.add("e2", "SELECT * FROM e WHERE src < 300 AND dst < 300")
-    s.degrees(edges="e2")
-    s.normal("a", "e2", "deg", True)
-    # dense on purpose: every pair of nodes counts
-    s.add("pairs", "SELECT i.node AS src, j.node AS dst, coalesce(a.w, 0.0::DOUBLE) AS w FROM nodes i CROSS JOIN nodes j LEFT JOIN a ON a.src = i.node AND a.dst = j.node")
-    poly = f"(({w('c', 0, 1)} * w + {w('c', 1, 1)}) * w + {w('c', 2, 1)})"
-    s.add("h", f"SELECT src AS node, c AS d, tanh(sum({poly} * s.s)) AS v FROM pairs JOIN s ON s.node = dst, range(3) r(c) GROUP BY src, c")
-    return s.long("h")
-
-
-@query("diffusion", _on_ring(_diffusion_sql))
-def diffusion(spark, sf_dir):
-    g = ring(spark, sf_dir)
-    g = Graph(g.nodes.filter("node < 300"), g.edges.filter("src < 300 and dst < 300"), 8)
-    layer = C.DiffusionConv(3, K=2, thetas=dyadic(3, 3, 1).T)
-    return long(layer(g.with_edges(layer.preprocess(g.edges, g.nodes))))
-
-
-def _diffusion_whole_sql(s):
     """Absent edges count with the last coefficient: it times the sum over all nodes, and edges add what they differ by."""
     s.add("nodes", "SELECT DISTINCT node FROM x")
     s.add("s", "SELECT node, sum(v) AS s FROM x GROUP BY node")
@@ -610,9 +560,8 @@ def _diffusion_whole_sql(s):
     return s.long("h")
 
 
-@query("diffusion_whole", _on_ring(_diffusion_whole_sql, 64))
-def diffusion_whole(spark, sf_dir):
-    """The layer on all nodes, edges and places."""
+@query("diffusion", _on_ring(_diffusion_sql))
+def diffusion(spark, sf_dir):
     g = ring(spark, sf_dir, 64)
     layer = C.DiffusionConv(3, K=2, thetas=dyadic(3, 3, 1).T)
     return long(layer(g.with_edges(layer.preprocess(g.edges, g.nodes))))
@@ -629,8 +578,7 @@ def _gru_sql(s, name, m, h, c):
 
 
 def _gated_sql(s):
-    places = 6 if s.dim < WHOLE else s.dim
-    c = places + 2
+    places, c = s.dim, s.dim + 2
     s.add("xp", f"SELECT node, d, v FROM x WHERE d < {places} UNION ALL SELECT DISTINCT node, r.d, 0.0::DOUBLE FROM x, range({places}, {c}) r(d)")
     h = "xp"
     for k in range(2):
@@ -640,9 +588,8 @@ def _gated_sql(s):
     return s.long(h)
 
 
-@on_all_places("gated_graph_l2", _on_ring(_gated_sql, WHOLE))
 @query("gated_graph_l2", _on_ring(_gated_sql))
-def gated_graph_l2(spark, sf_dir, dim=6):
+def gated_graph_l2(spark, sf_dir, dim=WHOLE):
     g, c = Graph(vectors(spark, sf_dir, dim).select("node", "x"), ring_edges(spark, sf_dir), dim), dim + 2
     weights = {"w0": dyadic(c, c, 1), "w1": dyadic(c, c, 2), "kernel": dyadic(c, 3 * c, 5), "recurrent": dyadic(c, 3 * c, 7), "gru_bias": dyadic_vector(3 * c, 6), "gru_recurrent_bias": dyadic_vector(3 * c, 8)}
     return long(C.GatedGraphConv(c, 2, weights=weights)(g))
@@ -658,9 +605,8 @@ def _gcn_sql(s):
     return s.long("h", "batch, node")
 
 
-@on_all_places("gcn_batched", _on_ring(_gcn_sql, WHOLE))
 @query("gcn_batched", _on_ring(_gcn_sql))
-def gcn_batched(spark, sf_dir, dim=8):
+def gcn_batched(spark, sf_dir, dim=WHOLE):
     g = ring(spark, sf_dir, dim)
     g = Graph(_batches(g.nodes), _batched_edges(g.edges), dim)
     return long(C.GraphConvolution(4, "relu", weights={"kernel": dyadic(dim, 4, 1), "bias": dyadic_vector(4, 2)})(g), ["batch", "node"])
@@ -673,9 +619,8 @@ def _general_sql(s):
     return s.long(s.propagate("h", "p", 6))
 
 
-@on_all_places("general_conv", _on_ring(_general_sql, WHOLE))
 @query("general_conv", _on_ring(_general_sql))
-def general_conv(spark, sf_dir, dim=8):
+def general_conv(spark, sf_dir, dim=WHOLE):
     weights = {"kernel": dyadic(dim, 6, 1), "bias": dyadic_vector(6, 2), "mean": dyadic_vector(6, 3), "variance": 1 + dyadic_vector(6, 4) ** 2, "gamma": dyadic_vector(6, 5), "beta": dyadic_vector(6, 6), "slope": dyadic_vector(6, 7)}
     return long(C.GeneralConv(6, weights=weights)(ring(spark, sf_dir, dim)))
 
@@ -688,21 +633,19 @@ def _gin_sql(s):
     return s.long(s.dense("h", "b", 4, 3, 4, TANH))
 
 
-@on_all_places("gin", _on_ring(_gin_sql, WHOLE))
 @query("gin", _on_ring(_gin_sql))
-def gin(spark, sf_dir, dim=8):
+def gin(spark, sf_dir, dim=WHOLE):
     weights = {"mlp0": dyadic(dim, 6, 1), "mlp0_bias": dyadic_vector(6, 2), "mlp1": dyadic(6, 4, 3), "mlp1_bias": dyadic_vector(4, 4)}
     return long(C.GINConv(4, epsilon=0.25, mlp_hidden=[6], activation="tanh", weights=weights)(ring(spark, sf_dir, dim)))
 
 
-def _gat_sql(heads: int, average: bool = False, saliency: bool = False, whole: bool = False):
+def _gat_sql(heads: int, average: bool = False, saliency: bool = False):
     def end(s):
         s.add("nodes", "SELECT DISTINCT node FROM x")
-        s.add("e3", f"SELECT * FROM e{'' if whole else ' WHERE src % 5 <> 0'}")
         if saliency:
-            s.add("kept", "SELECT src, dst, w, 1.0::DOUBLE AS top FROM e3")
+            s.add("kept", "SELECT src, dst, w, 1.0::DOUBLE AS top FROM e")
         else:
-            s.add("tops", "SELECT src, dst, w, max(w) OVER (PARTITION BY src) AS top FROM e3")
+            s.add("tops", "SELECT src, dst, w, max(w) OVER (PARTITION BY src) AS top FROM e")
             s.add("kept", "SELECT * FROM tops WHERE w = top")
         outs = []
         for k in range(heads):
@@ -717,22 +660,19 @@ def _gat_sql(heads: int, average: bool = False, saliency: bool = False, whole: b
             s.add(f"o{k}", f"SELECT n.node, m.d, coalesce(h.v, m.v) + {w('m.d', 0, 31 + k)} AS v FROM nodes n CROSS JOIN m{k} m LEFT JOIN h{k}_m h ON h.node = n.node AND h.d = m.d")
             outs.append(f"SELECT node, d + {0 if average else 4 * k} AS d, v FROM o{k}")
         s.add("u", " UNION ALL ".join(outs))
-        s.add("h", f"SELECT node, d, tanh(sum(v) / {heads if average else 1}) AS v FROM u {'WHERE node % 5 <> 0 ' if saliency and not whole else ''}GROUP BY node, d")
+        s.add("h", f"SELECT node, d, tanh(sum(v) / {heads if average else 1}) AS v FROM u GROUP BY node, d")
         return s.long("h")
 
-    return _on_ring(end, 64 if whole else 8)
+    return _on_ring(end)
 
 
-def _gat(spark, sf_dir, heads, reduction="concat", saliency=False, whole=False):
-    g = ring(spark, sf_dir, 64 if whole else 8)
+def _gat(spark, sf_dir, heads, reduction="concat", saliency=False):
+    g = ring(spark, sf_dir)
     weights = {}
     for k in range(heads):
         weights |= {f"kernel{k}": dyadic(g.dim, 4, 1 + k), f"self{k}": dyadic(4, 1, 11 + k), f"neighbour{k}": dyadic(4, 1, 21 + k), f"bias{k}": dyadic_vector(4, 31 + k)}
     layer = C.GraphAttention(4, heads, reduction, "tanh", saliency_map_support=saliency, weights=weights)
-    if whole:
-        return long(layer(g))
-    out = layer(g.with_edges(g.edges.filter("src % 5 <> 0")))
-    return long(out.filter("node % 5 <> 0") if saliency else out)
+    return long(layer(g))
 
 
 @query("gat_1head", _gat_sql(1))
@@ -755,35 +695,14 @@ def gat_saliency(spark, sf_dir):
     return _gat(spark, sf_dir, 1, saliency=True)
 
 
-@query("gat_1head_whole", _gat_sql(1, whole=True))
-def gat_1head_whole(spark, sf_dir):
-    return _gat(spark, sf_dir, 1, whole=True)
-
-
-@query("gat_concat_whole", _gat_sql(2, whole=True))
-def gat_concat_whole(spark, sf_dir):
-    return _gat(spark, sf_dir, 2, whole=True)
-
-
-@query("gat_average_whole", _gat_sql(2, average=True, whole=True))
-def gat_average_whole(spark, sf_dir):
-    return _gat(spark, sf_dir, 2, "average", whole=True)
-
-
-@query("gat_saliency_whole", _gat_sql(1, saliency=True, whole=True))
-def gat_saliency_whole(spark, sf_dir):
-    return _gat(spark, sf_dir, 1, saliency=True, whole=True)
-
-
 def _ppnp_sql(s):
     s.add("nodes", "SELECT DISTINCT node FROM x")
     _gcn_filter(s, "e")
     return s.long(s.adjacency("h", "x", s.dim, "filtered"))
 
 
-@on_all_places("ppnp", _on_ring(_ppnp_sql, WHOLE))
 @query("ppnp", _on_ring(_ppnp_sql))
-def ppnp(spark, sf_dir, dim=8):
+def ppnp(spark, sf_dir, dim=WHOLE):
     g = ring(spark, sf_dir, dim)
     return long(C.ppnp_propagation(A.gcn_filter(g.edges, g.nodes), g.nodes, "x", dim))
 
@@ -803,9 +722,8 @@ def _message_norm_sql(s):
     return s.long(s.zip("h", "a", "b", "a.v * b.v * 1.5::DOUBLE"))
 
 
-@on_all_places("message_norm", _on_ring(_message_norm_sql, WHOLE))
 @query("message_norm", _on_ring(_message_norm_sql))
-def message_norm_(spark, sf_dir, dim=8):
+def message_norm_(spark, sf_dir, dim=WHOLE):
     g = ring(spark, sf_dir, dim)
     return long(message_norm(g.nodes, MessagePassing()(g).withColumnRenamed("h", "msg"), scale=1.5))
 
@@ -822,20 +740,17 @@ def _linear_sql(s):
     s.add("lab", "SELECT DISTINCT node, label FROM x")
     s.each("q", "x", "v * v + 0.5")
     s.each("k", "x", "abs(v) + 0.25")
-    values = 3 if s.dim < WHOLE else s.dim
-    s.add("vv", f"SELECT node, d, CASE WHEN node % 4 = 0 THEN 0.0::DOUBLE ELSE v END AS v FROM x WHERE d < {values}")
-    _attend(s, "q", "k", "vv", values, "h0")
+    s.add("vv", "SELECT node, d, CASE WHEN node % 4 = 0 THEN 0.0::DOUBLE ELSE v END AS v FROM x")
+    _attend(s, "q", "k", "vv", s.dim, "h0")
     s.add("h", "SELECT label::BIGINT AS batch, h0.node, h0.d, h0.v FROM h0 JOIN lab ON lab.node = h0.node")
     return s.long("h", "batch, node")
 
 
-@on_all_places("linear_attention", _on_ring(_linear_sql, WHOLE))
 @query("linear_attention", _on_ring(_linear_sql))
-def linear_attention_(spark, sf_dir, dim=8):
-    values = 3 if dim < WHOLE else dim
+def linear_attention_(spark, sf_dir, dim=WHOLE):
     x = vectors(spark, sf_dir, dim)
-    rows = x.select(F.col("label").cast("long").alias("batch"), "node", F.transform("x", lambda v: v * v + 0.5).alias("q"), F.transform("x", lambda v: F.abs(v) + 0.25).alias("k"), F.slice("x", 1, values).alias("v"), (F.col("node") % 4 != 0).alias("mask"))
-    return long(linear_attention(rows, dim, values), ["batch", "node"])
+    rows = x.select(F.col("label").cast("long").alias("batch"), "node", F.transform("x", lambda v: v * v + 0.5).alias("q"), F.transform("x", lambda v: F.abs(v) + 0.25).alias("k"), F.col("x").alias("v"), (F.col("node") % 4 != 0).alias("mask"))
+    return long(linear_attention(rows, dim, dim), ["batch", "node"])
 
 
 def _performer_sql(s):
@@ -855,9 +770,8 @@ def _performer_sql(s):
     return s.long("h", "batch, node")
 
 
-@on_all_places("performer", _on_ring(_performer_sql, WHOLE))
 @query("performer", _on_ring(_performer_sql))
-def performer(spark, sf_dir, dim=8):
+def performer(spark, sf_dir, dim=WHOLE):
     x = vectors(spark, sf_dir, dim).select(F.col("label").cast("long").alias("batch"), "node", "x")
     weights = {"q": dyadic(dim, 8, 1), "k": dyadic(dim, 8, 2), "v": dyadic(dim, 8, 3), "out": dyadic(8, 6, 5), "out_bias": dyadic_vector(6, 6), "projection": dyadic(5, 4, 4)}
     return long(PerformerAttention(6, 2, 4, weights=weights)(x, dim), ["batch", "node"])
@@ -869,27 +783,24 @@ def performer(spark, sf_dir, dim=8):
 _row_normalise_places = lambda s: s.long(s.add("h", "SELECT node, d, v / sum(abs(v)) OVER (PARTITION BY node) AS v FROM x"))
 
 
-@on_all_places("row_normalise", _on_ring(_row_normalise_places, WHOLE))
 @query("row_normalise", _on_ring(_row_normalise_places))
-def row_normalise_(spark, sf_dir, dim=8):
+def row_normalise_(spark, sf_dir, dim=WHOLE):
     return long(row_normalise(vectors(spark, sf_dir, dim).select("node", "x")), h="x")
 
 
 _log_softmax_places = lambda s: s.long(s.add("h", "SELECT node, d, v - m - ln(sum(exp(v - m)) OVER (PARTITION BY node)) AS v FROM (SELECT node, d, v, max(v) OVER (PARTITION BY node) AS m FROM x)"))
 
 
-@on_all_places("log_softmax", _on_ring(_log_softmax_places, WHOLE))
 @query("log_softmax", _on_ring(_log_softmax_places))
-def log_softmax(spark, sf_dir, dim=8):
+def log_softmax(spark, sf_dir, dim=WHOLE):
     return long(vectors(spark, sf_dir, dim).select("node", V.log_softmax(F.col("x")).alias("h")))
 
 
 _softmax_places = lambda s: s.long(s.add("h", "SELECT node, d, exp(v) / sum(exp(v)) OVER (PARTITION BY node) AS v FROM x"))
 
 
-@on_all_places("softmax", _on_ring(_softmax_places, WHOLE))
 @query("softmax", _on_ring(_softmax_places))
-def softmax(spark, sf_dir, dim=8):
+def softmax(spark, sf_dir, dim=WHOLE):
     return long(vectors(spark, sf_dir, dim).select("node", V.softmax(F.col("x")).alias("h")))
 
 
@@ -910,3 +821,70 @@ def masked_accuracy(spark, sf_dir):
 @query("cross_entropy", _on_ring(lambda s: (s.add("t", "SELECT node, label, d, v - ln(sum(exp(v)) OVER (PARTITION BY node)) AS l FROM x"), s.end("SELECT CAST(floor(avg(-l) * 1e6 + 0.5) AS BIGINT) AS q FROM t WHERE d = label"))[1], 10))
 def cross_entropy(spark, sf_dir):
     return M.cross_entropy(vectors(spark, sf_dir, 10), "x").select(millionths(F.col("loss")).alias("q"))
+
+
+# Models: layers on top of each other, as in node classification ------------------------------------
+
+
+def _arma_layer_sql(s, tag: str, x: str, width: int, c: int, seed: int, act: str):
+    """One ARMA layer of one stack and one iteration."""
+    s.dense(f"{tag}w", x, c, seed)
+    s.adjacency(f"{tag}a", f"{tag}w", c, "a")
+    s.dense(f"{tag}s", x, c, seed + 1, seed + 2)
+    s.zip(f"{tag}z", f"{tag}a", f"{tag}s", "a.v + b.v")
+    return s.each(tag, s.each(f"{tag}r", f"{tag}z", RELU), act)
+
+
+def _batch_norm_sql(s, tag: str, x: str):
+    return s.add(tag, f"SELECT node, d, (v - {w('d', 0, 91)}) / sqrt(1.0::DOUBLE + {w('d', 0, 92)} * {w('d', 0, 92)} + 1e-3) * {w('d', 0, 93)} + {w('d', 0, 94)} AS v FROM {x}")
+
+
+def _arma_model_sql(s):
+    s.add("nodes", "SELECT DISTINCT node FROM x")
+    s.degrees()
+    s.normal("a", "e", "deg")
+    h = _batch_norm_sql(s, "n1", _arma_layer_sql(s, "l1", "x", 64, 6, 1, RELU))
+    h = _batch_norm_sql(s, "n2", _arma_layer_sql(s, "l2", h, 6, 6, 4, RELU))
+    h = _arma_layer_sql(s, "l3", h, 6, 4, 7, "v")
+    return s.long(s.add("h", f"SELECT node, d, exp(v) / sum(exp(v)) OVER (PARTITION BY node) AS v FROM {h}"))
+
+
+@query("model_arma", _on_ring(_arma_model_sql))
+def model_arma(spark, sf_dir):
+    """Three ARMA layers with batch normalisation between them, and a softmax."""
+    g = ring(spark, sf_dir)
+    g = g.with_edges(A.normalized_adjacency(g.edges, g.nodes))
+    weights = lambda dim, c, seed: {"w1_0_0": dyadic(dim, c, seed), "w2_0_0": dyadic(dim, c, seed + 1), "b_0_0": dyadic_vector(c, seed + 2)}
+    norm = (dyadic_vector(6, 91), 1 + dyadic_vector(6, 92) ** 2, dyadic_vector(6, 93), dyadic_vector(6, 94))
+    normal = lambda g: g.with_features(g.nodes.withColumn("x", V.batch_norm(F.col("x"), *norm)), g.dim)
+    g = normal(g.through(C.ARMAConv(6, activation="relu", weights=weights(64, 6, 1)), 6))
+    g = normal(g.through(C.ARMAConv(6, activation="relu", weights=weights(6, 6, 4)), 6))
+    return long(C.ARMAConv(4, activation="softmax", weights=weights(6, 4, 7))(g))
+
+
+def _gated_layers_sql(s, tag: str, h: str, c: int, layers: int, seed: int):
+    for k in range(layers):
+        s.dense(f"{tag}s{k}", h, c, seed + k)
+        s.propagate(f"{tag}m{k}", f"{tag}s{k}", c)
+        h = _gru_sql(s, f"{tag}h{k}", f"{tag}m{k}", h, c)
+    return h
+
+
+def _gated_model_sql(s):
+    s.dense("first", "x", 5, 41, 42, RELU)
+    s.add("xp", "SELECT node, d, v FROM first UNION ALL SELECT DISTINCT node, r.d, 0.0::DOUBLE FROM first, range(5, 7) r(d)")
+    h = _gated_layers_sql(s, "p", "xp", 7, 3, 51)
+    h = _gated_layers_sql(s, "q", h, 7, 2, 61)
+    s.dense("last", h, 4, 43, 44)
+    return s.long(s.add("h", "SELECT node, d, v - m - ln(sum(exp(v - m)) OVER (PARTITION BY node)) AS v FROM (SELECT node, d, v, max(v) OVER (PARTITION BY node) AS m FROM last)"))
+
+
+@query("model_gated", _on_ring(_gated_model_sql))
+def model_gated(spark, sf_dir):
+    """A dense layer, two gated layers of three and two steps, a dense layer, and a log-softmax."""
+    g = ring(spark, sf_dir)
+    g = g.with_features(g.nodes.withColumn("x", V.dense(F.col("x"), dyadic(64, 5, 41), dyadic_vector(5, 42), "relu")), 5)
+    cell = {"kernel": dyadic(7, 21, 5), "recurrent": dyadic(7, 21, 7), "gru_bias": dyadic_vector(21, 6), "gru_recurrent_bias": dyadic_vector(21, 8)}
+    for layers, seed in ((3, 51), (2, 61)):
+        g = g.through(C.GatedGraphConv(7, layers, weights=cell | {f"w{k}": dyadic(7, 7, seed + k) for k in range(layers)}), 7)
+    return long(g.nodes.select("node", V.log_softmax(V.dense(F.col("x"), dyadic(7, 4, 43), dyadic_vector(4, 44))).alias("h")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.sources.graph import Graph
+from weft.sources.written import written
 
 SUPPLIERS = 1_000_000
 
@@ -14,8 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vectors(spark, sf_dir, dim: int = 8) -> DataFrame:
-    """(node, x, label) of the embeddings, cut to their first places."""
+def vectors(spark, sf_dir, dim: int = 64) -> DataFrame:
+    """(node, x, label) of the embeddings; of their first places where fewer are asked for (as many as there are classes)."""
     x = F.col("embedding").cast("array<double>")
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("node"), (x if dim == 64 else F.slice(x, 1, dim)).alias("x"), F.col("label").cast("int").alias("label"))
 
@@ -29,7 +30,7 @@ def ring_edges(spark, sf_dir, weighted: bool = True) -> DataFrame:
     return edges.withColumn("w", (((F.col("src") + 2 * F.col("dst")) % 4 + 1) / 4.0).cast("double") if weighted else F.lit(1.0))
 
 
-def ring(spark, sf_dir, dim: int = 8, weighted: bool = True) -> Graph:
+def ring(spark, sf_dir, dim: int = 64, weighted: bool = True) -> Graph:
     return Graph(vectors(spark, sf_dir, dim).select("node", "x"), ring_edges(spark, sf_dir, weighted), dim)
 
 
@@ -45,7 +46,7 @@ def trade(spark, sf_dir) -> Graph:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.array(F.col("c_acctbal") / 10000.0, F.col("c_nationkey") / 25.0, F.lit(1.0), F.lit(0.0)).alias("x"))
     s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + SUPPLIERS).alias("node"), F.array(F.col("s_acctbal") / 10000.0, F.col("s_nationkey") / 25.0, F.lit(1.0), F.lit(1.0)).alias("x"))
     edges = trade_index(spark, sf_dir).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"), F.array(F.avg("l_discount"), F.avg("l_tax")).alias("e"))
-    return Graph(c.unionByName(s), edges, 4)
+    return Graph(c.unionByName(s), written(edges, "trade"), 4)  # the queries name the edges several times
 
 
 def long(df: DataFrame, keys: list[str] = ("node",), h: str = "h") -> DataFrame:

@@ -14,20 +14,20 @@ class Sql:
 
     def __init__(self):
         self.steps: list[tuple[str, str]] = []
-        self.dim = 8
+        self.dim = 64
 
     def add(self, name: str, select: str) -> str:
         self.steps.append((name, select))
         return name
 
     def end(self, select: str) -> str:
-        return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in self.steps) + "\n" + select
+        return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({s})" for n, s in self.steps) + "\n" + select
 
     def long(self, rel: str, keys: str = "node") -> str:
         return self.end(f"SELECT {keys}, d::INT AS dim, CAST(floor(v * 1e6 + 0.5) AS BIGINT) AS q FROM {rel}")
 
     # inputs
-    def vectors(self, dim: int = 8, name: str = "x") -> str:
+    def vectors(self, dim: int = 64, name: str = "x") -> str:
         self.dim = dim
         self.add(f"{name}_all", "SELECT vec_id::BIGINT AS node, label, unnest(range(0, 64)) AS d, unnest(embedding)::DOUBLE AS v FROM embeddings")
         return self.add(name, f"SELECT * FROM {name}_all WHERE d < {dim}")

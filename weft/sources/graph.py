@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from weft.functions.vectors import doubles
 
+from .written import written
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -38,6 +40,10 @@ class Graph:
     def with_edges(self, edges: DataFrame) -> Graph:
         return replace(self, edges=edges)
 
+    def through(self, layer, dim: int) -> Graph:
+        """The graph with a layer's output as its features, written, so that a stack of layers is planned one by one."""
+        return self.with_features(written(layer(self).withColumnRenamed("h", "x"), "layer"), dim)
+
     @staticmethod
     def read(spark: SparkSession, nodes: str, edges: str, dim: int | None = None) -> Graph:
         """From two Parquet tables; the width is that of the first row where it isn't given."""
