@@ -374,33 +374,38 @@ def _bucket(c: str):
     return F.when(F.col(c) > 0, F.least(F.floor(F.log2(F.col(c).cast("double")) + 1e-12).cast("int") + 1, F.lit(BUCKETS - 1))).otherwise(0)
 
 
-def _with_counts(pairs: DataFrame, words: DataFrame, value, given: str) -> DataFrame:
-    """``pairs`` with the counts ``value`` of both words, ``<side>_<given>`` where it is known. Other words are rare: no key has many rows.
+def rare_pairs(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Each pair with a rare word: how often it occurs in training documents (n, and left_out), and the counts n and main of both words.
 
-    Rows whose count is known are spread by the other word, so that they don't meet under one key.
+    A pair brings the counts of the word that is numbered; the other one is rare, so that no key of these joins has many
+    rows. Pairs whose count is known are spread by the other word.
     """
+    in_role = lambda *r: F.sum(F.when(F.col("role").isin(*r), F.col("n")).otherwise(0))
+    given = [f"{a}_{b}" for a in ("before", "after") for b in ("n", "main")]
+    pairs = rows.groupBy("before", "after").agg(in_role(1, 2).alias("n"), in_role(2).alias("left_out"), *[F.max(c).alias(c) for c in given])
+    pairs = pairs.withColumn("after_is_rare", F.col("after_n").isNull())
+    own = words.select(F.col("word").alias("__word"), F.col("n").alias("__n"), (F.col("n") - F.col("left_out")).alias("__main"))
     for side, other in (("before", "after"), ("after", "before")):
-        own = words.select(F.col("word").alias("__word"), value.alias("__n"))
-        meets = F.when(F.col(f"{side}_{given}").isNull(), F.col(side)).otherwise(F.col(other))
+        meets = F.when(F.col(f"{side}_n").isNull(), F.col(side)).otherwise(F.col(other))
         pairs = pairs.withColumn("__key", meets).join(own, F.col("__key") == F.col("__word"), "left")
-        pairs = pairs.withColumn(f"n_{side}", F.coalesce(f"{side}_{given}", F.col("__n"), F.lit(0))).drop("__key", "__word", "__n")
+        pairs = pairs.withColumns({f"{side}_{c}": F.coalesce(f"{side}_{c}", F.col(f"__{c}"), F.lit(0)) for c in ("n", "main")}).drop("__key", "__word", "__n", "__main")
     return pairs
 
 
-def rare_events(rare: DataFrame, words: DataFrame) -> DataFrame:
-    met = _with_counts(rare.filter("left_out > 0"), words, F.col("n") - F.col("left_out"), "main")
-    return met.select(_bucket("n_before").cast("long").alias("bucket"), (F.col("n") - F.col("left_out")).alias("both"), F.col("n_before").alias("before"), F.col("n_after").alias("after"), F.col("left_out").alias("n"))
+def rare_events(pairs: DataFrame) -> DataFrame:
+    met = pairs.filter("left_out > 0")
+    return met.select(_bucket("before_main").cast("long").alias("bucket"), (F.col("n") - F.col("left_out")).alias("both"), F.col("before_main").alias("before"), F.col("after_main").alias("after"), F.col("left_out").alias("n"))
 
 
-def rare_scores(found: DataFrame, rare: DataFrame, words: DataFrame, weights: np.ndarray, total: int, known: int) -> DataFrame:
+def rare_scores(rows: DataFrame, pairs: DataFrame, weights: np.ndarray, total: int, known: int) -> DataFrame:
     """(row, score, base, known): sums over a document's pairs with a rare word; base and known of rare words only."""
-    met = found.join(rare.select("before", "after", F.col("n").alias("both")), ["before", "after"], "left").fillna(0, ["both"])
-    met = _with_counts(met, words, F.col("n"), "n")
-    w = [F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, k]]), _bucket("n_before") + 1) for k in range(3)]
-    chance = w[0] * F.col("both") / F.greatest(F.col("n_before"), F.lit(1)) + w[1] * F.col("n_after") / F.lit(float(max(total, 1))) + w[2] / F.lit(float(known + 1))
-    own = lambda x: F.when(F.col("after_n").isNull(), x).otherwise(F.lit(0)) * F.col("n")
-    base = F.log10((F.col("n_after") + 0.1) / F.lit(total + 0.1 * (known + 1)))
-    return met.select("row", (F.log10(chance) * F.col("n")).alias("score"), own(base).alias("base"), own((F.col("n_after") > 0).cast("long")).alias("known"))
+    w = [F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, k]]), _bucket("before_n") + 1) for k in range(3)]
+    chance = w[0] * F.col("n") / F.greatest(F.col("before_n"), F.lit(1)) + w[1] * F.col("after_n") / F.lit(float(max(total, 1))) + w[2] / F.lit(float(known + 1))
+    base = F.log10((F.col("after_n") + 0.1) / F.lit(total + 0.1 * (known + 1)))
+    own = lambda x: F.when(F.col("after_is_rare"), x).otherwise(F.lit(0))
+    scored = pairs.select("before", "after", F.log10(chance).alias("logs"), own(base).alias("base"), own((F.col("after_n") > 0).cast("long")).alias("known"))
+    met = rows.select("row", "before", "after", F.col("n").alias("many")).join(scored, ["before", "after"])
+    return met.select("row", *[(F.col(c) * F.col("many")).alias(d) for c, d in (("logs", "score"), ("base", "base"), ("known", "known"))])
 
 
 # Scores of documents -----------------------------------------------------------------------------
@@ -437,14 +442,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", word_limit:
     found = durable(blocks(rows, vocabulary, total, known), "blocks")
     back = durable(answers(asked(found, vocabulary, parts), vocabulary, tasks), "answers")
     rare_rows = found.filter("before is not null")
-    in_role = lambda *r: F.sum(F.when(F.col("role").isin(*r), F.col("n")).otherwise(0))
-    rare = rare_rows.groupBy("before", "after").agg(in_role(1, 2).alias("n"), in_role(2).alias("left_out"), *[F.max(c).alias(c) for c in ("before_main", "after_main")])
-    rare = durable(rare, "rare")
-    events = back.filter("bucket is not null").select("bucket", "both", "before", "after", "n").unionByName(durable(rare_events(rare, words), "events"))
+    rare = durable(rare_pairs(rare_rows, words), "rare")
+    events = back.filter("bucket is not null").select("bucket", "both", "before", "after", "n").unionByName(rare_events(rare))
     weights = learn_weights(events, main, known)
     cells = found.filter("cell is not null").select(F.lit(None).cast("int").alias("part"), "block", "cell").unionByName(back.filter("cell is not null").select("part", "block", "cell"))
     scores = block_scores(cells, vocabulary, weights, parts, tasks, total, known).select("row", "score", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"))
-    scores = scores.unionByName(rare_scores(rare_rows, rare, words, weights, total, known))
+    scores = scores.unionByName(rare_scores(rare_rows, rare, weights, total, known))
     scores = scores.groupBy("row").agg(*[F.sum(c).alias(f"more_{c}") for c in ("score", "base", "known")])
     out = found.filter("n_tokens is not null").join(scores, "row", "left").fillna(0, [f"more_{c}" for c in ("score", "base", "known")])
     both = lambda a, b: F.col(a) + F.col(f"more_{b}")
