@@ -14,7 +14,7 @@ cells of bounded size. So rows grow with a group of near copies, not with its sq
 
 Shingles are runs of five words (lower-case letters, marks and digits); a text of one to four words
 has the one shingle of all its words. Defined results: a null or empty text, or one without words, is
-linked to texts equal to it only; repeated rows are copies of each other; ids may repeat and may be
+linked to texts equal to it only; texts of any length are looked at whole; repeated rows are copies of each other; ids may repeat and may be
 null; other columns are ignored by ``near_duplicates`` and passed through by ``one_of_each``; an empty
 table gives an empty table. ``class_id`` and ``copy_id`` are ids, so that a class whose ids are all null
 shows null; rows are told apart by their id and a 64-bit hash of their text.
@@ -189,7 +189,11 @@ def alike(met: DataFrame, width: int, cutoff: float) -> DataFrame:
     A large bucket has a centre, the commonest value of each place. Two members that differ from it in few places agree
     in all others, so that those that are this near (light) are connected at once; the rest (heavy) are compared with all.
     """
-    large = durable(met.filter(F.col("n") > TILE), "large")
+    large = met.filter(F.col("n") > TILE)
+    small = met.filter(F.col("n") <= TILE).select("bucket", "n", F.lit(0).cast("long").alias("heavy_n"), "id", F.lit(True).alias("heavy"), "signature")
+    compared = lambda cells: in_cells(cells, "bucket").mapInArrow(_alike(cutoff, width), "a long, b long")
+    if not large.limit(1).count():
+        return compared(small)
 
     def counted(batches):
         for batch in batches:
@@ -216,9 +220,7 @@ def alike(met: DataFrame, width: int, cutoff: float) -> DataFrame:
     large = durable(large.mapInArrow(measured, "bucket long, n long, id long, signature binary, heavy boolean"), "measured")
     figures = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("heavy").alias("heavy_n"), F.min(F.when(~F.col("heavy"), F.col("id"))).alias("light"))
     large = to_members(large, figures, ["bucket"])
-    small = met.filter(F.col("n") <= TILE).select("bucket", "n", "id", "signature", F.lit(True).alias("heavy"), F.lit(0).cast("long").alias("heavy_n"))
-    cells = small.unionByName(large.drop("light")).select("bucket", "n", "heavy_n", "id", "heavy", "signature")
-    edges = in_cells(cells, "bucket").mapInArrow(_alike(cutoff, width), "a long, b long")
+    edges = compared(small.unionByName(large.select(small.columns)))
     return edges.union(large.filter(~F.col("heavy")).select(F.col("id").alias("a"), F.col("light").alias("b")))
 
 
@@ -264,7 +266,12 @@ def verified(cells: DataFrame, threshold: Fraction) -> DataFrame:
     are counted by sorted sums; only members with far > 0 (heavy) are compared with all others.
     """
     a, b = threshold.numerator, threshold.denominator
-    large = durable(cells.filter(F.col("n") > TILE), "large")
+    none = F.lit(0).cast("long")
+    large = cells.filter(F.col("n") > TILE)
+    small = cells.filter(F.col("n") <= TILE).select("root", "n", none.alias("heavy_n"), "id", "copies", F.lit(1).cast("long").alias("far"), F.lit(True).alias("heavy"), "shingles")
+    compared = lambda met: in_cells(met, "root").mapInArrow(_verify(threshold), "id long, links long, class_links long, root long")
+    if not large.limit(1).count():
+        return compared(small)
 
     def counted(batches):
         for batch in batches:
@@ -297,7 +304,6 @@ def verified(cells: DataFrame, threshold: Fraction) -> DataFrame:
     figures = large.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.count_if("heavy").alias("heavy_n"), F.min_by("id", F.struct("far", "id")).alias("near"))
     # classes and documents with far' <= -far: sums over the sorted values, of which a group has few
     bins = durable(large.groupBy("root", "far").agg(F.count(F.lit(1)).alias("classes"), F.sum("copies").alias("docs"), F.max("n").alias("n")), "bins")
-    none = F.lit(0).cast("long")
     asked = bins.select("root", (-F.col("far")).alias("at"), F.lit(1).alias("asked"), none.alias("classes"), none.alias("docs"), "n")
     line = bins.select("root", F.col("far").alias("at"), F.lit(0).alias("asked"), "classes", "docs", "n").unionByName(asked)
     until = Window.partitionBy("root").orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, 0)
@@ -306,10 +312,7 @@ def verified(cells: DataFrame, threshold: Fraction) -> DataFrame:
     settled = to_members(settled, figures.select("root", "n", "near"), ["root"])
     own = F.when(F.col("far") <= 0, 1).otherwise(0)
     settled = settled.select("id", (F.col("with_docs") - own * F.col("copies")).alias("links"), (F.col("with_classes") - own).alias("class_links"), F.col("near").alias("root")).filter("class_links > 0")
-    columns = ["root", "n", "heavy_n", "id", "copies", "far", "heavy", "shingles"]
-    small = cells.filter(F.col("n") <= TILE).select("root", "n", none.alias("heavy_n"), "id", "copies", F.lit(1).cast("long").alias("far"), F.lit(True).alias("heavy"), "shingles")
-    met = small.select(*columns).unionByName(to_members(large, figures.drop("near"), ["root"]).select(*columns))
-    return in_cells(met, "root").mapInArrow(_verify(threshold), "id long, links long, class_links long, root long").unionByName(settled)
+    return compared(small.unionByName(to_members(large, figures.drop("near"), ["root"]).select(small.columns))).unionByName(settled)
 
 
 def similar(sets: list[np.ndarray], threshold: Fraction, columns: int = 1 << 14) -> np.ndarray:
@@ -369,6 +372,7 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int,
     met = classes.select("id", F.explode("bands").alias("bucket"))
     full = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = met.join(full, "bucket").join(classes.select("id", "signature"), "id").select("bucket", "n", "id", "signature")
+    met = durable(met, "met")
     p = float(threshold)
     cutoff = p - SLACK * (p * (1 - p) / width) ** 0.5
     part = durable(components(alike(met, width, cutoff)), "parts")
@@ -391,7 +395,7 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int,
     sets = map_text(texts, "text", [], make, [T.StructField("id", T.LongType()), T.StructField("shingles", T.BinaryType())])
     # rows repeated with id and text give one set; they combine before the shuffle
     cells = part.select("root", "n", "id", "copies").join(sets.dropDuplicates(["id"]), "id").select("root", "n", "id", "copies", "shingles")
-    return durable(verified(cells, threshold), "links")
+    return durable(verified(durable(cells, "cells"), threshold), "links")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: Fraction = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -402,3 +406,22 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     rows = docs.withColumnsRenamed(names).withColumn("__hash", _text_hash(names[text]))
     rows = rows.join(kept, F.col(names[key]).eqNullSafe(F.col("__kept")) & (F.col("__hash") == F.col("__kept_hash")), "left_semi")
     return rows.dropDuplicates([names[key], "__hash"]).select(*[F.col(v).alias(c) for c, v in names.items()])
+
+
+#: All pairs that share a shingle, by exact similarity; classes by reachability.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS body, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\pL\pM\pN]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT rid, array_to_string(w[pos + 1 : pos + 5], ' ') AS s FROM (SELECT rid, w, unnest(range(greatest(len(w) - 4, least(len(w), 1)))) AS pos FROM d)),
+k AS (SELECT rid, md5(string_agg(s, '|' ORDER BY s)) AS name FROM g GROUP BY rid),
+n AS MATERIALIZED (SELECT doc_id, d.rid, coalesce(name, 'text ' || body) AS name FROM d LEFT JOIN k USING (rid)),
+c AS MATERIALIZED (SELECT name, min(doc_id) AS copy_id, count(*) AS copies, min(rid) AS rid FROM n GROUP BY name),
+cs AS MATERIALIZED (SELECT c.rid AS id, s FROM c JOIN g USING (rid)),
+z AS (SELECT id, count(*) AS size FROM cs GROUP BY id),
+p AS (SELECT a.id AS x, b.id AS y, count(*) AS inter FROM cs a JOIN cs b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, b.id),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN z a ON a.id = x JOIN z b ON b.id = y WHERE inter * 5 >= 4 * (a.size + b.size - inter)),
+r AS (SELECT rid AS x, rid AS y FROM c UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+label AS (SELECT r.x AS rid, min(c.copy_id) AS class_id FROM r JOIN c ON c.rid = r.y GROUP BY r.x),
+links AS (SELECT x AS rid, sum(copies) AS links, count(*) AS class_links FROM l JOIN c ON c.rid = y GROUP BY x)
+SELECT n.doc_id, class_id, copy_id, (coalesce(links, 0) + copies - 1)::BIGINT AS links, coalesce(class_links, 0)::BIGINT AS class_links
+FROM n JOIN c USING (name) JOIN label ON label.rid = c.rid LEFT JOIN links ON links.rid = c.rid
+"""
