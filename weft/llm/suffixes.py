@@ -21,7 +21,11 @@ Every byte is removed that a ``length``-byte string covers which also starts any
 Sorts are dealt by ranges of key and position, so that many equal keys are spread over tasks; runs that
 cross a bound are found from the first and last keys of the ranges (a row a range on the driver).
 
-Defined results: a null text is empty; texts shorter than ``length`` lose nothing; repeated rows are repeats of
+Equal contexts are told by two 64-bit names of their bytes, one of all and one of a part, and texts by their MD5; in the sort,
+strings by the names of eight blocks. By far the most repeats are found by the grouping of steps 1 and 2: the sort
+decides on what these leave open.
+
+Defined results: a null text is empty; texts of any length are looked at whole; texts shorter than ``length`` lose nothing; repeated rows are repeats of
 each other and all lose their text; empty tables give empty tables; other columns are ignored.
 """
 
@@ -32,7 +36,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,10 +91,15 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, sums: np.ndarray, length: int,
     return places[k[cut]], p[cut], p[stop]
 
 
+def _text_id(body: Column) -> Column:
+    """A text's identity: its MD5, 128 bits."""
+    return F.unhex(F.md5(body.cast("binary")))
+
+
 def contexts(docs: DataFrame, text: str, length: int, window: int, gram: int) -> DataFrame:
     """(tail, context, id, at, first, last) of the anchors of texts of ``length`` bytes or more; id names the text."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(body).alias("id"), body.alias("text")).filter(F.octet_length("text") >= length)
+    rows = docs.select(_text_id(body).alias("id"), body.alias("text")).filter(F.octet_length("text") >= length)
 
     def make():
         def fn(raw, offsets, part):
@@ -105,7 +114,7 @@ def contexts(docs: DataFrame, text: str, length: int, window: int, gram: int) ->
     return expand_text(rows, "text", ["id"], make, _kind(ROW))
 
 
-ROW = "tail long, context long, id long, at int, first int, last int"
+ROW = "tail long, context long, id binary, at int, first int, last int"
 
 
 def _whole(sums: np.ndarray, a: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
@@ -128,7 +137,7 @@ def _texts(docs: DataFrame, text: str, places: DataFrame) -> DataFrame:
     enough to be sent to every task (counted)."""
     grouped = durable(places.groupBy("id").agg(F.collect_set(F.struct("at", "first", "last")).alias("places")), "places")  # a text's own places
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(body).alias("id"), body.alias("text"))
+    rows = docs.select(_text_id(body).alias("id"), body.alias("text"))
     if grouped.count() <= BROADCAST_IDS:
         rows = rows.join(F.broadcast(grouped.select("id")), "id", "left_semi")
     return rows.groupBy("id").agg(F.first("text").alias("text")).join(grouped, "id")
@@ -175,8 +184,8 @@ def kinds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     often = durable(rows.groupBy("tail").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tail"), "groups")
     rows = durable(rows.join(often, "tail", "left_semi"), "often")
-    each = durable(rows.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.min("tail").alias("tail"), F.min(F.struct("id", "at", "first", "last")).alias("rep")), "kinds")
-    equal = rows.join(each.filter("n > 1").select("context"), "context", "left_semi").select("id", "first", "last")
+    each = durable(rows.groupBy("tail", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at", "first", "last")).alias("rep")), "kinds")
+    equal = rows.join(each.filter("n > 1").select("tail", "context"), ["tail", "context"], "left_semi").select("id", "first", "last")
     several = durable(each.groupBy("tail").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("tail"), "several")
     return equal, durable(each.join(several, "tail", "left_semi").select("rep.*"), "reps")
 
@@ -218,7 +227,7 @@ def sample_triples(docs: DataFrame, text: str, starts: DataFrame, length: int) -
 
         return fn
 
-    schema = _kind("kind int, x long, y long, z long, id long, p int, q int, r int")
+    schema = _kind("kind int, x long, y long, z long, id binary, p int, q int, r int")
     made = durable(expand_text(rows, "text", ["id", "places"], make, schema), "triples")
     return made.filter("kind = -1").select(F.col("x").alias("c0"), F.col("y").alias("c1"), F.col("z").alias("c2"), "id", "q"), made.filter("kind >= 0").drop("z")
 
@@ -277,7 +286,7 @@ def repeated_starts(docs: DataFrame, text: str, starts: DataFrame, length: int)
 
 
 def repeated(docs: DataFrame, text: str = "text", length: int = LENGTH, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, first, last): ranges of the positions of texts, named by xxhash64, at which repeated strings start."""
+    """(id, first, last): ranges of the positions of texts, named by their MD5, at which repeated strings start."""
     rows, ranges = durable(contexts(docs, text, length, window, gram), "anchors"), None
     for width, band in zip((window, *BANDS), (*BANDS, 1), strict=True):
         equal, reps = kinds(rows)
@@ -310,7 +319,7 @@ def _merged(spans: DataFrame) -> DataFrame:
             cuts = np.searchsorted(row[at], np.arange(len(batch) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), made)], names=["id", "spans"])
 
-    return spans.mapInArrow(run, _kind("id long, spans array<struct<first: int, last: int>>"))
+    return spans.mapInArrow(run, _kind("id binary, spans array<struct<first: int, last: int>>"))
 
 
 def cut(raw: np.ndarray, ranges: np.ndarray, length: int) -> tuple[int, np.ndarray]:
@@ -334,7 +343,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     if (spans.agg(F.sum(F.size("spans") + 4)).first()[0] or 0) <= BROADCAST_ROWS:
         spans = F.broadcast(spans)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("id")).join(spans, "id", "left").select("doc_id", "spans", "text")
+    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), body.alias("text"), _text_id(body).alias("id")).join(spans, "id", "left").select("doc_id", "spans", "text")
 
     def make():
         def fn(raw, offsets, part):
