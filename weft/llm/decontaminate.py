@@ -13,8 +13,8 @@ several passes. Documents are never shuffled.
 
 Defined results: null and empty texts and texts without words hold nothing; an item without words is
 never found; an item of one to four words is found where these words stand in a row; a text that is
-shorter than an item is one window; of repeated ids each row is looked at and the best match of an id
-and item counts; an empty table gives an empty table; other columns are ignored or passed through.
+shorter than an item is one window; of repeated ids and rows each row is looked at and the best match of an id
+and item counts; texts of any length are looked at whole, with sums around ``HITS`` shared shingles at a time; an empty table gives an empty table; other columns are ignored or passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ THRESHOLD = Fraction(4, 5)
 WORDS = 5
 RADIUS = 20
 BLOCKS = 7
+#: Shingles that an item has as well, which numpy looks at together.
+HITS = 4096
 #: Text of the benchmark that is sent to the tasks at a time.
 BLOCK_BYTES = 16 << 20
 
@@ -138,7 +140,8 @@ def find(index: Index, names: np.ndarray, doc: np.ndarray, threshold: Fraction =
         inside = doc[: len(grams)] == doc[WORDS - 1 :]
         hits = np.flatnonzero(member(grams, index.shingles) & inside)
         if len(hits):
-            rows += _windows(index, grams, hits, doc, first, last, threshold)
+            for part in range(0, len(hits), HITS):
+                rows += _windows(index, grams, hits[part : part + HITS], doc, first, last, threshold)
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for d, i, at, similarity in rows:
         if (similarity, -at) > best.get((d, i), (-1.0, 0)):
@@ -147,9 +150,12 @@ def find(index: Index, names: np.ndarray, doc: np.ndarray, threshold: Fraction =
 
 
 def _windows(index: Index, grams, hits, doc, first, last, threshold: Fraction):
-    # only texts with a hit: their shingles' signs, summed up
-    hot = np.unique(doc[hits])
-    used = np.flatnonzero(np.isin(doc[: len(grams)], hot))
+    # the signs of the shingles that a window with a hit may hold, summed up
+    reach = max(index.windows)
+    near = np.zeros(len(grams) + 1, np.int32)
+    np.add.at(near, np.maximum(hits - reach, first[hits]), 1)
+    np.add.at(near, np.minimum(np.minimum(hits + reach, last[hits]), len(grams)), -1)
+    used = np.flatnonzero(np.cumsum(near[:-1]) > 0)
     place = np.full(len(grams) + 1, -1)
     place[used] = np.arange(len(used))
     sums = np.zeros((len(used) + 1, 64), np.int32)
@@ -188,11 +194,11 @@ def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 def _indices(bench: DataFrame, item: str, text: str):
     """The benchmark's indices, one block after the other, each within the bound."""
-    rows = bench.select(F.col(f"`{item}`").alias("i"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+    rows = bench.select(F.col(f"`{item}`").alias("i"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).distinct()
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-size // BLOCK_BYTES))
     for k in range(parts):
-        block = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == k)
+        block = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
         got = block.collect()  # BLOCK_BYTES at a time
         yield index_of([r["i"] for r in got], [r["t"] for r in got])
 
@@ -253,3 +259,21 @@ def clean(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "it
 
         out = map_text(out, names[text], list(names.values()), make, [T.StructField("__bad", T.BooleanType())]).filter("not __bad").drop("__bad")
     return out.select(*[F.col(v).alias(c) for c, v in names.items()])
+
+
+#: Every window that shares a shingle with an item, by exact similarity: what the fingerprints may pass over is not passed over here.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\pL\pM\pN]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, row_number() OVER () AS iid, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\pL\pM\pN]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark),
+g AS MATERIALIZED (SELECT rid, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS s FROM (SELECT rid, w, unnest(range(len(w) - 4)) AS pos FROM d WHERE len(w) >= 5)),
+ig AS MATERIALIZED (SELECT iid, s, count(*) AS n FROM (SELECT iid, array_to_string(w[pos + 1 : pos + 5], ' ') AS s FROM (SELECT iid, w, unnest(range(len(w) - 4)) AS pos FROM i WHERE len(w) >= 5)) GROUP BY iid, s),
+hit AS (SELECT DISTINCT rid, iid, pos FROM g JOIN ig USING (s)),
+sized AS (SELECT rid, iid, pos, len(i.w) AS n, len(d.w) AS m FROM hit JOIN d USING (rid) JOIN i USING (iid)),
+win AS MATERIALIZED (SELECT DISTINCT rid, iid, n, m, lead_ FROM (SELECT rid, iid, n, m, unnest(CASE WHEN m <= n THEN [0] ELSE range(greatest(pos - (n - 5), 0), least(pos, m - n) + 1) END) AS lead_ FROM sized)),
+part AS (SELECT win.rid, win.iid, lead_, g.s, count(*) AS c FROM win JOIN g ON g.rid = win.rid AND g.pos >= lead_ AND g.pos <= lead_ + least(n, m - lead_) - 5 GROUP BY ALL),
+met AS (SELECT rid, iid, lead_, sum(least(c, coalesce(n, 0))) AS inter, sum(c) AS own FROM part LEFT JOIN ig USING (iid, s) GROUP BY ALL),
+scored AS (SELECT rid, iid, lead_, inter::BIGINT AS inter, (own + (SELECT sum(n) FROM ig WHERE ig.iid = met.iid) - inter)::BIGINT AS uni FROM met),
+short AS (SELECT rid, iid, pos AS lead_, 1 AS inter, 1 AS uni FROM (SELECT rid, w, unnest(range(len(w))) AS pos FROM d) x, (SELECT iid, w AS v FROM i WHERE len(w) BETWEEN 1 AND 4) y WHERE w[pos + 1 : pos + len(v)] = v)
+SELECT doc_id, item_id, arg_min(lead_, (-inter / uni, lead_))::BIGINT AS first_word, max(inter / uni)::DOUBLE AS similarity
+FROM (SELECT * FROM scored WHERE inter * 5 >= uni * 4 UNION ALL SELECT * FROM short) JOIN d USING (rid) JOIN i USING (iid) GROUP BY doc_id, item_id
+"""
