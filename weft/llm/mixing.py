@@ -7,8 +7,8 @@ themselves are never shuffled while the table of sources is small (checked), and
 source beyond that.
 
 Defined results: a null text has no tokens; a null source is a source of its own and comes last;
-a source without tokens has rate 0; rows with equal ids share one draw; an empty table gives an empty
-table; columns that are not named here are passed through by ``mix`` and dropped by ``mix_plan``.
+a source without tokens has rate 0; texts of any length count whole; repeated rows, and rows with equal ids, share one
+draw; an empty table gives an empty table; columns that are not named here are passed through by ``mix`` and dropped by ``mix_plan``.
 """
 
 from __future__ import annotations

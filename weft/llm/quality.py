@@ -10,8 +10,9 @@ Training takes a bounded, documented sample of the labelled rows (``max_rows``),
 of shards; each shard runs FTRL-proximal over its rows, and the weights are averaged.
 
 Defined results: null and empty texts have no features and score as the bias; texts of any length count
-whole; a document that has several labels trains with each; documents without labels only get scores;
-an empty table or a training set without rows gives scores of the prior 0.5.
+whole; a document that has several labels trains with each, repeated rows each time they occur and label rows that are
+equal once; documents without labels only get scores; null ids train nothing; an empty table or a training set without
+rows gives scores of the prior 0.5; other columns are ignored, and ``keep_good`` passes them through, whatever their names.
 """
 
 from __future__ import annotations

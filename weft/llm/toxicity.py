@@ -8,8 +8,9 @@ A logistic model of hashed words and word beginnings, trained with follow-the-re
 bounded sample of labelled rows (``MAX_ROWS``), scores the text with the decoded words added.
 
 Defined results: null and empty texts score as the bias; texts and tokens of any length are read whole;
-a document with several labels trains with each; without training rows all scores are 0.5; an empty table
-gives an empty table; other columns are ignored.
+a document with several labels trains with each, repeated rows each time they occur and label rows that are equal once;
+null ids train nothing; without training rows all scores are 0.5; an empty table gives an empty table; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
