@@ -249,7 +249,7 @@ def test_secrets_learn_from_given_findings(spark):
 def test_secret_candidates_and_features_against_brute_force(spark, entries):
     rng = np.random.default_rng(4)
     alphabet = list("abcXYZ0189+/_-=. :\n\"@") + ["release", "server"]
-    texts = ["".join(rng.choice(alphabet, 120)) for _ in range(60)] + [None, "", "a1" * 600_000]  # the last is above a megabyte
+    texts = ["".join(rng.choice(alphabet, 120)) for _ in range(60)] + [None, "", "w " * 600_000 + "a1" * 3_000]  # the last is above a megabyte
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     found = secrets.with_features(secrets.covered(secrets.candidates(table), entries)).select("*", *[x.alias(f"f_{k}") for k, x in secrets.features().items()]).collect()
     want = collections.Counter()
