@@ -62,4 +62,4 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL = {"op2_decontamination": decontaminate.ORACLE, "op4_mixing": mixing.ORACLE, "op10_ngram_jaccard": jaccard.ORACLE}
+ORACLE_SQL = {"op2_decontamination": decontaminate.ORACLE, "op4_mixing": mixing.ORACLE, "op8_suffix_dedup": suffixes.ORACLE, "op10_ngram_jaccard": jaccard.ORACLE}

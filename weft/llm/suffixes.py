@@ -366,3 +366,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
     fields += [T.StructField("kept", T.BinaryType())] * keep_text
     return map_text(rows, "text", ["doc_id", "spans"], make, fields).drop("spans")
+
+
+#: All strings of 400 bytes by their MD5, in hexadecimal.
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS MATERIALIZED (SELECT rid, p, md5_number(substr(h, 2 * p + 1, 800)) AS k FROM (SELECT rid, h, unnest(range(len(h) // 2 - 399)) AS p FROM d WHERE len(h) >= 800)),
+r AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+e AS (SELECT rid, p, CASE WHEN p > lag(p) OVER (PARTITION BY rid ORDER BY p) + 400 THEN 1 ELSE 0 END AS fresh FROM s SEMI JOIN r USING (k)),
+o AS (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS run FROM e),
+v AS MATERIALIZED (SELECT rid, min(p) AS a, max(p) + 400 AS b FROM o GROUP BY rid, run),
+g AS (SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS lo, a AS hi FROM v UNION ALL SELECT rid, max(b), NULL FROM v GROUP BY rid),
+t AS (SELECT rid, string_agg(substr(h, 2 * lo + 1, 2 * (coalesce(hi, len(h) // 2) - lo)), '' ORDER BY lo) AS kept FROM g JOIN d USING (rid) GROUP BY rid),
+c AS (SELECT rid, sum(b - a) AS gone, count(*) AS runs FROM v GROUP BY rid)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (rid) LEFT JOIN c USING (rid)
+"""
