@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, mixing, neighbours, quality, secrets, sharding, suffixes, toxicity
+from . import decontaminate, jaccard, language, mixing, neighbours, quality, resampling, secrets, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op10_ngram_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -60,6 +64,13 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
-ORACLE_SQL = {"op2_decontamination": decontaminate.ORACLE, "op4_mixing": mixing.ORACLE, "op8_suffix_dedup": suffixes.ORACLE, "op10_ngram_jaccard": jaccard.ORACLE}
+ORACLE_SQL = {
+    "op2_decontamination": decontaminate.ORACLE,
+    "op4_mixing": mixing.ORACLE,
+    "op8_suffix_dedup": suffixes.ORACLE,
+    "op10_ngram_jaccard": jaccard.ORACLE,
+    "op11_importance_resampling": resampling.ORACLE,
+}
