@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, mixing, neighbours, quality, resampling, secrets, sharding, suffixes, toxicity
+from . import collocations, decontaminate, jaccard, language, mixing, neighbours, quality, resampling, secrets, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op11_importance_resampling(spark, sf_dir):
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -65,6 +69,7 @@ QUERIES = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -73,4 +78,5 @@ ORACLE_SQL = {
     "op8_suffix_dedup": suffixes.ORACLE,
     "op10_ngram_jaccard": jaccard.ORACLE,
     "op11_importance_resampling": resampling.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
