@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, jaccard, language, mixing, neighbours, quality, resampling, secrets, sharding, suffixes, toxicity
+from . import collocations, decontaminate, jaccard, language, mixing, neighbours, projections, quality, resampling, secrets, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op11_importance_resampling(spark, sf_dir):
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_embedding_near_dedup(spark, sf_dir):
+    return projections.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_collocations(spark, sf_dir):
     return collocations.mine(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_collocations": op13_collocations,
 }
 
