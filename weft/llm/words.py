@@ -61,7 +61,7 @@ def hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0)
     """64-bit names of byte spans by hashing eight bytes after another; unlike ``span_names`` no sum, so that no
     two texts share a name under every seed. Costs a step for each eight bytes of the longest span up to 64 bytes."""
     size = ends - starts
-    out = mix(size.astype(_U) * _U(0xD6E8FEB86659FD93) + _U(seed + 1) * _U(0x9E3779B97F4A7C15))
+    out = mix(size.astype(_U) * _U(0xD6E8FEB86659FD93) + _U((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
     for i in np.flatnonzero(size > _LONG).tolist():
         out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), seed)
     at = np.flatnonzero(size <= _LONG)
