@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.segments import keep_all, reduce_vectors
 from weft.functions.vectors import NORM_EPSILON, vscale, zeros
+from weft.sources.balance import heavy
 from weft.sources.written import written
 
 
@@ -104,13 +105,14 @@ def adj_matmul(edges: DataFrame, nodes: DataFrame, x: str, dim: int, transpose:
     """(node, keep, out) of A x (or A' x): out[src] = sum of w * x[dst]; nodes without edges get zeros.
 
     Single, batched and mixed products: the batch key joins where both sides have it, and is carried
-    along where only one side has it.
+    along where only one side has it. Edges are counted by the end that is looked up (a job), and those of a hub are
+    dealt to several tasks.
     """
     a, b = ("dst", "src") if transpose else ("src", "dst")
     both = [k for k in _keys(edges) if k in nodes.columns]
     keys = list(dict.fromkeys([*_keys(edges), *_keys(nodes)]))
     side = nodes.select(*_keys(nodes), F.col("node").alias(b), F.col(x).alias("__x"))
-    met = edges.select(*_keys(edges), "src", "dst", "w").join(side, [*both, b]).withColumnRenamed(a, "node")
+    met = heavy(edges, [*both, b]).join(edges.select(*_keys(edges), "src", "dst", "w"), side).withColumnRenamed(a, "node")
     sums = reduce_vectors(met.select(*keys, "node", vscale(F.col("__x"), F.col("w")).alias("__wx")), [*keys, "node"], "__wx", dim, "sum", out)
     base = nodes.select(*_keys(nodes), "node", *keep)
     if "batch" in keys and "batch" not in base.columns:

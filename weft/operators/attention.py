@@ -6,8 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weft.functions.vectors import activation, concat, dense, vadd, vdot, vscale, zeros
+from weft.functions.vectors import activation, concat, dense, zeros
+from weft.sources.balance import SALT, heavy
 
 from .convolutions import Conv, random_features
 from .params import orthogonal
@@ -46,18 +48,39 @@ def linear_attention(rows: DataFrame, m: int, d: int, q: str = "q", k: str = "k"
     """(q (sum of k x v)) / (q . sum of k) in each batch and head; the mask of a row zeroes its v only.
 
     Columns: batch, node, q and k of width m for each head, v of width d for each head, optional boolean mask.
-    All heads share one pass over the rows and one join.
+    The sums of a batch, its state, are one row. States and rows are merged into one stream sorted by batch, in which a
+    state comes before its rows; rows are multiplied by it as matrices, an Arrow batch at a time, and none carries it.
+    Batches are counted first (a job), and a large one is dealt to several tasks, each with a copy of the state.
     """
     value = F.col(v) if "mask" not in rows.columns else F.when(F.col("mask"), F.col(v)).otherwise(zeros(heads * d))
     sums = _sums(rows.select(F.col("batch").cast("long").alias("batch"), F.col(k).alias("k"), value.alias("v")), m, d, heads)
-    met = rows.join(sums, "batch")
-    for h in range(heads):
-        own, s = F.slice(q, h * m + 1, m), F.slice("s", h * m + 1, m)
-        top = F.aggregate(F.zip_with(own, s, lambda x, y: vscale(y["kv"], x)), zeros(d), lambda a, x: vadd(a, x))
-        met = met.withColumns({f"__top{h}": top, f"__bottom{h}": vdot(own, F.transform(s, lambda y: y["k"]))})
-    over = lambda b: lambda x: x / b
-    parts = [F.transform(f"__top{h}", over(F.col(f"__bottom{h}"))) for h in range(heads)]
-    return met.withColumn(out, concat(*parts)).drop("s", *[f"__{n}{h}" for n in ("top", "bottom") for h in range(heads)])
+    many = heavy(rows, ["batch"])
+    kept = T.StructType([f for f in rows.schema.fields if f.name != out])
+    whole = F.struct(*[F.col(c) for c in kept.names]).alias("row")
+    asked = many.dealt(rows).select("batch", SALT, F.lit(1).alias("kind"), F.col(q).cast("array<double>").alias("x"), whole)
+    held = F.flatten(F.transform("s", lambda r: F.concat(r["kv"], F.array(r["k"]))))
+    known = many.repeated(sums.withColumn("batch", F.col("batch").cast(rows.schema["batch"].dataType))).select("batch", SALT, F.lit(0).alias("kind"), held.alias("x"), F.lit(None).cast(kept).alias("row"))
+    merged = asked.union(known).repartition("batch", SALT).sortWithinPartitions("batch", SALT, "kind")
+
+    def run(batches):
+        state = None
+        for batch in batches:
+            kind, x = batch.column(0).to_numpy(), batch.column(1)
+            cut = np.append(np.flatnonzero(kind == 0), len(kind))
+            at = 0
+            for end in cut.tolist():  # rows up to the next state
+                if end > at:
+                    own = x.slice(at, end - at).flatten().to_numpy(zero_copy_only=False).reshape(end - at, heads, m)
+                    both = np.einsum("nhm,hmd->nhd", own, state)
+                    h = (both[:, :, :d] / both[:, :, d:]).reshape(end - at, heads * d)
+                    fields = batch.column(2).slice(at, end - at).flatten()
+                    places = pa.array(np.arange(0, h.size + 1, heads * d, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([*fields, pa.ListArray.from_arrays(places, pa.array(h.ravel()))], names=[*kept.names, out])
+                if end < len(kind):
+                    state = x[end].values.to_numpy(zero_copy_only=False).reshape(heads, m, d + 1)
+                at = end + 1
+
+    return merged.select("kind", "x", "row").mapInArrow(run, T.StructType([*kept.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
 class PerformerAttention(Conv):

@@ -1,11 +1,14 @@
-"""Graph convolutions. Every layer takes a Graph and gives (node, h), lazily.
+"""Graph convolutions. Every layer takes a Graph and gives (node, h).
 
 Layers built on message passing send from src to dst and ignore weights; layers built on ``adj_matmul``
 are weighted and collect at src, but for GraphConvolution, which collects at dst. Weights are numpy
 arrays of the driver in ``weights``, or names of initialisers, or functions like them; missing ones are drawn from
 ``glorot_uniform``, biases are zeros. Options that a layer's formula ignores are not taken. Dropout is drawn where
-a layer is called with ``draw``, a seed; without one it is left out, as in inference. Iterative layers write their state
-every round.
+a layer is called with ``draw``, a seed; without one it is left out, as in inference.
+
+Iterative layers (APPNP, ARMA, GatedGraph) run jobs when they are called: they lay the edges out once and write their state
+every round, in the same buckets, so that a round moves partial sums of states once and no edges. Layers that gather along
+edges count the edges of each node first, to find hubs.
 """
 
 from __future__ import annotations
@@ -41,7 +44,9 @@ from weft.functions.vectors import (
     vscale,
     zeros,
 )
+from weft.sources.balance import heavy
 from weft.sources.graph import Graph
+from weft.sources.layout import Layout, states
 from weft.sources.written import written
 
 from . import adjacency
@@ -90,7 +95,7 @@ class SAGEConv(Conv):
         w_rel, w_root = (self.weight(n, graph.dim, self.out_channels) for n in ("rel", "root"))
         b = self.bias("bias", self.out_channels) if self.use_bias else None
         side = graph.nodes.select(F.col("node").alias("dst"), "x")
-        met = graph.edges.select("src", "dst", "w").join(side, "dst")
+        met = heavy(graph.edges, ["dst"]).join(graph.edges.select("src", "dst", "w"), side)
         sums = reduce_vectors(met.select(F.col("src").alias("node"), "w", vscale(F.col("x"), F.col("w")).alias("wx")), ["node"], "wx", graph.dim, "sum", "m", [F.sum("w").alias("degree")])
         rows = keep_all(graph.nodes, sums, ["node"], {"m": zeros(graph.dim), "degree": F.lit(0.0)})
         mean = F.transform("m", lambda v: v / F.greatest(F.col("degree"), F.lit(1.0)))
@@ -144,12 +149,12 @@ class APPNPConv(Conv):
     def __call__(self, graph: Graph, draw: int | None = None) -> DataFrame:
         rows = graph.nodes.withColumn("h0", mlp(F.col("x"), self._mlp(graph.dim, draw)))
         keep = [*[c for c in ("mask",) if c in graph.nodes.columns], "h0"]
-        rows = written(rows.select("node", *keep, F.col("h0").alias("z")), "appnp")
-        edges = written(graph.edges.select("src", "dst", "w"), "edges") if self.propagations > 1 else graph.edges
+        rows = states(rows.select("node", *keep, F.col("h0").alias("z")), "appnp")
+        edges = Layout(graph.edges)
         for _ in range(self.propagations):
-            moved = adjacency.adj_matmul(edges, rows, "z", self.channels, out="az", keep=keep)
+            moved = edges.product(rows, "z", self.channels, "az", keep)
             z = F.zip_with("az", "h0", lambda a, h: a * F.lit(1 - self.alpha) + h * F.lit(self.alpha))
-            rows = written(moved.withColumn("z", z).drop("az"), "appnp")
+            rows = states(moved.withColumn("z", z).drop("az"), "appnp", aligned=True)
         return rows.select("node", activation(self.activation)(_masked(F.col("z"), graph.nodes)).alias("h"))
 
 
@@ -166,14 +171,18 @@ class ARMAConv(Conv):
     def __call__(self, graph: Graph, draw: int | None = None) -> DataFrame:
         c, stacks = self.channels, range(self.order)
         rows = graph.nodes.select("node", "x", *[m for m in ("mask",) if m in graph.nodes.columns])
-        edges = written(graph.edges.select("src", "dst", "w"), "edges") if self.iterations > 1 else graph.edges
+        edges = Layout(graph.edges) if self.iterations > 1 else None
         x = {k: F.col("x") for k in stacks}
         for i in range(self.iterations):
             at = min(i, 1) if self.share_weights else i
             width = graph.dim if i == 0 else c
             parts = [dense(x[k], self.weight(f"w1_{k}_{at}", width, c)) for k in stacks]
-            rows = written(rows.withColumn("__xw", concat(*parts)).drop("__y"), "arma")
-            rows = adjacency.adj_matmul(edges, rows, "__xw", c * self.order, out="__ax", keep=[m for m in rows.columns if m not in ("node", "__xw")])
+            rows = rows.withColumn("__xw", concat(*parts)).drop("__y")
+            keep = [m for m in rows.columns if m not in ("node", "__xw")]
+            if edges:
+                rows = edges.product(states(rows, "arma", aligned=i > 0), "__xw", c * self.order, "__ax", keep)
+            else:
+                rows = adjacency.adj_matmul(graph.edges, written(rows, "arma"), "__xw", c * self.order, out="__ax", keep=keep)
             y = []
             for k in stacks:
                 skip = dense(F.col("x"), self.weight(f"w2_{k}_{at}", graph.dim, c))
@@ -262,11 +271,10 @@ class GatedGraphConv(MessagePassing):
         c = self.channels
         cell = [self.params.weight("kernel", c, 3 * c), self.params.weight("recurrent", c, 3 * c), self.params.bias("gru_bias", 3 * c), self.params.bias("gru_recurrent_bias", 3 * c)]
         rows = self.get_inputs(graph).nodes.select("node", pad(F.col("x"), graph.dim, c).alias("x"))
-        if self.n_layers > 1:
-            graph = graph.with_edges(written(graph.edges, "edges"))
+        edges = Layout(graph.edges.filter("w <> 0"), "src", "dst")
         for layer in range(self.n_layers):
-            sent = written(rows.select("node", "x", dense(F.col("x"), self.params.weight(f"w{layer}", c, c)).alias("m")), "gated")
-            out = self.propagate(graph.with_features(sent, c), lambda e: e.source("m"))
+            sent = rows.select("node", "x", dense(F.col("x"), self.params.weight(f"w{layer}", c, c)).alias("m"))
+            out = edges.product(states(sent, "gated", aligned=layer > 0), "m", c, "agg", ("x",), self.aggregate, False, self.fill())
             rows = out.select("node", gru(F.col("agg"), F.col("x"), *cell).alias("x"))
         return rows.select("node", activation(self.activation)(F.col("x")).alias("h"))
 
@@ -377,7 +385,8 @@ class GraphAttention(Conv):
             top = edges.groupBy("src").agg(F.max("w").alias("top"), F.min("w").alias("least"))
             edges = edges.join(top, "src").filter(F.col("w") == F.col("top"))
             edges = edges.withColumn("top", F.when(F.col("least") < 0, F.raise_error(F.lit("attention needs weights of 0 or more"))).otherwise(F.col("top")))
-        met = edges.join(rows.select(F.col("node").alias("dst"), "f", "b"), "dst").join(rows.select(F.col("node").alias("src"), "a"), "src")
+        met = heavy(graph.edges, ["dst"]).join(edges, rows.select(F.col("node").alias("dst"), "f", "b"))
+        met = heavy(graph.edges, ["src"]).join(met, rows.select(F.col("node").alias("src"), "a"))
         logit = F.zip_with("a", "b", lambda x, y: leaky_relu(x + y))
         if not self.saliency:
             logit = F.when(F.col("top") == 1, logit).otherwise(F.array_repeat(F.lit(0.0), self.attn_heads))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.segments import FILLS, keep_all, reduce_vectors, reducer, reducer_name
 from weft.functions.vectors import activation
+from weft.sources.balance import heavy
 from weft.sources.graph import Graph
 
 from .params import Configured
@@ -65,13 +66,16 @@ class MessagePassing(Configured):
         return graph
 
     def gather(self, graph: Graph, columns: list[str], needed: set[str]) -> DataFrame:
-        """Edges with the node columns of their sources (s_), targets (t_), and their own (e_)."""
+        """Edges with the node columns of their sources (s_), targets (t_), and their own (e_).
+
+        Edges are counted by each end that is needed (a job), and those of a hub are dealt to several tasks.
+        """
         own = [c for c in graph.edges.columns if c not in ("src", "dst")]
         out = graph.edges.filter("w <> 0").select("src", "dst", *[F.col(c).alias(f"e_{c}") for c in own])
         for side, key, letter in (("source", "src", "s"), ("target", "dst", "t")):
             if side in needed:
                 table = graph.nodes.select(F.col("node").alias(key), *[F.col(c).alias(f"{letter}_{c}") for c in columns])
-                out = out.join(table, key)
+                out = heavy(graph.edges, [key]).join(out, table)
         return out
 
     def propagate(self, graph: Graph, message=None, **more) -> DataFrame:
