@@ -7,17 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .mergeable import SegmentAggregate, aggregate
 from .vectors import LOWEST, SOFTMAX_EPSILON
 
 CHUNK = 64
 
-#: The reductions that have a name; a function from column to aggregate column is taken as well.
+#: The reductions that have a name; a function from column to aggregate column, or a ``SegmentAggregate``, is taken as well.
 REDUCERS: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "max": F.max}
 FILLS: dict[str, float | None] = {"sum": 0.0, "max": LOWEST}
 
 
-def reducer(name) -> Callable[[Column], Column]:
-    if callable(name):
+def register_reducer(name: str, how, fill: float | None = 0.0) -> None:
+    """Give a reduction a name, by which layers take it and their configurations keep it."""
+    if not (callable(how) or isinstance(how, SegmentAggregate)):
+        raise ValueError("a reduction is a function from column to aggregate column, or a SegmentAggregate")
+    REDUCERS[name], FILLS[name] = how, fill
+
+
+def reducer(name) -> Callable[[Column], Column] | SegmentAggregate:
+    if callable(name) or isinstance(name, SegmentAggregate):
         return name
     if name not in REDUCERS:
         raise ValueError(f"unknown aggregation {name!r}; known: {', '.join(REDUCERS)}")
@@ -28,7 +36,13 @@ def reducer_name(f) -> str:
     for name, own in REDUCERS.items():
         if f in (name, own):
             return name
-    return getattr(f, "__name__", str(f))
+    return getattr(f, "__name__", type(f).__name__ if isinstance(f, SegmentAggregate) else str(f))
+
+
+def reduced_dim(how, dim: int) -> int:
+    """The width of what a reduction gives for vectors of width ``dim``."""
+    how = reducer(how)
+    return how.width(dim) if isinstance(how, SegmentAggregate) else dim
 
 
 def reduce_vectors(df: DataFrame, keys: list[str], vector: str | Column, dim: int, how="sum", out: str = "h", extra: list[Column] = ()) -> DataFrame:
@@ -38,6 +52,10 @@ def reduce_vectors(df: DataFrame, keys: list[str], vector: str | Column, dim: in
     pieces of a group, already reduced, are put together again.
     """
     f = reducer(how)
+    if isinstance(f, SegmentAggregate):
+        if extra:
+            raise ValueError("a SegmentAggregate takes no further aggregates")
+        return aggregate(df.withColumn("__v", F.col(vector) if isinstance(vector, str) else vector), keys, "__v", f, out)
     v = F.col(vector) if isinstance(vector, str) else vector
     rows = df.withColumn("__v", v)
     if dim <= CHUNK:

@@ -8,30 +8,86 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.segments import all_segments, keep_all, reduce_vectors
+from weft.functions.mergeable import SegmentAggregate
+from weft.functions.segments import all_segments, keep_all, reduce_vectors, reduced_dim, reducer
 from weft.functions.vectors import LOWEST, clip
 
 
+def assert_sorted_index(df: DataFrame, index: str = "index") -> None:
+    """Raise if a row's index is below that of the row before it, in the order in which the table is read.
+
+    A task looks at its own rows and gives its first and last index; the driver compares neighbours, a row a partition.
+    Indexes are numbers; null ones are passed over.
+    """
+
+    def run(batches):
+        first = last = None
+        even = True
+        for batch in batches:
+            x = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
+            if len(x):
+                even &= bool((x[1:] >= x[:-1]).all()) and (last is None or x[0] >= last)
+                first, last = x[0] if first is None else first, x[-1]
+        if first is not None:
+            kind = batch.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first], kind), pa.array([last], kind), pa.array([even])], names=["part", "first", "last", "even"])
+
+    kind = df.schema[index].dataType.simpleString()
+    parts = sorted(df.select(index).mapInArrow(run, f"part int, first {kind}, last {kind}, even boolean").collect())
+    if not all(p["even"] for p in parts) or any(a["last"] > b["first"] for a, b in zip(parts[:-1], parts[1:], strict=True)):
+        raise ValueError(f"the column {index!r} is not sorted")
+
+
+def index_of_ptr(rows: DataFrame, ptr: list[int], position: str = "row", index: str = "index") -> DataFrame:
+    """``rows`` with the index of the segment that each position falls into: segment i has the positions ptr[i] to ptr[i + 1] - 1."""
+    if list(ptr) != sorted(ptr) or not ptr or ptr[0] != 0:
+        raise ValueError("ptr starts with 0 and doesn't fall")
+    bounds = rows.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(ptr[:-1], ptr[1:], strict=True)) if b > a], f"{index} long, __from long, __to long")
+    return rows.join(F.broadcast(bounds), (F.col(position) >= F.col("__from")) & (F.col(position) < F.col("__to"))).drop("__from", "__to")  # a row a segment that the caller named
+
+
 class Aggregation:
-    """Base: ``reduce`` with any function from column to aggregate column; ``fill`` for gaps, None to leave them out."""
+    """Base: ``reduce`` with any function from column to aggregate column, or a ``SegmentAggregate``; ``fill`` for gaps, None
+    to leave them out.
+
+    ``dim_size`` says how many segments there are, instead of the largest index plus 1; an index beyond it raises when the
+    result is read. ``check_sorted`` raises unless the index rises in the order of the rows (a job).
+    """
 
-    how: str | Callable[[Column], Column] = "sum"
+    how: str | Callable[[Column], Column] | SegmentAggregate = "sum"
     fill: float | None = 0.0
 
-    def reduce(self, df: DataFrame, dim: int, index: str = "index", x: str = "x", how=None, fill: float | None = None) -> DataFrame:
+    def reduce(self, df: DataFrame, dim: int, index: str = "index", x: str = "x", how=None, fill: float | None = None, dim_size: int | None = None, check_sorted: bool = False) -> DataFrame:
         for c in (index, x):
             if c not in df.columns:
                 raise ValueError(f"no column {c!r}")
-        found = reduce_vectors(df.filter(F.col(index).isNotNull()), [index], x, dim, how or self.how, "h")
+        if check_sorted:
+            assert_sorted_index(df, index)
+        rows = df.filter(F.col(index).isNotNull())
+        if dim_size is not None:
+            beyond = F.raise_error(F.concat(F.lit(f"dim_size is {dim_size}, but an index is "), F.col(index).cast("string"))).cast(df.schema[index].dataType)
+            rows = rows.withColumn(index, F.when((F.col(index) >= 0) & (F.col(index) < dim_size), F.col(index)).otherwise(beyond))
+        how = how or self.how
+        found = reduce_vectors(rows, [index], x, dim, how, "h")
         if fill is None:
             return found
-        return keep_all(all_segments(found, index), found, [index], {"h": F.array_repeat(F.lit(float(fill)), dim)})
+        every = all_segments(found, index) if dim_size is None else df.sparkSession.range(dim_size).select(F.col("id").alias(index))
+        return keep_all(every, found, [index], {"h": F.array_repeat(F.lit(float(fill)), reduced_dim(how, dim))})
+
+    def __call__(self, df: DataFrame, dim: int, index: str = "index", x: str = "x", dim_size: int | None = None, check_sorted: bool = False) -> DataFrame:
+        return self.reduce(df, dim, index, x, fill=self.fill, dim_size=dim_size, check_sorted=check_sorted)
+
+
+class UserAggregation(Aggregation):
+    """Any reduction as an aggregator: a name, a function from column to aggregate column, or a ``SegmentAggregate``."""
 
-    def __call__(self, df: DataFrame, dim: int, index: str = "index", x: str = "x") -> DataFrame:
-        return self.reduce(df, dim, index, x, fill=self.fill)
+    def __init__(self, how, fill: float | None = None):
+        self.how, self.fill = reducer(how), fill
 
 
 class SumAggregation(Aggregation):

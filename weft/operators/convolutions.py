@@ -50,7 +50,7 @@ from weft.sources.layout import Layout, states
 from weft.sources.written import written
 
 from . import adjacency
-from .message_passing import EdgeContext, MessagePassing
+from .message_passing import MessagePassing
 from .params import Configured, glorot_uniform, initialised
 
 #: Logits of attention are taken as they are while they can't overflow.
@@ -207,11 +207,23 @@ class CrystalConv(MessagePassing):
         w = {n: self.params.weight(n, width, graph.dim) for n in ("s", "f")}
         b = {n: self.params.bias(f"{n}_bias", graph.dim) for n in ("s", "f")}
 
-        def message(c: EdgeContext) -> Column:
-            z = concat(c.target(), c.source(), *([c.edge("e")] if self.edge_dim else []))
-            return vmul(dense(z, w["s"], b["s"], self.activation), dense(z, w["f"], b["f"], "sigmoid"))
-
-        out = self.propagate(self.get_inputs(graph), message)
+        d, edge = graph.dim, self.edge_dim
+        # z W = x_dst W_dst + x_src W_src + e W_e: the first two are multiplied once a node and added on the edge
+        part = lambda lo, hi: np.concatenate([w["s"][lo:hi], w["f"][lo:hi]], axis=1)
+        both = np.concatenate([b["s"], b["f"]])
+        g = self.get_inputs(graph)
+        own = [c for c in g.edges.columns if c not in ("src", "dst")]
+        edges = g.edges.filter("w <> 0").select("src", "dst", *[c for c in own if c == "e"])
+        for key, columns, name, bias in (("dst", (0, d), "t", both), ("src", (d, 2 * d), "s", None)):
+            side = g.nodes.select(F.col("node").alias(key), dense(F.col("x"), part(*columns), bias).alias(name))
+            edges = heavy(g.edges, [key]).join(edges, side)
+        z = vadd(F.col("t"), F.col("s"))
+        z = vadd(z, dense(F.col("e"), part(2 * d, 2 * d + edge))) if edge else z
+        edges = edges.select(F.col("dst").alias("node"), z.alias("z"))
+        gate = activation("sigmoid")(F.slice("z", d + 1, d))
+        edges = edges.select("node", vmul(activation(self.activation)(F.slice("z", 1, d)), gate).alias("m"))
+        found = reduce_vectors(edges, ["node"], "m", d, self.aggregate, "agg")
+        out = keep_all(g.nodes, found, ["node"], {"agg": F.array_repeat(F.lit(float(self.fill())), d)})
         return out.select("node", vadd(F.col("x"), F.col("agg")).alias("h"))
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.segments import FILLS, keep_all, reduce_vectors, reducer, reducer_name
+from weft.functions.segments import FILLS, keep_all, reduce_vectors, reduced_dim, reducer, reducer_name
 from weft.functions.vectors import activation
 from weft.sources.balance import heavy
 from weft.sources.graph import Graph
@@ -90,7 +90,7 @@ class MessagePassing(Configured):
         edges = self.gather(graph, columns, context.used)
         dim = self.message_dim(graph)
         found = reduce_vectors(edges.select(F.col("dst").alias("node"), m.alias("__m")), ["node"], "__m", dim, self.aggregate, "agg")
-        return keep_all(graph.nodes, found, ["node"], {"agg": F.array_repeat(F.lit(float(self.fill())), dim)})
+        return keep_all(graph.nodes, found, ["node"], {"agg": F.array_repeat(F.lit(float(self.fill())), reduced_dim(self.aggregate, dim))})
 
     def __call__(self, graph: Graph) -> DataFrame:
         graph = self.get_inputs(graph)

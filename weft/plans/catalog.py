@@ -888,3 +888,6 @@ def model_gated(spark, sf_dir):
     for layers, seed in ((3, 51), (2, 61)):
         g = g.through(C.GatedGraphConv(7, layers, weights=cell | {f"w{k}": dyadic(7, 7, seed + k) for k in range(layers)}), 7)
     return long(g.nodes.select("node", V.log_softmax(V.dense(F.col("x"), dyadic(7, 4, 43), dyadic_vector(4, 44))).alias("h")))
+
+
+from . import scale  # noqa: E402, F401  registers its queries

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,9 +41,20 @@ class Graph:
     def with_edges(self, edges: DataFrame) -> Graph:
         return replace(self, edges=edges)
 
-    def through(self, layer, dim: int) -> Graph:
-        """The graph with a layer's output as its features, written, so that a stack of layers is planned one by one."""
-        return self.with_features(written(layer(self).withColumnRenamed("h", "x"), "layer"), dim)
+    def through(self, layer, dim: int, draw: int | None = None) -> Graph:
+        """The graph with a layer's output as its features, written, so that a stack of layers is planned one by one.
+
+        With ``draw``, a seed, layers that know dropout or batch statistics are called as in training.
+        """
+        how = {} if draw is None or "draw" not in inspect.signature(layer).parameters else {"draw": draw}
+        return self.with_features(written(layer(self, **how).withColumnRenamed("h", "x"), "layer"), dim)
+
+    def stack(self, layers: list[tuple], draw: int | None = None) -> Graph:
+        """Through each (layer, dim) in turn; every layer draws from a seed of its own."""
+        graph = self
+        for k, (layer, dim) in enumerate(layers):
+            graph = graph.through(layer, dim, None if draw is None else 1000 * draw + k)
+        return graph
 
     @staticmethod
     def read(spark: SparkSession, nodes: str, edges: str, dim: int | None = None) -> Graph:

@@ -28,8 +28,10 @@ class Layout:
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows = bucketed(edges.select("src", "dst", "w"), of, "edges")
         counts = rows.groupBy(of).agg(F.count(F.lit(1)).alias("n"))
-        limit = max(least, rows.count() // (partitions * SHARE))
-        self.hubs = [r[of] for r in counts.filter(F.col("n") > limit).select(of).collect()]  # SHARE * partitions rows
+        whole = counts.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()  # one row
+        limit = max(least, (whole["rows"] or 0) // (partitions * SHARE))
+        few = (whole["most"] or 0) > limit
+        self.hubs = [r[of] for r in counts.filter(F.col("n") > limit).select(of).collect()] if few else []  # SHARE * partitions rows
         hub = F.col(of).isin(self.hubs)
         self.plain = rows.filter(~hub) if self.hubs else rows
         self.dealt = bucketed(rows.filter(hub), to, "hubs") if self.hubs else None
