@@ -3,7 +3,9 @@
 Texts that are equal stay together, so the tree's points are groups of equal texts, weighted by bytes.
 A leaf that still holds more than one shard is split along the dimension in which it is widest
 (in units of the whole table's range), at a weighted quantile that a few rounds of distributed
-histograms narrow down; the shards go to both sides in proportion to their bytes. Points, leaves,
+histograms narrow down; the shards go to both sides in proportion to their bytes. Bins are even in the logarithm while a range
+spans more than a factor of two, and even in the value (and at last in the group's key) afterwards, so that every round narrows
+the search by the number of bins whatever the values are, and no cut is left unfinished. Points, leaves,
 histograms and cuts are tables; the driver sees the totals of the whole table and one count a round.
 
 Defined results: a null text counts as empty; metadata that is null, NaN or infinite counts as 0; texts are told
@@ -21,14 +23,12 @@ from pyspark.sql import types as T
 
 from .common import durable
 
-BINS = 256
+BINS = 4096
 #: A cut may miss its quantile by this share of the leaf.
 TOLERANCE = 0.001
 SLOT_ROWS = 10_000
-#: Rounds of histograms that a cut takes at most; what it has then is a cut, if a less even one.
-ROUNDS = 20
-#: Levels that node numbers have room for; leaves at the last one aren't split.
-DEPTH = 60
+#: A node's number is its level, its parent's first shard and its side.
+_LEVEL = 1 << 34
 _LEAST, _MOST = -(2**63), 2**63 - 1
 
 
@@ -52,7 +52,7 @@ def kd_shards(items: DataFrame, weight: str, group: str, dims: list[str], shards
     """
     dims_ = [f"__d{i}" for i in range(len(dims))]
     points = items.groupBy(F.col(group).alias("__group")).agg(F.sum(weight).alias("__w"), *[F.min(d).alias(c) for d, c in zip(dims, dims_, strict=True)])
-    points = durable(points.withColumn("__node", F.lit(1).cast("long")), "points")
+    points = durable(points.withColumn("__node", F.lit(0).cast("long")), "points")
     whole = _extents(points, dims_)
     ends = whole.first()
     if ends is None:
@@ -61,10 +61,10 @@ def kd_shards(items: DataFrame, weight: str, group: str, dims: list[str], shards
         shards = max(1, -(-int(ends["bytes"]) // int(target_bytes)))
     scale = [max(b - a, 1e-300) for a, b in zip(ends["low"], ends["high"], strict=True)]
     leaves = durable(whole.select("node", F.lit(0).alias("first"), F.lit(int(shards)).alias("shards"), "bytes", "low", "high"), "leaves")
-    for _ in range(DEPTH):
-        open_ = leaves.filter("shards > 1")
-        if not open_.limit(1).count():
-            break
+    level = 0
+    while (open_ := leaves.filter("shards > 1")).limit(1).count():  # both sides of a cut get fewer shards
+        level += 1
+        open_ = open_.withColumn("tag", F.lit(level * _LEVEL) + F.col("first") * F.lit(2).cast("long"))
         cuts = _search(points, _start(open_, scale), dims_)
         points = durable(_split(points, cuts, dims_), "points")  # else each level would split anew from the root
         leaves = durable(leaves.filter("shards = 1").unionByName(_halves(_extents(points, dims_), open_)), "leaves")
@@ -80,8 +80,8 @@ def _extents(points: DataFrame, dims: list[str]) -> DataFrame:
 
 def _halves(extents: DataFrame, parents: DataFrame) -> DataFrame:
     """The leaves below ``parents``. Shards are dealt by bytes; a leaf that couldn't be split keeps one, its others stay empty."""
-    up = parents.select(F.col("node").alias("parent"), "first", "shards", F.col("bytes").alias("all"))
-    side = extents.join(up, F.shiftright("node", 1) == F.col("parent"))
+    up = parents.select("tag", "first", "shards", F.col("bytes").alias("all"))
+    side = extents.join(up, F.col("node") - F.pmod("node", F.lit(2)) == F.col("tag"))
     left = F.when(F.col("node") % 2 == 0, F.col("bytes")).otherwise(F.col("all") - F.col("bytes"))
     share = F.least(F.greatest(F.round(F.col("shards") * left / F.col("all")).cast("int"), F.lit(1)), F.col("shards") - 1)
     alone = F.col("bytes") == F.col("all")
@@ -94,27 +94,34 @@ def _start(leaves: DataFrame, scale: list[float]) -> DataFrame:
     """A search for each leaf's weighted quantile: first along its widest dimension, then along the key among equal values."""
     wide = [(F.get("high", F.lit(i)) - F.get("low", F.lit(i))) / F.lit(x) for i, x in enumerate(scale)]
     dim = F.array_position(F.array(*wide), F.greatest(*wide) if len(wide) > 1 else wide[0]).cast("int") - 1
-    x = leaves.withColumn("dim", dim).select("node", "dim", "bytes", (F.col("bytes") * F.floor(F.col("shards") / 2) / F.col("shards")).alias("goal"), F.get("low", F.col("dim")).alias("low"), F.get("high", F.col("dim")).alias("high"))
+    x = leaves.withColumn("dim", dim).select("node", "tag", "dim", "bytes", (F.col("bytes") * F.floor(F.col("shards") / 2) / F.col("shards")).alias("goal"), F.get("low", F.col("dim")).alias("low"), F.get("high", F.col("dim")).alias("high"))
     return x.select("*", (F.col("low") == F.col("high")).alias("by_key"), F.lit(_LEAST).alias("key_low"), F.lit(_MOST).alias("key_high"), F.lit(0).cast("double").alias("below"), F.lit(False).alias("done"), F.col("low").alias("value"), F.lit(_LEAST).alias("cut_key"))
 
 
 def _search(points: DataFrame, cuts: DataFrame, dims: list[str]) -> DataFrame:
     """Narrow every cut to its quantile, all leaves at once: one aggregation a round."""
-    cuts = durable(cuts, "cuts")
-    for _ in range(ROUNDS):
-        live = cuts.filter("not done")
-        if not live.limit(1).count():
-            break
+    live = cuts
+    while True:  # the range of values, then of keys, shrinks until one group is left
         x = points.join(live, F.col("__node") == F.col("node")).withColumn("v", F.get(F.array(*dims), F.col("dim")))
-        step = F.when(F.col("high") > F.col("low"), (F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS).otherwise(0.0)
-        wide = F.col("key_high").cast("double") - F.col("key_low").cast("double") + 1
-        key_step = (F.col("__group").cast("double") - F.col("key_low").cast("double")) / wide * BINS
+        step = F.when(F.col("high") > F.col("low"), (_place(F.col("v")) - _place(F.col("low"))) / (_place(F.col("high")) - _place(F.col("low"))) * BINS).otherwise(0.0)
+        whole = lambda c: F.col(c).cast("decimal(20,0)")  # noqa: E731  differences of keys don't fit into a long
+        key_step = (whole("__group") - whole("key_low")).cast("double") / ((whole("key_high") - whole("key_low")).cast("double") + 1) * BINS
         keep = F.when(F.col("by_key"), (F.col("v") == F.col("low")) & F.col("__group").between(F.col("key_low"), F.col("key_high"))).otherwise(F.col("v").between(F.col("low"), F.col("high")))
         bin_ = F.least(F.floor(F.when(F.col("by_key"), key_step).otherwise(step)).cast("int"), F.lit(BINS - 1))
         sums = [F.sum("__w").alias("w"), F.min("v").alias("a"), F.max("v").alias("b"), F.min("__group").alias("ka"), F.max("__group").alias("kb")]
         bins = x.filter(keep).groupBy("node", bin_.alias("bin")).agg(*sums)
         cuts = durable(cuts.filter("done").unionByName(_narrowed(bins, live)), "cuts")
-    return cuts
+        live = cuts.filter("not done")
+        if not live.limit(1).count():
+            return cuts
+
+
+def _place(x: Column) -> Column:
+    """Where a value lies within [low, high]: by its logarithm where these are far apart, else by itself."""
+    low, high = F.col("low"), F.col("high")
+    near = ((low > 0) & (high <= 2 * low)) | ((high < 0) & (low >= 2 * high))
+    size = F.log2(F.abs(x)) + 1100  # above 0 for every double
+    return F.when(near, x).when(x > 0, size).when(x < 0, -size).otherwise(0.0)
 
 
 def _narrowed(bins: DataFrame, live: DataFrame) -> DataFrame:
@@ -128,15 +135,16 @@ def _narrowed(bins: DataFrame, live: DataFrame) -> DataFrame:
     by_key = F.col("by_key")
     to_left, to_right = F.abs(F.col("goal") - F.col("left")), F.abs(F.col("right") - F.col("goal"))
     near = (by_key & (F.col("ka") == F.col("kb"))) | (F.least(to_left, to_right) <= F.col("bytes") * TOLERANCE)
-    at_left = (F.col("left") > 0) & ((to_left <= to_right) | last)  # the bin goes right
-    at_right = ~at_left & ~last  # the bin goes left, what follows right
+    more = ~last | (by_key & (F.col("right") < F.col("bytes")))  # something follows the bin: in the histogram, or larger values in the leaf
+    at_left = (F.col("left") > 0) & ((to_left <= to_right) | ~more)  # the bin goes right
+    at_right = ~at_left & more  # the bin goes left, what follows right
     stuck = ~at_left & ~at_right
     # a bin that holds everything: what lies above a single group's value goes right, other bins are looked into
     done = near & (~stuck | by_key)
     value = F.when(by_key & stuck, F.col("low") + F.abs(F.col("low")) * 1e-15 + 1e-300).when(by_key, F.col("low")).when(at_left, F.col("a")).otherwise(F.col("next_a"))
-    cut_key = F.when(by_key & at_left, F.col("ka")).when(by_key & at_right, F.col("next_ka")).otherwise(F.lit(_LEAST))
+    cut_key = F.when(by_key & at_left, F.col("ka")).when(by_key & at_right, F.coalesce("next_ka", F.when(F.col("kb") < _MOST, F.col("kb") + 1).otherwise(F.lit(_MOST)))).otherwise(F.lit(_LEAST))
     return x.select(
-        "node", "dim", "bytes", "goal",
+        "node", "tag", "dim", "bytes", "goal",
         F.when(done | by_key, F.col("low")).otherwise(F.col("a")).alias("low"),
         F.when(done | by_key, F.col("high")).otherwise(F.col("b")).alias("high"),
         F.when(by_key, True).otherwise(~done & (F.col("a") == F.col("b"))).alias("by_key"),
@@ -150,10 +158,10 @@ def _narrowed(bins: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def _split(points: DataFrame, cuts: DataFrame, dims: list[str]) -> DataFrame:
-    x = points.join(cuts.select("node", "dim", "value", "cut_key"), F.col("__node") == F.col("node"), "left")
+    x = points.join(cuts.select("node", "tag", "dim", "value", "cut_key"), F.col("__node") == F.col("node"), "left")
     v = F.get(F.array(*dims), F.col("dim"))
     right = (v > F.col("value")) | ((v == F.col("value")) & (F.col("__group") >= F.col("cut_key")))
-    node = F.when(F.col("node").isNull(), F.col("__node")).otherwise(F.col("__node") * 2 + right.cast("long"))
+    node = F.when(F.col("node").isNull(), F.col("__node")).otherwise(F.col("tag") + right.cast("long"))
     return x.select("__group", "__w", *dims, node.alias("__node"))
 
 
