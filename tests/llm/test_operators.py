@@ -128,6 +128,29 @@ def test_mixing_meets_targets(spark):
     assert mixed["c"] * 50 == next(r["taken"] for r in sums if r["source"] == "c")
 
 
+@pytest.mark.parametrize("text", [lambda s: words(50, s), lambda s: words(50, 1)])
+@pytest.mark.parametrize("key", [lambda i: None, lambda i: 7, lambda i: i % 3])
+def test_mixing_of_null_and_repeated_ids(spark, text, key):
+    """Rows are drawn one by one, whatever they share; the plan and the documents agree."""
+    rows = [(key(i), text(i), "en", "a" if i < 900 else "b", 1, "x", "y", "z", 1) for i in range(1100)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    plan = mixing.mix_plan(table)
+    assert plan.count() == 1100
+    by = plan.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(by) == 2
+    for r in by:
+        assert abs(r["taken"] - r["target"]) < 0.15 * r["target"]
+    mixed = {r["source"]: r["n"] for r in mixing.mix(table).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert sorted(50 * n for n in mixed.values()) == sorted(r["taken"] for r in by)
+    assert sorted(map(str, mixing.mix(table).collect())) == sorted(map(str, mixing.mix(table.repartition(5)).collect()))
+
+
+def test_mixing_with_a_large_table_of_sources(spark, docs, monkeypatch):
+    plain = sorted(map(str, mixing.mix_plan(docs).collect())), sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert plain == (sorted(map(str, mixing.mix_plan(docs).collect())), sorted(map(str, mixing.mix(docs).collect())))
+
+
 def check_shards(rows, shards):
     by = collections.defaultdict(list)
     for r in rows:
