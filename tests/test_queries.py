@@ -9,10 +9,10 @@ SQL = catalog.oracle_sql()
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(catalog.QUERIES)
+    assert set(catalog.QUERIES) - set(SQL) == {"train_gated"}
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, name):
     same(catalog.QUERIES[name](spark, SMALL).toPandas(), duck.sql(SQL[name]).df())
 

@@ -26,7 +26,7 @@ WHOLE = 64
 
 
 def query(name: str, sql):
-    """Register a query and the function that writes its SQL."""
+    """Register a query and the function that writes its SQL, or None where SQL can't express it."""
 
     def put(f):
         QUERIES[name] = f
@@ -37,7 +37,7 @@ def query(name: str, sql):
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f() for name, f in _SQL.items()}
+    return {name: f() for name, f in _SQL.items() if f}
 
 
 def _edges(df):

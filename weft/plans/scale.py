@@ -13,6 +13,7 @@ from weft.operators.aggregators import UserAggregation
 from weft.operators.message_passing import MessagePassing
 from weft.operators.params import dyadic, dyadic_vector
 from weft.operators.stateful import BatchNormalization
+from weft.operators.training import Adam, Dense, Model, Pad, gated
 from weft.sources.graph import Graph
 
 from .catalog import _gcn_filter, _on_ring, _on_segments, _on_trade, _segments, query
@@ -137,6 +138,20 @@ def dense_product(spark, sf_dir):
     return long(blocks.product(x, inner, 64, 64).withColumnRenamed("row", "node"))
 
 
+# Training
+
+
+@query("train_gated", None)
+def train_gated(spark, sf_dir):
+    """Losses of three steps of training a gated model on the labels of two thirds of the vectors."""
+    g = ring(spark, sf_dir)
+    nodes = vectors(spark, sf_dir).withColumn("mask", F.col("node") % 3 != 0)
+    steps = [Dense("first", "x", "f", 8, "relu"), Pad("f", "h", 12), *gated("g", "h", "h2", 2), Dense("last", "h2", "y", 10)]
+    model = Model(steps, 64, "y", seed=1)
+    losses = model.fit(g.with_features(nodes, 64), 3, Adam(rate=0.01))
+    return spark.createDataFrame([(k, v) for k, v in enumerate(losses)], "step int, loss double")
+
+
 # Statistics of a batch
 
 
