@@ -451,3 +451,17 @@ def test_toxicity_trains_on_20000_rows(spark):
     docs = spark.range(19_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     known = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     assert quality.labelled_sample(docs, known, "toxic", F.lit(True), "text", "doc_id", toxicity.MAX_ROWS).count() == 19_000
+
+
+def test_neighbours_that_share_an_id(spark):
+    """Every row but the query's own is a candidate, also one with its id; rows with a query's id are queries of their own."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 8))
+    ids = [0] * 10 + [7] * 5 + list(range(1, 46))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    got = collections.Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in neighbours.search(df, k=59).collect())
+    want = collections.Counter()
+    for q in [k for k, i in enumerate(ids) if i % 20 == 0]:
+        near = sorted((-float(x[q] @ x[k]), ids[k]) for k in range(60) if k != q)
+        want.update((ids[q], r, i, round(-s, 9)) for r, (s, i) in enumerate(near, 1))
+    assert got == want

@@ -13,9 +13,11 @@ How many lists are probed is calibrated: ``CALIBRATION`` queries are compared wi
 lists are taken that ``RECALL`` of their true neighbours lie in them.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or
-non-finite components take no part, nor do rows without an id; an id that repeats counts once for each score it
-has with a query, and a query's own id is never its neighbour; an empty table or one without queries gives no rows; a
+non-finite components take no part, nor do rows without an id; rows that share an id are rows of their own, each a candidate, also of
+a query with that id, and each with neighbours of its own if queries; an empty table or one without queries gives no rows; a
 query with fewer candidates than k gets all; other columns are ignored.
+
+Rows are numbered in the order of their ids, and go by these numbers until the end.
 """
 
 from __future__ import annotations
@@ -256,7 +258,10 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
     rows = usable(df, key, vector)
     widths = rows.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").first()
     dim = widths["w"] if widths else 1
-    rows = durable(rows.filter(F.size("v") == dim), "vectors")
+    order = ["vec_id", F.xxhash64("v")]
+    rows = rows.filter(F.size("v") == dim).repartitionByRange(*order).sortWithinPartitions(*order)
+    named = durable(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")  # numbers hold once they are written
+    rows = named.select(F.col("row").alias("vec_id"), "v")
     single = isinstance(rows.schema["v"].dataType.elementType, T.FloatType)
     n = widths["n"] if widths else 0
     lists = max(1, round(n**0.5 / 2))
@@ -281,7 +286,7 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
     salts = counts.select("list", F.ceil(F.col("n") / (4 * BLOCK)).cast("int").alias("salts"))
     items = placed.join(salts, "list").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")))
     items = durable(packed(items, dim, False), "items")
-    asked = rows.filter(F.col("vec_id") % every == 0)
+    asked = named.filter(F.col("vec_id") % every == 0).select(F.col("row").alias("vec_id"), "v")
     probes = _calibrated(rows, asked, c, dim, k)
     salted = lambda x: x.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, int(n // every // QUERIES)))))
     start = _probes(asked.withColumn("bound", F.lit(float("-inf"))), c, sizes, probes, k, dim, True)
@@ -290,11 +295,14 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
     worst = worst.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("worst")).otherwise(float("-inf")).alias("bound"))
     rest = _probes(asked.join(worst, "vec_id", "left").fillna(float("-inf"), ["bound"]).select("vec_id", "v", "bound"), c, sizes, probes, k, dim, False)
     far = scan(packed(salted(rest), dim, True), items, salts, dim, single, k)
-    return _top(near.union(far), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = _top(near.union(far), k)
+    query, candidate = named.select(F.col("row").alias("query_id"), F.col("vec_id").alias("__query")), named.select(F.col("row").alias("vec_id"), F.col("vec_id").alias("__vec"))
+    found = found.join(query, "query_id").join(candidate, "vec_id")
+    return found.select(F.col("__query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("__vec").alias("vec_id"), "score")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    found = found.dropDuplicates(["query_id", "vec_id", "score"])
+    found = found.dropDuplicates(["query_id", "vec_id"])
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
 
