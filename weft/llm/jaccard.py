@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import bounds, durable, grouped_rows, map_text, text_bytes
 from .graph import components
-from .words import mix, normalised, per_text, prefix_sums, shingle_sets, span_names, word_names
+from .words import hashed, mix, normalised, per_text, shingle_sets, word_names
 
 THRESHOLD = Fraction(4, 5)
 RECALL = 0.999
@@ -60,7 +60,7 @@ def set_ids(grams: np.ndarray, cut: np.ndarray, raw: np.ndarray, offsets: np.nda
     size = np.diff(cut)
     ids = mix(per_text(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), cut) + size.astype(np.uint64))
     empty = size == 0
-    ids[empty] = mix(span_names(prefix_sums(raw), offsets[:-1][empty], offsets[1:][empty]) ^ np.uint64(0x94D049BB133111EB))
+    ids[empty] = mix(hashed(raw, offsets[:-1][empty], offsets[1:][empty]) ^ np.uint64(0x94D049BB133111EB))
     return ids.view(np.int64)
 
 

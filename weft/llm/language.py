@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import durable, expand_text, fold_of
-from .words import ascii_lower, mix, per_text, prefix_sums, span_names, spans
+from .words import ascii_lower, hashed, mix, per_text, spans
 
 FOLDS = 10
 #: One training document in so many is left out while the mixture weights are learned.
@@ -54,7 +54,7 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Names of the tokens of all texts, each text's end token last, and the text of each."""
     low = ascii_lower(raw)
     starts, ends, doc = spans(low, offsets)
-    names = span_names(prefix_sums(low), starts, ends)
+    names = hashed(low, starts, ends)
     texts = len(offsets) - 1
     at = np.searchsorted(doc, np.arange(texts), "right")
     return np.insert(names, at, END), np.insert(doc, at, np.arange(texts))

@@ -47,7 +47,10 @@ def prefix_sums(raw: np.ndarray) -> np.ndarray:
 
 
 def span_names(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit names of the byte spans [start, end): equal bytes, equal names."""
+    """64-bit names of the byte spans [start, end): equal bytes, equal names.
+
+    For spans that overlap and features; where unequal bytes must not share a name whatever they are, take ``hashed``.
+    """
     h = (sums[ends] - sums[starts]) * powers(len(sums))[1][starts]
     return mix(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
@@ -102,7 +105,7 @@ def normalised(column: pa.Array) -> pa.Array:
 def word_names(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Names, starts, ends and text numbers of the words."""
     starts, ends, doc = spans(raw, offsets)
-    return span_names(prefix_sums(raw), starts, ends), starts, ends, doc
+    return hashed(raw, starts, ends), starts, ends, doc
 
 
 def chain(names: np.ndarray, n: int) -> np.ndarray:
