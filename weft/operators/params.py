@@ -69,7 +69,7 @@ class Configured:
         return self
 
     def config(self) -> dict:
-        """The layer's name and arguments; functions by their names, weights apart (``save``)."""
+        """The layer's name and arguments; functions by their names (``keywords.register`` makes these known), weights apart (``save``)."""
         plain = lambda v: getattr(v, "__name__", str(v)) if callable(v) else v.tolist() if isinstance(v, np.ndarray) else v
         return {"layer": type(self).__name__} | {k: plain(v) for k, v in self._given.items()}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import inspect
+import warnings
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,8 @@ class Graph:
         if not isinstance(self.nodes.schema["x"].dataType, T.ArrayType):
             raise ValueError("x must be an array column")
         if "w" in self.edges.columns and not isinstance(self.edges.schema["w"].dataType, T.DoubleType):
+            if isinstance(self.edges.schema["w"].dataType, T.IntegralType):
+                warnings.warn(f"weights of the type {self.edges.schema['w'].dataType.simpleString()} are cast to double, as features are", stacklevel=3)
             object.__setattr__(self, "edges", self.edges.withColumn("w", F.col("w").cast("double")))
         if "w" not in self.edges.columns:
             object.__setattr__(self, "edges", self.edges.withColumn("w", F.lit(1.0)))
