@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weft.functions.segments import segment_softmax
 from weft.operators import convolutions as C
 from weft.operators.adjacency import adj_matmul
 from weft.operators.attention import linear_attention
@@ -102,6 +103,19 @@ def test_batched_product_with_a_hub(spark, hub):
     np.testing.assert_allclose(matrix(out.filter("batch = 2")), -(a @ x), atol=1e-8)
 
 
+def test_softmax_of_a_large_segment(spark, monkeypatch):
+    monkeypatch.setattr(balance, "LEAST", 10)
+    monkeypatch.setattr(balance, "SHARE", 1000)
+    rng = np.random.default_rng(3)
+    seg, v = np.where(np.arange(500) < 400, 1, rng.integers(0, 9, 500)), rng.standard_normal(500) * 20
+    df = spark.createDataFrame([(i, int(s), float(x)) for i, (s, x) in enumerate(zip(seg, v, strict=True))], "at long, seg long, v double")
+    got = {r["at"]: r["alpha"] for r in segment_softmax(df, ["seg"], "v").collect()}
+    for s in np.unique(seg):
+        own = np.flatnonzero(seg == s)
+        e = np.exp(v[own] - v[own].max())
+        np.testing.assert_allclose([got[i] for i in own.tolist()], e / (e.sum() + 1e-9), atol=1e-12)
+
+
 # Rounds
 
 

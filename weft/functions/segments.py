@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.sources.balance import heavy
+
 from .mergeable import SegmentAggregate, aggregate
 from .vectors import LOWEST, SOFTMAX_EPSILON
 
@@ -84,10 +86,12 @@ def all_segments(found: DataFrame, index: str) -> DataFrame:
 def segment_softmax(df: DataFrame, keys: list[str], logit: str, out: str = "alpha") -> DataFrame:
     """``df`` with exp(v - max) / (sum exp(v - max) + 1e-9) within each segment.
 
-    Maxima and sums are pre-aggregated and joined back, so that one large segment isn't one task's window.
+    Maxima and sums are pre-aggregated and joined back, so that one large segment isn't one task's window; rows are counted by
+    segment (a job), and those of a large segment meet its maximum and its sum in several tasks.
     """
+    many = heavy(df, keys)
     top = df.groupBy(*keys).agg(F.max(logit).alias("__top"))
-    rows = df.join(top, keys).withColumn("__e", F.exp(F.col(logit) - F.col("__top"))).drop("__top")
+    rows = many.join(df, top).withColumn("__e", F.exp(F.col(logit) - F.col("__top"))).drop("__top")
     sums = rows.groupBy(*keys).agg(F.sum("__e").alias("__sum"))
-    rows = rows.join(sums, keys).withColumn(out, F.col("__e") / (F.col("__sum") + F.lit(SOFTMAX_EPSILON)))
+    rows = many.join(rows, sums).withColumn(out, F.col("__e") / (F.col("__sum") + F.lit(SOFTMAX_EPSILON)))
     return rows.drop("__e", "__sum")

@@ -27,7 +27,7 @@ SALT = "__salt"
 class Heavy:
     """How many salts the rows of each heavy place are dealt in. Counting is a job of its own, run when this is made."""
 
-    def __init__(self, df: DataFrame, keys: list[str], least: int = LEAST):
+    def __init__(self, df: DataFrame, keys: list[str], least: int | None = None):
         self.keys = list(keys)
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.places = partitions * PLACES
@@ -35,7 +35,7 @@ class Heavy:
         counted = df.select(self._place().alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
         whole = counted.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()  # one row
         self.rows = whole["rows"] or 0
-        limit = max(least, self.rows // (partitions * SHARE))
+        limit = max(LEAST if least is None else least, self.rows // (partitions * SHARE))
         found = counted.filter(F.col("n") > limit).collect() if (whole["most"] or 0) > limit else []  # SHARE * partitions rows
         self.salts = {r["place"]: -(-r["n"] // limit) for r in found}
 
