@@ -3,9 +3,9 @@
 Texts that are equal stay together, so the tree's points are groups of equal texts, weighted by bytes.
 A leaf that still holds more than one shard is split along the dimension in which it is widest
 (in units of the whole table's range), at a weighted quantile that a few rounds of distributed
-histograms narrow down; the shards go to both sides in proportion to their bytes. Bins are even in the logarithm while a range
-spans more than a factor of two, and even in the value (and at last in the group's key) afterwards, so that every round narrows
-the search by the number of bins whatever the values are, and no cut is left unfinished. Points, leaves,
+histograms narrow down; the shards go to both sides in proportion to their bytes. Bins are even in the value at first, then even in the
+logarithm while a range spans more than a factor of two, and even in the value (and at last in the group's key) afterwards, so that
+every round but the first narrows the search by the number of bins whatever the values are, and no cut is left unfinished. Points, leaves,
 histograms and cuts are tables; the driver sees the totals of the whole table and one count a round.
 
 Defined results: a null text counts as empty; metadata that is null, NaN or infinite counts as 0; texts are told
@@ -17,7 +17,7 @@ leave shards empty; an empty table gives an empty table; columns that are not na
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,17 +61,23 @@ def kd_shards(items: DataFrame, weight: str, group: str, dims: list[str], shards
         shards = max(1, -(-int(ends["bytes"]) // int(target_bytes)))
     scale = [max(b - a, 1e-300) for a, b in zip(ends["low"], ends["high"], strict=True)]
     leaves = durable(whole.select("node", F.lit(0).alias("first"), F.lit(int(shards)).alias("shards"), "bytes", "low", "high"), "leaves")
-    level = 0
-    while (open_ := leaves.filter("shards > 1")).limit(1).count():  # both sides of a cut get fewer shards
+    level, more = 0, shards > 1
+    while more:  # both sides of a cut get fewer shards
         level += 1
-        open_ = open_.withColumn("tag", F.lit(level * _LEVEL) + F.col("first") * F.lit(2).cast("long"))
+        open_ = leaves.filter("shards > 1").withColumn("tag", F.lit(level * _LEVEL) + F.col("first") * F.lit(2).cast("long"))
         cuts = _search(points, _start(open_, scale), dims_)
         points = durable(_split(points, cuts, dims_), "points")  # else each level would split anew from the root
-        leaves = durable(leaves.filter("shards = 1").unionByName(_halves(_extents(points, dims_), open_)), "leaves")
+        leaves, more = _watched(leaves.filter("shards = 1").unionByName(_halves(_extents(points, dims_), open_)), F.col("shards") > 1, "leaves")
     numbers = leaves.select(F.col("node").alias("__leaf"), F.col("first").alias("shard"))
     return points.join(numbers, F.col("__node") == F.col("__leaf")).select(F.col("__group").alias(group), "shard")
 
 
+def _watched(df: DataFrame, unfinished: Column, name: str) -> tuple[DataFrame, int]:
+    """``df`` as a table, and how many of its rows are unfinished, observed while it is written."""
+    seen = Observation()
+    return durable(df.observe(seen, F.count_if(unfinished).alias("n")), name), seen.get["n"]
+
+
 def _extents(points: DataFrame, dims: list[str]) -> DataFrame:
     """(node, bytes, low, high) of every node that has points."""
     ends = [F.array(*[f(d) for d in dims]).alias(k) for k, f in (("low", F.min), ("high", F.max))]
@@ -95,7 +101,7 @@ def _start(leaves: DataFrame, scale: list[float]) -> DataFrame:
     wide = [(F.get("high", F.lit(i)) - F.get("low", F.lit(i))) / F.lit(x) for i, x in enumerate(scale)]
     dim = F.array_position(F.array(*wide), F.greatest(*wide) if len(wide) > 1 else wide[0]).cast("int") - 1
     x = leaves.withColumn("dim", dim).select("node", "tag", "dim", "bytes", (F.col("bytes") * F.floor(F.col("shards") / 2) / F.col("shards")).alias("goal"), F.get("low", F.col("dim")).alias("low"), F.get("high", F.col("dim")).alias("high"))
-    return x.select("*", (F.col("low") == F.col("high")).alias("by_key"), F.lit(_LEAST).alias("key_low"), F.lit(_MOST).alias("key_high"), F.lit(0).cast("double").alias("below"), F.lit(False).alias("done"), F.col("low").alias("value"), F.lit(_LEAST).alias("cut_key"))
+    return x.select("*", (F.col("low") == F.col("high")).alias("by_key"), F.lit(_LEAST).alias("key_low"), F.lit(_MOST).alias("key_high"), F.lit(0).cast("double").alias("below"), F.lit(False).alias("done"), F.col("low").alias("value"), F.lit(_LEAST).alias("cut_key"), F.lit(False).alias("looked"))
 
 
 def _search(points: DataFrame, cuts: DataFrame, dims: list[str]) -> DataFrame:
@@ -110,16 +116,16 @@ def _search(points: DataFrame, cuts: DataFrame, dims: list[str]) -> DataFrame:
         bin_ = F.least(F.floor(F.when(F.col("by_key"), key_step).otherwise(step)).cast("int"), F.lit(BINS - 1))
         sums = [F.sum("__w").alias("w"), F.min("v").alias("a"), F.max("v").alias("b"), F.min("__group").alias("ka"), F.max("__group").alias("kb")]
         bins = x.filter(keep).groupBy("node", bin_.alias("bin")).agg(*sums)
-        cuts = durable(cuts.filter("done").unionByName(_narrowed(bins, live)), "cuts")
-        live = cuts.filter("not done")
-        if not live.limit(1).count():
+        cuts, more = _watched(cuts.filter("done").unionByName(_narrowed(bins, live)), ~F.col("done"), "cuts")
+        if not more:
             return cuts
+        live = cuts.filter("not done")
 
 
 def _place(x: Column) -> Column:
-    """Where a value lies within [low, high]: by its logarithm where these are far apart, else by itself."""
+    """Where a value lies within [low, high]: by itself at first, then by its logarithm while these are far apart."""
     low, high = F.col("low"), F.col("high")
-    near = ((low > 0) & (high <= 2 * low)) | ((high < 0) & (low >= 2 * high))
+    near = ~F.col("looked") | ((low > 0) & (high <= 2 * low)) | ((high < 0) & (low >= 2 * high))
     size = F.log2(F.abs(x)) + 1100  # above 0 for every double
     return F.when(near, x).when(x > 0, size).when(x < 0, -size).otherwise(0.0)
 
@@ -154,6 +160,7 @@ def _narrowed(bins: DataFrame, live: DataFrame) -> DataFrame:
         done.alias("done"),
         F.when(done, value).otherwise(F.col("value")).alias("value"),
         F.when(done, cut_key).otherwise(F.col("cut_key")).alias("cut_key"),
+        F.lit(True).alias("looked"),
     )
 
 
