@@ -20,20 +20,20 @@ from .catalog import _gcn_filter, _on_ring, _on_segments, _on_trade, _segments,
 from .fixtures import long, ring, table, trade, vectors
 from .oracle import RELU, TANH, w
 
-# Hubs: half of all edges go from a fifth of the ring's edges to node 0 and back
+# Hubs: an edge from every node to node 0 and one back. Whole weights, so that sums of hundredths don't fall between two millionths
 
 
 def _hub_sql(s):
-    s.add("eh", """SELECT src, dst, w FROM e UNION ALL SELECT node, 0::BIGINT, (node % 8 + 1) / 8.0::DOUBLE FROM nodes WHERE node > 0
-        UNION ALL SELECT 0::BIGINT, node, (node % 4 + 1) / 4.0::DOUBLE FROM nodes WHERE node > 0""")
+    s.add("eh", """SELECT src, dst, w FROM e UNION ALL SELECT node, 0::BIGINT, (node % 8 + 1)::DOUBLE FROM nodes WHERE node > 0
+        UNION ALL SELECT 0::BIGINT, node, (node % 4 + 1)::DOUBLE FROM nodes WHERE node > 0""")
 
 
 def _hub(spark, sf_dir) -> Graph:
     """The trade graph, with an edge from every node to node 0 and one back."""
     g = trade(spark, sf_dir)
     others = g.nodes.filter("node > 0")
-    to = others.select(F.col("node").alias("src"), F.lit(0).cast("long").alias("dst"), ((F.col("node") % 8 + 1) / 8.0).alias("w"))
-    back = others.select(F.lit(0).cast("long").alias("src"), F.col("node").alias("dst"), ((F.col("node") % 4 + 1) / 4.0).alias("w"))
+    to = others.select(F.col("node").alias("src"), F.lit(0).cast("long").alias("dst"), (F.col("node") % 8 + 1).cast("double").alias("w"))
+    back = others.select(F.lit(0).cast("long").alias("src"), F.col("node").alias("dst"), (F.col("node") % 4 + 1).cast("double").alias("w"))
     return g.with_edges(g.edges.select("src", "dst", "w").union(to).union(back))
 
 
