@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import pickle
+import random
 import re
 import zlib
 
@@ -98,6 +100,37 @@ def test_blocks_find_all_within_the_radius():
     assert set(zip(q.tolist(), k.tolist(), strict=True)) == set(map(tuple, np.argwhere(distance <= decontaminate.RADIUS).tolist()))
 
 
+def test_blocks_in_steps_and_their_size():
+    rng = np.random.default_rng(1)
+    items = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+    blocks = decontaminate.Blocks(items)
+    queries = items[:40] ^ rng.integers(0, 2**12, 40, dtype=np.uint64)
+    whole, steps = blocks.near(queries), blocks.near(queries, step=1)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, steps, strict=True))
+    assert set(range(40)) <= set(whole[1].tolist())
+    # each item stands once in each of the seven blocks: under 100 bytes in all, however many keys are near
+    assert len(pickle.dumps(blocks)) < 100 * len(items)
+
+
+def test_altered_items_are_found_and_the_benchmark_goes_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [words(n, 1000 + k) for k, n in enumerate([14, 20, 33, 50] * 15)]
+    texts = []
+    for k, item in enumerate(items):
+        w = item.split()
+        w[rng.choice([0, 1, len(w) - 1, len(w) // 2])] = f"other{k}"
+        texts.append(f"before {' '.join(w)} after")
+    want = {(d, i) for d, i in ((k, k) for k in range(len(items))) if brute_leaks([texts[d]], [items[i]])}
+    assert 20 < len(want) < len(items)
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == want
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 25)
+    assert len(list(decontaminate._indices(bench, "item_id", "text"))) == 3
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == want
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == set(range(len(items))) - {d for d, _ in want}
+
+
 def test_decontamination_of_hard_rows(spark, docs, empty):
     bench = spark.createDataFrame([(1, "nothing like it in the documents"), (None, None)], "item_id long, text string")
     assert decontaminate.leaks(docs, bench).count() == 0

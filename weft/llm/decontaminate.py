@@ -8,8 +8,8 @@ most RADIUS bits differ in all, at most RADIUS // BLOCKS differ in some block, a
 the block's table under all keys that near. Candidates are verified by the exact weighted Jaccard
 similarity (sum of smaller counts over sum of larger counts) of the shingles.
 
-The benchmark is sent to all tasks in blocks of ``BLOCK_BYTES`` of text; a larger benchmark takes
-several passes. Documents are never shuffled.
+The benchmark is sent to all tasks in blocks of about ``BLOCK_BYTES`` of text and ``BLOCK_ITEMS`` items at most; a larger
+benchmark takes several passes. Documents are never shuffled.
 
 Defined results: null and empty texts and texts without words hold nothing; an item without words is
 never found; an item of one to four words is found where these words stand in a row; a text that is
@@ -19,6 +19,7 @@ and item counts; texts of any length are looked at whole, with sums around ``HIT
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 from fractions import Fraction
 from itertools import combinations
@@ -40,6 +41,10 @@ BLOCKS = 7
 HITS = 4096
 #: Text of the benchmark that is sent to the tasks at a time.
 BLOCK_BYTES = 16 << 20
+#: Items of the benchmark that are sent at a time; short ones are more index than text.
+BLOCK_ITEMS = 1 << 17
+#: Candidates whose distance is taken together.
+CANDIDATES = 1 << 20
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
@@ -52,35 +57,58 @@ def signs(grams: np.ndarray) -> np.ndarray:
     return bits.astype(np.int32) * 2 - 1
 
 
+@functools.cache
+def _flips(width: int, bits: int) -> np.ndarray:
+    """All numbers of ``width`` bits with at most ``bits`` set."""
+    return np.array([sum(1 << b for b in c) for k in range(bits + 1) for c in combinations(range(width), k)], np.int64)
+
+
 class Blocks:
-    """Multi-index over fingerprints: ``near(fp)`` gives all pairs (query, item) within the radius, and no others."""
+    """Multi-index over fingerprints: ``near(fp)`` gives all pairs (query, item) within the radius, and no others.
+
+    Each block holds the items once, in the order of their bits there; a query looks up all keys that near.
+    """
 
     def __init__(self, items: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
-        self.items, self.radius = items, radius
-        edges = np.linspace(0, 64, blocks + 1).astype(int)
+        self.items, self.radius, self.bits = items, radius, radius // blocks
+        edges = np.linspace(0, 64, blocks + 1).astype(int).tolist()
         self.parts = []
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            width = int(hi - lo)
-            flips = [0] + [sum(1 << b for b in c) for k in range(1, radius // blocks + 1) for c in combinations(range(width), k)]
-            own = (items >> np.uint64(lo)) & np.uint64((1 << width) - 1)
-            keys = (own[:, None] ^ np.array(flips, np.uint64)[None]).astype(np.int64).ravel()
-            who = np.repeat(np.arange(len(items)), len(flips))
-            order = np.argsort(keys, kind="stable")
-            self.parts.append((np.uint64(lo), np.uint64((1 << width) - 1), np.searchsorted(keys[order], np.arange((1 << width) + 1)), who[order]))
-
-    def near(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = []
-        for shift, mask, starts, who in self.parts:
-            key = ((fp >> shift) & mask).astype(np.int64)
-            count = starts[key + 1] - starts[key]
-            query = np.repeat(np.arange(len(fp)), count)
-            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts[key], count)
-            item = who[at]
-            close = np.bitwise_count(fp[query] ^ self.items[item]) <= self.radius
-            found.append(query[close] * len(self.items) + item[close])
+            own = self._keys(items, lo, hi).astype(np.int32)
+            who = np.argsort(own, kind="stable").astype(np.int32)
+            self.parts.append((lo, hi, own[who], who))
+
+    @staticmethod
+    def _keys(fp: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        return ((fp >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
+
+    def near(self, fp: np.ndarray, step: int = CANDIDATES) -> tuple[np.ndarray, np.ndarray]:
+        """Looks at ``step`` candidates at a time, or at those of one query."""
+        tables, many = [], np.zeros(len(fp), np.int64)
+        for lo, hi, own, who in self.parts:
+            starts = np.searchsorted(own, np.arange((1 << (hi - lo)) + 1))
+            flips = _flips(hi - lo, self.bits)
+            around = np.diff(starts)[np.arange(1 << (hi - lo))[:, None] ^ flips].sum(axis=1)
+            key = self._keys(fp, lo, hi)
+            many += around[key]
+            tables.append((key, around[key] > 0, starts, flips, who))
+        ends, found, at = np.cumsum(many), [np.zeros(0, np.int64)], 0
+        while at < len(fp):
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + step, "right")))
+            found += [self._close(fp, at + np.flatnonzero(some[at:to]), key, starts, flips, who) for key, some, starts, flips, who in tables]
+            at = to
         pairs = np.unique(np.concatenate(found))
         return pairs // len(self.items), pairs % len(self.items)
 
+    def _close(self, fp, query, key, starts, flips, who) -> np.ndarray:
+        keys = (key[query][:, None] ^ flips).ravel()
+        count = starts[keys + 1] - starts[keys]
+        query = np.repeat(np.repeat(query, len(flips)), count)
+        item = who[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - starts[keys], count)]
+        close = np.bitwise_count(fp[query] ^ self.items[item]) <= self.radius
+        return query[close] * len(self.items) + item[close]
+
 
 @dataclass
 class Index:
@@ -174,8 +202,8 @@ def _windows(index: Index, grams, hits, doc, first, last, threshold: Fraction):
         start = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
         count = np.minimum(n, last[start] - start) - WORDS + 1
         start, count = start[count > 0], count[count > 0]
-        for part in range(0, len(start), 1 << 16):
-            s, c = start[part : part + (1 << 16)], count[part : part + (1 << 16)]
+        for part in range(0, len(start), 1 << 14):
+            s, c = start[part : part + (1 << 14)], count[part : part + (1 << 14)]
             query, item = blocks.near(fingerprints(sums[place[s] + c] - sums[place[s]]))
             for q, k in zip(query.tolist(), item.tolist(), strict=True):
                 inter, union = overlap(grams[s[q] : s[q] + c[q]], index.grams[own[k]])
@@ -195,11 +223,11 @@ def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 def _indices(bench: DataFrame, item: str, text: str):
     """The benchmark's indices, one block after the other, each within the bound."""
     rows = bench.select(F.col(f"`{item}`").alias("i"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).distinct()
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(1, -(-size // BLOCK_BYTES))
+    size, items = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.count(F.lit(1))).first()
+    parts = max(1, -(-size // BLOCK_BYTES), -(-items // BLOCK_ITEMS))
     for k in range(parts):
         block = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
-        got = block.collect()  # BLOCK_BYTES at a time
+        got = block.collect()  # one block at a time
         yield index_of([r["i"] for r in got], [r["t"] for r in got])
 
 
