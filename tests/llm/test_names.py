@@ -1,8 +1,9 @@
 """Words on which every sum of powers agrees: they stay different words."""
 
+import numpy as np
 import pytest
 
-from weft.llm import jaccard, language
+from weft.llm import jaccard, language, words
 
 
 def orders(size):
@@ -30,3 +31,13 @@ def test_words_of_one_sum(spark, size):
     c = len(train)
     want = sum(math.log10((x + 0.1) / (n + 0.1 * 4)) for x in (c, sum(i < 40 for i in train), len(train)))
     assert all(abs(r["base_score"] - want) < 1e-9 for r in scored if r["doc_id"] < 40)
+
+
+def test_two_sums_of_spans_say_nothing_of_each_other():
+    a, b = (x.encode() for x in orders(1024))
+    raw = np.frombuffer(b"xy" + a + b"z" + b + a, np.uint8)
+    starts = np.array([2, 2 + 1024 + 1, 2 + 2048 + 1])
+    plain = words.span_names(words.prefix_sums(raw), starts, starts + 1024)
+    mixed = words.span_names(words.mixed_sums(raw), starts, starts + 1024 - words.EIGHT + 1)
+    assert len(set(plain.tolist())) == 1
+    assert mixed[0] == mixed[2] != mixed[1]

@@ -21,8 +21,8 @@ Every byte is removed that a ``length``-byte string covers which also starts any
 Sorts are dealt by ranges of key and position, so that many equal keys are spread over tasks; runs that
 cross a bound are found from the first and last keys of the ranges (a row a range on the driver).
 
-Equal contexts are told by two 64-bit names of their bytes, one of all and one of a part, and texts by their MD5; in the sort,
-strings by the names of eight blocks. By far the most repeats are found by the grouping of steps 1 and 2: the sort
+Equal contexts are told by two 64-bit names of all their bytes, from sums over single bytes and over mixed eights of bytes, so that
+neither says anything of the other, and texts by their MD5; in the sort, strings by the names of eight blocks. By far the most repeats are found by the grouping of steps 1 and 2: the sort
 decides on what these leave open.
 
 Defined results: a null text is empty; texts of any length are looked at whole; texts shorter than ``length`` lose nothing; repeated rows are repeats of
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import durable, expand_text, map_text
-from .words import mix, prefix_sums, span_names
+from .words import EIGHT, mix, mixed_sums, prefix_sums, span_names
 
 LENGTH = 400
 WINDOW = 128
@@ -97,7 +97,7 @@ def _text_id(body: Column) -> Column:
 
 
 def contexts(docs: DataFrame, text: str, length: int, window: int, gram: int) -> DataFrame:
-    """(tail, context, id, at, first, last) of the anchors of texts of ``length`` bytes or more; id names the text."""
+    """(tail, context, check, id, at, first, last) of the anchors of texts of ``length`` bytes or more; id names the text."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(_text_id(body).alias("id"), body.alias("text")).filter(F.octet_length("text") >= length)
 
@@ -107,25 +107,27 @@ def contexts(docs: DataFrame, text: str, length: int, window: int, gram: int) ->
             a, first, last = anchors(raw, offsets, sums, length, window, gram)
             doc = np.searchsorted(offsets, a, "right") - 1
             tail = span_names(sums, a, a + length - window + 1)
-            return _batch(part.column(0), doc, offsets[doc], tail, _whole(sums, a, first, last, length), a, first, last)
+            context, check = _whole(sums, mixed_sums(raw), a, first, last, length)
+            return _batch(part.column(0), doc, offsets[doc], tail, context, check, a, first, last)
 
         return fn
 
     return expand_text(rows, "text", ["id"], make, _kind(ROW))
 
 
-ROW = "tail long, context long, id binary, at int, first int, last int"
+ROW = "tail long, context long, check long, id binary, at int, first int, last int"
 
 
-def _whole(sums: np.ndarray, a: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
-    """Names of all that the strings starting from first to last hold, and of where they start."""
+def _whole(sums: np.ndarray, mixed: np.ndarray, a: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two names, from sums of two kinds, of all that the strings starting from first to last hold; the first names as well where they start."""
     place = (a - first).astype(np.uint64) * np.uint64(1 << 20) + (a - last).astype(np.uint64)
-    return mix(span_names(sums, first, last + length) + mix(place))
+    return mix(span_names(sums, first, last + length) + mix(place)), span_names(mixed, first, last + length - EIGHT + 1)
 
 
-def _batch(ids: pa.Array, doc: np.ndarray, start: np.ndarray, tail, context, a, first, last) -> pa.RecordBatch:
+def _batch(ids: pa.Array, doc: np.ndarray, start: np.ndarray, tail, context, check, a, first, last) -> pa.RecordBatch:
     places = [pa.array((x - start).astype(np.int32)) for x in (a, first, last)]
-    return pa.RecordBatch.from_arrays([pa.array(tail.view(np.int64)), pa.array(context.view(np.int64)), ids.take(pa.array(doc)), *places], names=["tail", "context", "id", "at", "first", "last"])
+    names = [pa.array(x.view(np.int64)) for x in (tail, context, check)]
+    return pa.RecordBatch.from_arrays([*names, ids.take(pa.array(doc)), *places], names=["tail", "context", "check", "id", "at", "first", "last"])
 
 
 def _kind(text: str) -> T.StructType:
@@ -158,7 +160,7 @@ def bands(docs: DataFrame, text: str, reps: DataFrame, length: int, width: int,
 
     def make():
         def fn(raw, offsets, part):
-            sums = prefix_sums(raw)
+            sums, mixed = prefix_sums(raw), mixed_sums(raw)
             doc, a, first, last = _places(part, offsets)
             out = []
             for j in range(0, width, band):
@@ -167,9 +169,9 @@ def bands(docs: DataFrame, text: str, reps: DataFrame, length: int, width: int,
                 some = f <= l
                 h = high[some]
                 core = mix(span_names(sums, h, h - band + 1 + length) + np.uint64(j))
-                out.append((core, _whole(sums, h, f[some], l[some], length), h, f[some], l[some], doc[some]))
-            core, full, high, f, l, of = (np.concatenate(c) for c in zip(*out, strict=True))
-            return _batch(part.column(0), of, offsets[of], core, full, high, f, l)
+                out.append((core, *_whole(sums, mixed, h, f[some], l[some], length), h, f[some], l[some], doc[some]))
+            core, full, check, high, f, l, of = (np.concatenate(c) for c in zip(*out, strict=True))
+            return _batch(part.column(0), of, offsets[of], core, full, check, high, f, l)
 
         return fn
 
@@ -184,8 +186,8 @@ def kinds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     often = durable(rows.groupBy("tail").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tail"), "groups")
     rows = durable(rows.join(often, "tail", "left_semi"), "often")
-    each = durable(rows.groupBy("tail", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at", "first", "last")).alias("rep")), "kinds")
-    equal = rows.join(each.filter("n > 1").select("tail", "context"), ["tail", "context"], "left_semi").select("id", "first", "last")
+    each = durable(rows.groupBy("tail", "context", "check").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at", "first", "last")).alias("rep")), "kinds")
+    equal = rows.join(each.filter("n > 1").select("tail", "context", "check"), ["tail", "context", "check"], "left_semi").select("id", "first", "last")
     several = durable(each.groupBy("tail").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("tail"), "several")
     return equal, durable(each.join(several, "tail", "left_semi").select("rep.*"), "reps")
 
