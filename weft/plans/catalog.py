@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import vectors as V
-from weft.functions.segments import segment_softmax
+from weft.functions.segments import exact_mean, segment_softmax
 from weft.operators import adjacency as A
 from weft.operators import aggregators as G
 from weft.operators import convolutions as C
@@ -413,7 +413,8 @@ def mp_edge_features(spark, sf_dir):
         def update(self, h):
             return F.transform(h, lambda v: v + 1)
 
-    return long(WithEdges()(trade(spark, sf_dir)))
+    # sums of hundredths of millionths often lie midway between two millionths, where the order of a plain sum decides
+    return long(WithEdges("exact_sum")(trade(spark, sf_dir, exact_mean)))
 
 
 # Convolutions ------------------------------------------------------------------------------------

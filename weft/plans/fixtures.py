@@ -41,11 +41,11 @@ def trade_index(spark, sf_dir) -> DataFrame:
     return lines.join(orders, "l_orderkey").select("src", "dst", "l_discount", "l_tax")
 
 
-def trade(spark, sf_dir) -> Graph:
-    """Customers and suppliers, an edge for each pair that trades, weighed by its lines, with edge features."""
+def trade(spark, sf_dir, mean=F.avg) -> Graph:
+    """Customers and suppliers, an edge for each pair that trades, weighed by its lines, with edge features (means of its lines)."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.array(F.col("c_acctbal") / 10000.0, F.col("c_nationkey") / 25.0, F.lit(1.0), F.lit(0.0)).alias("x"))
     s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + SUPPLIERS).alias("node"), F.array(F.col("s_acctbal") / 10000.0, F.col("s_nationkey") / 25.0, F.lit(1.0), F.lit(1.0)).alias("x"))
-    edges = trade_index(spark, sf_dir).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"), F.array(F.avg("l_discount"), F.avg("l_tax")).alias("e"))
+    edges = trade_index(spark, sf_dir).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"), F.array(mean(F.col("l_discount")), mean(F.col("l_tax"))).alias("e"))
     return Graph(c.unionByName(s), written(edges, "trade"), 4)  # the queries name the edges several times
 
 
