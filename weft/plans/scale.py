@@ -62,7 +62,7 @@ def mp_hub(spark, sf_dir):
         def message(self, c):
             return F.zip_with(c.source("x"), c.target("x"), lambda a, b: a * b)
 
-    return long(Products()(_hub(spark, sf_dir)))
+    return long(Products("exact_sum")(_hub(spark, sf_dir)))  # products of millionths, as in mp_edge_features
 
 
 # Rounds over edges that were laid out once
